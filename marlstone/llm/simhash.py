@@ -27,8 +27,6 @@ from marlstone.llm.components import connected_components
 from marlstone.session import materialize, table
 
 BITS, RADIUS, SHINGLE = 64, 3, 3
-#: A bucket of more members is dealt again by the bits outside its partition before it is verified.
-BUCKET = 2048
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -146,6 +144,7 @@ class Plan:
     def __init__(self, groups: list[list[int]], n: int, crowded: list[dict[int, int]], radius: int = RADIUS):
         self.groups, self.radius, self.n, self.crowded = groups, radius, n, crowded
         self.total = radius - len(groups) + 1
+        self.crowded_values = [np.array(sorted(c), np.uint64) for c in crowded]
         self.masks = [masks_within(len(g), max(self.total + len(groups) - 1, 0)) for g in groups]
 
     def costs(self, fp: np.ndarray) -> np.ndarray:
@@ -164,18 +163,34 @@ class Plan:
                 out[:, i, e] = signatures + own + even * (signatures - 1)
         return out
 
-    def entries(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(bucket, fp, probe)`` of every index entry and probe; a bucket is a hash of partition and value."""
+    def entries(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(bucket, fp)`` of every index entry and probe; a bucket is a hash of partition and value.
+
+        A crowded value has no bucket of its own.  Its members agree, pair by pair within the
+        radius, on one of radius + 1 blocks of bits at least, so they meet in a bucket for each block.
+        """
         t = allocate(self.costs(fp), self.total)
-        keys, owners, probe = [], [], []
+        keys, owners = [], []
+
+        def put(part: int, value: np.ndarray, own: np.ndarray) -> None:
+            seed = np.uint64((part + 1) * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF)
+            key, crowd = _mix(value, seed), np.isin(value, self.crowded_values[part])
+            keys.append(key[~crowd]), owners.append(own[~crowd])
+            if crowd.any():
+                step = BITS // (self.radius + 1)
+                for i in range(self.radius + 1):
+                    block = (own[crowd] >> np.uint64(i * step)) & np.uint64((1 << step) - 1)
+                    keys.append(_mix(key[crowd] ^ _mix(block, np.uint64(i + 1)), seed)), owners.append(own[crowd])
+
         for i, g in enumerate(self.groups):
-            value, seed = project(fp, g), np.uint64((i + 1) << (BITS // 2 + 1)) * np.uint64(len(self.groups) > 1)
-            keys.append(_mix(value, seed)), owners.append(fp), probe.append(np.zeros(len(fp), bool))
+            value = project(fp, g)
+            put(i, value, fp)
             for e in range(1, self.total + len(self.groups)):
                 chosen = np.flatnonzero(t[:, i] >= e)
-                for mask in self.masks[i][e] if len(chosen) else ():
-                    keys.append(_mix(value[chosen] ^ mask, seed)), owners.append(fp[chosen]), probe.append(np.ones(len(chosen), bool))
-        return np.concatenate(keys), np.concatenate(owners), np.concatenate(probe)
+                if len(chosen):
+                    masks = self.masks[i][e]
+                    put(i, (value[chosen][:, None] ^ masks[None, :]).ravel(), np.repeat(fp[chosen], len(masks)))
+        return np.concatenate(keys), np.concatenate(owners)
 
 
 def _mix(value: np.ndarray, seed: np.uint64) -> np.ndarray:
@@ -188,7 +203,7 @@ def _mix(value: np.ndarray, seed: np.uint64) -> np.ndarray:
 
 def make_plan(fps: DataFrame, radius: int = RADIUS) -> Plan:
     """A plan for distinct ``fps(fp)``: the number of partitions with the least expected work, the
-    correlated bit groups, and the values that hold over a thousandth of all rows (so few come)."""
+    correlated bit groups, and the values that hold over a thousandth of all rows (a thousand for each partition at most)."""
     n, both = bit_moments(fps)
 
     def work(m: int) -> float:
@@ -254,8 +269,8 @@ def _links_in(keys: np.ndarray, fp: np.ndarray, radius: int) -> tuple[list[np.nd
 def bucket_links(entries: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links ``(u, v)`` between the fingerprints that share a bucket of ``entries(bucket, fp)``.
 
-    Rows come sorted by bucket; a bucket cut by a batch boundary is carried over, and no bucket
-    is larger than ``BUCKET`` (see ``deal_again``).
+    Rows come sorted by bucket; a bucket cut by a batch boundary is carried over.  Members are
+    distinct fingerprints (16 bytes a row), and crowded buckets have been dealt again.
     """
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -281,28 +296,42 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     plan = make_plan(fps, radius)
     spark = fps.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20_000)
-    schema = pa.schema([("bucket", pa.int64()), ("fp", pa.int64()), ("probe", pa.bool_())])
+    schema = pa.schema([("bucket", pa.int64()), ("fp", pa.int64())])
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             all_fp = batch.column(0).to_numpy().view(np.uint64)
             for at in range(0, len(all_fp), 4096):
-                k, f, p = plan.entries(all_fp[at : at + 4096])
-                yield pa.RecordBatch.from_arrays([k.view(np.int64), f.view(np.int64), pa.array(p)], schema=schema)
+                k, f = plan.entries(all_fp[at : at + 4096])
+                yield pa.RecordBatch.from_arrays([k.view(np.int64), f.view(np.int64)], schema=schema)
 
-    entries = fps.select("fp").mapInArrow(expand, "bucket long, fp long, probe boolean")
-    return bucket_links(deal_again(entries.select("bucket", "fp")), radius)
+    entries = fps.select("fp").mapInArrow(expand, "bucket long, fp long")
+    return bucket_links(entries, radius)
 
 
-def deal_again(entries: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Split crowded buckets without losing a link: their members meet again in smaller buckets.
+def components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``(doc_id, fp, component_id)`` of ``docs(doc_id, fp)``.
 
-    Of radius + 1 blocks of 16 bits two members within the radius agree on one at least, so each
-    member of a bucket of over ``BUCKET`` enters one bucket for each block.  Crowded buckets are
-    few (they are counted first) and their list is joined, not collected.
+    component_id is the smallest doc_id that links of at most ``radius`` differing bits reach, the
+    document itself included.  Repeated rows stay; a null doc_id keeps its row and is never the
+    smallest unless its whole component has none.
     """
-    crowded = entries.groupBy("bucket").count().where(F.col("count") > BUCKET).select("bucket", F.lit(True).alias("crowded"))
-    block = BITS // (radius + 1)
-    again = [F.xxhash64("bucket", F.lit(i), F.shiftrightunsigned("fp", i * block).bitwiseAND(F.lit((1 << block) - 1))) for i in range(radius + 1)]
-    joined = entries.join(F.broadcast(crowded) if False else crowded, "bucket", "left")
-    return joined.select(F.explode(F.when(F.col("crowded"), F.array(*again)).otherwise(F.array("bucket"))).alias("bucket"), "fp")
+    docs = materialize(docs.select("doc_id", "fp"), "fingerprints")
+    first = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    linked = connected_components(links(first.select("fp"), radius)).select(F.col("node").alias("fp"), "component")
+    linked = materialize(linked.join(first, "fp"), "linked")
+    least = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    named = linked.join(least, "component").select("fp", "component_id")
+    named = first.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+    return docs.join(materialize(named, "components"), "fp").select("doc_id", "fp", "component_id")
+
+
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """Near-duplicate components of the texts of a table, see ``components``; an empty table gives no rows."""
+    return components(fingerprints(df, doc_id, text, shingle), radius)
+
+
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    out = near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
