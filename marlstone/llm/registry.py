@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from marlstone.llm.bpe import op3_bpe_round_trip
+from marlstone.llm.fingerprints import op9_document_fingerprints
 from marlstone.llm.language import op1_language_id
 from marlstone.llm.packing import op7_best_fit_packing
+from marlstone.llm.quality import op10_quality_rules
 from marlstone.llm.simhash import op2_simhash_near_dedup
 from marlstone.llm.token_counts import op6_token_counts
+from marlstone.llm.toxicity import op5_toxicity
 from marlstone.llm.warc import op4_warc_packages
 
 QUERIES = {
@@ -16,8 +19,11 @@ QUERIES = {
         op2_simhash_near_dedup,
         op3_bpe_round_trip,
         op4_warc_packages,
+        op5_toxicity,
         op6_token_counts,
         op7_best_fit_packing,
+        op9_document_fingerprints,
+        op10_quality_rules,
     )
 }
 
