@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from marlstone.llm.bpe import op3_bpe_round_trip
 from marlstone.llm.fingerprints import op9_document_fingerprints
+from marlstone.llm.html_extract import op8_html_extraction
 from marlstone.llm.language import op1_language_id
 from marlstone.llm.packing import op7_best_fit_packing
 from marlstone.llm.quality import op10_quality_rules
@@ -22,6 +23,8 @@ QUERIES = {
         op5_toxicity,
         op6_token_counts,
         op7_best_fit_packing,
+        op8_html_extraction,
+        op8_html_extraction,
         op9_document_fingerprints,
         op10_quality_rules,
     )

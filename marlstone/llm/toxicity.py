@@ -23,36 +23,40 @@ from marlstone.llm._common import bounded_batches, map_batches
 from marlstone.session import materialize, table
 
 #: Labelled rows that learning takes for each category and class, about; terms kept; folds.
-SAMPLE, TERMS, FOLDS = 4000, 6000, 5
+SAMPLE, TERMS, FOLDS = 4000, 4000, 5
 #: A term must occur in this many sampled documents.
 MIN_DOCS = 5
+#: Least log-likelihood ratio statistic of a term: chance hardly gives one among 100,000 terms that much.
+LEAST_G = 15.0
+#: Least absolute log odds of a term: a difference in length or topic alone hardly gives that much.
+LEAST_ODDS = 1.5
 PREFIXES = (4, 5)
-_WORD = re.compile(r"\w+")
+_WORD = re.compile(r"\w+|[^\w\s]+")
 
 
 def terms(text: str | None) -> set[str]:
-    """Lower-cased words, and the first four and five letters of longer ones (marked with ``*``)."""
+    """Lower-cased words and runs of signs, and the first four and five characters of longer ones (marked with a blank)."""
     words = set(_WORD.findall((text or "").lower()))
-    return words.union(*({w[:n] + "*" for w in words if len(w) > n} for n in PREFIXES))
+    return words.union(*({w[:n] + " " for w in words if len(w) > n} for n in PREFIXES))
 
 
 class Linear:
-    """Logistic regression on sparse presence features and a few dense ones."""
+    """Logistic regression on sparse presence features (those of ``mask``) and a few dense ones."""
 
-    def __init__(self, n_terms: int, n_dense: int):
-        self.w, self.v, self.b = np.zeros(n_terms), np.zeros(n_dense), 0.0
+    def __init__(self, mask: np.ndarray, n_dense: int):
+        self.mask, self.w, self.v, self.b = mask, np.zeros(len(mask)), np.zeros(n_dense), 0.0
 
     def margin(self, rows: "Rows", dense: np.ndarray) -> np.ndarray:
         return rows.sum(self.w) + dense @ self.v + self.b
 
-    def fit(self, rows: "Rows", dense: np.ndarray, y: np.ndarray, decay: float = 1e-3, rounds: int = 300, rate: float = 0.1) -> "Linear":
+    def fit(self, rows: "Rows", dense: np.ndarray, y: np.ndarray, decay: float = 1e-4, rounds: int = 400, rate: float = 0.1) -> "Linear":
         """Adam on the class-balanced loss; deterministic."""
         n1, n0 = max(1.0, y.sum()), max(1.0, (1 - y).sum())
         weight = np.where(y == 1, 0.5 / n1, 0.5 / n0)
         state = [np.zeros(len(self.w) + len(self.v) + 1) for _ in range(2)]
         for step in range(1, rounds + 1):
             error = weight * (expit(self.margin(rows, dense)) - y)
-            grad = np.concatenate((rows.spread(error, len(self.w)) + decay * self.w / 10, dense.T @ error + decay * self.v / 10, [error.sum()]))
+            grad = np.concatenate((rows.spread(error, len(self.w)) * self.mask + decay * self.w / 10, dense.T @ error + decay * self.v / 10, [error.sum()]))
             state[0] = 0.9 * state[0] + 0.1 * grad
             state[1] = 0.999 * state[1] + 0.001 * grad**2
             move = rate * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.999**step)) + 1e-8)
@@ -84,8 +88,10 @@ def expit(x: np.ndarray) -> np.ndarray:
 class Chain:
     """One model a category, each fed by the probabilities of the categories before it."""
 
-    def __init__(self, categories: list[str], vocabulary: list[str]):
-        self.categories, self.vocabulary = categories, {t: i for i, t in enumerate(vocabulary)}
+    def __init__(self, categories: list[str], chosen: list[list[str]]):
+        self.categories = categories
+        self.vocabulary = {t: i for i, t in enumerate(sorted(set().union(*chosen)))}
+        self.masks = [np.isin(np.arange(len(self.vocabulary)), [self.vocabulary[t] for t in c]) for c in chosen]
         self.models: list[Linear] = []
         self.thresholds: list[float] = []
 
@@ -108,7 +114,7 @@ class Chain:
         return self
 
     def _new(self, k: int) -> Linear:
-        return Linear(len(self.vocabulary), k)
+        return Linear(self.masks[k], k)
 
     def predict(self, texts: list[str | None]) -> np.ndarray:
         """Probability of each category for each text; a text without a known term gets the models' base rate."""
@@ -149,8 +155,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, categories: list[str], s
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").withColumn("fold", fold)
 
 
-def pick_terms(sample: DataFrame, categories: list[str], size: int = TERMS) -> list[str]:
-    """The terms whose presence best tells a category's classes apart, by absolute smoothed log odds times root of count."""
+def pick_terms(sample: DataFrame, categories: list[str], size: int = TERMS) -> list[list[str]]:
+    """For each category the terms whose presence best tells its classes apart, by the log-likelihood ratio statistic."""
 
     def run(cols: dict[str, list]) -> dict[str, object]:
         found: dict[str, np.ndarray] = {}
@@ -166,15 +172,24 @@ def pick_terms(sample: DataFrame, categories: list[str], size: int = TERMS) -> l
 
     names = [f"n{k}" for k in range(2 * len(categories))]
     counts = map_batches(sample.select("text", *categories), run, "term string, " + ", ".join(f"{n} long" for n in names))
-    counts = counts.groupBy("term").agg(*[F.sum(n).alias(n) for n in names]).where(F.greatest(*[F.col(f"n{2 * k}") + F.col(f"n{2 * k + 1}") for k in range(len(categories))]) >= MIN_DOCS if len(categories) > 1 else F.col("n0") + F.col("n1") >= MIN_DOCS)
+    counts = counts.groupBy("term").agg(*[F.sum(n).alias(n) for n in names])
+    counts = materialize(counts.where(" or ".join(f"n{2 * k} + n{2 * k + 1} >= {MIN_DOCS}" for k in range(len(categories)))), "terms")
     total = sample.agg(*[F.count_if(F.col(c) == v).alias(f"{c}{v}") for c in categories for v in (0, 1)]).first()
     scores = []
     for k, c in enumerate(categories):
-        pos, neg = F.col(f"n{2 * k + 1}"), F.col(f"n{2 * k}")
-        odds = F.log((pos + 0.5) / F.lit(float(total[f"{c}1"] + 1))) - F.log((neg + 0.5) / F.lit(float(total[f"{c}0"] + 1)))
-        scores.append(F.abs(odds) * F.sqrt(F.least(pos + neg, F.lit(200))))
-    score = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    return [r["term"] for r in counts.select("term", score.alias("score")).orderBy(F.desc("score"), "term").limit(size).collect()]
+        n1, n0 = float(total[f"{c}1"]), float(total[f"{c}0"])
+        pos, neg = F.col(f"n{2 * k + 1}").cast("double"), F.col(f"n{2 * k}").cast("double")
+        share1, share0 = (pos + neg) * F.lit(n1 / max(1.0, n1 + n0)), (pos + neg) * F.lit(n0 / max(1.0, n1 + n0))
+        part = lambda seen, due: F.when((seen > 0) & (due > 0), seen * F.log(seen / due)).otherwise(F.lit(0.0))
+        g = 2 * (part(pos, share1) + part(neg, share0) + part(F.lit(n1) - pos, F.lit(n1) - share1) + part(F.lit(n0) - neg, F.lit(n0) - share0))
+        odds = F.log((pos + 0.5) / F.lit(n1 + 1)) - F.log((neg + 0.5) / F.lit(n0 + 1))
+        scores.append(F.when(F.abs(odds) >= LEAST_ODDS, g).otherwise(F.lit(0.0)))
+    named = [x.alias(f"s{k}") for k, x in enumerate(scores)]
+    out = []
+    for k in range(len(categories)):
+        best = counts.select("term", *named).where(F.col(f"s{k}") >= LEAST_G).orderBy(F.desc(f"s{k}"), "term").limit(size)
+        out.append([r["term"] for r in best.select("term").collect()])
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: list[str]) -> Chain:
