@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes in one Arrow batch; a batch holds whole texts, so rows alone don't bound it.
-BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -31,3 +31,40 @@ def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, object]
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
+
+
+class Memo(dict):
+    """Bounded memory of computed values for one Python worker, in two generations.
+
+    When the young one is full it becomes the old one; a value met again moves back to the young
+    one, so frequent keys stay while rare ones go.
+    """
+
+    def __init__(self, entries: int, longest_key: int, make: Callable[[str], object] | None = None):
+        self.entries, self.longest_key, self.make, self.old = entries, longest_key, make, {}
+
+    def __missing__(self, key: str) -> object:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self.keep(key, value)
+        return value
+
+    def keep(self, key: str, value: object) -> None:
+        if len(key) <= self.longest_key:
+            if len(self) >= self.entries:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+
+    def fill(self, keys: Iterable[str], make: Callable[[list[str]], list]) -> None:
+        """Learns all ``keys`` that are not young yet; ``make`` gets those that are in neither generation at once."""
+        old, new = self.old, []
+        for key in [k for k in keys if k not in self]:
+            if key in old:
+                self.keep(key, old[key])
+            elif len(key) <= self.longest_key:
+                new.append(key)
+        if new:
+            for key, value in zip(new, make(new)):
+                self.keep(key, value)

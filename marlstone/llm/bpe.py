@@ -13,7 +13,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -21,13 +21,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm._common import map_batches
+from marlstone.llm._common import Memo, map_batches
 from marlstone.session import table
 
 #: The split of byte-level BPE vocabularies of this family (fixed by the vocabulary's public format).
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pre-tokens remembered by one Python worker, and the longest that is.
-CACHE_ENTRIES, CACHE_LENGTH = 400_000, 40
+CACHE_ENTRIES, CACHE_LENGTH = 250_000, 40
 #: Code points scanned at once, and a longer pre-token is encoded by windows.
 CHUNK = 1 << 16
 
@@ -65,7 +65,7 @@ class Bpe:
         self.lookahead = self._lookahead(pairs)
         self.pattern = regex.compile(PRETOKEN)
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.cache: dict[str, bytes] = _Cache(self.encode_pretoken)
+        self.cache = Memo(CACHE_ENTRIES, CACHE_LENGTH, self.encode_pretoken)
 
     def _lookahead(self, pairs: list[tuple[int, int, int]]) -> int:
         """Bytes to the right of a token's end that settle it: the longest chain of falling ranks.
@@ -151,21 +151,6 @@ class Bpe:
         return Decoder(self.pieces)
 
 
-class _Cache(dict):
-    """Piece -> id bytes, filled on demand; bounded by starting anew when full."""
-
-    def __init__(self, make: Callable[[str], bytes]):
-        self.make = make
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.make(piece)
-        if len(piece) <= CACHE_LENGTH:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
 class Decoder:
     """Byte-to-text state machine: ids in, text out as soon as its bytes make whole characters.
 

@@ -16,8 +16,11 @@ its place up in the solution's interval table, whose size the capacity bounds.
 
 from __future__ import annotations
 
-import heapq
+import json
+import os
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm._common import map_batches
+from marlstone.llm._common import Memo, map_batches
 from marlstone.session import materialize, table
 
 CAPACITY, END = 4096, 1
-#: Words remembered by one Python worker, and the longest that is.
-CACHE_ENTRIES, CACHE_LENGTH = 400_000, 40
+#: Words that each generation of a worker's memory holds, and the longest that is.
+CACHE_ENTRIES, CACHE_LENGTH = 450_000, 40
 #: Rows of one length that share a rank bucket, about.
 BUCKET_ROWS = 2000
 
@@ -45,28 +48,58 @@ class WordIds:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already share the cores
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.cache: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f) | {"truncation": None, "padding": None}
+        self.tokenizer = Tokenizer.from_str(json.dumps(spec))
+        # for one run of lower-case letters, which normaliser and split would pass unchanged
+        spec |= {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
+        self.plain = Tokenizer.from_str(json.dumps(spec))
+        self.words = Memo(CACHE_ENTRIES, CACHE_LENGTH, lambda word: self._make([word])[0])
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text and then ``END``, as little-endian unsigned 32-bit integers."""
-        split = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        new = list(set().union(*split) - self.cache.keys())
-        fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
-        if len(self.cache) + len(fresh) > CACHE_ENTRIES:
-            known = {w: self.cache[w] for words in split for w in words if w in self.cache}
-            self.cache.clear()
-            self.cache.update(known)
-        self.cache.update(fresh)
+        split = [_words(t or "") for t in texts]
+        known = self.words
+        known.fill({w for words in split for w in words if w not in known}, self._make)
         end = np.array([END], "<u4").tobytes()
-        out = [b"".join(map(self.cache.__getitem__, words)) + end for words in split]
-        for w in [w for w in fresh if len(w) > CACHE_LENGTH]:
-            del self.cache[w]
-        return out
+        return [b"".join(map(known.__getitem__, words)) + end for words in split]
+
+    def _make(self, words: list[str]) -> list[bytes]:
+        latin = [w for w in words if _latin(w)]
+        rest = [w for w in words if not _latin(w)]
+        found = dict(zip(latin, self._ask(self.plain, latin))) | dict(zip(rest, self._ask(self.tokenizer, rest)))
+        return [found[w] for w in words]
+
+    @staticmethod
+    def _ask(tokenizer, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+
+#: A full stop or comma that closes a word: always a split of its own.
+_CLOSING = re.compile(r"(?<=[^\W_])([.,])(?=[ \n]|\Z)")
+
+
+def _words(text: str) -> list[str]:
+    """Parts of a text whose ids can be joined.
+
+    In texts of the first 256 code points, where lower case changes no other character, closing
+    signs are set apart and letters turned to lower case first, so fewer different words remain.
+    """
+    if "<|" not in text:
+        try:
+            text.encode("latin-1")
+            text = _CLOSING.sub(r" \1", text.lower())
+        except UnicodeEncodeError:
+            pass
+    return text.replace("\n", " ").split(" ")
+
+
+def _latin(word: str) -> bool:
+    """Whether normalisation would leave a word as it is: lower-case letters of the first 256 code points."""
+    return word.isalpha() and word.islower() and max(word) < "\u0100"
 
 
 @lru_cache(4)
@@ -79,15 +112,14 @@ def cut_pieces(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "te
     """``(doc_id, piece, start, length, ids_crc32)``: each document's ids cut into pieces of ``capacity``."""
 
     def run(cols: dict[str, list]) -> dict[str, object]:
-        rows: tuple[list, ...] = ([], [], [], [], [])
+        rows: list[tuple] = []
         for d, ids in zip(cols["doc_id"], load(path).ids(cols["text"])):
             for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at : at + 4 * capacity]
-                for out, value in zip(rows, (d, k, at // 4, len(part) // 4, zlib.crc32(part))):
-                    out.append(value)
-        return dict(zip(("doc_id", "piece", "start", "length", "ids_crc32"), rows))
+                rows.append((d, k, at // 4, len(part) // 4, zlib.crc32(part)))
+        return dict(zip(("doc_id", "piece", "start", "length", "ids_crc32"), zip(*rows) if rows else ([],) * 5))
 
-    source = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    source = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return map_batches(source, run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 

@@ -16,12 +16,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm._common import map_batches
+from marlstone.llm._common import Memo, map_batches
 from marlstone.session import table
 
 LIMIT = 4096
 #: Pre-tokens remembered by one Python worker, and the longest that is.
-CACHE_ENTRIES, CACHE_LENGTH = 400_000, 40
+CACHE_ENTRIES, CACHE_LENGTH = 250_000, 40
 SPACE = "▁"
 #: Within a text no piece goes from another character to a space mark, so these parts never merge.
 PRETOKEN = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -44,7 +44,7 @@ class PieceCounter:
         pairs = sorted((ids[p[:i]] << 20 | ids[p[i:]], rank[ids[p]], ids[p]) for p in ids for i in range(1, len(p)) if p[:i] in ids and p[i:] in ids)
         self.keys, self.rank, self.merged = (np.array(x, np.int64) for x in zip(*pairs))
         self.chars = {c: i for c, i in ids.items() if len(c) == 1}
-        self.cache: dict[str, int] = {}
+        self.cache = Memo(CACHE_ENTRIES, CACHE_LENGTH, lambda piece: int(self.count_pretokens([piece])[0]))
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of each pair and its place in the merge table; no such merge gives the highest rank."""
@@ -95,17 +95,8 @@ class PieceCounter:
     def count(self, texts: list[str | None]) -> list[int]:
         """Number of tokens of each whole text; the pre-tokens new to the worker go through the arrays at once."""
         split = [PRETOKEN.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new = list(set().union(*split) - self.cache.keys())
-        fresh = dict(zip(new, self.count_pretokens(new).tolist())) if new else {}
-        if len(self.cache) + len(fresh) > CACHE_ENTRIES:
-            known = {p: self.cache[p] for parts in split for p in parts if p in self.cache}
-            self.cache.clear()
-            self.cache.update(known)
-        self.cache.update(fresh)
-        out = [sum(map(self.cache.__getitem__, parts)) for parts in split]
-        for p in [p for p in fresh if len(p) > CACHE_LENGTH]:
-            del self.cache[p]
-        return out
+        self.cache.fill(set().union(*split), lambda new: self.count_pretokens(new).tolist())
+        return [sum(map(self.cache.__getitem__, parts)) for parts in split]
 
 
 @lru_cache(4)
