@@ -16,6 +16,7 @@ from marlstone.operators.bundle import is_concept, kind, trust_warnings
 from marlstone.operators.chunks import TOP
 from marlstone.operators.graph import hops
 from marlstone.operators.search import FIELD_WEIGHTS, bm25
+from marlstone.session import materialize
 
 BUDGET, SEARCH, HIT_CHARS = 25_000, 10, 300
 
@@ -89,6 +90,7 @@ def answer(questions: DataFrame, docs: DataFrame, edges: DataFrame, policy: Poli
     fields = {k: FIELD_WEIGHTS[k] for k in ("title", "description", "tags", "body")}
     flat = docs.withColumn("tags", F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " "))
     found = bm25(flat.where(F.col("path") != "log.md"), questions, "path", "qid", fields, top=SEARCH).withColumn("kind", kind(F.col("path")))
+    found = materialize(found, "found")  # each of the three written frames is read several times below
     concepts = found.where("kind = 'concept'")
     some = concepts.select("qid").distinct()
     chosen = concepts.unionByName(found.where("kind = 'reference'").join(some, "qid", "left_anti"))
@@ -101,7 +103,9 @@ def answer(questions: DataFrame, docs: DataFrame, edges: DataFrame, policy: Poli
     hopped = hopped.join(anchors, ["via", "path"], "left").select("qid", "path", (F.col("hop") + 1000).alias("nav"), question_terms(F.coalesce("anchor", F.lit(""))).alias("more"))
     read = seeds.select("qid", "path", F.col("pos").alias("nav"), F.array().cast("array<string>").alias("more")).unionByName(hopped).join(asked, "qid")
     read = read.select("qid", "path", "nav", "own_terms", F.array_union("own_terms", "more").alias("terms"))
+    read = materialize(read, "read")
     entries = excerpts(read.select("qid", "path", "terms", "own_terms"), docs, policy.excerpt).join(read.select("qid", "path", "nav"), ["qid", "path"])
+    entries = materialize(entries, "entries")
     cited = entries.select("qid", "path").distinct().join(docs.select("path", F.explode("resources").alias("resource")), "path").select("qid", F.col("resource").alias("path")).distinct()
     entries = entries.join(cited, ["qid", "path"], "left_anti")
     best = Window.partitionBy("qid").orderBy("tier", F.when(F.col("tier") < 2, -F.col("score")).otherwise(0), "nav", "place")

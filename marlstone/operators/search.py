@@ -18,8 +18,11 @@ def postings(docs: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
     Terms are grouped inside the row's own partition first, so the shuffle moves one row a
     document and distinct term.
     """
-    lists = [tokens(F.coalesce(F.col(c), F.lit(""))) for c in fields]
-    tagged = F.flatten(F.array(*[F.transform(t, lambda x, w=w: F.struct(x.alias("term"), F.lit(w).alias("w"))) for t, w in zip(lists, fields.values())]))
+
+    def weighted(column: str, weight: float) -> Column:
+        return F.transform(tokens(F.coalesce(F.col(column), F.lit(""))), lambda x: F.struct(x.alias("term"), F.lit(weight).alias("w")))
+
+    tagged = F.flatten(F.array(*[weighted(c, w) for c, w in fields.items()]))
     rows = docs.select(key, tagged.alias("all")).select(key, F.size("all").alias("dl"), F.explode("all").alias("t"))
     return rows.groupBy(key, "dl", F.col("t.term").alias("term")).agg(F.sum("t.w").alias("f"))
 

@@ -42,13 +42,17 @@ def glob_match(path: Column, patterns: list[str]) -> Column:
     return out
 
 
+def _matcher(pattern: str):
+    return lambda x: x.rlike(pattern)
+
+
 def ignored(path: Column, patterns: list[str]) -> Column:
     """Directory patterns (ending in ``/``) match a whole part, others any part as a glob."""
     parts, out = F.split(path, "/"), F.lit(False)
     for p in patterns:
         r = "^" + fnmatch.translate(p.rstrip("/")).replace(r"\Z", "$").replace(r"\z", "$")
         hay = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))) if p.endswith("/") else parts
-        out = out | F.exists(hay, lambda x, r=r: x.rlike(r))
+        out = out | F.exists(hay, _matcher(r))
     return out
 
 
