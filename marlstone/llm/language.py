@@ -141,8 +141,8 @@ def learn_profiles(train: DataFrame, size: int = PROFILE, per_language: int = TR
     return Profiles(ranked, size)
 
 
-def identify(df: DataFrame, profiles: Profiles, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns with ``lang_pred`` and ``score`` for each row.
+def identify(df: DataFrame, profiles: Profiles, text: str = "text", keep: tuple[str, ...] = ("doc_id",), pass_text: bool = False) -> DataFrame:
+    """``keep`` columns, the text if ``pass_text``, ``lang_pred`` and ``score`` for each row.
 
     Null text, and text without a letter (numbers, emoji, empty), gives ``und`` with score 0.
     Whole texts of any length are read; repeated rows each get a row; an empty table gives none.
@@ -153,11 +153,11 @@ def identify(df: DataFrame, profiles: Profiles, text: str = "text", keep: tuple[
 
     def run(cols: dict[str, list]) -> dict[str, object]:
         found = [profiles.predict(t) for t in cols["text"]]
-        return {k: v for k, v in cols.items() if k != "text"} | {"lang_pred": [x for x, _ in found], "score": [s for _, s in found]}
+        return cols | {"lang_pred": [x for x, _ in found], "score": [s for _, s in found]}
 
     schema = ", ".join(f"k{i} {t}" for i, t in enumerate(cols.values()))
-    out = map_batches(source, run, f"{schema}, lang_pred string, score double")
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
+    out = map_batches(source, run, f"{schema}, {'text string, ' * pass_text}lang_pred string, score double")
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[F.col("text").alias(text)] * pass_text, "lang_pred", "score")
 
 
 def held_out(doc_id: str = "doc_id"):
