@@ -315,3 +315,67 @@ def test_word_ids_equal_the_library():
     cases = ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(30))) for _ in range(2000)]
     got = packing.load(P.path("word_bpe_49k.json")).ids(cases)
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [e.ids + [1] for e in t.encode_batch(cases, add_special_tokens=False)]
+
+
+# -- similar groups -----------------------------------------------------------------------------
+
+def test_joined_sets_match_brute_force():
+    from marlstone.llm.similar import joined_sets
+
+    rnd = random.Random(6)
+    for _ in range(40):
+        base = [rnd.sample(range(10_000), 40) for _ in range(4)]
+        sets = [set(rnd.choice(base)) for _ in range(25)]
+        for s in sets:
+            for _ in range(rnd.randrange(8)):
+                s.pop()
+                s.add(rnd.randrange(10_000))
+        root = list(range(25))
+
+        def find(i, root=root):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for i in range(25):
+            for j in range(i + 1, 25):
+                if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    a, b = find(i), find(j)
+                    root[max(a, b)] = min(a, b)
+        assert joined_sets([np.array(sorted(s)) for s in sets]) == [find(i) for i in range(25)]
+
+
+def test_shingle_set():
+    from marlstone.llm.similar import shingle_set
+
+    assert len(shingle_set(None)) == len(shingle_set(" \n")) == 0
+    assert len(shingle_set("a b")) == 1 and shingle_set("A  b").tolist() == shingle_set("a b").tolist()
+    assert len(shingle_set("a b c d e f")) == 2 and len(shingle_set("x " * 50)) == 1
+
+
+def test_similar_groups(spark):
+    from marlstone.llm.similar import similar_groups
+
+    rnd = random.Random(12)
+    words = [f"{rnd.choice('bcdfgh')}{rnd.randrange(10**6)}word" for _ in range(5000)]
+    rows, want = [], {}
+    for g in range(30):
+        original = [rnd.choice(words) for _ in range(300)]
+        for c in range(rnd.choice((1, 2, 40))):
+            text = list(original)
+            if c:
+                text[rnd.randrange(300)] = rnd.choice(words)
+            want[len(rows)] = g
+            rows.append((len(rows), " ".join(text)))
+    far = list(rows[0][1].split())
+    for k in range(0, 300, 20):
+        far[k] = rnd.choice(words)
+    rows += [(len(rows), " ".join(far)), (len(rows) + 1, None), (len(rows) + 2, ""), (None, "no id")]
+    got = {r["doc_id"]: r["component_id"] for r in similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    n = len(want)
+    first = {}
+    for i, g in want.items():
+        first.setdefault(g, i)
+    assert {i: got[i] for i in want} == {i: first[g] for i, g in want.items()}
+    assert got[n] == n and got[n + 1] == got[n + 2] == n + 1 and None not in got
+    assert similar_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
