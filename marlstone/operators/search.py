@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ K1, B = 1.2, 0.75
 FIELD_WEIGHTS = {"title": 5.0, "description": 3.0, "tags": 2.0, "body": 1.0}
 
 
-def postings(docs: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
+def postings(docs: DataFrame, key: str, fields: dict[str, float], split: Callable[[Column], Column] = tokens) -> DataFrame:
     """``(key, dl, term, f)``: weighted frequency of each term, and the length over all fields.
 
     Terms are grouped inside the row's own partition first, so the shuffle moves one row a
@@ -20,16 +22,16 @@ def postings(docs: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
     """
 
     def weighted(column: str, weight: float) -> Column:
-        return F.transform(tokens(F.coalesce(F.col(column), F.lit(""))), lambda x: F.struct(x.alias("term"), F.lit(weight).alias("w")))
+        return F.transform(split(F.coalesce(F.col(column), F.lit(""))), lambda x: F.struct(x.alias("term"), F.lit(weight).alias("w")))
 
     tagged = F.flatten(F.array(*[weighted(c, w) for c, w in fields.items()]))
     rows = docs.select(key, tagged.alias("all")).select(key, F.size("all").alias("dl"), F.explode("all").alias("t"))
     return rows.groupBy(key, "dl", F.col("t.term").alias("term")).agg(F.sum("t.w").alias("f"))
 
 
-def corpus_stats(docs: DataFrame, fields: list[str]) -> DataFrame:
+def corpus_stats(docs: DataFrame, fields: list[str], split: Callable[[Column], Column] = tokens) -> DataFrame:
     """One row: number of documents and mean length."""
-    length = sum((F.size(tokens(F.coalesce(F.col(c), F.lit("")))) for c in fields), F.lit(0))
+    length = sum((F.size(split(F.coalesce(F.col(c), F.lit("")))) for c in fields), F.lit(0))
     return docs.agg(F.count("*").alias("n_docs"), F.avg(length).alias("avgdl"))
 
 
@@ -40,16 +42,20 @@ def bm25_score(f: Column, dl: Column, avgdl: Column, df: Column, n: Column) -> C
     return -idf * f * (K1 + 1) / (f + K1 * (1 - B + B * dl / avgdl))
 
 
-def bm25(docs: DataFrame, questions: DataFrame, key: str, qid: str, fields: dict[str, float] | None = None, text: str = "text", top: int = 10) -> DataFrame:
+def bm25(docs: DataFrame, questions: DataFrame, key: str, qid: str, fields: dict[str, float] | None = None, text: str = "text", top: int = 10, split: Callable[[Column], Column] = tokens) -> DataFrame:
     """``(qid, key, score, rank)``: the best documents of every question; lower is better, ties by key.
 
+    ``split`` makes index terms of a text (``functions.stem.stems`` for a stemmed index); a question
+    term that splits into several counts as each of them.
     Only postings of asked terms are kept: the terms of all questions meet the postings in one
     equi-join.  The ranking is a window with a bound, so Spark prunes inside each task first.
     """
     fields = fields or {"text": 1.0}
     asked = questions.select(qid, F.explode(question_terms(text)).alias("term"))
-    stats = corpus_stats(docs, list(fields)).first()  # two numbers
-    wanted = postings(docs, key, fields).join(asked.select("term").distinct(), "term", "left_semi")
+    if split is not tokens:
+        asked = asked.select(qid, F.explode(split(F.col("term"))).alias("term")).distinct()
+    stats = corpus_stats(docs, list(fields), split).first()  # two numbers
+    wanted = postings(docs, key, fields, split).join(asked.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     n, avgdl = F.lit(float(stats["n_docs"])), F.lit(float(stats["avgdl"] or 1.0) or 1.0)
     hits = wanted.join(df, "term").withColumn("part", bm25_score(F.col("f"), F.col("dl"), avgdl, F.col("df"), n))

@@ -93,6 +93,16 @@ def bm25_fielded(spark: SparkSession, sf: str) -> DataFrame:
     return search.bm25(docs, table(spark, sf, "benchmark"), "doc_id", "item_id", weights).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query()
+def bm25_porter(spark: SparkSession, sf: str) -> DataFrame:
+    from marlstone.functions.stem import snippets, stems
+
+    docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    hits = search.bm25(docs, items, "doc_id", "item_id", split=stems)
+    named = hits.join(docs.select("doc_id", F.col("text").alias("body")), "doc_id").join(items.select("item_id", X.question_terms("text").alias("terms")), "item_id")
+    return named.select("item_id", "doc_id", "score", "rank", snippets(F.col("body"), F.col("terms")).alias("snippet"))
+
+
 @query(f"""
     WITH q AS (SELECT item_id, unnest({_terms('text')}) AS term FROM benchmark),
     t AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({_tok('text')}) AS term FROM documents) GROUP BY ALL),

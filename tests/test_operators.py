@@ -7,6 +7,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
+from marlstone.functions import stem
 from marlstone.operators import ask, bundle, chunks, compile, conversation, evaluate, graph, lint, search
 from marlstone.sources import files, markdown, web
 from marlstone.streaming import incremental
@@ -81,6 +82,28 @@ def test_bm25_equals_sqlite(spark):
         assert [(r["path"], r["score"]) for r in got] == [(p, round(s, 6)) for p, s in want]
 
 
+def test_stemmed_bm25_equals_sqlite(spark):
+    words = "running runs ran relational conditional rationally valenci hesitanci digitizer conformabli radicalli differentli vileli analogousli vietnamization predication operator feudalism decisiveness hopefulness callousness formaliti sensitiviti sensibiliti triplicate formative formalize electriciti electrical hopeful goodness revival allowance inference airliner gyroscopic adjustable defensible irritant replacement adjustment dependent adoption homologou communism activate angulariti homologous effective bowdlerize probate rate cease controll roll caresses ponies ties caress cats feed agreed plastered bled motoring sing conflated troubled sized hopping tanned falling hissing fizzed failing filing happy sky café naïve"
+    docs = [(f"d{i:03d}", w) for i, w in enumerate(words.split())]
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE VIRTUAL TABLE docs USING fts5(path UNINDEXED, body, tokenize='porter unicode61')")
+    con.executemany("INSERT INTO docs VALUES (?,?)", docs)
+    frame = spark.createDataFrame(docs, "path string, text string")
+    asked = [(i, w) for i, w in enumerate([*words.split(), "run", "relate", "hope", "adjust", "operate", "hop", "cafe"])]
+    got = {}
+    for r in search.bm25(frame, spark.createDataFrame(asked, "qid int, text string"), "path", "qid", split=stem.stems).collect():
+        got.setdefault(r["qid"], set()).add((r["path"], r["score"]))
+    for q, w in asked:
+        want = {(p, round(s, 6)) for p, s in con.execute("SELECT path, bm25(docs) FROM docs WHERE docs MATCH ?", (f'"{w}"',))}
+        assert got.get(q, set()) == want, w
+
+
+def test_snippet():
+    text = " ".join(f"w{i}" for i in range(40)) + " Running dogs bark. End"
+    assert stem.snippet(text, {"run", "dog"}) == " … " + " ".join(f"w{i}" for i in range(30, 40)) + " [Running] [dogs] … "
+    assert stem.snippet("", {"x"}) == "" and stem.snippet("one two", set()) == "one two"
+
+
 def test_chunker(spark):
     df = spark.createDataFrame([(1, "x" * 1100), (2, "a\n\nb\n\n" + "c" * 498), (3, ""), (4, None)], "k int, t string")
     got = [(r["k"], r["seq"], len(r["chunk"])) for r in chunks.chunks(df, "k", "t").orderBy("k", "seq").collect()]
