@@ -14,6 +14,7 @@ STOPWORDS = (
     "was we were what when where which who whom why will with would you your"
 ).split()
 MAX_QUERY_TERMS = 12
+#: Patterns of tokens, Markdown links and footnotes.
 TOKEN = r"[\p{L}\p{N}_]+"
 LINK = r'(?<!\!)\[([^\]]*)\]\(([^)\s]+)(?:\s+"[^"]*")?\)'
 FOOTNOTE_DEF = r"(?m)^\[\^([^\]]+)\]:"

@@ -14,10 +14,12 @@ BLOCKS = "array<struct<kind:string,text:string,level:int,language:string,anchor_
 ANCHORS = "array<struct<id:string,kind:string,value:string>>"
 #: Frontmatter keys in the order they are written.
 KEY_ORDER = ("okf_version", "type", "title", "description", "tags", "status", "generated", "verified", "sources", "stale_after")
-EXTENSION = "openknoll_"
+#: Keys that begin so are extensions of the writing tool.
+EXTENSION = "x_"
 #: Keys that the plain profile leaves out.
 PLAIN_DROPS = ("okf_version", "type", "status", "generated", "verified", "sources", "stale_after")
 
+#: Line patterns of fences, headings and list items.
 _FENCE = re.compile(r"(```+|~~~+)\s*([\w+.-]*)\s*")
 _HEADING = re.compile(r"(#{1,6})\s+(.*?)(?:\s+#+)?\s*")
 _ITEM = re.compile(r"\s*(?:[-*+]|\d{1,9}[.)])\s+")
@@ -55,19 +57,19 @@ def split_frontmatter(text: str) -> tuple[dict | None, str, str | None, str | No
     return data, "\n".join(lines[end + 1 :]), None, None
 
 
-def write_frontmatter(data: dict, body: str) -> str:
+def write_frontmatter(data: dict, body: str, extension: str = EXTENSION) -> str:
     """Document text: keys in canonical order, extensions next, then others as they were."""
     import yaml
 
     rank = {k: i for i, k in enumerate(KEY_ORDER)}
-    keys = sorted(data, key=lambda k: (rank.get(k, len(rank) + (not str(k).startswith(EXTENSION)))))
+    keys = sorted(data, key=lambda k: (rank.get(k, len(rank) + (not str(k).startswith(extension)))))
     head = yaml.safe_dump({k: data[k] for k in keys}, sort_keys=False, allow_unicode=True, default_flow_style=False)
     return f"---\n{head}---\n\n{body.strip(chr(10))}\n"
 
 
-def plain_profile(data: dict) -> dict:
+def plain_profile(data: dict, extension: str = EXTENSION) -> dict:
     """Frontmatter without the keys of the knowledge format."""
-    return {k: v for k, v in data.items() if k not in PLAIN_DROPS and not str(k).startswith(EXTENSION)}
+    return {k: v for k, v in data.items() if k not in PLAIN_DROPS and not str(k).startswith(extension)}
 
 
 def slug(text: str, used: set[str]) -> str:

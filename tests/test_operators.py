@@ -184,9 +184,9 @@ def test_markdown(spark):
     assert df.select(markdown.render(F.col("blocks")).alias("x")).first()["x"] == "# Title\n\nPara one\nstill\n\n## Part\n\n- a\n  b\n- c\n\n> quote\n> more\n\n```py\ncode\n\nx\n```\n\n## Part"
     p = markdown.paragraphs(spark.createDataFrame([(1, "a \nb\n\n\nc"), (2, ""), (3, "\n\n")], "k int, t string"), "k", "t").orderBy("k", "start_line").collect()
     assert [(r["k"], r["start_line"], r["paragraph"]) for r in p] == [(1, 1, "a\nb"), (1, 5, "c")]
-    data, body, error, _ = markdown.split_frontmatter("---\nz: 1\nopenknoll_x: 2\ntitle: T\nat: 2020-01-01\n---\nbody")
-    assert error is None and data["at"] == "2020-01-01" and markdown.write_frontmatter(data, body).startswith("---\ntitle: T\nopenknoll_x: 2\nz: 1\n")
-    assert markdown.plain_profile({"title": 1, "status": 2, "openknoll_x": 3, "own": 4}) == {"title": 1, "own": 4}
+    data, body, error, _ = markdown.split_frontmatter("---\nz: 1\nx_own: 2\ntitle: T\nat: 2020-01-01\n---\nbody")
+    assert error is None and data["at"] == "2020-01-01" and markdown.write_frontmatter(data, body).startswith("---\ntitle: T\nx_own: 2\nz: 1\n")
+    assert markdown.plain_profile({"title": 1, "status": 2, "x_own": 3, "own": 4}) == {"title": 1, "own": 4}
 
 
 def test_compile(spark):
