@@ -1,0 +1,126 @@
+"""Read-only views of one bundle folder: overview, list, search, peek, read, links, history, ask, lint, diff, graph."""
+
+from __future__ import annotations
+
+from functools import cached_property
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marlstone.functions.stem import snippets, stems
+from marlstone.functions.text import clip_words, is_external, links, question_terms, resolve_target
+from marlstone.operators import ask, bundle, graph, lint, search
+from marlstone.session import materialize
+from marlstone.sources.files import bundle as read_bundle
+from marlstone.sources.markdown import parse_files, parse_row
+
+
+class Refused(ValueError):
+    """A path that the bundle does not serve."""
+
+
+class Explorer:
+    """The seven bounded read operations, and what is built on them, over one pinned tree."""
+
+    def __init__(self, spark: SparkSession, root: str, today: str | None = None):
+        self.spark, self.root, self.today = spark, root, today
+
+    @cached_property
+    def files(self) -> DataFrame:
+        """The tree as it was when first read; later changes to the folder don't show."""
+        return materialize(read_bundle(self.spark, self.root), "pinned")
+
+    @cached_property
+    def parsed(self) -> DataFrame:
+        return materialize(parse_files(self.files), "parsed")
+
+    @cached_property
+    def docs(self) -> DataFrame:
+        """All Markdown files with the columns that search and answers need."""
+        resources = F.filter(F.transform("sources", lambda s: s["resource"]), lambda r: r.isNotNull())
+        rows = parse_files(self.files, references=True).where("error is null")
+        return rows.select(F.col("rel_path").alias("path"), "title", "description", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), "body", "status", "stale_after", "verified", resources.alias("resources"))
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        rows = self.files.where(F.col("rel_path").endswith(".md")).select(F.col("rel_path").alias("src"), F.explode(links(F.decode("content", "utf-8"))).alias("l"))
+        rows = rows.where(~is_external("l.target")).select("src", resolve_target("l.target", "src").alias("dst"), F.col("l.text").alias("anchor"))
+        return rows.where("dst is not null").groupBy("src", "dst").agg(F.max("anchor").alias("anchor"))
+
+    def _one(self, path: str) -> Any:
+        asked = self.spark.createDataFrame([(path,)], "rel_path string")
+        row = bundle.safe_path(asked, self.files).join(self.files, "rel_path").first()
+        if row is None:
+            raise Refused(f"no such document: {path}")
+        return row
+
+    def overview(self) -> dict[str, Any]:
+        concepts = self.parsed.where(F.col("error").isNull() & bundle.is_concept(F.col("rel_path")))
+        references = self.files.where(bundle.is_reference(F.col("rel_path")))
+        out = bundle.overview(concepts, references, self.today).first().asDict()
+        tags = concepts.select(F.explode("tags").alias("tag"))
+        out["types"] = {r["value"]: r["n"] for r in bundle.histogram(concepts, "type").orderBy("value").collect() if r["value"]}
+        out["statuses"] = {r["value"]: r["n"] for r in bundle.histogram(concepts, "status").orderBy("value").collect() if r["value"]}
+        out["tags"] = {r["value"]: r["n"] for r in bundle.histogram(tags, "tag").orderBy("value").collect() if r["value"]}
+        top = concepts.orderBy("rel_path").limit(bundle.CONTENTS).select("rel_path", "title", clip_words(F.coalesce("description", F.lit("")), bundle.CONTENTS_CHARS).alias("description"))
+        out["contents"] = [r.asDict() for r in top.collect()]
+        return out
+
+    def list(self, directory: str = "", type: str | None = None, tag: str | None = None, status: str | None = None, limit: int = 50) -> dict[str, Any]:  # noqa: A002
+        rows = self.parsed.where("error is null").select("rel_path", "type", "title", "tags", "status")
+        tests = [F.col(k) == v for k, v in (("type", type), ("status", status)) if v]
+        if tag:
+            tests.append(F.array_contains("tags", tag))
+        found = [r.asDict() for r in bundle.listing(rows, "rel_path", directory, *tests, limit=limit).orderBy("rel_path").collect()]
+        return {"total": found[0]["total"] if found else 0, "entries": [{k: v for k, v in r.items() if k != "total"} for r in found]}
+
+    def search(self, query: str, limit: int = 10) -> dict[str, Any]:
+        q = self.spark.createDataFrame([(1, query)], "qid int, text string")
+        flat = self.docs.where("path <> 'log.md'").withColumn("tags", F.array_join("tags", " "))
+        hits = search.bm25(flat, q, "path", "qid", search.FIELD_WEIGHTS, top=max(1, min(limit, 25)), split=stems)
+        rows = hits.join(flat, "path").withColumn("terms", question_terms(F.lit(query)))
+        rows = rows.select("path", bundle.kind(F.col("path")).alias("kind"), "title", ask.hit(F.coalesce("description", F.lit(""))).alias("description"), snippets(F.col("body"), F.col("terms")).alias("snippet"), "score", "rank")
+        return {"results": [{k: v for k, v in r.asDict().items() if k != "rank"} for r in rows.orderBy("rank").collect()]}
+
+    def peek(self, path: str, lines: int = 20) -> dict[str, Any]:
+        row = parse_row(path, self._one(path)["content"])
+        text = "\n".join((row["body"] or "").split("\n")[: max(1, min(lines, bundle.PEEK_LINES))])[: bundle.PEEK_CHARS]
+        return {"path": path, "title": row["title"], "status": row["status"], "text": text}
+
+    def read(self, path: str, max_chars: int = bundle.READ_CHARS, start_char: int = 0) -> dict[str, Any]:
+        row = parse_row(path, self._one(path)["content"])
+        df = self.spark.createDataFrame([(row["body"] or "",)], "body string")
+        page = bundle.read_page(df, "body", max_chars, start_char).first()
+        stale = None if self.today is None or not row["stale_after"] else row["stale_after"] < self.today
+        return {"path": path, "title": row["title"], "body": page["page"], "next_start": page["next_start"], "total_chars": page["total_chars"], "stale": stale, "links": [x.asDict() for x in page["links"]]}
+
+    def links(self, path: str, direction: str = "both", limit: int = graph.NEIGHBOURS) -> dict[str, Any]:
+        self._one(path)
+        out = graph.neighbours(self.edges.select("src", "dst"), self.spark.createDataFrame([(path,)], "path string"), limit).first().asDict()
+        return {k: [] if v is None else v for k, v in out.items() if direction == "both" or k not in ({"inbound", "outbound"} - {direction})}
+
+    def history(self, limit: int = 20) -> dict[str, Any]:
+        log = self.files.where("rel_path = 'log.md'").withColumn("content", F.decode("content", "utf-8"))
+        return {"revisions": [r.asDict() for r in bundle.history(log, limit=limit).collect()]}
+
+    def ask(self, question: str, policy: ask.Policy | None = None) -> dict[str, Any]:
+        q = self.spark.createDataFrame([("q", question)], "qid string, text string")
+        return ask.answer(q, self.docs, self.edges, policy or ask.policy_for(), self.today).first().asDict(True)
+
+    def lint(self) -> DataFrame:
+        return lint.lint(self.files, self.parsed)
+
+    def graph(self) -> dict[str, Any]:
+        """Nodes with their trust tier, and edges between them."""
+        nodes = self.parsed.where(F.col("error").isNull() & bundle.is_concept(F.col("rel_path"))).select(F.col("rel_path").alias("path"), "title", bundle.trust_tier(F.col("verified")).alias("trust"))
+        edges = graph.projection(nodes, self.edges.select("src", "dst").distinct()).orderBy("src", "dst")
+        return {"nodes": [r.asDict() for r in nodes.orderBy("path").collect()], "edges": [r.asDict() for r in edges.collect()]}
+
+    def revision(self) -> str:
+        return bundle.revision_id(self.files)
+
+    def diff(self, other: "Explorer") -> list[dict[str, Any]]:
+        """Changes from this bundle to another."""
+        side = lambda e: e.files.join(e.parsed.select("rel_path", "title"), "rel_path", "left").withColumn("pin", F.lit(None).cast("string"))
+        return [r.asDict() for r in bundle.diff_revisions(side(self), side(other)).orderBy("rel_path").collect()]

@@ -233,12 +233,14 @@ def parse_row(path: str, content: bytes) -> dict:
     }
 
 
-def parse_files(files: DataFrame) -> DataFrame:
-    """``PARSED`` rows of ``files(rel_path, content)``: Markdown files that are no references."""
+def parse_files(files: DataFrame, references: bool = False) -> DataFrame:
+    """``PARSED`` rows of the Markdown files of ``files(rel_path, content)``; references only if asked for."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame([parse_row(p, c) for p, c in zip(b["rel_path"], b["content"])], columns=[c.split()[0] for c in re.sub(r"<[^ ]*>", "", PARSED).split(", ")])
 
-    kept = files.where(F.col("rel_path").endswith(".md") & ~F.col("rel_path").startswith("references/"))
+    kept = files.where(F.col("rel_path").endswith(".md"))
+    if not references:
+        kept = kept.where(~F.col("rel_path").startswith("references/"))
     return kept.select("rel_path", "content").mapInPandas(run, PARSED)
