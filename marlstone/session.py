@@ -40,9 +40,23 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Paths that this process made below the shared folder.
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _SCRATCH[-1]
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Deletes the tables that operators wrote so far; frames that still read them fail afterwards."""
+    jvm, n = spark.sparkContext._jvm, len(_SCRATCH)
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
