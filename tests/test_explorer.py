@@ -63,3 +63,34 @@ def test_providers(spark):
         providers.resolve("nobody:model")
     assert providers.setting(None, "", "machine") == "machine" and providers.setting() == "stub"
     assert providers.StubModel().complete("chat-answer", {"evidence": [{"path": "a", "excerpt": "e"}], "history": [1]}).splitlines() == ["Based on 1 passage(s) and 1 prior turn(s):", "- a: e [a]"]
+
+
+def test_records_and_evaluation(spark, root, tmp_path):
+    from marlstone.operators import evaluate
+    from marlstone.sources import records
+    from marlstone.streaming.incremental import publish
+
+    log = tmp_path / "logs"
+    log.mkdir()
+    for role, text in (("user", "q"), ("assistant", "a")):
+        records.append_turn(f"{log}/c1.jsonl", "c1", role, text, ["p.md"])
+    with open(log / "c1.jsonl", "a") as f:
+        f.write('broken {\n{"type": "other"}\n')
+    records.append_turn(f"{log}/c1.jsonl", "c1", "user", "again")
+    rows = records.conversations(spark, str(log)).orderBy("turn").collect()
+    assert [(r["conv_id"], r["role"], r["text"]) for r in rows] == [("c1", "user", "q"), ("c1", "assistant", "a"), ("c1", "user", "again")]
+    (tmp_path / "project.toml").write_text('[project]\nname = "P"\n[[sources]]\nconnector = "files"\nuri = "docs"\n')
+    assert records.project(str(tmp_path / "project.toml"))["sources"][0]["uri"] == "docs"
+    spec = '[benchmark]\nname = "b"\n[bundles]\nkb = "{}"\n[[questions]]\nid = "1"\nbundle = "kb"\nclass = "lookup"\nquestion = "What do frames carry?"\ngold_evidence = ["references/wire-protocol.md"]\n[[questions]]\nid = "2"\nbundle = "kb"\nclass = "unanswerable"\nquestion = "zebras?"\n'
+    (tmp_path / "spec.toml").write_text(spec.format(root))
+    name, bundles, questions = records.benchmark(spark, str(tmp_path / "spec.toml"))
+    assert name == "b" and bundles == {"kb": root}
+    got = {(r["qid"], r["condition"]): r for r in evaluate.run(Explorer(spark, root), questions).collect()}
+    assert got["1", "pd"]["gold_hit"] and got["1", "rag"]["gold_hit"] and got["1", "rag"]["retrieval_hit"] and got["2", "pd"]["abstained"] and got["2", "pd"]["appropriate"]
+    (tmp_path / "bad.toml").write_text(spec.format(root).replace('"lookup"', '"odd"'))
+    with pytest.raises(ValueError):
+        records.benchmark(spark, str(tmp_path / "bad.toml"))
+    files = Explorer(spark, root).files
+    publish(files, f"file://{tmp_path}/r", "rev-a")
+    assert records.revisions(spark, f"file://{tmp_path}/r") == ["rev-a"] and records.revisions(spark, f"file://{tmp_path}/none") == []
+    assert records.manifest(files).count() == 0
