@@ -147,12 +147,15 @@ def visible_prose(x: Column | str) -> Column:
 def strip_links(x: Column | str, rounds: int = 4) -> Column:
     """Link text instead of links, nested ones too, and no ``](`` left over."""
     once = lambda t: F.regexp_replace(t, r"!?\[([^\[\]]*)\]\(([^()]*)\)", "$1")
-    return F.regexp_replace(reduce(lambda t, _: once(t), range(rounds), col(x)), r"\]\(", "] (")
+    bare = F.regexp_replace(reduce(lambda t, _: once(t), range(rounds), col(x)), r"\]\(", "] (")
+    return F.when(col(x).contains("]("), bare).otherwise(col(x))
 
 
 def digest_text(x: Column | str) -> Column:
     """One line of prose: links and footnotes stripped, blanks collapsed."""
-    return strip(F.regexp_replace(F.regexp_replace(strip_links(x), r"\[\^[^\]]+\]:?", ""), r"(?U)\s+", " "))
+    plain = strip_links(x)
+    plain = F.when(col(x).contains("[^"), F.regexp_replace(plain, r"\[\^[^\]]+\]:?", "")).otherwise(plain)
+    return strip(F.regexp_replace(plain, r"(?U)\s+", " "))
 
 
 def first_sentence(x: Column | str, cap: int = 200) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import digest_text, is_external, links, question_terms, resolve_target, title_matches, tokens
+from marlstone.session import materialize
 
 RELATED, NEIGHBOURS = 5, 16
 
@@ -78,20 +79,21 @@ def hops(seeds: DataFrame, edges: DataFrame, fanout: int) -> DataFrame:
 def related(docs: DataFrame, key: str, title: str, text: str, most: int = RELATED) -> DataFrame:
     """``(key, other)``: documents whose title terms (all, or all but one of three) occur in a document's text.
 
-    The containment test never compares all pairs.  A document that holds all of a title's terms holds
-    its rarest one, and one that may lack a single term holds one of the two rarest, so candidates
-    meet on those terms and only they are verified on all.
+    The containment test never compares all pairs.  A document that lacks at most one of three or more
+    title terms holds two of the three rarest, and shorter titles need all their terms, so pairs meet
+    and are counted on at most three rare terms; only those that pass are verified on all.
     """
     tokenized = docs.select(key, F.array_distinct(tokens(digest_text(text))).alias("tokens"))
+    tokenized = materialize(tokenized, "tokens")  # read three times
     seen = tokenized.select(key, F.explode("tokens").alias("term"))
     titles = docs.select(F.col(key).alias("other"), question_terms(title).alias("terms")).where(F.size("terms") > 0)
     wanted = titles.select("other", F.size("terms").alias("n"), F.explode("terms").alias("term"))
     df = seen.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     rarest = Window.partitionBy("other").orderBy(F.coalesce("df", F.lit(0)), "term")
-    probes = wanted.join(df, "term", "left").withColumn("nth", F.row_number().over(rarest))
-    probes = probes.where((F.col("nth") == 1) | ((F.col("n") >= 3) & (F.col("nth") == 2))).select("other", "term")
-    met = seen.join(probes, "term").where(F.col(key) != F.col("other")).select(key, "other").distinct()
-    shared = F.size(F.array_intersect("tokens", "terms"))
-    hits = met.join(titles, "other").join(tokenized, key).where(title_matches(F.size("terms"), shared))
+    probes = wanted.join(df, "term", "left").withColumn("nth", F.row_number().over(rarest)).where("nth <= 3").select("other", "n", "term")
+    met = seen.join(probes, "term").where(F.col(key) != F.col("other")).groupBy(key, "other", "n").agg(F.count("*").alias("held"))
+    met = met.where(F.col("held") >= F.least(F.col("n"), F.lit(2)))
+    shared = F.when(F.col("n") <= 3, F.col("held")).otherwise(F.size(F.array_intersect("tokens", "terms")))
+    hits = met.join(titles, "other").join(tokenized, key).where(title_matches(F.col("n"), shared))
     order = Window.partitionBy(key).orderBy("other")
     return hits.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select(key, "other", "nth")
