@@ -292,3 +292,15 @@ def test_pipeline(spark, tmp_path):
     kept = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert not kept & {i for i, _, t in truth if t} and not kept & {900, 901, 902} and None in kept
     assert kept >= {i for i, _, t in truth if not t}
+
+
+def test_stages_keep_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    docs, labels, _ = toxic_table(spark, 60)
+    labels.select("doc_id", (1 - labels.low_quality).alias("quality"), "toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    wide = docs.selectExpr("doc_id", "text", "'en' lang", "'mine' score", "'mine' rejected", "'mine' lang_pred", "'mine' k0", "1 fp")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, str(tmp_path))
+        assert out.columns == wide.columns and out.where("score = 'mine' and rejected = 'mine' and lang_pred = 'mine' and k0 = 'mine' and fp = 1").count() == out.count() > 0, name
+        assert stage(spark, wide.limit(0), str(tmp_path)).count() == 0
