@@ -23,6 +23,7 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from contextlib import suppress
 from functools import lru_cache
 
 import numpy as np
@@ -35,7 +36,7 @@ from marlstone.session import materialize, table
 
 CAPACITY, END = 4096, 1
 #: Words that each generation of a worker's memory holds, and the longest that is.
-CACHE_ENTRIES, CACHE_LENGTH = 450_000, 40
+CACHE_ENTRIES, CACHE_LENGTH = 550_000, 40
 #: Rows of one length that share a rank bucket, about.
 BUCKET_ROWS = 2000
 
@@ -61,11 +62,21 @@ class WordIds:
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text and then ``END``, as little-endian unsigned 32-bit integers."""
-        split = [_words(t or "") for t in texts]
-        known = self.words
-        known.fill({w for words in split for w in words if w not in known}, self._make)
+        known, out, open_ = self.words, [], []
+        for words in map(_words, texts):
+            ids = list(map(known.get, words))
+            if None in ids:
+                open_.append((words, ids))
+            out.append(ids)
+        known.fill({w for words, ids in open_ for w, x in zip(words, ids) if x is None}, self._make)
+        for words, ids in open_:
+            at = -1
+            with suppress(ValueError):
+                while True:
+                    at = ids.index(None, at + 1)
+                    ids[at] = known[words[at]]
         end = np.array([END], "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, words)) + end for words in split]
+        return [b"".join(ids) + end for ids in out]
 
     def _make(self, words: list[str]) -> list[bytes]:
         latin = [w for w in words if _latin(w)]
@@ -82,12 +93,13 @@ class WordIds:
 _CLOSING = re.compile(r"(?<=[^\W_])([.,])(?=[ \n]|\Z)")
 
 
-def _words(text: str) -> list[str]:
+def _words(text: str | None) -> list[str]:
     """Parts of a text whose ids can be joined.
 
     In texts of the first 256 code points, where lower case changes no other character, closing
     signs are set apart and letters turned to lower case first, so fewer different words remain.
     """
+    text = text or ""
     if "<|" not in text:
         try:
             text.encode("latin-1")
