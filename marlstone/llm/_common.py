@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -33,6 +34,19 @@ def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, object]
     return df.mapInArrow(run, schema)
 
 
+#: The memories of this process.
+_MEMOS: list[weakref.ref] = []
+
+
+def forget() -> None:
+    """Empties every memory of this worker, for stages that need the room and none of the words kept for others."""
+    for memo in [m() for m in _MEMOS]:
+        if memo is not None:
+            memo.clear()
+            memo.old = {}
+    pa.default_memory_pool().release_unused()
+
+
 class Memo(dict):
     """Bounded memory of computed values for one Python worker, in two generations.
 
@@ -42,6 +56,7 @@ class Memo(dict):
 
     def __init__(self, entries: int, longest_key: int, make: Callable[[str], object] | None = None):
         self.entries, self.longest_key, self.make, self.old = entries, longest_key, make, {}
+        _MEMOS[:] = [m for m in _MEMOS if m() is not None] + [weakref.ref(self)]
 
     def __missing__(self, key: str) -> object:
         value = self.old.get(key)

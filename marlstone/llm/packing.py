@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm._common import Memo, map_batches
+from marlstone.llm._common import Memo, forget, map_batches
 from marlstone.session import materialize, table
 
 CAPACITY, END = 4096, 1
@@ -299,6 +299,7 @@ def _place(ranked: DataFrame, solution: np.ndarray) -> DataFrame:
     keys = solution[:, 0] * shift + solution[:, 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # no more words are asked
         for b in batches:
             length, rank = b.column(3).to_numpy(), b.column(5).to_numpy()
             row = solution[np.searchsorted(keys, length * shift + rank, side="right") - 1]

@@ -379,3 +379,42 @@ def test_similar_groups(spark):
     assert {i: got[i] for i in want} == {i: first[g] for i, g in want.items()}
     assert got[n] == n and got[n + 1] == got[n + 2] == n + 1 and None not in got
     assert similar_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def brute_groups(texts):
+    """Smallest number of each text's component, by all pairs."""
+    from marlstone.llm.similar import shingle_set
+
+    sets = [set(shingle_set(t).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i + 1, len(sets)):
+            lo, hi = sorted((len(sets[i]), len(sets[j])))
+            if lo >= 0.8 * hi and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in range(len(texts))}
+
+
+def test_cut_and_extended_copies_are_found(spark):
+    from marlstone.llm.similar import similar_groups
+
+    rnd = random.Random(15)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(1, 14)))
+    texts = []
+    for n in range(150):
+        original = [word() for _ in range(rnd.randrange(20, 200))]
+        cut = original[: -int(len(original) * rnd.uniform(0.12, 0.21))]
+        longer = original + [word() for _ in range(int(len(original) * rnd.uniform(0.12, 0.26)))]
+        swapped = [word() if rnd.random() < 0.02 else w for w in original]
+        texts += [" ".join(t) for t in (original, cut, longer, swapped)]
+    want = brute_groups(texts)
+    assert sum(want[i] != i for i in want) > 300
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in similar_groups(rows).collect()} == want
