@@ -418,3 +418,20 @@ def test_cut_and_extended_copies_are_found(spark):
     assert sum(want[i] != i for i in want) > 300
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in similar_groups(rows).collect()} == want
+
+
+def test_large_groups_lose_no_pair(spark):
+    from marlstone.llm.similar import similar_groups
+
+    rnd = random.Random(16)
+    short = lambda: "".join(rnd.choice("abcdefghij") for _ in range(2))
+    long = ["".join(rnd.choice("abcdefghij") for _ in range(24)) for _ in range(60)]
+    texts = []
+    for _ in range(600):  # all fingerprints are near the centre's, only each text's twin is like it
+        own = [w for x in long for w in (x, short())]
+        texts += [" ".join(own), " ".join(own[:-2] + [short(), short()])]
+    rnd.shuffle(texts)
+    want = brute_groups(texts)
+    assert sum(want[i] != i for i in want) == 600
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in similar_groups(rows).collect()} == want
