@@ -21,6 +21,11 @@ PROFILE = 400
 N_MAX = 5
 #: Learning takes about this many documents of each language at most, picked by a hash of the id.
 TRAIN_PER_LANGUAGE = 3000
+#: A text is unlike every language if its likeness is under this share of the likeness that all but this
+#: quantile of the learned documents of its length class reach; a class is trusted from so many documents on.
+LIKE_SHARE, LIKE_QUANTILE, LIKE_DOCUMENTS = 0.8, 0.01, 100
+#: Length classes: the binary logarithm of the number of letters.
+CLASSES = 32
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -106,6 +111,45 @@ class Profiles:
         return self.langs[best], float(1 - d[best])
 
 
+def _picked(train: DataFrame, per_language: int) -> DataFrame | None:
+    """``(lang, text)`` of the documents to learn from, None if no row has a language."""
+    train = train.where(F.col("lang").isNotNull())
+    n = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
+    if not n:
+        return None
+    share = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, min(1.0, per_language / v))])
+    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    return train.where(unit < share[F.col("lang")]).select("lang", "text")
+
+
+def length_class(text: str | None) -> int:
+    """Binary logarithm of the number of letters, rounded down; 0 without a letter."""
+    return min(max(int(np.count_nonzero(letter_stream(text))).bit_length() - 1, 0), CLASSES - 1)
+
+
+def learn_floors(train: DataFrame, profiles: Profiles, per_language: int = TRAIN_PER_LANGUAGE) -> list[float]:
+    """For each length class the least likeness of a text in one of the languages, from the documents learned.
+
+    Classes of too few learned documents take the lowest floor of the others; if all are such, all take
+    the floor of the documents together.
+    """
+    picked = _picked(train, per_language)
+    if picked is None:
+        return [0.0] * CLASSES
+
+    def run(cols: dict[str, list]) -> dict[str, object]:
+        found = [profiles.predict(t) for t in cols["text"]]
+        kept = [(length_class(t), score) for t, (lang, score) in zip(cols["text"], found) if lang != "und"]
+        return {"class": [c for c, _ in kept], "score": [s for _, s in kept]}
+
+    scores = map_batches(picked.select("text"), run, "class int, score double")
+    rows = scores.rollup("class").agg(F.count("*").alias("n"), F.percentile("score", F.lit(LIKE_QUANTILE)).alias("low")).collect()
+    floor = {r["class"]: LIKE_SHARE * (r["low"] or 0.0) for r in rows if r["class"] is None or r["n"] >= LIKE_DOCUMENTS}
+    together = floor.pop(None, 0.0)
+    lowest = min(floor.values(), default=together)
+    return [floor.get(c, lowest) for c in range(CLASSES)]
+
+
 def learn_profiles(train: DataFrame, size: int = PROFILE, per_language: int = TRAIN_PER_LANGUAGE) -> Profiles:
     """Profiles from ``train(doc_id, text, lang)``.
 
@@ -113,13 +157,9 @@ def learn_profiles(train: DataFrame, size: int = PROFILE, per_language: int = TR
     hash sample of about that many, so learning stays bounded while the corpus grows.  N-gram
     counts are summed on the executors; ``size`` n-grams for each language come to the driver.
     """
-    train = train.where(F.col("lang").isNotNull())
-    n = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
-    if not n:
+    picked = _picked(train, per_language)
+    if picked is None:
         return Profiles({}, size)
-    share = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, min(1.0, per_language / v))])
-    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    picked = train.where(unit < share[F.col("lang")]).select("lang", "text")
 
     def count(cols: dict[str, list]) -> dict[str, object]:
         out: tuple[list, list, list] = ([], [], [])
@@ -141,8 +181,10 @@ def learn_profiles(train: DataFrame, size: int = PROFILE, per_language: int = TR
     return Profiles(ranked, size)
 
 
-def identify(df: DataFrame, profiles: Profiles, text: str = "text", keep: tuple[str, ...] = ("doc_id",), pass_text: bool = False) -> DataFrame:
-    """``keep`` columns, the text if ``pass_text``, ``lang_pred`` and ``score`` for each row.
+def identify(df: DataFrame, profiles: Profiles, text: str = "text", keep: tuple[str, ...] = ("doc_id",), pass_text: bool = False, floors: list[float] | None = None) -> DataFrame:
+    """``keep`` columns, the text if ``pass_text``, ``lang_pred`` and ``score`` for each row, and with ``floors`` whether it is ``known``.
+
+    A text is known if it has a letter and its score reaches the floor of its length class.
 
     Null text, and text without a letter (numbers, emoji, empty), gives ``und`` with score 0.
     Whole texts of any length are read; repeated rows each get a row; an empty table gives none.
@@ -153,11 +195,14 @@ def identify(df: DataFrame, profiles: Profiles, text: str = "text", keep: tuple[
 
     def run(cols: dict[str, list]) -> dict[str, object]:
         found = [profiles.predict(t) for t in cols["text"]]
-        return cols | {"lang_pred": [x for x, _ in found], "score": [s for _, s in found]}
+        out = cols | {"lang_pred": [x for x, _ in found], "score": [s for _, s in found]}
+        if floors is not None:
+            out["known"] = [x != "und" and s >= floors[length_class(t)] for t, (x, s) in zip(cols["text"], found)]
+        return out
 
     schema = ", ".join(f"k{i} {t}" for i, t in enumerate(cols.values()))
-    out = map_batches(source, run, f"{schema}, {'text string, ' * pass_text}lang_pred string, score double")
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[F.col("text").alias(text)] * pass_text, "lang_pred", "score")
+    out = map_batches(source, run, f"{schema}, {'text string, ' * pass_text}lang_pred string, score double{', known boolean' * (floors is not None)}")
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[F.col("text").alias(text)] * pass_text, "lang_pred", "score", *["known"] * (floors is not None))
 
 
 def held_out(doc_id: str = "doc_id"):

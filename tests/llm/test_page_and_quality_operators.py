@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import os
 import random
 import re
 import zipfile
@@ -304,3 +305,28 @@ def test_stages_keep_clashing_columns(spark, tmp_path):
         out = stage(spark, wide, str(tmp_path))
         assert out.columns == wide.columns and out.where("score = 'mine' and rejected = 'mine' and lang_pred = 'mine' and k0 = 'mine' and fp = 1").count() == out.count() > 0, name
         assert stage(spark, wide.limit(0), str(tmp_path)).count() == 0
+
+
+FINNISH = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on toimittava toisiaan kohtaan veljeyden hengessä jokainen on oikeutettu kaikkiin tässä julistuksessa esitettyihin oikeuksiin ja vapauksiin ilman minkäänlaista rotuun väriin sukupuoleen kieleen uskontoon poliittiseen tai muuhun mielipiteeseen"
+
+
+def test_language_stage_rejects_unlearned_languages_and_junk(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    rnd = random.Random(13)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    clean = [r["text"] for r in docs.where("length(text) > 2000").orderBy("doc_id").limit(60).collect()]
+    letters = lambda n: " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(1, 11))) for _ in range(n))
+    base64 = lambda n: "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    finnish = lambda n: " ".join(rnd.choice(FINNISH.split()) for _ in range(n))
+    junk = [f(n) for n in (25, 60, 400) for f in (letters, finnish)] + [FINNISH] + [base64(n) for n in (200, 2000)]
+    short = [" ".join(t.split()[200:][: 12 + i % 20]) for i, t in enumerate(clean)]
+    rows = [(10**9 + i, t, None) for i, t in enumerate(junk + short)]
+    both = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_unknown_language(spark, both, sf).select("doc_id").collect()}
+    assert not kept & {10**9 + i for i in range(len(junk))}
+    assert len(kept & {10**9 + i for i in range(len(junk), len(rows))}) == len(short)
+    assert len(kept & {r["doc_id"] for r in docs.collect()}) >= 0.997 * docs.count()
