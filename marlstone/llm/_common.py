@@ -34,6 +34,18 @@ def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, object]
     return df.mapInArrow(run, schema)
 
 
+def gathered(batches: Iterable[pa.RecordBatch], size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they hold about ``size`` bytes, for work whose cost falls with the batch."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 #: The memories of this process.
 _MEMOS: list[weakref.ref] = []
 

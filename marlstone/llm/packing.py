@@ -20,32 +20,32 @@ import json
 import os
 import re
 import zlib
-from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from contextlib import suppress
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm._common import Memo, forget, map_batches
+from marlstone.llm._common import bounded_batches, gathered
 from marlstone.session import materialize, table
 
 CAPACITY, END = 4096, 1
-#: Words that each generation of a worker's memory holds, and the longest that is.
-CACHE_ENTRIES, CACHE_LENGTH = 550_000, 40
+#: Longer texts are encoded alone, in parts of about so many code points.
+LONG_TEXT = 4 << 20
 #: Rows of one length that share a rank bucket, about.
 BUCKET_ROWS = 2000
 
 
 class WordIds:
-    """Ids of texts by the tokenizers library, asked once for each distinct word.
+    """Ids of texts by the tokenizers library, asked once for each distinct word of a batch.
 
     The vocabulary drops white space and no pattern of its splits crosses it, so the parts of a text
-    between spaces and line ends can be encoded apart.
+    between blanks and line ends can be encoded apart.  A batch's words are dictionary-encoded in
+    Arrow; nothing is remembered from one batch to the next.
     """
 
     def __init__(self, path: str):
@@ -55,63 +55,87 @@ class WordIds:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f) | {"truncation": None, "padding": None}
         self.tokenizer = Tokenizer.from_str(json.dumps(spec))
-        # for one run of lower-case letters, which normaliser and split would pass unchanged
-        spec |= {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
+        # for runs of lower-case letters, which normaliser and split would pass unchanged, between blanks
+        by_byte = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        spec |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, by_byte]}}
         self.plain = Tokenizer.from_str(json.dumps(spec))
-        self.words = Memo(CACHE_ENTRIES, CACHE_LENGTH, lambda word: self._make([word])[0])
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text and then ``END``, as little-endian unsigned 32-bit integers."""
-        known, out, open_ = self.words, [], []
-        for words in map(_words, texts):
-            ids = list(map(known.get, words))
-            if None in ids:
-                open_.append((words, ids))
-            out.append(ids)
-        known.fill({w for words, ids in open_ for w, x in zip(words, ids) if x is None}, self._make)
-        for words, ids in open_:
-            at = -1
-            with suppress(ValueError):
-                while True:
-                    at = ids.index(None, at + 1)
-                    ids[at] = known[words[at]]
-        end = np.array([END], "<u4").tobytes()
-        return [b"".join(ids) + end for ids in out]
-
-    def _make(self, words: list[str]) -> list[bytes]:
-        latin = [w for w in words if _latin(w)]
-        rest = [w for w in words if not _latin(w)]
-        found = dict(zip(latin, self._ask(self.plain, latin))) | dict(zip(rest, self._ask(self.tokenizer, rest)))
-        return [found[w] for w in words]
-
-    @staticmethod
-    def _ask(tokenizer, words: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-
-#: A full stop or comma that closes a word: always a split of its own.
-_CLOSING = re.compile(r"(?<=[^\W_])([.,])(?=[ \n]|\Z)")
-
-
-def _words(text: str | None) -> list[str]:
-    """Parts of a text whose ids can be joined.
-
-    In texts of the first 256 code points, where lower case changes no other character, closing
-    signs are set apart and letters turned to lower case first, so fewer different words remain.
-    """
-    text = text or ""
-    if "<|" not in text:
-        try:
-            text.encode("latin-1")
-            text = _CLOSING.sub(r" \1", text.lower())
-        except UnicodeEncodeError:
-            pass
-    return text.replace("\n", " ").split(" ")
-
-
-def _latin(word: str) -> bool:
-    """Whether normalisation would leave a word as it is: lower-case letters of the first 256 code points."""
-    return word.isalpha() and word.islower() and max(word) < "\u0100"
+        suffix = spec["model"]["end_of_word_suffix"]
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.closes[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+
+    def ids(self, texts: pa.Array | list[str | None]) -> Iterator[np.ndarray]:
+        """Ids of each text and then ``END``, as unsigned 32-bit integers; null is empty."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        longest = pc.max(pc.binary_length(texts)).as_py() or 0
+        if longest <= LONG_TEXT:
+            yield from self._batch(texts)
+            return
+        for text in texts.to_pylist():
+            parts = list(_parts(text or ""))
+            yield np.concatenate([got[: len(got) - (k < len(parts) - 1)] for k, p in enumerate(parts) for got in self._batch(pa.array([p]))])
+
+    def _batch(self, texts: pa.Array) -> list[np.ndarray]:
+        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        words = lists.flatten().dictionary_encode()
+        first, n, tokens = self._distinct(words.dictionary)
+        ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        # one word more, of the one token END, after each text
+        order = np.insert(words.indices.to_numpy().astype(np.int64), ends[1:], len(n))
+        first, n, tokens = np.append(first, len(tokens)), np.append(n, 1), np.append(tokens, np.uint32(END))
+        flat = tokens[_ragged(first[order], n[order])]
+        cuts = np.cumsum(n[order])[ends[1:] + np.arange(len(texts))]
+        return np.split(flat, cuts)[: len(texts)]
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each word's ids start, how many they are, and all of them."""
+        simple = pc.match_substring_regex(words, _SIMPLE).to_numpy(zero_copy_only=False)
+        closed = pc.utf8_lower(words.filter(pa.array(simple)))
+        sign = pc.utf8_slice_codeunits(closed, -1)
+        signed = pc.is_in(sign, pa.array([".", ","], sign.type)).to_numpy(zero_copy_only=False)
+        core = pc.if_else(pa.array(signed), pc.utf8_slice_codeunits(closed, 0, -1), closed).dictionary_encode()
+        own = np.zeros(0, np.uint32)
+        if len(core.dictionary):
+            joined = pc.binary_join(pa.ListArray.from_arrays([0, len(core.dictionary)], core.dictionary), " ")[0].as_py()
+            own = np.array(self.plain.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+        end = np.flatnonzero(self.closes[own]) + 1
+        if len(end) != len(core.dictionary):
+            raise ValueError("a word has not exactly one closing token")
+        start = np.append(0, end)[:-1]
+        rest = [x.ids for x in self.tokenizer.encode_batch_fast(words.filter(pa.array(~simple)).to_pylist(), add_special_tokens=False)]
+        signs = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ".,"}
+        if any(len(x) != 1 for x in signs.values()):
+            raise ValueError("a closing sign is not one token")
+        at = core.indices.to_numpy()
+        n = np.zeros(len(words), np.int64)
+        n[simple] = (end - start)[at] + signed
+        n[~simple] = [len(x) for x in rest]
+        first = np.cumsum(n) - n
+        tokens = np.zeros(int(n.sum()), np.uint32)
+        tokens[_ragged(first[simple], (end - start)[at])] = own[_ragged(start[at], (end - start)[at])]
+        closing = np.where(pc.equal(sign, ".").to_numpy(zero_copy_only=False), *(signs[c][0] for c in ".,"))
+        tokens[(first[simple] + n[simple] - 1)[signed]] = closing[signed]
+        tokens[_ragged(first[~simple], n[~simple])] = [i for x in rest for i in x]
+        return first, n, tokens
+
+
+#: Letters of the first 256 code points whose normal form and lower case are letters of them too, and
+#: perhaps a full stop or comma after them, which is always a split of its own.
+_SIMPLE = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,]?$"
+
+
+def _ragged(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``first[i], first[i] + 1, ...`` (``n[i]`` numbers) for each i, joined."""
+    total = np.cumsum(n)
+    return np.arange(total[-1] if len(n) else 0) + np.repeat(first - (total - n), n)
+
+
+def _parts(text: str) -> Iterator[str]:
+    """A text cut at blanks or line ends into parts of about ``LONG_TEXT`` code points, the first blank of a cut left out."""
+    at, cut = 0, re.compile("[ \n]")
+    while len(text) - at > LONG_TEXT and (m := cut.search(text, at + LONG_TEXT)):
+        yield text[at : m.start()]
+        at = m.end()
+    yield text[at:]
 
 
 @lru_cache(4)
@@ -121,18 +145,27 @@ def load(path: str) -> WordIds:
 
 
 def cut_pieces(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """``(doc_id, piece, start, length, ids_crc32)``: each document's ids cut into pieces of ``capacity``."""
+    """``(doc_id, piece, start, length, ids_crc32)``: each document's ids cut into pieces of ``capacity``.
 
-    def run(cols: dict[str, list]) -> dict[str, object]:
-        rows: list[tuple] = []
-        for d, ids in zip(cols["doc_id"], load(path).ids(cols["text"])):
-            for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                part = ids[at : at + 4 * capacity]
-                rows.append((d, k, at // 4, len(part) // 4, zlib.crc32(part)))
-        return dict(zip(("doc_id", "piece", "start", "length", "ids_crc32"), zip(*rows) if rows else ([],) * 5))
+    Null and empty texts have the closing id alone; a text of any length is read whole; repeated rows
+    each give their pieces; an empty table gives none; other columns aren't read, so can't clash.
+    """
+
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in gathered(batches):
+            rows: list[tuple] = []
+            for d, ids in zip(b.column(0).to_pylist(), load(path).ids(b.column(1))):
+                for k, at in enumerate(range(0, len(ids), capacity)):
+                    part = ids[at : at + capacity]
+                    rows.append((d, k, at, len(part), zlib.crc32(part.astype("<u4").tobytes())))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 5, types)], names=names)
+
+    bounded_batches(df.sparkSession)
     source = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return map_batches(source, run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return source.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class Histogram:
@@ -299,7 +332,6 @@ def _place(ranked: DataFrame, solution: np.ndarray) -> DataFrame:
     keys = solution[:, 0] * shift + solution[:, 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()  # no more words are asked
         for b in batches:
             length, rank = b.column(3).to_numpy(), b.column(5).to_numpy()
             row = solution[np.searchsorted(keys, length * shift + rank, side="right") - 1]
