@@ -5,11 +5,16 @@ numbers.  Each step finds every sequence's best pair (lowest rank, leftmost on t
 of them at once; sequences without a pair left leave the arrays.  A sequence merges one pair a step
 because a merge here may make a pair of a better rank than its own, which has to go next.  What
 counts is the symbols that survive, a character outside the vocabulary counting as its UTF-8 bytes.
+
+A pre-token is cut where two characters stand side by side in no piece: no merge ever joins them.  Of
+what is longer still, such as a page of letters without a blank, a rescan at each step would cost the
+square of its length; there the lowest rank is kept for each block of symbols.
 """
 
 from __future__ import annotations
 
 import re
+from heapq import heapify, heappop, heappush
 from functools import lru_cache
 
 import numpy as np
@@ -22,7 +27,10 @@ from marlstone.session import table
 LIMIT = 4096
 #: Pre-tokens remembered by one Python worker, and the longest that is.
 CACHE_ENTRIES, CACHE_LENGTH = 250_000, 40
+#: Longer sequences keep their lowest ranks by blocks of so many symbols.
+BLOCK = 256
 SPACE = "▁"
+_NONE = 1 << 62
 #: Within a text no piece goes from another character to a space mark, so these parts never merge.
 PRETOKEN = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
@@ -44,6 +52,8 @@ class PieceCounter:
         pairs = sorted((ids[p[:i]] << 20 | ids[p[i:]], rank[ids[p]], ids[p]) for p in ids for i in range(1, len(p)) if p[:i] in ids and p[i:] in ids)
         self.keys, self.rank, self.merged = (np.array(x, np.int64) for x in zip(*pairs))
         self.chars = {c: i for c, i in ids.items() if len(c) == 1}
+        self.beside = np.unique([self.chars[p[i]] << 20 | self.chars[p[i + 1]] for p in ids for i in range(len(p) - 1)])
+        self.merges = {int(k): int(r) << 20 | int(m) for k, r, m in zip(self.keys, self.rank, self.merged)}
         self.cache = Memo(CACHE_ENTRIES, CACHE_LENGTH, lambda piece: int(self.count_pretokens([piece])[0]))
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,6 +73,16 @@ class PieceCounter:
         # a character outside the vocabulary never merges; its further bytes are added to the count
         extra = np.array([len(text[i].encode("utf-8", "surrogatepass")) - 1 for i in unknown.tolist()], np.int64)
         counts = np.bincount(seq, minlength=len(pieces)) + np.bincount(seq[unknown], extra, len(pieces)).astype(np.int64)
+        piece = seq
+        joined = (seq[1:] == seq[:-1]) & (sym[:-1] >= 0) & (sym[1:] >= 0) & np.isin(sym[:-1] << 20 | sym[1:], self.beside)
+        seq = np.concatenate(([0], np.cumsum(~joined))) if len(sym) else seq
+        size = np.bincount(seq)
+        for k in np.flatnonzero(size > BLOCK).tolist():
+            at = np.searchsorted(seq, k)
+            counts[piece[at]] -= self._merges_of_long(sym[at : at + size[k]])
+        short = (size > 1)[seq] & (size <= BLOCK)[seq]
+        owner = piece[np.searchsorted(seq, np.arange(len(size)))]
+        sym, seq = sym[short], seq[short]
         same = seq[1:] == seq[:-1]
         rank, at = self.pair_ranks(sym[:-1], sym[1:])
         rank = np.append(np.where(same, rank, len(self.keys)), len(self.keys))[: len(sym)]
@@ -79,7 +99,7 @@ class PieceCounter:
                 first = np.flatnonzero(np.concatenate(([True], seq[1:] != seq[:-1])))
             hits = np.flatnonzero(rank == np.repeat(best, np.diff(np.append(first, len(seq)))))
             hits = hits[np.concatenate(([True], seq[hits][1:] != seq[hits][:-1]))]  # leftmost in its sequence
-            counts[seq[hits]] -= 1
+            np.subtract.at(counts, owner[seq[hits]], 1)
             sym[hits] = self.merged[at[hits]]
             keep = np.ones(len(sym), bool)
             keep[hits + 1] = False
@@ -92,6 +112,50 @@ class PieceCounter:
                 rank[i], at[i] = np.where((seq[i] == seq[j]) & (i != j), r, len(self.keys)), a
         return counts
 
+    def _merges_of_long(self, sym: np.ndarray) -> int:
+        """Number of merges of one long sequence: the lowest rank, leftmost on ties, found by the blocks' lowest ones."""
+        get, mask = self.merges.get, (1 << 20) - 1
+        blocks = [sym[i : i + BLOCK].tolist() for i in range(0, len(sym), BLOCK)]
+        flat = sym.tolist()
+        ranks = [get(a << 20 | b, _NONE) for a, b in zip(flat, flat[1:])] + [_NONE]
+        order = [ranks[i : i + BLOCK] for i in range(0, len(sym), BLOCK)]
+        after, before = list(range(1, len(blocks) + 1)), list(range(-1, len(blocks) - 1))
+        best = [min(o) for o in order]
+        heap, n = [(b, k) for k, b in enumerate(best)], 0
+        heapify(heap)
+
+        def pair(k: int, i: int) -> int:
+            if i + 1 < len(blocks[k]):
+                return get(blocks[k][i] << 20 | blocks[k][i + 1], _NONE)
+            return get(blocks[k][i] << 20 | blocks[after[k]][0], _NONE) if after[k] < len(blocks) else _NONE
+
+        while heap and heap[0][0] < _NONE:
+            b, k = heap[0]
+            if b != best[k]:
+                heappop(heap)
+                continue
+            i, n = order[k].index(b), n + 1
+            blocks[k][i] = b & mask
+            j, at = (k, i + 1) if i + 1 < len(blocks[k]) else (after[k], 0)
+            del blocks[j][at], order[j][at]
+            if not blocks[j]:
+                after[before[j]] = after[j]
+                if after[j] < len(blocks):
+                    before[after[j]] = before[j]
+            order[k][i] = pair(k, i)
+            touched = {k, j}
+            if i:
+                order[k][i - 1] = pair(k, i - 1)
+            elif before[k] >= 0:
+                touched.add(before[k])
+                order[before[k]][-1] = pair(before[k], len(blocks[before[k]]) - 1)
+            for t in touched:
+                low = min(order[t], default=_NONE)
+                if low != best[t]:
+                    best[t] = low
+                    heappush(heap, (low, t))
+        return n
+
     def count(self, texts: list[str | None]) -> list[int]:
         """Number of tokens of each whole text; the pre-tokens new to the worker go through the arrays at once."""
         split = [PRETOKEN.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
