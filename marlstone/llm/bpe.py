@@ -28,8 +28,10 @@ from marlstone.session import table
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pre-tokens remembered by one Python worker, and the longest that is.
 CACHE_ENTRIES, CACHE_LENGTH = 250_000, 40
-#: Code points scanned at once, and a longer pre-token is encoded by windows.
+#: Texts of more code points are scanned match by match, and so many matches' ids are held.
 CHUNK = 1 << 16
+#: Code points of a pre-token given to the transducer at once.
+STEP = 4096
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -122,9 +124,12 @@ class Bpe:
 
     def encode_pretoken(self, piece: str) -> bytes:
         """Ids of one pre-token as little-endian unsigned 32-bit integers."""
-        data = piece.encode("utf-8", "surrogatepass")
-        chunks = (data[i : i + 4096] for i in range(0, len(data), 4096))
-        return b"".join(np.array(ids, "<u4").tobytes() for ids in self.stream(chunks))
+        return b"".join(self._streamed(piece, 0, len(piece)))
+
+    def _streamed(self, text: str, at: int, end: int) -> Iterator[bytes]:
+        chunks = (text[i : min(i + STEP, end)].encode("utf-8", "surrogatepass") for i in range(at, end, STEP))
+        for ids in self.stream(chunks):
+            yield np.array(ids, "<u4").tobytes()
 
     def encode(self, text: str | None) -> Iterator[bytes]:
         """Ids of a text, a chunk at a time; strings of special tokens in it become those tokens."""
@@ -141,6 +146,11 @@ class Bpe:
             return
         held = []
         for m in self.pattern.finditer(text, at, end):
+            if m.end() - m.start() > STEP:  # its ids leave while it is still read
+                yield b"".join(held)
+                held = []
+                yield from self._streamed(text, m.start(), m.end())
+                continue
             held.append(self.cache[m[0]])
             if len(held) >= CHUNK:
                 yield b"".join(held)
@@ -184,7 +194,7 @@ def digest(bpe: Bpe, text: str | None) -> tuple[int, str, str]:
 
 
 def encode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, ids)`` of each whole text; null and empty texts give an empty list."""
+    """``(doc_id, ids)`` of each whole text; null and empty texts give an empty list, repeated rows each a row, an empty table none."""
 
     def run(cols: dict[str, list]) -> dict[str, object]:
         bpe = load(path)
@@ -194,7 +204,7 @@ def encode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text")
 
 
 def decode(df: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """``(doc_id, text)`` of each list of ids; null and empty lists give an empty text."""
+    """``(doc_id, text)`` of each list of ids; null and empty lists give an empty text, repeated rows each a row, an empty table none."""
 
     def run(cols: dict[str, list]) -> dict[str, object]:
         bpe = load(path)
