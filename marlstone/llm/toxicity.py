@@ -215,7 +215,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str]) -> Chain:
 def score(df: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
     """``df``'s rows with ``probabilities`` (one a category) and ``rejected`` (by the last category).
 
-    Null text and text without a word have no evidence and are never rejected.
+    Null, empty and blank texts and those of signs alone have no word and are never rejected.  Texts of
+    any length are read whole; repeated rows each give a row; an empty table gives none; other columns
+    pass through under their own names.
     """
     @pandas_udf("array<double>")
     def predict(texts: pd.Series) -> pd.Series:
@@ -224,7 +226,7 @@ def score(df: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
     bounded_batches(df.sparkSession)
     if not chain.models:
         return df.withColumns({"probabilities": F.array(*[F.lit(0.5)] * len(chain.categories)), "rejected": F.lit(False)})
-    rejected = F.coalesce(F.col(text).rlike(r"\w") | (F.length(text) > 0), F.lit(False)) & (F.get("probabilities", F.lit(len(chain.models) - 1)) >= chain.thresholds[-1])
+    rejected = F.coalesce(F.col(text).rlike(r"(?U)\w"), F.lit(False)) & (F.get("probabilities", F.lit(len(chain.models) - 1)) >= chain.thresholds[-1])
     return df.withColumn("probabilities", predict(text)).withColumn("rejected", rejected)
 
 
