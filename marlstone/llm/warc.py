@@ -30,6 +30,8 @@ from marlstone.session import materialize, scratch_path, table
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: A package is closed beyond this many bytes; a read task takes this many records.
 PACKAGE_BYTES, READ_ROWS = 256 << 20, 1000
+#: Tasks that read, at most.
+READ_TASKS = 20_000
 #: Smaller payloads are always stored whole.
 REVISIT_BYTES = 100
 DATE = "2000-01-01T00:00:00Z"
@@ -155,9 +157,9 @@ class Package:
             raise ValueError(f"{member}: the range ends beyond the member")
         return self.read(start + offset, length)
 
-    def index(self) -> list[dict]:
-        """The index lines, in record order."""
-        lines = self.range(INDEX, 0, self.members[INDEX][1]).decode().splitlines()
+    def index(self, offset: int = 0, length: int | None = None) -> list[dict]:
+        """The index lines, in record order: all, or those of a byte range that holds whole lines."""
+        lines = self.range(INDEX, offset, self.members[INDEX][1] if length is None else length).decode().splitlines()
         return [json.loads(x.split(" ", 2)[2]) for x in lines]
 
     def record(self, entry: dict) -> bytes:
@@ -181,16 +183,18 @@ class Writer:
         packed = zlib.compress(data, 3, 31)
         self.data.write(packed)
         entry = json.dumps({"url": url, "page": page_id, "offset": self.at, "length": len(packed)})
-        self.lines.append(f"{quote(url or '-', safe='')} {DATE} {entry}")
+        self.lines.append(f"{quote(url or '-', safe='')} {DATE} {entry}\n")
         self.at += len(packed)
 
-    def close(self) -> int:
+    def close(self) -> list[tuple[int, int]]:
+        """Closes the package; byte ranges ``(offset, length)`` of its index, each of ``READ_ROWS`` lines at most."""
         self.data.close()
-        self.zip.writestr(INDEX, "".join(f"{x}\n" for x in self.lines))
+        self.zip.writestr(INDEX, "".join(self.lines))
         self.zip.close()
         self.out.close()
         self.fs.move(self.passing, self.path)
-        return len(self.lines)
+        sizes = [sum(map(len, self.lines[k : k + READ_ROWS])) for k in range(0, len(self.lines), READ_ROWS)]
+        return [(sum(sizes[:k]), n) for k, n in enumerate(sizes)]
 
 
 # -- over tables ------------------------------------------------------------------------------
@@ -212,16 +216,17 @@ def mark_revisits(pages: DataFrame, page_id: str = "page_id", url: str = "url",
 
 
 def write_packages(records: DataFrame, folder: str) -> DataFrame:
-    """Writes packages below ``folder`` (a shared URI) and returns ``(package, first, n)`` read ranges.
+    """Writes packages below ``folder`` (a shared URI) and returns the byte ranges ``(package, offset, length)`` of their indexes.
 
     A task names its packages by its partition and replaces them whole, so a repeated or doubled
-    attempt leaves the same files.
+    attempt leaves the same files.  Null payloads are not allowed (``mark_revisits`` makes them empty);
+    repeated rows are records of their own; no rows give no package.
     """
     bounded_batches(records.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k, writer = TaskContext.get().partitionId(), 0, None
-        done: list[tuple[str, int]] = []
+        done: list[tuple[str, int, int]] = []
         for batch in batches:
             for page_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
                 if writer is None:
@@ -229,33 +234,38 @@ def write_packages(records: DataFrame, folder: str) -> DataFrame:
                     writer = Writer(name)
                 writer.add(page_id, url, record(page_id, url, payload, digest, refers_to))
                 if writer.at > PACKAGE_BYTES:
-                    done.append((name, writer.close()))
+                    done.extend((name, *r) for r in writer.close())
                     writer, k = None, k + 1
         if writer:
-            done.append((name, writer.close()))
-        ranges = [(name, at, min(READ_ROWS, n - at)) for name, n in done for at in range(0, n, READ_ROWS)]
-        names, first, n = zip(*ranges) if ranges else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(first, pa.int64()), pa.array(n, pa.int64())], names=["package", "first", "n"])
+            done.extend((name, *r) for r in writer.close())
+        names, first, n = zip(*done) if done else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(first, pa.int64()), pa.array(n, pa.int64())], names=["package", "offset", "length"])
 
     fs, path = pafs.FileSystem.from_uri(folder)
     fs.create_dir(path, recursive=True)
-    return materialize(records.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, "package string, first long, n long"), "packages")
+    return materialize(records.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, "package string, offset long, length long"), "packages")
 
 
 def read_packages(ranges: DataFrame) -> DataFrame:
-    """Every record of the given ranges, read back by byte range."""
+    """Every record of the given index ranges ``(package, offset, length)``, read back by byte range.
+
+    Ranges are dealt over as many tasks as there are (``READ_TASKS`` at most), a range holding
+    ``READ_ROWS`` records at most.  A range given twice is read twice; no ranges give no rows.
+    """
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, first, n in zip(*(c.to_pylist() for c in batch.columns)):
+            for name, offset, length in zip(*(c.to_pylist() for c in batch.columns)):
                 fs, path = pafs.FileSystem.from_uri(name)
                 with fs.open_input_file(path) as stream:
                     package = Package(stream, fs.get_file_info(path).size)
-                    rows = [describe(package.record(e)) for e in package.index()[first : first + n]]
+                    rows = [describe(package.record(e)) for e in package.index(offset, length)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return ranges.repartition("package", "first").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    tasks = min(READ_TASKS, max(1, ranges.count()))
+    dealt = ranges.select("package", "offset", "length").repartition(tasks, "package", "offset")
+    return dealt.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
