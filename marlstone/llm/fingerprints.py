@@ -76,18 +76,18 @@ def hex128(a: str, b: str) -> Column:
 
 # -- search -----------------------------------------------------------------------------------
 
-def block_keys(radius: int = RADIUS) -> Column:
-    """Keys of ``(fp1, fp2)`` in every permuted block table."""
+def block_keys(fp: tuple[str, str], radius: int = RADIUS) -> Column:
+    """Keys of a fingerprint's two halves in every permuted block table."""
     n = radius + 2
     edges = [BITS * k // n for k in range(n + 1)]
-    blocks = [_block(a, b - a) for a, b in zip(edges, edges[1:])]
+    blocks = [_block(fp, a, b - a) for a, b in zip(edges, edges[1:])]
     return F.array(*[F.xxhash64(F.lit(i), F.lit(j), blocks[i], blocks[j]) for i, j in combinations(range(n), 2)])
 
 
-def _block(at: int, width: int) -> Column:
+def _block(fp: tuple[str, str], at: int, width: int) -> Column:
     """Bits ``at`` to ``at + width`` of the 128, as a number."""
     parts, end = [], at + width
-    for k, half in enumerate(("fp1", "fp2")):
+    for k, half in enumerate(fp):
         a, b = max(at - 64 * k, 0), min(end - 64 * k, 64)
         if a < b:
             mask = (1 << (b - a)) - 1
@@ -99,17 +99,17 @@ def within_radius(queries: DataFrame, fps: DataFrame, radius: int = RADIUS) -> D
     """``(q1, q2, fp1, fp2, differing)``: for each distinct query fingerprint all distinct ones within the radius.
 
     Both sides are ``(fp1, fp2)``.  A pair that meets in several tables is reported once: in the
-    first table whose key both share.
+    first table whose key both share.  Repeated fingerprints count once, a null half meets nothing, an
+    empty side gives no rows.  No side is broadcast but by Spark's own check of its written size.
     """
     def entries(df: DataFrame) -> DataFrame:
-        keyed = df.select("fp1", "fp2").distinct().withColumn("tables", block_keys(radius))
-        return keyed.select("fp1", "fp2", "tables", F.posexplode("tables").alias("at", "key"))
+        return df.select("fp1", "fp2").distinct().select("fp1", "fp2", F.posexplode(block_keys(("fp1", "fp2"), radius)).alias("at", "key"))
 
-    asked = entries(queries).select(F.col("fp1").alias("q1"), F.col("fp2").alias("q2"), F.col("tables").alias("q_tables"), "at", "key")
-    index = entries(fps).select("fp1", "fp2", "at", "key")
-    met = asked.join(index, ["at", "key"]).withColumn("differing", _differing(("q1", "q2"), ("fp1", "fp2")))
+    asked = entries(queries).select(F.col("fp1").alias("q1"), F.col("fp2").alias("q2"), "at", "key")
+    met = asked.join(entries(fps), ["at", "key"]).withColumn("differing", _differing(("q1", "q2"), ("fp1", "fp2")))
     met = met.where(F.col("differing") <= radius)
-    shared = F.transform("q_tables", lambda k, i: F.when(F.get(block_keys(radius), i) == k, i))
+    # both rows' keys are made again for the few pairs that met, rather than carried through the join
+    shared = F.transform(block_keys(("q1", "q2"), radius), lambda k, i: F.when(F.get(block_keys(("fp1", "fp2"), radius), i) == k, i))
     first = F.array_min(shared)
     return met.where(F.col("at") == first).select("q1", "q2", "fp1", "fp2", "differing")
 
@@ -188,12 +188,15 @@ def compare(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every document, and for each hundredth id how many distinct ones lie within the radius."""
+    """Fingerprints of every document, and for each hundredth id how many distinct ones lie within the radius.
+
+    Repeated ids are told apart by their fingerprints, so every row gives one row; null ids ask nothing.
+    """
     fps = materialize(compare(table(spark, sf_dir, "documents")), "compared")
     asked = fps.where(F.col("doc_id") % 100 == 0)
     near = within_radius(asked, fps).groupBy(F.col("q1").alias("fp1"), F.col("q2").alias("fp2")).agg(F.count("*").alias("n_within"))
-    hits = asked.select("doc_id", "fp1", "fp2").distinct().join(near, ["fp1", "fp2"]).select("doc_id", "n_within")
-    out = fps.join(hits, "doc_id", "left")
+    hits = asked.select("doc_id", "fp1", "fp2").distinct().join(near, ["fp1", "fp2"])
+    out = fps.join(hits, ["doc_id", "fp1", "fp2"], "left")
     return out.select(
         "doc_id",
         "n_chars",
