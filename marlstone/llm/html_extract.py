@@ -1,17 +1,26 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
-A page's block elements form a tree whose like-labelled siblings are folded into one (a list of any
-length looks alike).  The folded trees of a host are aligned by simple tree matching and merged into
-one wrapper.  A page's blocks then belong to nodes of its host's wrapper: text that stays the same
-at a node on nearly all pages is template; nodes where it varies are slots.  Slots of menus, headers,
-footers, sidebars, notices, adverts, forms and comments are told by their place in the wrapper; what
-remains, inside the article where the wrapper has one, is the main text.
+A page's block elements form a tree.  Siblings of one shape are folded (a list of any length looks
+alike), containers of one shape only from the third on, so an article and a comment stay apart even
+where both are plain ``div``s.  The folded trees of a host are aligned by simple tree matching and
+merged into one wrapper; every block of a page belongs to a node of its host's wrapper.
+
+What the host's pages show at a node decides.  A slot's weight is the text outside links that varies
+there from page to page, text that stays counting a quarter.  The main part of a page is the element
+that holds the weight and has running text of its own: one goes down from the page, or from its
+heaviest ``article`` or ``main``, while a single container holds at least half.  Elements that are by
+definition something else (``nav``, ``footer``, ``aside``, ``form`` and such) count nowhere; class
+words that name such parts lower their weight, and inside the main part they go if they hold less
+than half of it.
+Inside the main part, text that stands at its node on most pages is template if the main parts of
+those pages differ otherwise; pages that are near copies of each other prove nothing.
 """
 
 from __future__ import annotations
 
 import html as htmllib
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -20,10 +29,16 @@ from pyspark.sql import functions as F
 from marlstone.llm._common import map_batches
 from marlstone.session import materialize, table
 
-#: Text is template if it stands at its node on this share of the host's pages, of at least so many.
-CONSTANT, LEAST_PAGES = 0.9, 8
-#: Elements nested deeper share the node of the one at this depth; their text is kept.
-DEPTH = 100
+#: Text is template if it stands at its node on this share of the pages that have the node, on so many pages
+#: at least (two may quote one passage), and if this share of those pages' other main text differs.
+CONSTANT, LEAST_PAGES, DIFFERENT = 0.5, 3, 0.3
+#: Weight of text that stays, and of parts named like something else; short blocks, under about so many
+#: characters, weigh little.
+STAYING, NAMED, SHORT = 0.25, 0.25, 30
+#: Elements nested deeper are children of the element at this depth; what they stood in marks them.
+DEPTH = 150
+#: Containers of one shape that stay apart; further ones share the last one's node.
+APART = 3
 #: Trees merged by one task at once; more distinct trees of a host take further rounds.
 MERGE = 256
 
@@ -48,7 +63,7 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _PLAIN = re.compile(r"[^a-z0-9]+")
 
-#: Words of a class, id or role that name what is not main text.
+#: Words of a class, id or role that name what is not main text (a tie-break, see above).
 OUTSIDE = frozenset(
     "ad ads adbox advert adverts advertisement advertising adsense sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
     "footer sidebar aside complementary contentinfo cookie cookies consent gdpr notice notices notification alert alertdialog dialog banner toolbar "
@@ -59,6 +74,10 @@ OUTSIDE_TAGS = frozenset("nav footer aside form dialog menu search".split())
 #: These count only outside an article.
 HEADING_AREA = frozenset({"header", "masthead", "topbar"})
 MAIN_TAGS = frozenset({"article", "main"})
+#: Elements of running text: a container that has them beside its heaviest child is not left for that child.
+FLOW = frozenset("p h2 h3 h4 h5 h6 pre blockquote table ul ol dl figure".split())
+#: Elements that may be lists of links.
+LISTS = frozenset("ul ol dl table div section details".split())
 
 
 def _label(tag: str, attrs: str) -> str:
@@ -75,29 +94,21 @@ def _label(tag: str, attrs: str) -> str:
     return ".".join([tag, *dict.fromkeys(words)])
 
 
-class _Node:
-    """A node of a folded tree; ``at`` numbers nodes in the order they came."""
+def _names(label: str) -> tuple[str, frozenset[str]]:
+    tag, *words = label.split(".")
+    return tag, frozenset(words)
 
-    __slots__ = ("label", "children", "at")
 
-    def __init__(self, label: str, at: int):
-        self.label, self.children, self.at = label, {}, at
-
-    def text(self) -> str:
-        inner = ",".join(c.text() for c in self.children.values())
-        return f"{self.label}({inner})" if inner else self.label
-
-
-def parse(page: str | None) -> tuple[str, list[tuple[int, str, bool]]]:
-    """Folded tree of a page, and its blocks ``(preorder node, text, mostly links)``.
+def parse(page: str | None) -> tuple[str, list[tuple[int, str, int]]]:
+    """Folded tree of a page, and its blocks ``(preorder node, text, characters inside links)``.
 
     Malformed markup is mended as browsers do in the common cases: open paragraphs and items end
     where the next begins, stray end tags are passed over, missing ones are supplied.
     """
     page = page or ""
-    root = _Node("#", 0)
-    stack: list[tuple[str, _Node]] = [("#", root)]
-    nodes, blocks = [root], []
+    labels, parents = ["#"], [-1]
+    stack: list[tuple[str, int, str]] = [("#", 0, "")]  # tag, node, marks that what stands deeper takes over
+    blocks: list[tuple[int, str, int]] = []
     run: list[str] = []
     links = [0, 0]  # open links, characters inside links
 
@@ -105,7 +116,7 @@ def parse(page: str | None) -> tuple[str, list[tuple[int, str, bool]]]:
         if run:
             text = " ".join("".join(run).split())
             if text:
-                blocks.append((stack[-1][1], text, links[1] * 2 > len(text)))
+                blocks.append((stack[-1][1], text, min(links[1], len(text))))
             run.clear()
             links[1] = 0
 
@@ -138,7 +149,7 @@ def parse(page: str | None) -> tuple[str, list[tuple[int, str, bool]]]:
                     break
             continue
         if tag in ("html", "body"):
-            if any(t == tag for t, _ in stack):
+            if any(t == tag for t, _, _ in stack):
                 continue
         else:
             closing = CLOSES.get(tag)
@@ -152,25 +163,68 @@ def parse(page: str | None) -> tuple[str, list[tuple[int, str, bool]]]:
                     break
                 if t in bounds or (not closing and t in PARAGRAPH_BOUNDS):
                     break
-        label, parent = _label(tag, m["attrs"]), stack[-1][1]
-        node = parent.children.get(label) if len(stack) < DEPTH else parent
-        if node is None:
-            node = parent.children[label] = _Node(label, len(nodes))
-            nodes.append(node)
+        label, marks = _label(tag, m["attrs"]), stack[-1][2]
+        if marks:
+            label = f"{label}.{marks}"
+        if len(stack) >= DEPTH and not marks:
+            words = _names(label)[1]
+            marks = "hidden" if tag in OUTSIDE_TAGS or "hidden" in words else ".".join(sorted(words & OUTSIDE))
+        labels.append(label)
+        parents.append(stack[min(len(stack), DEPTH) - 1][1])
         if not m["attrs"].rstrip().endswith("/") or tag not in VOID:
-            stack.append((tag, node))
+            stack.append((tag, len(labels) - 1, marks))
     if at < len(page):
         put(page[at:])
     flush()
-    order: dict[int, int] = {}
+    tree, folded = fold(labels, parents)
+    return tree, [(folded[n], t, x) for n, t, x in blocks]
 
-    def number(n: _Node) -> None:
-        order[n.at] = len(order)
-        for c in n.children.values():
-            number(c)
 
-    number(root)
-    return root.text(), [(order[n.at], t, x) for n, t, x in blocks]
+def fold(labels: list[str], parents: list[int]) -> tuple[str, list[int]]:
+    """Text of the tree in which siblings of one shape are one, and the preorder number there of each element.
+
+    Elements come parents first, siblings in order.  Containers of one shape are kept apart up to the
+    ``APART``-th.
+    """
+    n = len(labels)
+    children: list[list[int]] = [[] for _ in range(n)]
+    for i in range(1, n):
+        children[parents[i]].append(i)
+    shapes: dict[tuple, int] = {}
+    shape, nth = [0] * n, [0] * n
+    for i in range(n - 1, -1, -1):
+        seen: dict[int, int] = {}
+        for c in children[i]:
+            k = seen.get(shape[c], 0)
+            seen[shape[c]] = k + 1
+            nth[c] = min(k, APART - 1) if children[c] else 0
+        kinds = tuple(dict.fromkeys((shape[c], nth[c]) for c in children[i]))
+        shape[i] = shapes.setdefault((labels[i], kinds), len(shapes))
+    node: dict[tuple[int, int, int], int] = {}
+    own, kids, names = [0] * n, [[]], [labels[0]]
+    for i in range(1, n):
+        key = (own[parents[i]], shape[i], nth[i])
+        if key not in node:
+            node[key] = len(kids)
+            kids[key[0]].append(len(kids))
+            kids.append([]), names.append(labels[i])
+        own[i] = node[key]
+    order, text = [0] * len(kids), []
+    todo: list[tuple[int, str]] = [(0, "")]
+    count = 0
+    while todo:
+        k, sign = todo.pop()
+        if sign:
+            text.append(sign)
+            continue
+        order[k], count = count, count + 1
+        text.append(names[k])
+        if kids[k]:
+            todo.append((0, ")"))
+            for j, c in enumerate(reversed(kids[k])):
+                todo.append((c, ""))
+                todo.append((0, "," if j < len(kids[k]) - 1 else "("))
+    return "".join(text), [order[k] for k in own]
 
 
 # -- trees as text: label(child,child) ----------------------------------------------------------
@@ -226,33 +280,34 @@ def match(a: tuple[str, list], b: tuple[str, list], memo: dict | None = None) ->
 def merge(a: tuple[str, list], b: tuple[str, list], memo: dict | None = None) -> tuple[str, list]:
     """The wrapper of two trees with equal roots: matched children merge, others are kept where they stand.
 
-    A child that only stands in another order joins its namesake, so a label stays single.
+    A child that only stands in another order joins the unmatched namesake most like it.
     """
     memo = {} if memo is None else memo
     pairs = dict(match(a, b, memo)[1])
     back = {j: i for i, j in pairs.items()}
-    names = {c[0]: i for i, c in enumerate(a[1])}
     joined = {i: merge(a[1][i], b[1][j], memo) for i, j in pairs.items()}
-    for j, c in enumerate(b[1]):
-        if j not in back and c[0] in names:
-            i = names[c[0]]
-            joined[i] = merge(joined.get(i, a[1][i]), c)
+    free = [i for i in range(len(a[1])) if i not in pairs]
     out, put = [], 0
     for j, c in enumerate(b[1]):
         if j in back:
             while put <= back[j]:
-                out.append(joined.get(put, a[1][put]))
+                out.append(put)
                 put += 1
-        elif c[0] not in names:
+            continue
+        i = max((i for i in free if a[1][i][0] == c[0]), key=lambda i: match(a[1][i], c, memo)[0], default=None)
+        if i is None:
             out.append(c)
-    out.extend(joined.get(i, a[1][i]) for i in range(put, len(a[1])))
-    return a[0], out
+        else:
+            joined[i] = merge(a[1][i], c, memo)
+            free.remove(i)
+    out.extend(range(put, len(a[1])))
+    return a[0], [joined.get(x, a[1][x]) if isinstance(x, int) else x for x in out]
 
 
 def place(tree: tuple[str, list], wrapper: tuple[str, list]) -> list[int]:
-    """For each node of a tree, in preorder, the preorder number of its node in the wrapper.
+    """For each node of a tree, in preorder, the preorder number of its node in the wrapper, -1 if it has none.
 
-    Children are aligned by simple tree matching, those left over by their label.
+    Children are aligned by simple tree matching; one left over takes the namesake most like it.
     """
     memo: dict = {}
     start: dict[int, int] = {}
@@ -267,35 +322,93 @@ def place(tree: tuple[str, list], wrapper: tuple[str, list]) -> list[int]:
     number(wrapper, 0)
     out: list[int] = []
 
-    def walk(t: tuple[str, list], w: tuple[str, list]) -> None:
-        out.append(start[id(w)])
-        pairs = dict(match(t, w, memo)[1])
-        names = {c[0]: c for c in w[1]}
+    def walk(t: tuple[str, list], w: tuple[str, list] | None) -> None:
+        out.append(-1 if w is None else start[id(w)])
+        pairs = dict(match(t, w, memo)[1]) if w else {}
         for i, c in enumerate(t[1]):
-            walk(c, w[1][pairs[i]] if i in pairs else names[c[0]])
+            if i in pairs:
+                walk(c, w[1][pairs[i]])
+            else:
+                walk(c, max((x for x in w[1] if x[0] == c[0]), key=lambda x: match(c, x, memo)[0], default=None) if w else None)
 
     walk(tree, wrapper)
     return out
 
 
-def roles(wrapper: tuple[str, list]) -> list[str]:
-    """For each wrapper node, in preorder: ``out`` (never main text), ``main`` (inside an article) or ``slot``."""
-    out: list[str] = []
+def flatten(tree: tuple[str, list]) -> tuple[list[str], list[int]]:
+    """Labels and parents of a tree's nodes in preorder; the root's parent is -1."""
+    labels, parents = [], []
 
-    def walk(t: tuple[str, list], role: str) -> None:
-        tag, *words = t[0].split(".")
-        names = set(words)
-        if role != "out":
-            if tag in MAIN_TAGS and not names & OUTSIDE:
-                role = "main"
-            elif tag in OUTSIDE_TAGS or names & OUTSIDE or (role != "main" and (tag == "header" or names & HEADING_AREA)):
-                role = "out"
-        out.append(role)
+    def walk(t: tuple[str, list], parent: int) -> None:
+        at = len(labels)
+        labels.append(t[0]), parents.append(parent)
         for c in t[1]:
-            walk(c, role)
+            walk(c, at)
 
-    walk(wrapper, "slot")
-    return out
+    walk(tree, -1)
+    return labels, parents
+
+
+def main_nodes(labels: list[str], parents: list[int], weight: list[float], chars: list[float], linked: list[float]) -> list[bool]:
+    """Which nodes of a page's tree, in preorder, hold its main text, by what its host shows at them.
+
+    ``weight``, ``chars`` and ``linked`` are a node's own text: its weight, its characters and those
+    inside links, on average over the host's pages.
+    """
+    n = len(labels)
+    kids: list[list[int]] = [[] for _ in range(n)]
+    for i in range(1, n):
+        kids[parents[i]].append(i)
+    named = [_names(x) for x in labels]
+    barred = [tag in OUTSIDE_TAGS or "hidden" in words for tag, words in named]
+    inside = [False] * n  # of an article or main element
+    for i in range(1, n):
+        barred[i] = barred[i] or barred[parents[i]]
+        inside[i] = inside[parents[i]] or named[i][0] in MAIN_TAGS
+
+    lowered = [False] * n
+    for i in range(1, n):
+        tag, words = named[i]
+        lowered[i] = lowered[parents[i]] or bool(words & OUTSIDE) or (not inside[i] and (tag == "header" or bool(words & HEADING_AREA)))
+
+    def sums(own: list[float]) -> list[float]:
+        out = [0.0 if barred[i] else own[i] for i in range(n)]
+        for i in range(n - 1, 0, -1):
+            out[parents[i]] += out[i]
+        return out
+
+    total = sums([w * NAMED if low else w for w, low in zip(weight, lowered)])
+    semantic = [i for i in range(1, n) if named[i][0] in MAIN_TAGS and total[i] > 0 and total[i] * 10 >= total[0]]
+    top = max(semantic, key=lambda i: (total[i], -i), default=0)
+    length, link = sums(chars), sums(linked)
+    while named[top][0] != "article" and not weight[top]:
+        heavy = [k for k in kids[top] if total[k] > 0]
+        best = max(heavy, key=lambda k: (total[k], -k), default=None)
+        if best is None or not kids[best] or 2 * total[best] < total[top]:
+            break
+        if any(named[k][0] in FLOW and 2 * link[k] < length[k] for k in heavy if k != best):
+            break
+        top = best
+    total = sums(weight)
+    for i in range(top + 1, n):
+        named_out = lowered[i] and not lowered[parents[i]] and 2 * total[i] < total[top]
+        barred[i] = barred[i] or barred[parents[i]] or named_out
+    tops = {top} | ({k for k in kids[parents[top]] if labels[k] == labels[top]} if named[top][0] == "article" else set())
+    keep, titled = [False] * n, False
+    for i in range(n):
+        if barred[i]:
+            continue
+        if i in tops:
+            keep[i] = True
+        elif i and keep[parents[i]]:
+            menu = not inside[i] and named[i][0] in LISTS and 2 * link[i] > length[i]
+            keep[i] = not menu
+        titled = titled or (keep[i] and named[i][0] == "h1" and weight[i] > 0)
+    if not titled:  # the heading may stand before the main part
+        before = [i for i in range(top) if named[i][0] == "h1" and not barred[i] and weight[i] > 0]
+        if before:
+            keep[before[-1]] = True
+    return keep
 
 
 # -- over tables --------------------------------------------------------------------------------
@@ -310,7 +423,7 @@ def scan(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str
 
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     source = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), host.alias("host"), F.col(html).cast("string").alias("html"))
-    return map_batches(source, run, "page_id long, url string, host string, tree string, blocks array<struct<node:int,text:string,linked:boolean>>")
+    return map_batches(source, run, "page_id long, url string, host string, tree string, blocks array<struct<node:int,text:string,linked:int>>")
 
 
 def induce(trees: DataFrame) -> DataFrame:
@@ -333,47 +446,77 @@ def induce(trees: DataFrame) -> DataFrame:
     return trees.select("host", F.col("tree").alias("wrapper"))
 
 
-def _align(trees: DataFrame, wrappers: DataFrame) -> DataFrame:
-    """``(host, tree, nodes, roles)``: the wrapper node and role of each node of each distinct tree."""
+@lru_cache(64)
+def _wrapper(text: str) -> tuple[str, list]:
+    return read_tree(text)
+
+
+def align(trees: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """``(host, tree, nodes)``: the wrapper node of each node of each distinct tree."""
+
+    def run(cols: dict[str, list]) -> dict[str, object]:
+        nodes = [place(read_tree(t), _wrapper(w)) for t, w in zip(cols["tree"], cols["wrapper"])]
+        return {"host": cols["host"], "tree": cols["tree"], "nodes": nodes}
+
+    return map_batches(trees.join(wrappers, "host").select("host", "tree", "wrapper"), run, "host string, tree string, nodes array<int>")
+
+
+def main_parts(aligned: DataFrame, shown: DataFrame) -> DataFrame:
+    """``(host, tree, nodes, main)``: which nodes of each distinct tree are main text.
+
+    ``shown(host, node, weight, chars, linked)`` says what a host's pages show at a wrapper node.
+    """
+    slots = shown.groupBy("host").agg(F.collect_list(F.struct("node", "weight", "chars", "linked")).alias("slots"))  # a row for each wrapper node
 
     def run(cols: dict[str, list]) -> dict[str, object]:
-        nodes, kinds = [], []
-        for t, w in zip(cols["tree"], cols["wrapper"]):
-            wrapper = read_tree(w)
-            role, at = roles(wrapper), place(read_tree(t), wrapper)
-            nodes.append(at)
-            kinds.append([role[i] for i in at])
-        return {"host": cols["host"], "tree": cols["tree"], "nodes": nodes, "roles": kinds}
+        out = []
+        for tree, nodes, slots in zip(cols["tree"], cols["nodes"], cols["slots"]):
+            by = {s["node"]: s for s in slots or ()}
+            own = [[by[k][c] if k in by else 0.0 for k in nodes] for c in ("weight", "chars", "linked")]
+            out.append(main_nodes(*flatten(read_tree(tree)), *own))
+        return {k: cols[k] for k in ("host", "tree", "nodes")} | {"main": out}
 
-    return map_batches(trees.join(wrappers, "host").select("host", "tree", "wrapper"), run, "host string, tree string, nodes array<int>, roles array<string>")
+    joined = aligned.join(slots, "host", "left").select("host", "tree", "nodes", "slots")
+    return map_batches(joined, run, "host string, tree string, nodes array<int>, main array<boolean>")
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``(page_id, url, text, n_chars)``: the main text of every page.
 
     Null or empty html, and pages without main text, give an empty text; repeated rows each get a
-    row (and count as one page when template is told from content); an empty table gives none.
+    row (and count as one page when template is told from content); a host of one page is judged by
+    that page; an empty table gives none.  Texts and pages of any length are read whole.
     """
     scanned = materialize(scan(pages, page_id, url, html), "scanned")
     trees = materialize(scanned.groupBy("host", "tree").agg(F.count("*").alias("n")), "trees")
-    aligned = materialize(_align(trees, induce(trees)), "aligned")
-    # aligned has a row for each host and tree; Spark broadcasts it only if its written size is small
-    joined = scanned.join(aligned, ["host", "tree"])
-    placed = joined.select("host", F.xxhash64("tree", "blocks.text").alias("page"), F.explode("blocks").alias("b"), "nodes")
-    placed = placed.select("host", "page", F.xxhash64(F.get("nodes", F.col("b.node")), F.col("b.text")).alias("key"))
-    different = scanned.select("host", F.xxhash64("tree", "blocks.text").alias("page")).distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    often = placed.distinct().groupBy("host", "key").agg(F.count("*").alias("n"))
-    fixed = often.where(F.col("n") >= LEAST_PAGES * CONSTANT).join(different, "host").where((F.col("pages") >= LEAST_PAGES) & (F.col("n") >= CONSTANT * F.col("pages")))
-    fixed = materialize(fixed.groupBy("host").agg(F.collect_set("key").alias("fixed")), "fixed")
-    known = materialize(aligned.join(fixed, "host", "left"), "known")
-    joined = scanned.join(known, ["host", "tree"])
-    role = lambda b: F.get("roles", b["node"])
-    varying = lambda b: ~F.coalesce(F.array_contains("fixed", F.xxhash64(F.get("nodes", b["node"]), b["text"])), F.lit(False))
-    main = F.filter("blocks", lambda b: (role(b) == "main") & varying(b))
-    rest = F.filter("blocks", lambda b: (role(b) == "slot") & ~b["linked"] & varying(b))
-    chosen = joined.select("page_id", "url", main.alias("main"), rest.alias("rest"))
-    chosen = chosen.select("page_id", "url", F.when(F.size("main") > 0, F.col("main")).otherwise(F.col("rest")).alias("blocks"))
-    text = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n")
+    aligned = materialize(align(trees, induce(trees)), "aligned")
+    # aligned and main parts have a row for each host and tree; Spark broadcasts them only if their written size is small
+    hashed = scanned.select("host", "tree", F.transform("blocks", lambda b: F.struct(b["node"].alias("node"), F.xxhash64(b["text"]).alias("key"), F.length(b["text"]).alias("chars"), b["linked"].alias("linked"))).alias("blocks"))
+    hashed = hashed.withColumn("page", F.xxhash64("tree", "blocks"))
+    joined = hashed.join(aligned, ["host", "tree"]).select("host", "tree", "page", F.explode("blocks").alias("b"), "nodes")
+    rows = joined.select("host", "tree", "page", F.col("b.node").alias("own"), F.get("nodes", F.col("b.node")).alias("node"), "b.key", "b.chars", "b.linked")
+    rows = materialize(rows.distinct(), "placed")  # a page that is there twice counts once
+    by_node = rows.groupBy("host", "node").agg(F.count_distinct("page").alias("pages"))
+    often = rows.groupBy("host", "node", "key").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= LEAST_PAGES)
+    stays = often.join(by_node, ["host", "node"]).where(F.col("n") >= CONSTANT * F.col("pages")).select("host", "node", "key", F.lit(True).alias("stays"))
+    rows = materialize(rows.join(stays, ["host", "node", "key"], "left").withColumn("stays", F.coalesce("stays", F.lit(False))), "staying")
+    free = F.col("chars") - F.col("linked")
+    free = free * free / (free + SHORT)
+    shown = rows.groupBy("host", "node").agg(
+        F.count_distinct("page").alias("pages"), F.sum(free * F.when(F.col("stays"), STAYING).otherwise(1.0)).alias("weight"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked")
+    )
+    shown = shown.select("host", "node", *[(F.col(c) / F.col("pages")).alias(c) for c in ("weight", "chars", "linked")])
+    parts = materialize(main_parts(aligned, shown), "main")
+    main = rows.join(parts.select("host", "tree", "main"), ["host", "tree"]).where(F.get("main", F.col("own")))
+    each = main.groupBy("host", "page").agg(F.sum("chars").alias("all"), F.sum(F.when(~F.col("stays"), F.col("chars"))).alias("varying"))
+    other = main.where("stays").join(each, ["host", "page"]).withColumn("share", F.coalesce("varying", F.lit(0)) / F.greatest(F.col("all") - F.col("chars"), F.lit(1)))
+    fixed = other.groupBy("host", "node", "key").agg(F.avg("share").alias("share")).where(F.col("share") >= DIFFERENT)
+    fixed = fixed.groupBy("host").agg(F.collect_set(F.struct("node", "key")).alias("fixed"))  # bounded by 1 / CONSTANT texts a slot's average
+    known = materialize(parts.join(fixed, "host", "left"), "known")
+    chosen = scanned.join(known, ["host", "tree"])
+    template = lambda b: F.coalesce(F.array_contains("fixed", F.struct(F.get("nodes", b["node"]).alias("node"), F.xxhash64(b["text"]).alias("key"))), F.lit(False))
+    blocks = F.filter("blocks", lambda b: F.get("main", b["node"]) & ~template(b))
+    text = F.array_join(F.transform(blocks, lambda b: b["text"]), "\n")
     return chosen.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 

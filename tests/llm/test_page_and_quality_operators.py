@@ -129,16 +129,31 @@ def test_merge_and_place():
     w = html_extract.merge(a, b)
     for t in (a, b):
         at = html_extract.place(t, w)
-        assert len(at) == len(set(at)) == write(t).count(",") + write(t).count("(") + 1
+        assert len(at) == len(set(at)) == write(t).count(",") + write(t).count("(") + 1 and -1 not in at
     assert read(write(w)) == w
-    roles = dict(zip(re.findall(r"[^(),]+", write(w)), html_extract.roles(w)))
-    assert roles["nav"] == roles["div.ad"] == roles["aside"] == roles["footer"] == "out" and roles["p"] == roles["h1"] == "main"
+    labels, parents = html_extract.flatten(w)
+    keep = html_extract.main_nodes(labels, parents, *[[float(x in ("p", "h1", "h2", "li", "div.ad", "aside", "footer")) * k for x in labels] for k in (50, 60, 0)])
+    kept = {x for x, k in zip(labels, keep) if k}
+    assert {"article", "p", "h1", "h2"} == kept
+
+
+def test_fold_keeps_containers_apart():
+    tree, blocks = html_extract.parse("<ul><li>a<li>b</ul><div><p>c<p>d</div><div><p>e</div><div><p>f</div><div><p>g</div>")
+    assert tree == "#(ul(li),div(p),div(p),div(p))"
+    assert [n for n, _, _ in blocks] == [2, 2, 4, 4, 6, 8, 8]
 
 
 def page(i, body):
     return f"<html><body><nav><a href='/{i}'>menu {i}</a></nav><header>Site</header><div class='cookie-notice'>We use cookies {i}</div>{body}<footer>(c)</footer></body></html>"
 
 
+def texts_of(spark, pages):
+    rows = [(i, f"http://{host}/{i}", html) for i, (host, html) in enumerate(pages)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(r["page_id"] for r in got) == list(range(len(rows)))
+    return [r["text"] for r in sorted(got, key=lambda r: r["page_id"])]
+
+
 def test_extract(spark):
     pages = [(i, f"http://h.example/{i}", page(i, f"<article><h1>Title {i}</h1><p>Text  {i} &lt;x&gt;</p><p>Share this</p><form>f</form><section class='comments'><p>nice {i}</p></section></article>")) for i in range(12)]
     pages += [(100, "http://g.example/", page(1, "<div id='content'><p>Only text</p><p><a href='x'>only a link</a></p></div>")), (101, None, None), (102, "nonsense", ""), (103, "http://h.example/z", "<p>bare")]
@@ -146,10 +161,70 @@ def test_extract(spark):
     assert len(got) == len(pages)
     for i in range(12):
         assert got[i]["text"] == f"Title {i}\nText {i} <x>" and got[i]["n_chars"] == len(got[i]["text"])
-    assert got[100]["text"] == "Only text" and got[101]["text"] == got[102]["text"] == "" and got[103]["text"] == "bare"
+    # a paragraph that is one link is text of the article like the others
+    assert got[100]["text"] == "Only text\nonly a link" and got[101]["text"] == got[102]["text"] == "" and got[103]["text"] == "bare"
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+WORDS = "river stone market winter letter garden engine copper harbour signal meadow lantern".split()
+
+
+def prose(seed, n=40):
+    rnd = random.Random(seed)
+    return " ".join(rnd.choice(WORDS) for _ in range(n)).capitalize() + "."
+
+
+def test_near_copies_prove_nothing(spark):
+    """Pages of a host that share their article but for a line keep it whole, however many there are."""
+    body = "".join(f"<p>{prose(k)}</p>" for k in range(6))
+    near = lambda host, n: [(host, page(i, f"<article><h1>A shared heading</h1>{body}<p>Edition number {chr(97 + i)}.</p></article>")) for i in range(n)]
+    got = texts_of(spark, near("a.example", 12) + near("b.example", 7))
+    for i, text in enumerate(got):
+        lines = text.split("\n")
+        assert lines[0] == "A shared heading" and lines[1:7] == [prose(k) for k in range(6)] and len(lines) == 8, i
+
+
+def unlabelled(host, i, comments):
+    talk = "".join(f"<div><p>{prose((i, k, 'c').__hash__(), 12)}</p></div>" for k in range(comments))
+    return host, (
+        f"<body><div><ul><li><a href=/a>Home {i}</a><li><a href=/b>About</a></ul></div><div>Cookies help us. We keep some of them for a long time to serve you.</div>"
+        f"<div><h1>Heading {i}</h1><p>{prose(i)}</p><p><a href='/x'>{prose(i + 500, 9)}</a></p><p>Get our letter each week, free of charge.</p><p>{prose(i + 900)}</p></div>{talk}<div>All rights are ours.</div></body>"
+    )
+
+
+def test_unlabelled_layout(spark):
+    """Plain divs: what varies and carries the text is the article; comments, notices, constant lines go."""
+    pages = [unlabelled("u.example", i, i % 3) for i in range(9)]
+    for i, text in enumerate(texts_of(spark, pages)):
+        assert text == f"Heading {i}\n{prose(i)}\n{prose(i + 500, 9)}\n{prose(i + 900)}", i
+
+
+def test_the_wrapper_decides(spark):
+    """The same pages, each on a host of its own, keep the line that only the host shows to be template."""
+    alone = texts_of(spark, [unlabelled(f"u{i}.example", i, 1) for i in range(4)])
+    assert all("Get our letter each week, free of charge." in t for t in alone)
+
+
+def test_two_layouts_of_a_host(spark):
+    pages = [("l.example", f"<body><div class='top'>Daily</div><article><h1>H {i}</h1><p>{prose(i)}</p><p>Write to the desk with your own news.</p></article></body>") for i in range(6)]
+    pages += [("l.example", f"<body><div class='top'>Daily</div><div class='story'><h1>S {i}</h1><p>{prose(i + 50)}</p></div></body>") for i in range(20)]
+    got = texts_of(spark, pages)
+    assert got[:6] == [f"H {i}\n{prose(i)}" for i in range(6)]
+    assert got[6:] == [f"S {i}\n{prose(i + 50)}" for i in range(20)]
+
+
+def test_deep_parts_keep_their_role(spark):
+    deep = "<div>" * 400
+    html = f"<body><article><h1>Top</h1><p>{prose(1)}</p>{deep}<nav><ul><li>menu one<li>menu two</ul></nav><div class='comments'><div><p>I say so</p></div></div><p>{prose(2)}</p></article></body>"
+    assert texts_of(spark, [("d.example", html)]) == [f"Top\n{prose(1)}\n{prose(2)}"]
+
+
+def test_class_words_yield_to_weight(spark):
+    """A class word on the element that holds the text is a name of the layout, not of a part to drop."""
+    html = f"<body class='has-sidebar'><div class='sidebar content'><h1>T</h1><p>{prose(3)}</p></div><div class='sidebar'><p>{prose(4, 8)}</p></div></body>"
+    assert texts_of(spark, [("w.example", html)]) == [f"T\n{prose(3)}"]
+
+
 # -- quality ------------------------------------------------------------------------------------
 
 def brute_counts(t):
