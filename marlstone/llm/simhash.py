@@ -33,6 +33,12 @@ BITS, RADIUS, SHINGLE = 64, 3, 3
 PAIR_COST = 1 / 4000
 #: A threshold is offered only where it has at most so many signatures.
 MOST_SIGNATURES = 100_000
+#: Highest bits of a partition's value whose counts are known, for the estimates.
+CELL_BITS = 12
+#: A value is crowded from this share of all rows on (so a partition has at most so many crowded values).
+CROWDED = 1 / 16384
+#: Members of a bucket that one group holds; more are dealt in blocks, each against each.
+SPLIT = 2048
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -164,13 +170,23 @@ def allocate(cost: np.ndarray, total: int) -> np.ndarray:
 
 
 class Plan:
-    """How fingerprints are indexed and probed: bit groups, and crowded values of each group."""
+    """How fingerprints are indexed and probed: bit groups, counts by the highest bits of each group, crowded values."""
 
-    def __init__(self, groups: list[list[int]], n: int, crowded: list[dict[int, int]], radius: int = RADIUS):
+    def __init__(self, groups: list[list[int]], n: int, crowded: list[dict[int, int]], radius: int = RADIUS, cells: list[np.ndarray] | None = None):
         self.groups, self.radius, self.n, self.crowded = groups, radius, n, crowded
         self.total = radius - len(groups) + 1
         self.crowded_values = [np.array(sorted(c), np.uint64) for c in crowded]
+        self.crowded_counts = [np.array([c[v] for v in sorted(c)], float) for c in crowded]
         self.masks = [masks_within(len(g), most_offered(len(g), radius)) for g in groups]
+        known = [min(CELL_BITS, len(g)) for g in groups]
+        cells = cells or [np.full(1 << k, n / 2.0**k) for k in known]
+        # near[i][e, cell]: expected members of the buckets that exactly e flips of a value of this cell reach
+        self.near = []
+        for g, k, count, masks in zip(groups, known, cells, self.masks):
+            at, rest, none = np.arange(1 << k), len(g) - k, np.zeros(1 << k)
+            reached = [sum((count[at ^ int(m)] for m in flips), none) for flips in masks_within(k, min(len(masks) - 1, k))]
+            exactly = [sum((comb(rest, e - f) * reached[f] for f in range(min(e, len(reached) - 1) + 1)), none) for e in range(len(masks))]
+            self.near.append(np.array(exactly) / 2.0**rest)
 
     def costs(self, fp: np.ndarray) -> np.ndarray:
         """Estimated price of signatures and candidates for each query, partition and threshold from -1 on.
@@ -180,16 +196,15 @@ class Plan:
         levels = self.radius + 2
         out = np.zeros((len(fp), len(self.groups), levels))
         for i, g in enumerate(self.groups):
-            even = self.n / 2.0 ** len(g)
-            values, counts = np.array(sorted(self.crowded[i]), np.uint64), np.array([self.crowded[i][v] for v in sorted(self.crowded[i])], float)
-            own, value = np.full(len(fp), even), project(fp, g)
-            if len(values):
-                at = np.minimum(np.searchsorted(values, value), len(values) - 1)
-                own = np.where(values[at] == value, counts[at], own)
+            value = project(fp, g)
+            cell = (value >> np.uint64(len(g) - min(CELL_BITS, len(g)))).astype(np.int64)
+            candidates = self.near[i][:, cell]
+            if len(self.crowded_values[i]):
+                at = np.minimum(np.searchsorted(self.crowded_values[i], value), len(self.crowded_values[i]) - 1)
+                candidates[0] = np.where(self.crowded_values[i][at] == value, self.crowded_counts[i][at], candidates[0])
             out[:, i, len(self.masks[i]) + 1 :] = 1e18
-            for e in range(1, len(self.masks[i]) + 1):
-                signatures = sum(len(x) for x in self.masks[i][:e])
-                out[:, i, e] = signatures + PAIR_COST * (own + even * (signatures - 1))
+            for e in range(len(self.masks[i])):
+                out[:, i, e + 1] = out[:, i, e] + len(self.masks[i][e]) + PAIR_COST * candidates[e]
         return out
 
     def entries(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,8 +247,8 @@ def _mix(value: np.ndarray, seed: np.uint64) -> np.ndarray:
 
 def make_plan(fps: DataFrame, radius: int = RADIUS) -> Plan:
     """A plan for distinct ``fps(fp)``: the number of partitions with the least expected work, the
-    correlated bit groups, and the crowded values: over a thousandth of all
-    rows (so a thousand for each partition at most) and over eight times an even share."""
+    correlated bit groups, how many rows each value of a group's highest bits has (``CELL_BITS``), and the
+    crowded values: over ``CROWDED`` of all rows and over eight times an even share."""
     n, both = bit_moments(fps)
 
     def work(m: int) -> float:
@@ -249,9 +264,14 @@ def make_plan(fps: DataFrame, radius: int = RADIUS) -> Plan:
     groups = group_bits(n, both, m)
     sources = [F.struct(F.lit(i).alias("part"), _project_sql(g).alias("value")) for i, g in enumerate(groups)]
     counts = fps.select(F.explode(F.array(*sources)).alias("x")).groupBy("x.part", "x.value").agg(F.count("*").alias("n"))
-    least = F.element_at(F.array(*[F.lit(float(max(64, n / 1000, 8 * n / 2.0 ** len(g)))) for g in groups]), F.col("part") + 1)
+    least = F.element_at(F.array(*[F.lit(float(max(64, n * CROWDED, 8 * n / 2.0 ** len(g)))) for g in groups]), F.col("part") + 1)
     rows = counts.where(F.col("n") > least).collect()
-    return Plan(groups, n, [{r["value"]: r["n"] for r in rows if r["part"] == i} for i in range(m)], radius)
+    known = [min(CELL_BITS, len(g)) for g in groups]
+    cells = [np.zeros(1 << k) for k in known]
+    tops = [F.struct(F.lit(i).alias("part"), _project_sql(g[:k]).cast("int").alias("cell")) for i, (g, k) in enumerate(zip(groups, known))]
+    for r in fps.select(F.explode(F.array(*tops)).alias("x")).groupBy("x.part", "x.cell").agg(F.count("*").alias("n")).collect():
+        cells[r["part"]][r["cell"]] = r["n"]
+    return Plan(groups, n, [{r["value"]: r["n"] for r in rows if r["part"] == i} for i in range(m)], radius, cells)
 
 
 def _project_sql(bits: list[int]):
@@ -302,8 +322,9 @@ def _links_in(keys: np.ndarray, fp: np.ndarray, radius: int) -> tuple[list[np.nd
 def bucket_links(entries: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links ``(u, v)`` between the fingerprints that share a bucket of ``entries(bucket, fp)``.
 
-    Rows come sorted by bucket; a bucket cut by a batch boundary is carried over.  Members are
-    distinct fingerprints (16 bytes a row), and crowded buckets have been dealt again.
+    Rows come sorted by bucket; a bucket cut by a batch boundary is carried over.  A bucket of more
+    than ``SPLIT`` members is dealt in blocks by hash, each block against each, so no task holds more
+    than two blocks of it.  Repeated entries count once, none give no links, nulls are not allowed.
     """
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -321,11 +342,25 @@ def bucket_links(entries: DataFrame, radius: int = RADIUS) -> DataFrame:
             us, vs = _links_in(keys, fp, radius)
             yield pa.RecordBatch.from_arrays([np.concatenate(us).view(np.int64), np.concatenate(vs).view(np.int64)], schema=schema)
 
-    return entries.select("bucket", "fp").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "u long, v long")
+    return _dealt(entries).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "u long, v long")
+
+
+def _dealt(entries: DataFrame, split: int = SPLIT) -> DataFrame:
+    """``entries(bucket, fp)`` with large buckets cut: every two members of a bucket share a bucket of the result."""
+    entries = materialize(entries.select("bucket", "fp"), "entries")
+    sizes = entries.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > split)
+    parts = F.ceil(F.col("n") / split)
+    own = F.pmod(F.xxhash64("fp"), parts)
+    others = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda k: F.xxhash64("bucket", F.least(own, k), F.greatest(own, k)))
+    keys = F.when(F.col("n").isNull(), F.array("bucket")).otherwise(others)
+    return entries.join(sizes, "bucket", "left").select(F.explode(keys).alias("bucket"), "fp")
 
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``(u, v)`` links that connect the distinct ``fps(fp)`` exactly as all pairs within the radius do."""
+    """``(u, v)`` links that connect the distinct ``fps(fp)`` exactly as all pairs within the radius do.
+
+    Repeated fingerprints give no link of their own; null ones are not allowed; no rows give no links.
+    """
     plan = make_plan(fps, radius)
     spark = fps.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20_000)

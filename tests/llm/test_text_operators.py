@@ -147,6 +147,30 @@ def test_crowded_values_lose_no_link():
             assert any({a, a ^ 0b101} <= b for b in buckets.values())
 
 
+def test_estimates_count_what_probes_reach():
+    """The plan's expected candidates equal the average over all probes of buckets filled evenly inside a cell."""
+    rnd = np.random.default_rng(2)
+    groups = [list(range(14)), list(range(14, 64))]
+    count = rnd.integers(0, 50, 1 << 12).astype(float)
+    plan = simhash.Plan(groups, int(count.sum()), [{}, {}], 3, [count, np.full(1 << 12, 1.0)])
+    for cell in (0, 77, 4095):
+        value = cell << 2
+        for e in range(4):
+            reach = sum(count[(value ^ int(m)) >> 2] / 4 for m in simhash.masks_within(14, 3)[e])
+            assert np.isclose(plan.near[0][e, cell], reach)
+
+
+def test_large_buckets_keep_every_pair_together(spark):
+    rows = [(1, i) for i in range(50)] + [(2, 7), (2, 8)]
+    dealt = simhash._dealt(spark.createDataFrame(rows, "bucket long, fp long"), 8).collect()
+    groups = {}
+    for r in dealt:
+        groups.setdefault(r["bucket"], set()).add(r["fp"])
+    assert groups[2] == {7, 8}
+    large = [g for b, g in groups.items() if b != 2]
+    assert all(any({i, j} <= g for g in large) for i in range(50) for j in range(i)) and max(map(len, large)) < 40
+
+
 def test_near_duplicates_edges(spark):
     got = simhash.near_duplicates(frame(spark, [*TEXTS, *TEXTS])).collect()
     by = {r["doc_id"]: r["component_id"] for r in got}
