@@ -18,6 +18,11 @@ def link_edges(files: DataFrame, path: str = "rel_path", text: str = "content")
     return rows.where("dst is not null").distinct()
 
 
+def anchors(links: DataFrame) -> DataFrame:
+    """``(src, dst, anchor)`` of ``links(src, dst, pos, anchor)``: the text of the last link from one file to another."""
+    return links.groupBy("src", "dst").agg(F.max_by("anchor", "pos").alias("anchor"))
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
     """``(path, outbound, inbound)``, both sorted."""
     out = edges.groupBy(F.col("src").alias("path")).agg(F.array_sort(F.collect_set("dst")).alias("outbound"))

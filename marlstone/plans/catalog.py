@@ -483,3 +483,13 @@ def compiled_bundle(spark: SparkSession, sf: str) -> DataFrame:
     docs = parse(pages, "page_id", "url", "html").join(pages.select("page_id", X.canonical_url("url").alias("uri"), F.sha2("html", 256).alias("source_hash")), "page_id")
     out = compile_bundle(docs.select("uri", "source_hash", F.lit("1970-01-01T00:00:00Z").alias("retrieved_at"), "title", "blocks"), "Pages")
     return out.select("rel_path", F.sha2("content", 256).alias("sha256"))
+
+
+def _register_bundles() -> None:
+    from marlstone.plans import bundles
+
+    QUERIES.update(bundles.QUERIES)
+    ORACLE_SQL.update(bundles.ORACLE_SQL)
+
+
+_register_bundles()
