@@ -14,6 +14,7 @@ from marlstone.operators import ask, bundle, graph, lint, search
 from marlstone.session import materialize
 from marlstone.sources.files import bundle as read_bundle
 from marlstone.sources.markdown import parse_files, parse_row
+from marlstone.sources.records import manifest as manifest_entries
 
 
 class Refused(ValueError):
@@ -44,9 +45,9 @@ class Explorer:
 
     @cached_property
     def edges(self) -> DataFrame:
-        rows = self.files.where(F.col("rel_path").endswith(".md")).select(F.col("rel_path").alias("src"), F.explode(links(F.decode("content", "utf-8"))).alias("l"))
-        rows = rows.where(~is_external("l.target")).select("src", resolve_target("l.target", "src").alias("dst"), F.col("l.text").alias("anchor"))
-        return rows.where("dst is not null").groupBy("src", "dst").agg(F.max("anchor").alias("anchor"))
+        rows = self.files.where(F.col("rel_path").endswith(".md")).select(F.col("rel_path").alias("src"), F.posexplode(links(F.decode("content", "utf-8"))).alias("pos", "l"))
+        rows = rows.where(~is_external("l.target")).select("src", resolve_target("l.target", "src").alias("dst"), "pos", F.col("l.text").alias("anchor"))
+        return graph.anchors(rows.where("dst is not null"))
 
     def _one(self, path: str) -> Any:
         asked = self.spark.createDataFrame([(path,)], "rel_path string")
@@ -109,7 +110,9 @@ class Explorer:
         return ask.answer(q, self.docs, self.edges, policy or ask.policy_for(), self.today).first().asDict(True)
 
     def lint(self) -> DataFrame:
-        return lint.lint(self.files, self.parsed)
+        """All findings; a manifest counts if the bundle has one."""
+        missing = lint.not_a_bundle(self.spark, self.root)
+        return missing if missing is not None else lint.lint(self.files, self.parsed, manifest_entries(self.files))
 
     def graph(self) -> dict[str, Any]:
         """Nodes with their trust tier, and edges between them."""
@@ -122,5 +125,9 @@ class Explorer:
 
     def diff(self, other: "Explorer") -> list[dict[str, Any]]:
         """Changes from this bundle to another."""
-        side = lambda e: e.files.join(e.parsed.select("rel_path", "title"), "rel_path", "left").withColumn("pin", F.lit(None).cast("string"))
+        def side(e: "Explorer") -> DataFrame:
+            matter = parse_files(e.files, references=True).where("error is null")
+            pin = F.concat_ws(" ", F.get_json_object("frontmatter", "$.uri"), F.get_json_object("frontmatter", "$.source_hash"))
+            return e.files.join(matter.select("rel_path", "title", F.nullif(pin, F.lit("")).alias("pin")), "rel_path", "left")
+
         return [r.asDict() for r in bundle.diff_revisions(side(self), side(other)).orderBy("rel_path").collect()]

@@ -84,7 +84,7 @@ def answer(questions: DataFrame, docs: DataFrame, edges: DataFrame, policy: Poli
     """``(qid, abstained, answer, evidence, citations, warnings)`` for ``questions(qid, text)``.
 
     ``docs(path, title, description, tags, body, status, stale_after, verified, resources)`` is the
-    bundle; ``edges(src, dst, anchor)`` are its links.  Ties keep navigation order: search rank,
+    bundle; ``edges(src, dst, anchor)`` are its links, one row for two files (``graph.anchors``).  Ties keep navigation order: search rank,
     then hop, then place in the document.
     """
     fields = {k: FIELD_WEIGHTS[k] for k in ("title", "description", "tags", "body")}
@@ -99,7 +99,7 @@ def answer(questions: DataFrame, docs: DataFrame, edges: DataFrame, policy: Poli
     asked = questions.select("qid", question_terms("text").alias("own_terms"))
     inner = edges.where(is_concept(F.col("dst")))
     hopped = hops(seeds.where(is_concept(F.col("path"))), inner.select("src", "dst"), policy.fanout)
-    anchors = inner.groupBy(F.col("src").alias("via"), F.col("dst").alias("path")).agg(F.max("anchor").alias("anchor"))
+    anchors = inner.select(F.col("src").alias("via"), F.col("dst").alias("path"), "anchor")
     hopped = hopped.join(anchors, ["via", "path"], "left").select("qid", "path", (F.col("hop") + 1000).alias("nav"), question_terms(F.coalesce("anchor", F.lit(""))).alias("more"))
     read = seeds.select("qid", "path", F.col("pos").alias("nav"), F.array().cast("array<string>").alias("more")).unionByName(hopped).join(asked, "qid")
     read = read.select("qid", "path", "nav", "own_terms", F.array_union("own_terms", "more").alias("terms"))

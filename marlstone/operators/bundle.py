@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import estimate_tokens, links, log_entry
+from marlstone.session import materialize
 
 LIST_MOST, PEEK_LINES, PEEK_CHARS, READ_CHARS, LINKS_MOST, HISTORY_MOST = 200, 100, 8_000, 40_000, 32, 100
 CONTENTS, CONTENTS_CHARS = 25, 240
@@ -62,7 +63,7 @@ def listing(concepts: DataFrame, path: str, directory: str = "", *filters: Colum
     kept = concepts.where(F.col(path).startswith(directory))
     for f in filters:
         kept = kept.where(f)
-    total = kept.agg(F.count("*").alias("total"))
+    total = kept.agg(F.count("*").alias("total"))  # one row
     top = kept.orderBy(path).limit(max(1, min(limit, LIST_MOST)))
     return top.join(F.broadcast(total))
 
@@ -185,9 +186,34 @@ def unique_slugs(df: DataFrame, slug: str, *order: str) -> DataFrame:
     return df.withColumn("unique_slug", F.when(n == 1, F.col(slug)).otherwise(F.concat(slug, F.lit("-"), n.cast("string"))))
 
 
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """Adds ``nth``, 1 onwards in the given order, without putting all rows into one task.
+
+    Rows are sorted by ranges and written; each range's numbers begin after the rows before it.
+    """
+    dealt = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = {r["_range"]: r["count"] for r in dealt.groupBy("_range").count().collect()}  # one row a partition
+    starts, total = [], 0
+    for k in sorted(sizes):
+        starts.append((k, total))
+        total += sizes[k]
+    before = df.sparkSession.createDataFrame(starts, "_range int, _before long")
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.join(before, "_range").withColumn("nth", own + F.col("_before")).drop("_range", "_before")
+
+
 def source_ids(df: DataFrame, *order: str) -> DataFrame:
-    """``source-001`` onwards in acquisition order (a small registry table)."""
-    return df.withColumn("source_id", F.format_string("source-%03d", F.row_number().over(Window.orderBy(*order))))
+    """``source-001`` onwards in acquisition order."""
+    return numbered(df, *order).withColumn("source_id", F.format_string("source-%03d", "nth")).drop("nth")
+
+
+def contents(concepts: DataFrame, order: DataFrame, most: int = CONTENTS) -> DataFrame:
+    """``concepts(path)`` in the order ``order(path, pos)`` of the root index's links, others by path behind: the first ones, and the total."""
+    first = order.groupBy("path").agg(F.min("pos").alias("pos"))
+    total = concepts.agg(F.count("*").alias("total"))  # one row
+    top = concepts.join(first, "path", "left").orderBy(F.asc_nulls_last("pos"), "path").limit(most)
+    nth = F.row_number().over(Window.orderBy(F.asc_nulls_last("pos"), "path"))  # of at most ``most`` rows
+    return top.withColumn("nth", nth).drop("pos").join(F.broadcast(total))
 
 
 def overview(concepts: DataFrame, references: DataFrame, today: str | None) -> DataFrame:

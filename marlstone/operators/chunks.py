@@ -66,15 +66,31 @@ def normalize(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(x.cast("double")))
 
 
+def centroids(vectors: DataFrame, group: str, vector: str) -> DataFrame:
+    """``(group, centroid)``: the unit vector of each group's mean; null vectors don't count."""
+    parts = vectors.select(group, F.posexplode(vector).alias("i", "v")).groupBy(group, "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    means = parts.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("x"))  # one entry a dimension
+    return means.select(group, normalize(F.transform("x", lambda x: x["v"])).alias("centroid"))
+
+
+#: Query vectors that stand beside the index at once.
+QUERY_BLOCK = 256
+
+
 def vector_topk(queries: DataFrame, vectors: DataFrame, qid: str, key: str, vector: str, top: int = TOP) -> DataFrame:
-    """``(qid, key, score)``: exact cosine search of a stated query set (vectors are unit length).
+    """``(qid, key, score, rank)``: exact cosine search of a stated query set (vectors are unit length).
 
-    The queries come in as one array column next to every vector, so each vector is read once and
-    scored in place; candidates are pruned to the best of each task before they move.
+    Queries are dealt into blocks of about ``QUERY_BLOCK``; every vector meets each block once and is
+    scored in place, and only the best ``top`` of each task and query move on.  A block is a bounded
+    array, so what stands beside the index never grows with the number of queries; the blocks are
+    broadcast only by Spark's own size check.  Null vectors match nothing; an empty side gives no rows.
     """
-    asked = queries.agg(F.collect_list(F.struct(F.col(qid).alias("qid"), F.col(vector).alias("q"))).alias("asked"))
-    rows = vectors.join(F.broadcast(asked)).select(F.col(key), F.col(vector), F.explode("asked").alias("a"))
-    scored = rows.select(F.col("a.qid").alias(qid), key, F.round(dot(F.col("a.q"), F.col(vector)), 6).alias("score")).where(F.col("score") > 0)
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    dealt = queries.where(F.col(vector).isNotNull()).withColumn("block", F.pmod(F.xxhash64(qid), F.lit(blocks)).cast("int"))
+    asked = dealt.groupBy("block").agg(F.collect_list(F.struct(F.col(qid).alias("qid"), F.col(vector).alias("q"))).alias("asked"))
+    rows = vectors.select(key, vector, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).join(asked, "block")
+    scores = F.transform("asked", lambda a: F.struct(a["qid"].alias("qid"), F.round(dot(a["q"], F.col(vector)), 6).alias("score")))
+    scored = rows.select(key, F.explode(F.filter(scores, lambda x: x["score"] > 0)).alias("a")).select(F.col("a.qid").alias(qid), key, F.col("a.score").alias("score"))
     order = Window.partitionBy(qid).orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 

@@ -6,7 +6,7 @@ has_frontmatter, frontmatter (variant as JSON text), body, type, title, status,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import footnote_definitions, footnote_references, is_external, links, normalize_path, ratio, resolve_target, strip
@@ -41,6 +41,8 @@ def lint(files: DataFrame, parsed: DataFrame, manifest: DataFrame | None = None,
     """
     spark, out = files.sparkSession, []
     names = files.select("rel_path")
+    text = files.where("rel_path = 'manifest.json'").select("rel_path", F.decode("content", "utf-8").alias("text"))
+    out.append(finding(text.where(F.try_parse_json("text").isNull()), "conformance/invalid-manifest", ERROR, F.lit("manifest.json is not valid JSON")))
     one = spark.range(1)
     for name, code, sev, msg in (("index.md", "conformance/missing-index", ERROR, "bundle has no root index.md"), ("log.md", "hygiene/missing-log", WARNING, "bundle has no revision-level log.md")):
         missing = one.join(names.where(F.col("rel_path") == name).select(F.lit(0).cast("long").alias("id")), "id", "left_anti")
@@ -66,6 +68,15 @@ def lint(files: DataFrame, parsed: DataFrame, manifest: DataFrame | None = None,
     return result
 
 
+def not_a_bundle(spark: SparkSession, root: str) -> DataFrame | None:
+    """The one finding of a root that is no folder, else None."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(path) and fs.getFileStatus(path).isDirectory():
+        return None
+    return finding(spark.range(1), "conformance/not-a-bundle", ERROR, F.lit(f"{root} is not a directory"), F.lit(""))
+
+
 def concept_rules(concepts: DataFrame, large: int = LARGE) -> list[DataFrame]:
     """Row-local rules of concept files."""
     matter = concepts.where("has_frontmatter")

@@ -176,11 +176,12 @@ def bow_cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
     WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-    s AS (SELECT q.vec_id AS query_id, e.vec_id AS vec_id, round(list_dot_product(q.v, e.v), 6) AS score FROM e q, e WHERE q.vec_id < 10 AND q.vec_id <> e.vec_id)
+    s AS (SELECT q.vec_id AS query_id, e.vec_id AS vec_id, round(list_dot_product(q.v, e.v), 6) AS score FROM e q, e WHERE q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id)
     SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 5""")
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest five of every vector whose id is divisible by 100, against all vectors."""
     e = table(spark, sf, "embeddings")
-    q = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     rows = chunks.vector_topk(q, e, "query_id", "vec_id", "embedding", 6).where("query_id <> vec_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return rows.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 5")
@@ -191,10 +192,7 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     m AS (SELECT label, i, avg(v) AS v FROM x GROUP BY ALL)
     SELECT label, i, round(v / sqrt(sum(v * v) OVER (PARTITION BY label)), 6) AS v FROM m""")
 def vector_centroid(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("i", "v"))
-    mean = rows.groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
-    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("label")))
-    return mean.select("label", F.col("i").cast("long"), F.round(F.col("v") / norm, 6).alias("v"))
+    return chunks.centroids(table(spark, sf, "embeddings"), "label", "embedding").select("label", F.posexplode("centroid").alias("i", "v")).select("label", F.col("i").cast("long"), F.round("v", 6).alias("v"))
 
 
 @query("SELECT source, doc_id, CAST(running AS BIGINT) AS running FROM (SELECT source, doc_id, sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS running FROM documents) WHERE running <= 20000")
@@ -248,14 +246,6 @@ def html_title_links(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("page_id", "title", "href", F.col("pos").cast("long"))
 
 
-@query()
-def html_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    from marlstone.sources.web import html_blocks as parse
-
-    rows = parse(table(spark, sf, "pages"), "page_id", "url", "html")
-    return rows.select("page_id", "title", F.explode("blocks").alias("b")).groupBy("page_id", "title", "b.kind").agg(F.count("*").alias("n"), F.sum(F.length("b.text")).alias("chars"))
-
-
 _HREFS = "regexp_extract_all(html, '<a\\s[^>]*?href=\"([^\"]*)\"', 1)"
 _PATH = "regexp_extract(url, '^[a-z]+://[^/]*/([^?#]*)', 1)"
 _EDGES = f"SELECT DISTINCT {_PATH} AS src, ltrim(unnest({_HREFS}), '/') AS dst FROM pages"
@@ -304,9 +294,8 @@ def overview_hist(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT doc_id, lang, (SELECT count(*) FROM documents JOIN labels USING (doc_id) WHERE source = 'src3' AND quality = 1) AS total FROM documents JOIN labels USING (doc_id) WHERE source = 'src3' AND quality = 1 ORDER BY doc_id LIMIT 50")
 def list_filtered(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "documents").select("doc_id", "lang", "source").join(table(spark, sf, "labels"), "doc_id").where("source = 'src3' and quality = 1")
-    top = rows.orderBy("doc_id").limit(50).select("doc_id", "lang")
-    return top.withColumn("total", F.lit(rows.count()).cast("long"))
+    rows = table(spark, sf, "documents").select("doc_id", "lang", "source").join(table(spark, sf, "labels"), "doc_id")
+    return bundle.listing(rows, "doc_id", "", F.col("source") == "src3", F.col("quality") == 1).select("doc_id", "lang", "total")
 
 
 @query("""
@@ -376,15 +365,6 @@ def lint_findings(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("code", "severity", "path")
 
 
-@query("""
-    SELECT count(*) AS concepts, count(*) FILTER (quality IS NOT NULL) AS labelled, count(*) FILTER (toxic = 1) AS toxic,
-           round(count(*) FILTER (quality IS NOT NULL) / count(*), 4) AS coverage FROM documents LEFT JOIN labels USING (doc_id)""")
-def health_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left")
-    out = rows.agg(F.count("*").alias("concepts"), F.count("quality").alias("labelled"), F.count_if(F.col("toxic") == 1).alias("toxic"))
-    return out.withColumn("coverage", X.ratio(F.col("labelled"), F.col("concepts")))
-
-
 @query("""
     WITH d AS (SELECT doc_id, 'docs/' || doc_id || '.md' AS p, CASE WHEN toxic = 1 THEN 'deprecated' WHEN quality = 0 THEN 'draft' ELSE 'stable' END AS status, quality FROM documents LEFT JOIN labels USING (doc_id))
     SELECT doc_id, p || ': status is draft — content is unreviewed' AS warning FROM d WHERE status = 'draft'
@@ -453,14 +433,6 @@ def events_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
-@query()
-def markdown_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    from marlstone.sources.markdown import normalize
-
-    rows = normalize(table(spark, sf, "documents"), "doc_id", "text")
-    return rows.select("doc_id", F.size("blocks").cast("long").alias("n_blocks"), X.content_hash("blocks").alias("content_hash"))
-
-
 @query()
 def ask_answers(spark: SparkSession, sf: str) -> DataFrame:
     from marlstone.operators.ask import answer
@@ -486,10 +458,11 @@ def compiled_bundle(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _register_bundles() -> None:
-    from marlstone.plans import bundles
+    from marlstone.plans import bundles, texts
 
-    QUERIES.update(bundles.QUERIES)
-    ORACLE_SQL.update(bundles.ORACLE_SQL)
+    for module in (bundles, texts):
+        QUERIES.update(module.QUERIES)
+        ORACLE_SQL.update(module.ORACLE_SQL)
 
 
 _register_bundles()

@@ -32,10 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is absent (tests, a laptop) a local folder is made up.
+    Only where the setting is absent and the session is a local one (tests, a laptop) a local folder
+    is made up; on a cluster its absence is an error, for no other machine would see that folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
     return base.rstrip("/")
 

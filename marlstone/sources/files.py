@@ -56,13 +56,50 @@ def ignored(path: Column, patterns: list[str]) -> Column:
     return out
 
 
+def listed(spark: SparkSession, root: str, max_bytes: int = ITEM_BYTES) -> DataFrame:
+    """``(path, content, length)`` of every file below a root, those with a part that begins with ``_`` too.
+
+    Spark's own listing passes such files over.  They are found through the file system and read on
+    the driver: a few bookkeeping files of a tree (more than ``MAX_ITEMS`` are an error).
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content", "length")
+    jvm = spark.sparkContext._jvm
+    base = jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    start, todo, hidden = fs.makeQualified(base), [], []
+    todo.append((start, False))
+    while todo:
+        folder, below = todo.pop()
+        for status in fs.listStatus(folder):
+            name = status.getPath().getName()
+            if name.startswith("."):
+                continue
+            odd = below or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+            if status.isDirectory():
+                todo.append((status.getPath(), odd))
+            elif odd and not status.isSymlink():
+                hidden.append((status.getPath(), status.getLen()))
+    if not hidden:
+        return raw
+    if len(hidden) > MAX_ITEMS:
+        raise ValueError(f"{len(hidden)} files begin with _, more than {MAX_ITEMS}")
+    rows = []
+    for path, size in hidden:
+        stream = fs.open(path)
+        try:
+            rows.append((path.toString(), bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)) if size <= max_bytes else None, size))
+        finally:
+            stream.close()
+    return raw.unionByName(spark.createDataFrame(rows, "path string, content binary, length long"))
+
+
 def scan(spark: SparkSession, root: str, ignore: list[str] = (), after: str | None = None, max_bytes: int = ITEM_BYTES) -> DataFrame:
     """``(rel_path, uri, media_type, content, source_hash)`` of supported files below a root that Spark can list.
 
     Hidden and ignored paths are left out; ``after`` resumes behind a URI; an oversized file is an error.
     """
     base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+    raw = listed(spark, base, max_bytes)
     rel = F.regexp_replace(F.col("path"), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:/*)?/?" + re.escape(re.sub(r"^[a-z]+:/*", "", base).lstrip("/")) + "/", "")
     rows = raw.select(rel.alias("rel_path"), "content", "length").withColumn("media_type", media_type(F.col("rel_path")))
     rows = rows.where(F.col("media_type").isNotNull() & ~F.exists(F.split("rel_path", "/"), lambda p: p.startswith(".")) & ~ignored(F.col("rel_path"), list(ignore)))
@@ -82,7 +119,7 @@ def capped(df: DataFrame, most: int = MAX_ITEMS) -> DataFrame:
 def bundle(spark: SparkSession, root: str) -> DataFrame:
     """``(rel_path, content)`` of every visible file below a root."""
     base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+    raw = listed(spark, base)
     tail = re.sub(r"^[a-z]+:/*", "", base).strip("/")
     rel = F.substring_index(F.col("path"), f"{tail}/", -1)
     return raw.select(rel.alias("rel_path"), "content").where(~F.exists(F.split("rel_path", "/"), lambda p: p.startswith(".")))

@@ -21,7 +21,7 @@ PLAIN_DROPS = ("okf_version", "type", "status", "generated", "verified", "source
 
 #: Line patterns of fences, headings and list items.
 _FENCE = re.compile(r"(```+|~~~+)\s*([\w+.-]*)\s*")
-_HEADING = re.compile(r"(#{1,6})\s+(.*?)(?:\s+#+)?\s*")
+_HEADING = re.compile(r"(#{1,6})\s+(.+?)\s*#*\s*")
 _ITEM = re.compile(r"\s*(?:[-*+]|\d{1,9}[.)])\s+")
 
 
@@ -72,6 +72,23 @@ def plain_profile(data: dict, extension: str = EXTENSION) -> dict:
     return {k: v for k, v in data.items() if k not in PLAIN_DROPS and not str(k).startswith(extension)}
 
 
+def rewrite_files(files: DataFrame) -> DataFrame:
+    """``(rel_path, written, plain)``: files in canonical form, and in the plain profile; nulls where there is no frontmatter."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path, content in zip(b["rel_path"], b["content"]):
+                try:
+                    data, body, _, _ = split_frontmatter(bytes(content).decode("utf-8"))
+                except UnicodeDecodeError:
+                    data = None
+                rows.append((path, None, None) if data is None else (path, write_frontmatter(data, body), write_frontmatter(plain_profile(data), body)))
+            yield pd.DataFrame(rows, columns=["rel_path", "written", "plain"])
+
+    return files.where(F.col("rel_path").endswith(".md")).select("rel_path", "content").mapInPandas(run, "rel_path string, written string, plain string")
+
+
 def slug(text: str, used: set[str]) -> str:
     """A heading's anchor, numbered from -2 when taken."""
     base = re.sub(r"[^a-z0-9]+", "-", text.lower()).strip("-") or "section"

@@ -30,8 +30,12 @@ def conversations(spark: SparkSession, path: str) -> DataFrame:
     Turns are numbered by their place among the log's lines, so numbers rise but may leave gaps.
     """
     raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("conv_id"), "value")
-    rows = raw.select("conv_id", F.posexplode(F.split("value", "\n")).alias("turn", "line")).where("turn > 0")
-    parsed = rows.select("conv_id", "turn", F.from_json("line", TURN, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("t"))
+    return parse_turns(raw.select("conv_id", F.posexplode(F.split("value", "\n")).alias("turn", "line")).where("turn > 0"))
+
+
+def parse_turns(lines: DataFrame) -> DataFrame:
+    """Turns among the JSON ``lines(conv_id, turn, line)`` of conversation logs."""
+    parsed = lines.select("conv_id", "turn", F.from_json("line", TURN, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("t"))
     return parsed.where("t._bad is null and t.type = 'turn'").select("conv_id", "turn", "t.role", "t.text", "t.citations")
 
 

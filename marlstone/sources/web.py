@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import canonical_url
-from marlstone.sources.markdown import BLOCKS
+from marlstone.sources.markdown import ANCHORS, BLOCKS, slug
 
 MAX_PAGES, MAX_SITEMAPS = 100, 10
 SKIP = frozenset({"script", "style", "noscript", "template", "svg"})
@@ -108,6 +108,11 @@ def sitemap_urls(df: DataFrame, xml: str) -> DataFrame:
     return safe.select(F.explode(F.expr(f"xpath({xml}, \"//*[local-name()='loc']/text()\")")).alias("loc")).select(F.trim("loc").alias("loc"))
 
 
+def in_scope(url: Column, host: Column) -> Column:
+    """Whether a URL is http or https and of the host, port included; case of the host doesn't matter."""
+    return F.coalesce(F.lower(F.regexp_extract(url, r"^[Hh][Tt][Tt][Pp][Ss]?://(?:[^/?#@]*@)?([^/?#]*)", 1)) == F.lower(host), F.lit(False)) & (host != "")
+
+
 def crawl(pages: DataFrame, seeds: DataFrame, edges: DataFrame, host: str, limit: int = MAX_PAGES, rounds: int = 20) -> DataFrame:
     """Breadth-first crawl over ``pages(url, html)`` along ``edges(src, dst)``; at most ``limit`` pages of one host.
 
@@ -115,8 +120,8 @@ def crawl(pages: DataFrame, seeds: DataFrame, edges: DataFrame, host: str, limit
     frontier never exceeds the page limit.
     """
     known = pages.select(canonical_url("url").alias("url"), "html").dropDuplicates(["url"])
-    in_scope = lambda c: c.rlike(r"^https?://") & (F.parse_url(c, F.lit("HOST")) == host)
-    frontier = seeds.select(canonical_url("url").alias("url")).where(in_scope(F.col("url"))).distinct()
+    ours = lambda c: in_scope(c, F.lit(host))
+    frontier = seeds.select(canonical_url("url").alias("url")).where(ours(F.col("url"))).distinct()
     seen: list[str] = []
     for _ in range(rounds):
         new = [r["url"] for r in frontier.orderBy("url").limit(limit - len(seen)).collect()]  # bounded by the page limit
@@ -124,70 +129,110 @@ def crawl(pages: DataFrame, seeds: DataFrame, edges: DataFrame, host: str, limit
             break
         seen += new
         step = edges.select(canonical_url("src").alias("src"), canonical_url("dst").alias("url")).where(F.col("src").isin(new))
-        frontier = step.select("url").where(in_scope(F.col("url")) & ~F.col("url").isin(seen)).distinct()
+        frontier = step.select("url").where(ours(F.col("url")) & ~F.col("url").isin(seen)).distinct()
     return known.where(F.col("url").isin(seen)).orderBy("url")
 
 
 class _Blocks(HTMLParser):
-    """Headings, paragraphs, cells, items, code and quotes of a page, its title and its links."""
+    """Headings, paragraphs, cells, lists, code and quotes of a page, its title, heading anchors and links.
+
+    A block is what stands between its start and end tag; one that another start tag cuts off gives
+    nothing.  A list is one block of its items; a list inside it starts the items anew.
+    """
 
-    KINDS = {"p": "paragraph", "td": "paragraph", "th": "paragraph", "pre": "code", "blockquote": "quote", "li": "list"} | {f"h{i}": "heading" for i in range(1, 7)}
+    PLAIN = {"p": "paragraph", "td": "paragraph", "th": "paragraph", "pre": "code", "blockquote": "quote"} | {f"h{i}": "heading" for i in range(1, 7)}
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.blocks: list[dict] = []
+        self.anchors: list[dict] = []
         self.links: list[dict] = []
-        self.title, self.skip, self.open = "", 0, None
-        self.text: list[str] = []
-        self.href, self.anchor, self.in_title = None, [], False
-
-    def _flush(self) -> None:
-        raw = "".join(self.text)
-        tag = self.open or "p"
-        text = raw.strip("\n") if tag == "pre" else " ".join(raw.split())
+        self.title: str | None = None
+        self.slugs: set[str] = set()
+        self.hidden = 0
+        self.head: list[str] | None = None  # parts of an open title
+        self.parts: list[str] | None = None  # of an open block
+        self.items: list[str] | None = None  # of an open list
+        self.link: tuple[str, list[str]] | None = None
+
+    def _taken(self) -> str:
+        parts, self.parts = self.parts or [], None
+        return "".join(parts)
+
+    def _put(self, kind: str, text: str, level: int | None = None, anchor: str | None = None) -> None:
         if text:
-            kind = self.KINDS[tag]
-            self.blocks.append({"kind": kind, "text": f"- {text}" if tag == "li" else text, "level": int(tag[1]) if kind == "heading" else None, "language": None, "anchor_id": None})
-        self.text, self.open = [], None
+            self.blocks.append({"kind": kind, "text": text, "level": level, "language": None, "anchor_id": anchor})
+
+    def _close_link(self) -> None:
+        if self.link:
+            self.links.append({"target": self.link[0], "text": one_line("".join(self.link[1]))})
+        self.link = None
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in SKIP:
-            self.skip += 1
-        elif tag == "title":
-            self.in_title = True
+        self.hidden += tag in SKIP
+        if self.hidden:
+            return
+        if tag == "title":
+            self.head = []
         elif tag == "a" and dict(attrs).get("href"):
-            self.href, self.anchor = dict(attrs)["href"], []
-        if tag in self.KINDS:
-            self._flush()
-            self.open = tag
-        elif tag == "br":
-            self.text.append("\n" if self.open == "pre" else " ")
+            self._close_link()
+            self.link = (dict(attrs)["href"], [])
+        elif tag == "br" and self.parts is not None:
+            self.parts.append("\n")
+        elif tag in ("ul", "ol"):
+            self._taken()
+            self.items = []
+        elif tag in self.PLAIN or (tag == "li" and self.items is not None):
+            self.parts = []
 
     def handle_endtag(self, tag: str) -> None:
         if tag in SKIP:
-            self.skip = max(0, self.skip - 1)
-        elif tag == "title":
-            self.in_title = False
-        elif tag == "a" and self.href:
-            self.links.append({"target": self.href, "text": " ".join("".join(self.anchor).split())})
-            self.href = None
-        if tag in self.KINDS:
-            self._flush()
+            self.hidden = max(0, self.hidden - 1)
+        if self.hidden or tag in SKIP:
+            return
+        if tag == "title":
+            self.title = self.title or one_line("".join(self.head or [])) or None
+            self.head = None
+        elif tag == "a":
+            self._close_link()
+        elif tag == "li":
+            text = one_line(self._taken())
+            if text and self.items is not None:
+                self.items.append(f"- {text}")
+        elif tag in ("ul", "ol"):
+            self._put("list", "\n".join(self.items or []))
+            self.items = None
+        elif tag in self.PLAIN:
+            raw, kind = self._taken(), self.PLAIN[tag]
+            text = raw.strip("\n") if kind == "code" else one_line(raw)
+            if kind == "heading" and text:
+                name = slug(text, self.slugs)
+                self.anchors.append({"id": name, "kind": "heading", "value": text})
+                self._put(kind, text, int(tag[1]), name)
+            else:
+                self._put(kind, text)
 
     def handle_data(self, data: str) -> None:
-        if self.skip:
+        if self.hidden:
+            return
+        if self.head is not None:
+            self.head.append(data)
             return
-        if self.in_title:
-            self.title += data
-        else:
-            if self.open:
-                self.text.append(data)
-            if self.href:
-                self.anchor.append(data)
+        for parts in (self.link and self.link[1], self.parts):
+            if parts is not None:
+                parts.append(data)
+
+    def close(self) -> None:
+        super().close()
+        self._close_link()
+
+
+def one_line(text: str) -> str:
+    return " ".join(text.split())
 
 
 def html_blocks(df: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    """``(key, title, blocks, links)``; the title falls back to the first h1, the URL's stem, then its host."""
+    """``(key, title, blocks, anchors, links)``; the title falls back to the first h1, the URL's stem, then its host."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -196,16 +241,15 @@ def html_blocks(df: DataFrame, key: str, url: str, html: str) -> DataFrame:
                 p = _Blocks()
                 p.feed(h or "")
                 p.close()
-                p._flush()
                 parts = urlsplit(u or "")
                 stem = re.sub(r"[-_]+", " ", parts.path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]).strip()
                 h1 = next((x["text"] for x in p.blocks if x["kind"] == "heading" and x["level"] == 1), "")
                 links = [{"target": urljoin(u or "", x["target"]), "text": x["text"]} for x in p.links]
-                rows.append((k, " ".join(p.title.split()) or h1 or stem or parts.netloc, p.blocks, links))
-            yield pd.DataFrame(rows, columns=["key", "title", "blocks", "links"])
+                rows.append((k, p.title or h1 or stem or parts.netloc, p.blocks, p.anchors, links))
+            yield pd.DataFrame(rows, columns=["key", "title", "blocks", "anchors", "links"])
 
     kind = dict(df.dtypes)[key]
-    out = df.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html")).mapInPandas(run, f"key {kind}, title string, blocks {BLOCKS}, links array<struct<target:string,text:string>>")
+    out = df.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html")).mapInPandas(run, f"key {kind}, title string, blocks {BLOCKS}, anchors {ANCHORS}, links array<struct<target:string,text:string>>")
     return out.withColumnRenamed("key", key)
 
 
