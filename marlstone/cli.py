@@ -54,22 +54,13 @@ def serve(explorer: Explorer, source: TextIO, sink: TextIO) -> None:
 
 def build(spark, sources: str, target: str, name: str) -> str:
     """Compiles a folder of documents into a bundle folder; returns its revision id."""
-    from marlstone.operators.compile import compile_bundle
-    from marlstone.sources.files import documents, scan
-    from pyspark.sql import functions as F
-
-    docs = documents(scan(spark, sources)).where("error is null")
-    out = Path(target)
-    for r in compile_bundle(docs.select("uri", "source_hash", F.lit("1970-01-01T00:00:00Z").alias("retrieved_at"), "title", "blocks"), name).toLocalIterator():
-        path = out / r["rel_path"]
-        path.parent.mkdir(parents=True, exist_ok=True)
-        path.write_text(r["content"], encoding="utf-8")
-    revision = Explorer(spark, target).revision()
-    log = out / "log.md"
-    text = log.read_text() if log.exists() else "# Revision log\n\n"
-    if revision not in text:
-        log.write_text(f"{text}- {revision} — built from {sources}\n")
-    return revision
+    from marlstone.build import BuildError
+    from marlstone.build import build as run
+
+    out = run(spark, [sources], target, name)
+    if not out.passed:
+        raise BuildError("lint found errors; nothing was published")
+    return out.revision
 
 
 def main(argv: list[str] | None = None) -> int:

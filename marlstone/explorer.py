@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.stem import snippets, stems
 from marlstone.functions.text import clip_words, is_external, links, question_terms, resolve_target
+from marlstone.index import Index
 from marlstone.operators import ask, bundle, graph, lint, search
 from marlstone.session import materialize
 from marlstone.sources.files import bundle as read_bundle
 from marlstone.sources.markdown import parse_files, parse_row
 from marlstone.sources.records import manifest as manifest_entries
+from marlstone.store import Store
 
 
 class Refused(ValueError):
@@ -27,9 +29,18 @@ class Explorer:
     def __init__(self, spark: SparkSession, root: str, today: str | None = None):
         self.spark, self.root, self.today = spark, root, today
 
+    @cached_property
+    def index(self) -> Index | None:
+        """The written index of the published revision that this session is pinned to; None for a bare folder."""
+        store = Store(self.spark, self.root)
+        revision = store.current()
+        return Index(store, revision) if revision else None
+
     @cached_property
     def files(self) -> DataFrame:
         """The tree as it was when first read; later changes to the folder don't show."""
+        if self.index:
+            return self.index.store.tree(self.index.revision)
         return materialize(read_bundle(self.spark, self.root), "pinned")
 
     @cached_property
@@ -45,6 +56,8 @@ class Explorer:
 
     @cached_property
     def edges(self) -> DataFrame:
+        if self.index:
+            return self.index.links()
         rows = self.files.where(F.col("rel_path").endswith(".md")).select(F.col("rel_path").alias("src"), F.posexplode(links(F.decode("content", "utf-8"))).alias("pos", "l"))
         rows = rows.where(~is_external("l.target")).select("src", resolve_target("l.target", "src").alias("dst"), "pos", F.col("l.text").alias("anchor"))
         return graph.anchors(rows.where("dst is not null"))
@@ -64,10 +77,18 @@ class Explorer:
         out["types"] = {r["value"]: r["n"] for r in bundle.histogram(concepts, "type").orderBy("value").collect() if r["value"]}
         out["statuses"] = {r["value"]: r["n"] for r in bundle.histogram(concepts, "status").orderBy("value").collect() if r["value"]}
         out["tags"] = {r["value"]: r["n"] for r in bundle.histogram(tags, "tag").orderBy("value").collect() if r["value"]}
-        top = concepts.orderBy("rel_path").limit(bundle.CONTENTS).select("rel_path", "title", clip_words(F.coalesce("description", F.lit("")), bundle.CONTENTS_CHARS).alias("description"))
-        out["contents"] = [r.asDict() for r in top.collect()]
+        order = self._index_order()
+        named = concepts.select(F.col("rel_path").alias("path"), "title", clip_words(F.coalesce("description", F.lit("")), bundle.CONTENTS_CHARS).alias("description"))
+        top = bundle.contents(named, order).orderBy("nth").collect()
+        out["contents"] = [{"rel_path": r["path"], "title": r["title"], "description": r["description"]} for r in top]
+        out["contents_total"] = out["concepts"]
         return out
 
+    def _index_order(self) -> DataFrame:
+        """``(path, pos)`` of the root index's links, in the order of the page."""
+        index = self.files.where("rel_path = 'index.md'").select(F.posexplode(links(F.decode("content", "utf-8"))).alias("pos", "l"))
+        return index.where(~is_external("l.target")).select(resolve_target("l.target", F.lit("index.md")).alias("path"), "pos").where("path is not null")
+
     def list(self, directory: str = "", type: str | None = None, tag: str | None = None, status: str | None = None, limit: int = 50) -> dict[str, Any]:  # noqa: A002
         rows = self.parsed.where("error is null").select("rel_path", "type", "title", "tags", "status")
         tests = [F.col(k) == v for k, v in (("type", type), ("status", status)) if v]
@@ -79,7 +100,8 @@ class Explorer:
     def search(self, query: str, limit: int = 10) -> dict[str, Any]:
         q = self.spark.createDataFrame([(1, query)], "qid int, text string")
         flat = self.docs.where("path <> 'log.md'").withColumn("tags", F.array_join("tags", " "))
-        hits = search.bm25(flat, q, "path", "qid", search.FIELD_WEIGHTS, top=max(1, min(limit, 25)), split=stems)
+        top = max(1, min(limit, 25))
+        hits = self.index.search(q, top=top) if self.index else search.bm25(flat, q, "path", "qid", search.FIELD_WEIGHTS, top=top, split=stems)
         rows = hits.join(flat, "path").withColumn("terms", question_terms(F.lit(query)))
         rows = rows.select("path", bundle.kind(F.col("path")).alias("kind"), "title", ask.hit(F.coalesce("description", F.lit(""))).alias("description"), snippets(F.col("body"), F.col("terms")).alias("snippet"), "score", "rank")
         return {"results": [{k: v for k, v in r.asDict().items() if k != "rank"} for r in rows.orderBy("rank").collect()]}

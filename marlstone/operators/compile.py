@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import cache_key, clip_words, content_hash, digest_text, first_sentence, slugify
-from marlstone.operators.bundle import first_per_key
+from marlstone.functions.text import cache_key, content_hash, digest_text, first_sentence, slugify
+from marlstone.operators.bundle import first_per_key, unique_slugs
 from marlstone.operators.graph import related
+from marlstone.session import materialize
 from marlstone.sources.markdown import render
 
 HEADING_CHARS, ENTRY_CHARS, BODY_CHARS, LEAD = 200, 500, 10_000, 3
@@ -111,38 +112,37 @@ def with_cache(df: DataFrame, cache: DataFrame, key: str, value: str) -> tuple[D
     return joined, cache.unionByName(joined.select(key, value).distinct().join(cache, key, "left_anti"))
 
 
-def compile_bundle(docs: DataFrame, name: str, generator: str = "marlstone", at: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """``(rel_path, content)``: references, concepts and the root index of a bundle, by the deterministic provider.
+def compile_bundle(docs: DataFrame, name: str, generator: str = "marlstone", at: str = "1970-01-01T00:00:00Z", concepts: DataFrame | None = None) -> DataFrame:
+    """``(rel_path, content)``: references, concepts and the root index of a bundle.
 
-    The first document of a URI wins.  Paths are slugs, numbered when taken.
+    The first document of a URI wins.  Paths are slugs, numbered when taken.  ``concepts(uri, nth,
+    title, blocks, description, at)`` are the planned concepts; without them every document is one,
+    described by the deterministic provider's sentence.
     """
     docs = first_per_key(docs, "uri", "source_hash")
-    docs = docs.withColumn("slug", slugify("title"))
-    n = F.row_number().over(Window.partitionBy("slug").orderBy("uri"))
-    docs = docs.withColumn("slug", F.when(n == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), n.cast("string"))))
-    docs = docs.withColumn("source_id", F.concat(F.lit("source-"), F.substring(F.sha2("uri", 256), 1, 12)))
-    docs = docs.withColumns({"ref": F.concat(F.lit("references/"), "slug", F.lit(".md")), "path": F.concat(F.lit("concepts/"), "slug", F.lit(".md"))})
-    described = F.concat(F.lit("Grounded notes on "), F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.lit("this concept")), F.lit(", generated from the acquired source material."))
+    docs = unique_slugs(docs.withColumn("slug", slugify("title")), "slug", "uri").withColumn("slug", F.col("unique_slug")).drop("unique_slug")
+    docs = docs.withColumn("source_id", F.concat(F.lit("source-"), F.substring(F.sha2("uri", 256), 1, 12))).withColumn("ref", F.concat(F.lit("references/"), "slug", F.lit(".md")))
+    if concepts is None:
+        described = F.concat(F.lit("Grounded notes on "), F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.lit("this concept")), F.lit(", generated from the acquired source material."))
+        concepts = docs.select("uri", F.lit(0).alias("nth"), "title", "blocks", described.alias("description"), F.lit(at).alias("at"))
+    made = unique_slugs(concepts.withColumn("slug", slugify("title")), "slug", "uri", "nth").withColumn("path", F.concat(F.lit("concepts/"), "unique_slug", F.lit(".md")))
+    made = materialize(made.select("uri", "nth", "path", "title", "blocks", "description", "at"), "concepts")
     text = F.array_join(F.transform("blocks", lambda b: digest_text(b["text"])), " ")
-    links = related(docs.select("path", "title", text.alias("text")), "path", "title", "text")
-    links = links.join(docs.select(F.col("path").alias("other"), F.col("title").alias("other_title")), "other")
+    links = related(made.select("path", "title", text.alias("text")), "path", "title", "text")
+    links = links.join(made.select(F.col("path").alias("other"), F.col("title").alias("other_title")), "other")
     links = links.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "other", "other_title"))), lambda x: F.concat(F.lit("- ["), x["other_title"], F.lit("](/"), x["other"], F.lit(")"))), "\n").alias("related"))
-    full = docs.join(digests(docs, "uri"), "uri").join(links, "path", "left").withColumn("description", described)
+    full = made.join(digests(made, "path"), "path").join(links, "path", "left").join(docs.select("uri", "source_id", "ref", F.col("title").alias("source_title")), "uri")
     quote = lambda c: F.to_json(F.struct(c.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.alias("x")))) - 6)
-    head = F.concat(F.lit("---\ntype: Concept\ntitle: "), quote(F.col("title")), F.lit("\ndescription: "), quote(F.col("description")), F.lit(f"\nstatus: draft\ngenerated:\n  by: {generator}\n  at: '{at}'\nsources:\n- id: "), F.col("source_id"), F.lit("\n  resource: "), F.col("ref"), F.lit("\n  title: "), quote(F.col("title")), F.lit("\n---\n\n"))
+    head = F.concat(F.lit("---\ntype: Concept\ntitle: "), quote(F.col("title")), F.lit("\ndescription: "), quote(F.col("description")), F.lit(f"\nstatus: draft\ngenerated:\n  by: {generator}\n  at: '"), F.col("at"), F.lit("'\nsources:\n- id: "), F.col("source_id"), F.lit("\n  resource: "), F.col("ref"), F.lit("\n  title: "), quote(F.col("source_title")), F.lit("\n---\n\n"))
     body = F.concat_ws("\n\n", F.concat(F.lit("# Summary\n\n"), "description", F.lit("[^"), "source_id", F.lit("]")), F.nullif(F.col("digest"), F.lit("")), F.concat(F.lit("# Related\n\n"), "related"),
-                       F.concat(F.lit("# Sources\n\n- ["), "title", F.lit("](/"), "ref", F.lit(")")), F.concat(F.lit("[^"), "source_id", F.lit("]: "), "title", F.lit(" ("), "uri", F.lit(")")))
-    concepts = full.select(F.col("path").alias("rel_path"), F.concat(head, body, F.lit("\n")).alias("content"))
+                       F.concat(F.lit("# Sources\n\n- ["), "source_title", F.lit("](/"), "ref", F.lit(")")), F.concat(F.lit("[^"), "source_id", F.lit("]: "), "source_title", F.lit(" ("), "uri", F.lit(")")))
+    written = full.select(F.col("path").alias("rel_path"), F.concat(head, body, F.lit("\n")).alias("content"))
     ref_head = F.concat(F.lit("---\ntype: Reference\ntitle: "), quote(F.col("title")), F.lit("\nuri: "), quote(F.col("uri")), F.lit("\nsource_hash: "), F.col("source_hash"), F.lit("\nretrieved_at: '"), F.col("retrieved_at"), F.lit("'\ncontent_hash: "), content_hash("blocks"), F.lit("\n---\n\n"))
     references = docs.select(F.col("ref").alias("rel_path"), F.concat(ref_head, render(F.col("blocks")), F.lit("\n")).alias("content"))
-    entry = lambda p, d: F.struct(F.col(p).alias("p"), F.concat(F.lit("- ["), F.col("title"), F.lit("](/"), F.col(p), F.lit(") - "), first_sentence(d)).alias("line"))
+    entry = lambda p, title, d: F.struct(F.col(p).alias("p"), F.concat(F.lit("- ["), F.col(title), F.lit("](/"), F.col(p), F.lit(") - "), first_sentence(d)).alias("line"))
     acquired = F.concat(F.lit("Acquired source snapshot of "), F.col("title"), F.lit("."))
-    lines = full.agg(F.count("*").alias("n"), F.array_sort(F.collect_list(entry("path", F.col("description")))).alias("c"), F.array_sort(F.collect_list(entry("ref", acquired))).alias("r"))
-    listed = lambda c: F.array_join(F.transform(c, lambda x: x["line"]), "\n")
-    index = F.concat(F.lit(f"---\nokf_version: '0.2'\ntitle: {name}\n---\n\n# {name}\n\n"), F.when(F.col("n") > 0, F.concat(F.lit("## Concepts\n\n"), listed("c"), F.lit("\n\n## References\n\n"), listed("r"))).otherwise(F.lit("No concepts yet.")), F.lit("\n"))
-    root = lines.select(F.lit("index.md").alias("rel_path"), index.alias("content"))
-    return concepts.unionByName(references).unionByName(root)
-
-
-def index_line(description: Column) -> Column:
-    return clip_words(first_sentence(description), 200)
+    # the root index is one file and lists everything; only its finished lines are gathered
+    listed = lambda df, e: df.select(e.alias("e")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda x: x["line"]), "\n").alias("lines"))
+    lines = listed(made, entry("path", "title", F.col("description"))).select(F.col("lines").alias("c")).join(listed(docs, entry("ref", "title", acquired)).select(F.col("lines").alias("r")))
+    index = F.concat(F.lit(f"---\nokf_version: '0.2'\ntitle: {name}\n---\n\n# {name}\n\n"), F.when(F.col("c") != "", F.concat(F.lit("## Concepts\n\n"), "c", F.lit("\n\n## References\n\n"), "r")).otherwise(F.lit("No concepts yet.")), F.lit("\n"))
+    return written.unionByName(references).unionByName(lines.select(F.lit("index.md").alias("rel_path"), index.alias("content")))

@@ -8,31 +8,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import question_terms, tokens
+from marlstone.session import materialize
 
 K1, B = 1.2, 0.75
 #: Weights of the indexed fields.
 FIELD_WEIGHTS = {"title": 5.0, "description": 3.0, "tags": 2.0, "body": 1.0}
 
 
-def postings(docs: DataFrame, key: str, fields: dict[str, float], split: Callable[[Column], Column] = tokens) -> DataFrame:
-    """``(key, dl, term, f)``: weighted frequency of each term, and the length over all fields.
+def weigh(docs: DataFrame, key: str, fields: dict[str, float], split: Callable[[Column], Column] = tokens, asked: DataFrame | None = None) -> DataFrame:
+    """``(key, dl, term, f)``: weighted frequency of each term, the length over all fields, and a row without a term for each document.
 
-    Terms are grouped inside the row's own partition first, so the shuffle moves one row a
-    document and distinct term.
+    The row without a term carries every document's length, so the corpus statistics come out of the
+    same pass.  With ``asked(term)`` only those terms are kept, before anything is shuffled; terms are
+    grouped inside the tasks first.  Null fields are empty; keys must tell documents apart.
     """
 
     def weighted(column: str, weight: float) -> Column:
         return F.transform(split(F.coalesce(F.col(column), F.lit(""))), lambda x: F.struct(x.alias("term"), F.lit(weight).alias("w")))
 
     tagged = F.flatten(F.array(*[weighted(c, w) for c, w in fields.items()]))
-    rows = docs.select(key, tagged.alias("all")).select(key, F.size("all").alias("dl"), F.explode("all").alias("t"))
-    return rows.groupBy(key, "dl", F.col("t.term").alias("term")).agg(F.sum("t.w").alias("f"))
+    rows = docs.select(key, tagged.alias("all"))
+    none = F.struct(F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("w"))
+    rows = rows.select(key, F.size("all").alias("dl"), F.explode(F.concat(F.array(none), "all")).alias("t")).select(key, "dl", "t.term", "t.w")
+    if asked is not None:
+        wanted = asked.select("term").distinct().unionAll(asked.sparkSession.createDataFrame([(None,)], "term string"))
+        rows = rows.alias("r").join(wanted.alias("a"), F.expr("r.term <=> a.term"), "left_semi")
+    return rows.groupBy(key, "dl", "term").agg(F.sum("w").alias("f"))
+
 
+def postings(docs: DataFrame, key: str, fields: dict[str, float], split: Callable[[Column], Column] = tokens) -> DataFrame:
+    """``(key, dl, term, f)``: weighted frequency of each term, and the length over all fields."""
+    return weigh(docs, key, fields, split).where("term is not null")
 
-def corpus_stats(docs: DataFrame, fields: list[str], split: Callable[[Column], Column] = tokens) -> DataFrame:
-    """One row: number of documents and mean length."""
-    length = sum((F.size(split(F.coalesce(F.col(c), F.lit("")))) for c in fields), F.lit(0))
-    return docs.agg(F.count("*").alias("n_docs"), F.avg(length).alias("avgdl"))
+
+def corpus_stats(weighed: DataFrame) -> DataFrame:
+    """One row: number of documents and mean length, of ``weigh``'s rows."""
+    return weighed.where("term is null").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
 def bm25_score(f: Column, dl: Column, avgdl: Column, df: Column, n: Column) -> Column:
@@ -42,20 +53,20 @@ def bm25_score(f: Column, dl: Column, avgdl: Column, df: Column, n: Column) -> C
     return -idf * f * (K1 + 1) / (f + K1 * (1 - B + B * dl / avgdl))
 
 
-def bm25(docs: DataFrame, questions: DataFrame, key: str, qid: str, fields: dict[str, float] | None = None, text: str = "text", top: int = 10, split: Callable[[Column], Column] = tokens) -> DataFrame:
-    """``(qid, key, score, rank)``: the best documents of every question; lower is better, ties by key.
+def asked_terms(questions: DataFrame, qid: str, text: str = "text", split: Callable[[Column], Column] = tokens) -> DataFrame:
+    """``(qid, term)``: the index terms of every question."""
+    asked = questions.select(qid, F.explode(question_terms(text)).alias("term"))
+    return asked if split is tokens else asked.select(qid, F.explode(split(F.col("term"))).alias("term")).distinct()
 
-    ``split`` makes index terms of a text (``functions.stem.stems`` for a stemmed index); a question
-    term that splits into several counts as each of them.
-    Only postings of asked terms are kept: the terms of all questions meet the postings in one
-    equi-join.  The ranking is a window with a bound, so Spark prunes inside each task first.
+
+def rank(weighed: DataFrame, asked: DataFrame, key: str, qid: str, top: int = 10) -> DataFrame:
+    """``(qid, key, score, rank)`` by BM25 over written rows of ``weigh``; lower is better, ties by key.
+
+    The ranking is a window with a bound, so Spark prunes inside each task first.  Questions without
+    a term, and an empty corpus, give no rows.
     """
-    fields = fields or {"text": 1.0}
-    asked = questions.select(qid, F.explode(question_terms(text)).alias("term"))
-    if split is not tokens:
-        asked = asked.select(qid, F.explode(split(F.col("term"))).alias("term")).distinct()
-    stats = corpus_stats(docs, list(fields), split).first()  # two numbers
-    wanted = postings(docs, key, fields, split).join(asked.select("term").distinct(), "term", "left_semi")
+    stats = corpus_stats(weighed).first()  # two numbers
+    wanted = weighed.join(asked.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     n, avgdl = F.lit(float(stats["n_docs"])), F.lit(float(stats["avgdl"] or 1.0) or 1.0)
     hits = wanted.join(df, "term").withColumn("part", bm25_score(F.col("f"), F.col("dl"), avgdl, F.col("df"), n))
@@ -65,6 +76,18 @@ def bm25(docs: DataFrame, questions: DataFrame, key: str, qid: str, fields: dict
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(qid, key, "score", "rank")
 
 
+def bm25(docs: DataFrame, questions: DataFrame, key: str, qid: str, fields: dict[str, float] | None = None, text: str = "text", top: int = 10, split: Callable[[Column], Column] = tokens) -> DataFrame:
+    """``(qid, key, score, rank)``: the best documents of every question; lower is better, ties by key.
+
+    ``split`` makes index terms of a text (``functions.stem.stems`` for a stemmed index); a question
+    term that splits into several counts as each of them.  The documents are read and split once:
+    postings of the asked terms and all lengths are written, and everything else reads those.
+    """
+    asked = asked_terms(questions, qid, text, split)
+    weighed = materialize(weigh(docs, key, fields or {"text": 1.0}, split, asked), "postings")
+    return rank(weighed, asked, key, qid, top)
+
+
 def overlap_rank(docs: DataFrame, questions: DataFrame, key: str, qid: str, text: str = "text", top: int = 5) -> DataFrame:
     """``(qid, key, distinct_hits, occurrences)``: most distinct terms first, then occurrences, then key.
 

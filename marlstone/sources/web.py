@@ -109,8 +109,8 @@ def sitemap_urls(df: DataFrame, xml: str) -> DataFrame:
 
 
 def in_scope(url: Column, host: Column) -> Column:
-    """Whether a URL is http or https and of the host, port included; case of the host doesn't matter."""
-    return F.coalesce(F.lower(F.regexp_extract(url, r"^[Hh][Tt][Tt][Pp][Ss]?://(?:[^/?#@]*@)?([^/?#]*)", 1)) == F.lower(host), F.lit(False)) & (host != "")
+    """Whether a URL is http or https and of the host, whatever its port; case doesn't matter."""
+    return F.coalesce(F.lower(F.regexp_extract(url, r"^[Hh][Tt][Tt][Pp][Ss]?://(?:[^/?#@]*@)?([^/?#:]*)", 1)) == F.lower(host), F.lit(False)) & (host != "")
 
 
 def crawl(pages: DataFrame, seeds: DataFrame, edges: DataFrame, host: str, limit: int = MAX_PAGES, rounds: int = 20) -> DataFrame:
@@ -231,6 +231,14 @@ def one_line(text: str) -> str:
     return " ".join(text.split())
 
 
+def links_of(page: str) -> list[str]:
+    """Targets of a page's links, in order."""
+    parser = _Blocks()
+    parser.feed(page)
+    parser.close()
+    return [x["target"] for x in parser.links]
+
+
 def html_blocks(df: DataFrame, key: str, url: str, html: str) -> DataFrame:
     """``(key, title, blocks, anchors, links)``; the title falls back to the first h1, the URL's stem, then its host."""
 

@@ -93,4 +93,4 @@ def test_records_and_evaluation(spark, root, tmp_path):
     files = Explorer(spark, root).files
     publish(files, f"file://{tmp_path}/r", "rev-a")
     assert records.revisions(spark, f"file://{tmp_path}/r") == ["rev-a"] and records.revisions(spark, f"file://{tmp_path}/none") == []
-    assert records.manifest(files).count() == 0
+    assert {r["rel_path"] for r in records.manifest(files).collect()} >= {"index.md", "log.md", "concepts/guide.md"}  # a build writes one
