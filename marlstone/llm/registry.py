@@ -24,7 +24,6 @@ QUERIES = {
         op6_token_counts,
         op7_best_fit_packing,
         op8_html_extraction,
-        op8_html_extraction,
         op9_document_fingerprints,
         op10_quality_rules,
     )
