@@ -472,7 +472,7 @@ def main_parts(aligned: DataFrame, shown: DataFrame) -> DataFrame:
         out = []
         for tree, nodes, slots in zip(cols["tree"], cols["nodes"], cols["slots"]):
             by = {s["node"]: s for s in slots or ()}
-            own = [[by[k][c] if k in by else 0.0 for k in nodes] for c in ("weight", "chars", "linked")]
+            own = [[by[k][c] if k >= 0 and k in by else 0.0 for k in nodes] for c in ("weight", "chars", "linked")]
             out.append(main_nodes(*flatten(read_tree(tree)), *own))
         return {k: cols[k] for k in ("host", "tree", "nodes")} | {"main": out}
 
@@ -489,29 +489,34 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     """
     scanned = materialize(scan(pages, page_id, url, html), "scanned")
     trees = materialize(scanned.groupBy("host", "tree").agg(F.count("*").alias("n")), "trees")
-    aligned = materialize(align(trees, induce(trees)), "aligned")
-    # aligned and main parts have a row for each host and tree; Spark broadcasts them only if their written size is small
-    hashed = scanned.select("host", "tree", F.transform("blocks", lambda b: F.struct(b["node"].alias("node"), F.xxhash64(b["text"]).alias("key"), F.length(b["text"]).alias("chars"), b["linked"].alias("linked"))).alias("blocks"))
-    hashed = hashed.withColumn("page", F.xxhash64("tree", "blocks"))
-    joined = hashed.join(aligned, ["host", "tree"]).select("host", "tree", "page", F.explode("blocks").alias("b"), "nodes")
-    rows = joined.select("host", "tree", "page", F.col("b.node").alias("own"), F.get("nodes", F.col("b.node")).alias("node"), "b.key", "b.chars", "b.linked")
-    rows = materialize(rows.distinct(), "placed")  # a page that is there twice counts once
-    by_node = rows.groupBy("host", "node").agg(F.count_distinct("page").alias("pages"))
-    often = rows.groupBy("host", "node", "key").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= LEAST_PAGES)
-    stays = often.join(by_node, ["host", "node"]).where(F.col("n") >= CONSTANT * F.col("pages")).select("host", "node", "key", F.lit(True).alias("stays"))
-    rows = materialize(rows.join(stays, ["host", "node", "key"], "left").withColumn("stays", F.coalesce("stays", F.lit(False))), "staying")
-    free = F.col("chars") - F.col("linked")
-    free = free * free / (free + SHORT)
-    shown = rows.groupBy("host", "node").agg(
-        F.count_distinct("page").alias("pages"), F.sum(free * F.when(F.col("stays"), STAYING).otherwise(1.0)).alias("weight"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked")
-    )
-    shown = shown.select("host", "node", *[(F.col(c) / F.col("pages")).alias(c) for c in ("weight", "chars", "linked")])
-    parts = materialize(main_parts(aligned, shown), "main")
-    main = rows.join(parts.select("host", "tree", "main"), ["host", "tree"]).where(F.get("main", F.col("own")))
-    each = main.groupBy("host", "page").agg(F.sum("chars").alias("all"), F.sum(F.when(~F.col("stays"), F.col("chars"))).alias("varying"))
-    other = main.where("stays").join(each, ["host", "page"]).withColumn("share", F.coalesce("varying", F.lit(0)) / F.greatest(F.col("all") - F.col("chars"), F.lit(1)))
-    fixed = other.groupBy("host", "node", "key").agg(F.avg("share").alias("share")).where(F.col("share") >= DIFFERENT)
-    fixed = fixed.groupBy("host").agg(F.collect_set(F.struct("node", "key")).alias("fixed"))  # bounded by 1 / CONSTANT texts a slot's average
+    aligned = materialize(align(trees, induce(trees)).withColumn("shape", F.xxhash64("tree")), "aligned")
+    # aligned and what is made of it have a row for each host and tree; Spark broadcasts them only if their written size is small
+    slim = F.transform("blocks", lambda b: F.struct(b["node"].alias("own"), F.xxhash64(b["text"]).alias("key"), F.length(b["text"]).alias("chars"), b["linked"].alias("linked")))
+    slim = scanned.select("host", F.xxhash64("tree").alias("shape"), slim.alias("blocks")).withColumn("page", F.xxhash64("shape", "blocks"))
+    slim = slim.dropDuplicates(["host", "page"]).join(aligned.select("host", "shape", "nodes"), ["host", "shape"])
+    placed = F.transform("blocks", lambda b: F.struct(F.get("nodes", b["own"]).alias("node"), b["own"].alias("own"), b["key"].alias("key"), b["chars"].alias("chars"), b["linked"].alias("linked")))
+    slim = materialize(slim.select("host", "shape", F.array_distinct(placed).alias("blocks")), "slim")
+    slots = F.array_distinct(F.transform("blocks", lambda b: F.struct(b["node"].alias("node"), b["key"].alias("key"))))
+    often = slim.select("host", F.explode(slots).alias("s")).groupBy("host", "s.node", "s.key").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
+    by_node = slim.select("host", F.explode(F.array_distinct("blocks.node")).alias("node")).groupBy("host", "node").agg(F.count("*").alias("pages"))
+    by_node = materialize(by_node, "slots")
+    stays = often.join(by_node, ["host", "node"]).where(F.col("n") >= CONSTANT * F.col("pages"))
+    stays = materialize(stays.groupBy("host").agg(F.collect_list(F.struct("node", "key")).alias("stays")), "stays")  # 1 / CONSTANT texts a slot on average
+    has = lambda c, b: F.coalesce(F.array_contains(c, F.struct(b["node"].alias("node"), b["key"].alias("key"))), F.lit(False))
+    flagged = F.transform("blocks", lambda b: F.struct(b["node"].alias("node"), b["own"].alias("own"), b["key"].alias("key"), b["chars"].alias("chars"), b["linked"].alias("linked"), has("stays", b).alias("stays")))
+    slim = slim.join(stays, "host", "left").select("host", "shape", flagged.alias("blocks"))
+    free = (F.col("b.chars") - F.col("b.linked")).cast("double")
+    weight = free * free / (free + SHORT) * F.when(F.col("b.stays"), STAYING).otherwise(1.0)
+    sums = slim.select("host", F.explode("blocks").alias("b")).groupBy("host", "b.node").agg(F.sum(weight).alias("weight"), F.sum("b.chars").alias("chars"), F.sum("b.linked").alias("linked"))
+    shown = sums.join(by_node, ["host", "node"]).select("host", "node", *[(F.col(c) / F.col("pages")).alias(c) for c in ("weight", "chars", "linked")])
+    parts = materialize(main_parts(aligned, shown).withColumn("shape", F.xxhash64("tree")), "main")
+    main = slim.join(parts.select("host", "shape", "main"), ["host", "shape"]).select("host", F.filter("blocks", lambda b: F.get("main", b["own"])).alias("blocks"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, b: n + b["chars"])
+    main = main.select("host", "blocks", total(F.col("blocks")).alias("all"), total(F.filter("blocks", lambda b: ~b["stays"])).alias("varying"))
+    other = main.select("host", "all", "varying", F.explode(F.filter("blocks", lambda b: b["stays"])).alias("b"))
+    share = F.col("varying") / F.greatest(F.col("all") - F.col("b.chars"), F.lit(1))
+    fixed = other.groupBy("host", "b.node", "b.key").agg(F.avg(share).alias("share")).where(F.col("share") >= DIFFERENT)
+    fixed = fixed.groupBy("host").agg(F.collect_set(F.struct("node", "key")).alias("fixed"))  # some of ``stays``
     known = materialize(parts.join(fixed, "host", "left"), "known")
     chosen = scanned.join(known, ["host", "tree"])
     template = lambda b: F.coalesce(F.array_contains("fixed", F.struct(F.get("nodes", b["node"]).alias("node"), F.xxhash64(b["text"]).alias("key"))), F.lit(False))

@@ -219,6 +219,11 @@ def test_deep_parts_keep_their_role(spark):
     assert texts_of(spark, [("d.example", html)]) == [f"Top\n{prose(1)}\n{prose(2)}"]
 
 
+def test_very_long_blocks(spark):
+    long = "word " * 40_000
+    assert texts_of(spark, [("v.example", f"<article><p>{long}</p><p>b</p></article>")]) == [f"{long.strip()}\nb"]
+
+
 def test_class_words_yield_to_weight(spark):
     """A class word on the element that holds the text is a name of the layout, not of a part to drop."""
     html = f"<body class='has-sidebar'><div class='sidebar content'><h1>T</h1><p>{prose(3)}</p></div><div class='sidebar'><p>{prose(4, 8)}</p></div></body>"
@@ -347,12 +352,81 @@ def test_toxicity_edges(spark):
     docs, labels, _ = toxic_table(spark, 60)
     chain = toxicity.train(docs, labels, ["low_quality", "toxic"])
     got = toxicity.score(spark.createDataFrame([(1, None), (2, ""), (3, "  "), (4, "nastyone " * 20000)], "doc_id long, text string"), chain).collect()
-    assert len(got) == 4 and not any(r["rejected"] for r in got[:2])
+    assert len(got) == 4 and not any(r["rejected"] for r in got[:3])
     none = toxicity.train(docs, labels.limit(0), ["low_quality", "toxic"])
     assert not any(r["rejected"] for r in toxicity.score(docs, none).collect())
     assert toxicity.score(docs.limit(0), chain).count() == 0
 
 
+def brute_chain(texts, labels):
+    """The chain fitted on a dense table, term by term and row by row: probabilities of the rows, and thresholds."""
+    import xxhash
+
+    def features(text):
+        words = set(re.findall(r"\w+|[^\w\s]+", text.lower()))
+        return words | {w[:n] + " " for n in (4, 5) for w in words if len(w) > n}
+
+    has = [features(t) for t in texts]
+    seen = Counter(x for h in has for x in h)
+    chosen = []
+    for k in range(labels.shape[1]):
+        n1, n0 = float(labels[:, k].sum()), float((1 - labels[:, k]).sum())
+        keep = []
+        for term in seen:
+            pos = float(sum(1 for h, y in zip(has, labels[:, k]) if y and term in h))
+            neg = float(sum(1 for h, y in zip(has, labels[:, k]) if not y and term in h))
+            if pos + neg < toxicity.MIN_DOCS:
+                continue
+            share = (pos + neg) / (n1 + n0)
+            g = 2 * sum(a * np.log(a / e) for a, e in ((pos, share * n1), (neg, share * n0), (n1 - pos, n1 - share * n1), (n0 - neg, n0 - share * n0)) if a > 0 and e > 0)
+            odds = np.log((pos + 0.5) / (n1 + 1)) - np.log((neg + 0.5) / (n0 + 1))
+            if abs(odds) >= toxicity.LEAST_ODDS and g >= toxicity.LEAST_G:
+                keep.append(term)
+        chosen.append(set(keep))
+    vocabulary = sorted(set().union(*chosen))
+    x = np.array([[float(v in h) for v in vocabulary] for h in has]).reshape(len(texts), -1)
+    fold = np.array([(xxhash.xxh64_intdigest(t, 42) ^ (1 << 63)) - (1 << 63) for t in texts], object) % toxicity.FOLDS
+
+    def fit(rows, k, earlier):
+        z = np.column_stack((x[rows] * np.array([v in chosen[k] for v in vocabulary]), earlier[rows]))
+        y, w, b = labels[rows, k].astype(float), np.zeros(z.shape[1]), 0.0
+        weight = np.where(y == 1, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum()))
+        m, s = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+        for step in range(1, 401):
+            error = weight * (1 / (1 + np.exp(-np.clip(z @ w + b, -40, 40))) - y)
+            grad = np.append(z.T @ error + 1e-5 * w, error.sum())
+            m, s = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad**2
+            move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
+            w, b = w - move[:-1], b - move[-1]
+        return lambda rows, earlier: 1 / (1 + np.exp(-np.clip(np.column_stack((x[rows] * np.array([v in chosen[k] for v in vocabulary]), earlier[rows])) @ w + b, -40, 40)))
+
+    every, earlier, shown, limits = np.arange(len(texts)), np.zeros((len(texts), 0)), np.zeros((len(texts), 0)), []
+    for k in range(labels.shape[1]):
+        out = np.zeros(len(texts))
+        for f in range(toxicity.FOLDS):
+            rest = np.flatnonzero(fold == f)
+            out[rest] = fit(np.flatnonzero(fold != f), k, earlier)(rest, earlier)
+        shown = np.column_stack((shown, fit(every, k, earlier)(every, shown)))
+        grid = np.linspace(0.02, 0.98, 97)
+        y = labels[:, k]
+        f1 = np.array([2 * ((out >= t) & (y == 1)).sum() / (((out >= t) & (y == 1)).sum() + ((out >= t) & (y == 0)).sum() + y.sum()) for t in grid])
+        limits.append(float(np.median(grid[f1 >= f1.max() - 1e-12])))
+        earlier = np.column_stack((earlier, out))
+    return shown, limits
+
+
+def test_chain_equals_brute_force(spark):
+    docs, labels, _ = toxic_table(spark, 150)
+    chain = toxicity.train(docs, labels, ["low_quality", "toxic"])
+    known = {r["doc_id"]: (r["low_quality"], r["toxic"]) for r in labels.collect()}
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] in known)
+    want, limits = brute_chain([t for _, t in rows], np.array([known[i] for i, _ in rows]))
+    got = {r["doc_id"]: r for r in toxicity.score(docs, chain).collect()}
+    assert np.allclose(chain.thresholds, limits)
+    for (i, _), p in zip(rows, want):
+        assert np.allclose(got[i]["probabilities"], p, atol=1e-6) and got[i]["rejected"] == (p[-1] >= limits[-1])
+
+
 # -- pipeline -----------------------------------------------------------------------------------
 
 def test_pipeline(spark, tmp_path):
