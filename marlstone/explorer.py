@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import html
+import json
+import time
+from dataclasses import asdict
 from functools import cached_property
+from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -127,9 +132,17 @@ class Explorer:
         log = self.files.where("rel_path = 'log.md'").withColumn("content", F.decode("content", "utf-8"))
         return {"revisions": [r.asDict() for r in bundle.history(log, limit=limit).collect()]}
 
-    def ask(self, question: str, policy: ask.Policy | None = None) -> dict[str, Any]:
+    def ask(self, question: str, policy: ask.Policy | None = None, trace: str | None = None) -> dict[str, Any]:
+        """An answer with its evidence; ``trace`` names a file that takes how it was found."""
+        policy, start = policy or ask.policy_for(), time.monotonic()
         q = self.spark.createDataFrame([("q", question)], "qid string, text string")
-        return ask.answer(q, self.docs, self.edges, policy or ask.policy_for(), self.today).first().asDict(True)
+        got = ask.answer(q, self.docs, self.edges, policy, self.today).first().asDict(True)
+        if trace:
+            spent = sum(len(e["excerpt"]) for e in got["evidence"] or ())
+            record = {"question": question, "policy": asdict(policy), "revision": self.index.revision if self.index else None, "abstained": got["abstained"], "evidence": got["evidence"], "citations": got["citations"],
+                      "warnings": got["warnings"], "spent_chars": spent, "spent_tokens": max(1, spent // 4) if spent else 0, "latency_ms": round(1000 * (time.monotonic() - start))}
+            Path(trace).write_text(json.dumps(record, indent=2, ensure_ascii=False, default=str) + "\n", encoding="utf-8")
+        return got
 
     def lint(self) -> DataFrame:
         """All findings; a manifest counts if the bundle has one."""
@@ -142,6 +155,23 @@ class Explorer:
         edges = graph.projection(nodes, self.edges.select("src", "dst").distinct()).orderBy("src", "dst")
         return {"nodes": [r.asDict() for r in nodes.orderBy("path").collect()], "edges": [r.asDict() for r in edges.collect()]}
 
+    def graph_page(self) -> str:
+        """The graph as one HTML page that needs nothing else: a list of nodes with their links, coloured by trust."""
+        g = self.graph()
+        out: dict[str, list[str]] = {}
+        for e in g["edges"]:
+            out.setdefault(e["src"], []).append(e["dst"])
+        esc = html.escape
+        rows = [f'<li id="{esc(n["path"])}" class="{esc(n["trust"])}"><b>{esc(n["title"] or n["path"])}</b> <small>{esc(n["trust"])}</small><ul>' + "".join(f'<li><a href="#{esc(d)}">{esc(d)}</a></li>' for d in out.get(n["path"], ())) + "</ul></li>" for n in g["nodes"]]
+        style = "body{font:15px sans-serif}.human-reviewed{color:#060}.machine-confirmed{color:#046}.unverified{color:#840}"
+        data = json.dumps(g, ensure_ascii=False).replace("</", "<\\/")
+        return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>Graph</title><style>{style}</style></head><body><ul>{"".join(rows)}</ul><script type="application/json" id="graph">{data}</script></body></html>\n'
+
+    def frontmatter(self, path: str, most: int = bundle.MATTER_CHARS) -> dict[str, Any]:
+        """A document's frontmatter, whole fields in order while they fit ``most`` characters of JSON; ``_truncated`` if some don't."""
+        row = parse_row(path, self._one(path)["content"])
+        return bundle.bounded(json.loads(row["frontmatter"] or "{}"), most)
+
     def revision(self) -> str:
         return bundle.revision_id(self.files)
 

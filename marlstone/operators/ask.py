@@ -81,7 +81,7 @@ def excerpts(read: DataFrame, docs: DataFrame, chars: int) -> DataFrame:
 
 
 def answer(questions: DataFrame, docs: DataFrame, edges: DataFrame, policy: Policy = Policy(), today: str | None = None) -> DataFrame:
-    """``(qid, abstained, answer, evidence, citations, warnings)`` for ``questions(qid, text)``.
+    """``(qid, abstained, answer, evidence, citations, warnings, tool_calls)`` for ``questions(qid, text)``.
 
     ``docs(path, title, description, tags, body, status, stale_after, verified, resources)`` is the
     bundle; ``edges(src, dst, anchor)`` are its links, one row for two files (``graph.anchors``).  Ties keep navigation order: search rank,
@@ -115,7 +115,9 @@ def answer(questions: DataFrame, docs: DataFrame, edges: DataFrame, policy: Poli
     item = F.struct("nth", "path", "title", "excerpt", "warned")
     grouped = entries.groupBy("qid").agg(F.array_sort(F.collect_list(item)).alias("e"))  # at most policy.evidence a question
     first = seeds.where("pos = 1").select("qid", F.col("path").alias("closest"))
-    out = questions.select("qid", "text").join(grouped, "qid", "left").join(first, "qid", "left").join(asked, "qid")
+    # one search, a read for each document, a look at the links of each concept that was found
+    used = read.groupBy("qid").agg((F.count("*") + F.count_if((F.col("nav") < 1000) & is_concept(F.col("path")))).alias("used"))
+    out = questions.select("qid", "text").join(grouped, "qid", "left").join(first, "qid", "left").join(asked, "qid").join(used, "qid", "left")
     wanted = F.coalesce(F.nullif(F.array_join(F.array_sort("own_terms"), ", "), F.lit("")), F.lit("the question topic"))
     gap = F.when(F.col("closest").isNotNull(), F.concat(F.lit("Insufficient evidence in this bundle to answer. The closest match is "), "closest", F.lit(", but it does not address: "), wanted, F.lit(". A concept covering "), wanted, F.lit(" would resolve the gap.")))
     gap = gap.otherwise(F.concat(F.lit("Insufficient evidence in this bundle to answer. No concept mentions: "), wanted, F.lit(". Adding a source about "), wanted, F.lit(" would resolve the gap.")))
@@ -125,12 +127,14 @@ def answer(questions: DataFrame, docs: DataFrame, edges: DataFrame, policy: Poli
         "qid", abstained.alias("abstained"), F.when(abstained, gap).otherwise(stub_answer(F.col("e"))).alias("answer"),
         F.transform("e", lambda x: F.struct(x["path"].alias("path"), x["title"].alias("title"), x["excerpt"].alias("excerpt"))).alias("evidence"),
         paths.alias("citations"), F.array_distinct(F.flatten(F.transform("e", lambda x: F.when(is_concept(x["path"]), x["warned"]).otherwise(F.array().cast("array<string>"))))).alias("warnings"),
+        (F.coalesce("used", F.lit(0)) + 1).alias("tool_calls"),
     )
 
 
 def stub_answer(items: Column) -> Column:
     """The deterministic provider's answer: its evidence, quoted."""
-    lines = F.transform(items, lambda x: F.concat(F.lit("- "), x["title"], F.lit(": "), x["excerpt"], F.lit(" ["), x["path"], F.lit("]")))
+    name = lambda x: F.coalesce(F.nullif(strip(x["title"]), F.lit("")), x["path"])
+    lines = F.transform(items, lambda x: F.concat(F.lit("- "), name(x), F.lit(": "), strip(x["excerpt"]), F.lit(" ["), x["path"], F.lit("]")))
     return F.concat(F.lit("Based on "), F.size(items).cast("string"), F.lit(" passage(s) retrieved from the bundle:\n"), F.array_join(lines, "\n"))
 
 

@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from marlstone.session import materialize
 
 LIST_MOST, PEEK_LINES, PEEK_CHARS, READ_CHARS, LINKS_MOST, HISTORY_MOST = 200, 100, 8_000, 40_000, 32, 100
 CONTENTS, CONTENTS_CHARS = 25, 240
+#: Fixed value: characters of frontmatter that a view shows.
+MATTER_CHARS = 8_000
 BOOKKEEPING = ("index.md", "log.md", "manifest.json")
 
 
@@ -174,6 +177,16 @@ def diff_revisions(a: DataFrame, b: DataFrame) -> DataFrame:
                       (both & ~F.col("title_a").eqNullSafe(F.col("title_b"))).alias("retitled"), (both & ~F.col("pin_a").eqNullSafe(F.col("pin_b"))).alias("repinned"))
 
 
+def bounded(fields: dict, most: int = MATTER_CHARS) -> dict:
+    """Fields in order while their JSON stays within ``most`` characters; ``_truncated`` says that some are missing."""
+    out: dict = {}
+    for key, value in fields.items():
+        if len(json.dumps(out | {str(key): value}, ensure_ascii=False, default=str)) > most:
+            return out | {"_truncated": True}
+        out[str(key)] = value
+    return out
+
+
 def first_per_key(df: DataFrame, key: str, *order: str) -> DataFrame:
     """The first row of each key in the given order (not just any one)."""
     rows = df.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(*order)))

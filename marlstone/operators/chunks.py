@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,12 +53,19 @@ def hashed_bow(df: DataFrame, key: str, text: str) -> DataFrame:
     return counts.select(key, "bucket", (F.col("n") / norm).alias("weight"))
 
 
+def dense(rows: DataFrame, key: str) -> DataFrame:
+    """``(key, vector)`` of sparse ``rows(key, bucket, weight)``; at most ``DIM`` rows come together."""
+    cells = rows.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("cells"))
+    return cells.select(key, F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda i: F.coalesce(F.try_element_at("cells", i), F.lit(0.0))).alias("vector"))
+
+
 def sparse_topk(queries: DataFrame, index: DataFrame, qid: str, key: str, top: int = TOP) -> DataFrame:
-    """``(qid, key, score)``: the greatest positive dot products of sparse unit vectors, ties by key."""
-    q = queries.select(qid, "bucket", F.col("weight").alias("q"))
-    scores = q.join(index, "bucket").groupBy(qid, key).agg(F.round(F.sum(F.col("q") * F.col("weight")), 6).alias("score"))
-    order = Window.partitionBy(qid).orderBy(F.desc("score"), key)
-    return scores.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    """``(qid, key, score, rank)``: the greatest positive dot products of sparse unit vectors, ties by key.
+
+    Nearly every text has a word in nearly every bucket, so a join on buckets would meet all pairs of
+    rows; the vectors are multiplied whole instead.
+    """
+    return vector_topk(dense(queries, qid), dense(index, key), qid, key, "vector", top)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -73,26 +85,63 @@ def centroids(vectors: DataFrame, group: str, vector: str) -> DataFrame:
     return means.select(group, normalize(F.transform("x", lambda x: x["v"])).alias("centroid"))
 
 
-#: Query vectors that stand beside the index at once.
-QUERY_BLOCK = 256
+#: Query vectors multiplied at once.
+QUERY_BLOCK = 1024
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, qid: str, key: str, vector: str, top: int = TOP) -> DataFrame:
     """``(qid, key, score, rank)``: exact cosine search of a stated query set (vectors are unit length).
 
-    Queries are dealt into blocks of about ``QUERY_BLOCK``; every vector meets each block once and is
-    scored in place, and only the best ``top`` of each task and query move on.  A block is a bounded
-    array, so what stands beside the index never grows with the number of queries; the blocks are
-    broadcast only by Spark's own size check.  Null vectors match nothing; an empty side gives no rows.
+    Queries go out in blocks of about ``QUERY_BLOCK``, so what a task holds is bounded however many
+    there are; each block passes over the index once, by matrix products, and a task gives back only
+    its best ``top`` for each query.  Null vectors match nothing; an empty side gives no rows.
     """
+    kinds = dict(queries.dtypes) | {f"_{key}": dict(vectors.dtypes)[key]}
+    queries = queries.where(F.col(vector).isNotNull()).select(F.col(qid).alias("qid"), F.col(vector).cast("array<double>").alias("v"))
+    index = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    dealt = queries.where(F.col(vector).isNotNull()).withColumn("block", F.pmod(F.xxhash64(qid), F.lit(blocks)).cast("int"))
-    asked = dealt.groupBy("block").agg(F.collect_list(F.struct(F.col(qid).alias("qid"), F.col(vector).alias("q"))).alias("asked"))
-    rows = vectors.select(key, vector, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).join(asked, "block")
-    scores = F.transform("asked", lambda a: F.struct(a["qid"].alias("qid"), F.round(dot(a["q"], F.col(vector)), 6).alias("score")))
-    scored = rows.select(key, F.explode(F.filter(scores, lambda x: x["score"] > 0)).alias("a")).select(F.col("a.qid").alias(qid), key, F.col("a.score").alias("score"))
-    order = Window.partitionBy(qid).orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    schema = f"qid {kinds[qid]}, key {kinds[f'_{key}']}, score double"
+    found = []
+    for k in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k).toArrow()  # one block
+        if rows.num_rows:
+            found.append(index.mapInArrow(_best_of(rows, top, schema), schema))
+    if not found:
+        found.append(index.sparkSession.createDataFrame([], schema))
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionAll(f)
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "key")
+    ranked = every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return ranked.select(F.col("qid").alias(qid), F.col("key").alias(key), "score", "rank")
+
+
+def _best_of(asked: pa.Table, top: int, schema: str):
+    """A task's best rows of ``(key, v)`` batches for each of the ``asked(qid, v)`` vectors."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    ids, q = asked["qid"].to_pylist(), np.array(asked["v"].to_pylist(), np.float64)
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[list[tuple]] = [[] for _ in ids]
+        for b in batches:
+            if not len(b):
+                continue
+            keys = b.column(0).to_pylist()
+            scores = np.round(np.array(b.column(1).to_pylist(), np.float64) @ q.T, 6)
+            # what a query holds already bars anything lower; equal scores stay in the race by key
+            bar = np.array([h[-1][0] * -1 if len(h) == top else 0.0 for h in best])
+            at, col = np.nonzero((scores >= bar) & (scores > 0))
+            for c in np.unique(col):
+                rows = at[col == c]
+                best[c] = heapq.nsmallest(top, [*best[c], *((-scores[i, c], keys[i]) for i in rows)])
+        out = [(i, key, -s) for i, held in zip(ids, best) for s, key in held]
+        cols = zip(*out) if out else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, arrow)], schema=arrow)
+
+    return run
 
 
 def budget_prefix(df: DataFrame, group: str, order: list[str], cost: Column, limit: int) -> DataFrame:

@@ -433,19 +433,6 @@ def events_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
-@query()
-def ask_answers(spark: SparkSession, sf: str) -> DataFrame:
-    from marlstone.operators.ask import answer
-
-    text, none = F.lit(None).cast("string"), F.array().cast("array<string>")
-    docs = table(spark, sf, "documents").select(
-        F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.substring_index("text", "\n", 1).alias("title"), text.alias("description"), F.array("lang").alias("tags"),
-        F.regexp_replace("text", "\n", "\n\n").alias("body"), F.lit("draft").alias("status"), text.alias("stale_after"), F.array().cast("array<struct<by:string,at:string>>").alias("verified"), none.alias("resources"))
-    edges = spark.createDataFrame([], "src string, dst string, anchor string")
-    out = answer(table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text"), docs, edges)
-    return out.select("qid", "abstained", "citations", "answer")
-
-
 @query()
 def compiled_bundle(spark: SparkSession, sf: str) -> DataFrame:
     from marlstone.operators.compile import compile_bundle

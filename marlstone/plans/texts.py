@@ -335,3 +335,66 @@ def conversation_log(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "conversations")
     line = F.to_json(F.struct(F.when(F.col("role").isin("user", "assistant"), F.lit("turn")).otherwise(F.lit("meta")).alias("type"), "role", "text"))
     return parse_turns(rows.select("conv_id", "turn", line.alias("line"))).select("conv_id", "turn", "role", "text")
+
+
+_TITLE = "split_part(text, chr(10), 1)"
+
+
+@query(f"""
+    WITH d AS (SELECT doc_id AS i, 'docs/' || doc_id || '.md' AS path, {_TITLE} AS title, lang, text, (SELECT count(*) FROM documents) AS n FROM documents),
+    w AS (SELECT path, unnest(flatten([list_transform({_TOK.format('title')}, lambda t: {{'t': t, 'w': 5.0::DOUBLE}}), list_transform({_TOK.format('lang')}, lambda t: {{'t': t, 'w': 2.0::DOUBLE}}), list_transform({_TOK.format('text')}, lambda t: {{'t': t, 'w': 1.0::DOUBLE}})])) AS x,
+                 len({_TOK.format('title')}) + len({_TOK.format('lang')}) + len({_TOK.format('text')}) AS dl FROM d),
+    p AS (SELECT path, dl, x.t AS term, sum(x.w) AS f FROM w GROUP BY ALL),
+    st AS (SELECT count(*) AS n, avg(len({_TOK.format('title')}) + len({_TOK.format('lang')}) + len({_TOK.format('text')})) AS avgdl FROM d),
+    q AS (SELECT item_id AS qid, {_terms('text')} AS own FROM benchmark),
+    qt AS (SELECT qid, unnest(own) AS term FROM q),
+    df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+    sc AS (SELECT qid, path, round(sum(-(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+           FROM qt JOIN p USING (term) JOIN df USING (term), st GROUP BY qid, path),
+    seeds AS (SELECT qid, path, row_number() OVER (PARTITION BY qid ORDER BY score, path) AS pos FROM sc QUALIFY pos <= 4),
+    e AS (SELECT path AS src, 'docs/' || ((i * 3 + 1) % n) || '.md' AS dst, title AS anchor FROM d),
+    ht AS (SELECT qid, dst AS path, anchor, pos, row_number() OVER (PARTITION BY qid, dst ORDER BY pos) AS nth FROM seeds JOIN e ON seeds.path = src WHERE (qid, dst) NOT IN (SELECT (qid, path) FROM seeds)),
+    hop AS (SELECT qid, path, anchor, row_number() OVER (PARTITION BY qid ORDER BY pos, path) AS hop FROM ht WHERE nth = 1 QUALIFY hop <= 4),
+    rd AS (SELECT qid, path, pos AS nav, own, own AS terms FROM seeds JOIN q USING (qid)
+           UNION ALL SELECT qid, path, hop + 1000, own, list_concat(own, list_filter({_terms('anchor')}, lambda t: NOT list_contains(own, t))) FROM hop JOIN q USING (qid)),
+    pa AS (SELECT path, title, unnest(range(len(string_split(text, chr(10))))) AS pos, trim(unnest(string_split(text, chr(10)))) AS prose FROM d),
+    pt AS (SELECT *, {_TOK.format('prose')} AS toks FROM pa WHERE prose <> ''),
+    h AS (SELECT qid, path, nav, own, terms, title, pos, prose, toks, len(list_intersect(list_distinct(toks), terms)) AS hits, len(list_filter(toks, lambda x: list_contains(terms, x))) AS occ,
+                 len(list_filter(toks, lambda x: NOT list_contains(terms, x))) = 0 AS echo FROM rd JOIN pt USING (path)),
+    f AS (SELECT *, row_number() OVER (PARTITION BY qid, path ORDER BY hits DESC, occ DESC, pos) AS place FROM h WHERE hits > 0 AND NOT echo),
+    shaped AS (SELECT qid, path FROM f WHERE place = 1 AND len(own) > 0 AND len(list_filter(own, lambda x: NOT list_contains({_TOK.format('title')}, x))) = 0),
+    o AS (SELECT qid, path, nav, own, title, CASE WHEN place = 1 THEN 0 ELSE 1 END AS tier, place, trim(substr(prose, 1, 500)) AS excerpt FROM f
+          UNION ALL SELECT h.qid, h.path, nav, own, title, 2, h.pos + 1000000, trim(substr(prose, 1, 500)) FROM h JOIN shaped USING (qid, path) WHERE hits = 0 AND len(toks) > 0),
+    r AS (SELECT *, CASE WHEN tier = 2 THEN 0 ELSE len(list_intersect(list_distinct({_TOK.format('excerpt')}), own)) END AS score FROM o),
+    k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY tier, CASE WHEN tier < 2 THEN -score ELSE 0 END, nav, place) AS nth FROM r QUALIFY nth <= 4),
+    a AS (SELECT qid, count(*) AS n, string_agg('- ' || coalesce(nullif(trim(title), ''), path) || ': ' || excerpt || ' [' || path || ']', chr(10) ORDER BY nth) AS said, list(path ORDER BY nth) AS paths FROM k GROUP BY qid),
+    g AS (SELECT qid, coalesce(nullif(array_to_string(list_sort(own), ', '), ''), 'the question topic') AS wanted FROM q),
+    c AS (SELECT qid, path AS closest FROM seeds WHERE pos = 1)
+    SELECT qid, a.n IS NULL AS abstained, CASE WHEN paths IS NOT NULL THEN array_to_string(list_filter(paths, lambda x, i: list_position(paths, x) = i), ' ') END AS citations,
+           sha256(CASE WHEN a.n IS NOT NULL THEN 'Based on ' || a.n || ' passage(s) retrieved from the bundle:' || chr(10) || said
+                       WHEN closest IS NOT NULL THEN 'Insufficient evidence in this bundle to answer. The closest match is ' || closest || ', but it does not address: ' || wanted || '. A concept covering ' || wanted || ' would resolve the gap.'
+                       ELSE 'Insufficient evidence in this bundle to answer. No concept mentions: ' || wanted || '. Adding a source about ' || wanted || ' would resolve the gap.' END) AS answer,
+           CAST(1 + coalesce((SELECT count(*) FROM rd WHERE rd.qid = q.qid), 0) + coalesce((SELECT count(*) FROM seeds WHERE seeds.qid = q.qid), 0) AS BIGINT) AS tool_calls
+    FROM q LEFT JOIN a USING (qid) LEFT JOIN g USING (qid) LEFT JOIN c USING (qid)""")
+def ask_answers(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "documents")
+    n = rows.count()
+    path = lambda x: F.concat(F.lit("docs/"), x.cast("string"), F.lit(".md"))
+    text, none, title = F.lit(None).cast("string"), F.array().cast("array<string>"), F.substring_index("text", "\n", 1)
+    docs = rows.select(path(F.col("doc_id")).alias("path"), title.alias("title"), text.alias("description"), F.array("lang").alias("tags"), F.regexp_replace("text", "\n", "\n\n").alias("body"), F.lit("draft").alias("status"),
+                       text.alias("stale_after"), F.array().cast("array<struct<by:string,at:string>>").alias("verified"), none.alias("resources"))
+    edges = rows.select(path(F.col("doc_id")).alias("src"), path((F.col("doc_id") * 3 + 1) % n).alias("dst"), title.alias("anchor"))
+    out = ask.answer(table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text"), docs, edges)
+    return out.select("qid", "abstained", F.array_join("citations", " ").alias("citations"), F.sha2("answer", 256).alias("answer"), F.col("tool_calls").cast("long").alias("tool_calls"))
+
+
+@query("""
+    WITH x AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '') AS ls FROM documents)
+    SELECT doc_id FROM x WHERE 3 + list_sum(list_transform(ls, lambda l: length(rtrim(l)))) + list_sum(list_transform(range(1, len(ls) + 1), lambda i: CASE WHEN i % 2 = 0 THEN length('Sub ' || i) ELSE 0 END)) > 6000 AND len(ls) // 2 >= 3 AND doc_id % 4 <> 0""")
+def split_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of one part with a subpart before every second line; a fourth of them have a preamble."""
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    part = lambda x, i: F.concat(F.when((i + 1) % 2 == 0, F.concat(F.lit("### Sub "), (i + 1).cast("string"), F.lit("\n\n"))).otherwise(F.lit("")), x)
+    head = F.when(F.col("doc_id") % 4 == 0, "Before.\n\n## One\n\n").otherwise("## One\n\n")
+    docs = table(spark, sf, "documents").select("doc_id", F.concat(head, F.array_join(F.transform(lines, part), "\n\n")).alias("md"))
+    return compile.should_split(compile.sections(markdown.normalize(docs, "doc_id", "md"), "doc_id"), "doc_id")

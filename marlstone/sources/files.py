@@ -207,6 +207,15 @@ def pack(files: DataFrame, path: str, name: str = "bundle") -> str:
     return digest
 
 
+def plain_tree(files: DataFrame) -> DataFrame:
+    """A tree whose Markdown files carry only the plain profile's frontmatter; the manifest is left out, for it no longer fits."""
+    from marlstone.sources.markdown import rewrite_files
+
+    kept = files.where("rel_path <> 'manifest.json'")
+    plain = rewrite_files(kept).select("rel_path", F.col("plain").cast("binary").alias("plain"))
+    return kept.join(plain, "rel_path", "left").select("rel_path", F.coalesce("plain", "content").alias("content"))
+
+
 def unpack(spark: SparkSession, path: str) -> DataFrame:
     """``(rel_path, content)`` of an archive whose checksum file agrees; members outside its root are an error."""
     with open(path, "rb") as f:

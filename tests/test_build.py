@@ -108,3 +108,42 @@ def test_import(spark, tmp_path):
     assert not bad.passed and not bad.published and not (tmp_path / "kb" / "sub" / "b.md").exists()
     with pytest.raises(build.BuildError):
         build.import_bundle(spark, str(tmp_path / "none"), str(tmp_path / "kb"))
+
+
+def test_command_line(spark, source, tmp_path, monkeypatch, capsys):
+    from marlstone import cli
+
+    monkeypatch.setattr(cli, "get_session", lambda: spark)
+    kb = str(tmp_path / "kb")
+
+    def said(*argv):
+        code = cli.main(["--bundle", kb, *argv])
+        return code, json.loads(capsys.readouterr().out or "null")
+
+    assert said("init", "Kb")[0] == 0 and said("init", "Kb")[0] == 1
+    assert said("add", str(source))[1]["sources"] == 1 and said("add", str(source))[0] == 1 and said("add", "x", "--connector", "no")[0] == 1
+    assert said("config")[1]["model"] == "stub" and set(said("plugin")[1]["connectors"]) >= {"files", "web", "repository"} and said("keys")[0] == 1
+    code, out = said("build")
+    assert code == 0 and out["published"] and out["counts"] == {"source_files": 2, "concepts": 2}
+    assert said("check") == (0, {"drift": []}) and said("doctor")[1]["revision"] == out["revision_id"]
+    (source / "guide.md").write_text("# Guide\n\nOther text.\n")
+    code, out = said("check")
+    assert code == 1 and ["concepts/guide.md", "changed"] in out["drift"]
+    trace = tmp_path / "trace.json"
+    assert not said("ask", "What is the wire protocol?", "--trace", str(trace))[1]["abstained"] and json.loads(trace.read_text())["spent_tokens"] > 0
+    assert said("viz", str(tmp_path / "g.html"))[0] == 0 and "concepts/guide.md" in (tmp_path / "g.html").read_text()
+    assert said("pack", str(tmp_path / "k.tar.gz"), "--profile", "plain")[0] == 0
+    assert Explorer(spark, kb).frontmatter("concepts/guide.md", 40)["_truncated"]
+
+
+def test_chat_keeps_its_log(spark, source, tmp_path):
+    import io
+
+    from marlstone import cli
+    from marlstone.sources import records
+
+    build.build(spark, [str(source)], str(tmp_path / "kb"), "Kb")
+    sink = io.StringIO()
+    assert cli.chat(Explorer(spark, str(tmp_path / "kb")), str(tmp_path / "c1.jsonl"), io.StringIO("What do frames carry?\n\n"), sink) == 1 and "passage" in sink.getvalue()
+    rows = records.conversations(spark, str(tmp_path / "c1.jsonl")).orderBy("turn").collect()
+    assert [r["role"] for r in rows] == ["user", "assistant"] and rows[1]["citations"]
