@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import weakref
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +32,7 @@ def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, object]
         for batch in batches:
             out = fn({name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)})
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -46,6 +49,13 @@ def gathered(batches: Iterable[pa.RecordBatch], size: int = BATCH_BYTES) -> Iter
         yield pa.concat_batches(held)
 
 
+def give_back() -> None:
+    """Returns memory that a finished task has freed to the system; workers live on and serve other stages."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # a C library without it keeps what it has
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 #: The memories of this process.
 _MEMOS: list[weakref.ref] = []
 
@@ -56,7 +66,7 @@ def forget() -> None:
         if memo is not None:
             memo.clear()
             memo.old = {}
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 class Memo(dict):

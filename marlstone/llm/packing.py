@@ -3,10 +3,9 @@
 Lengths are whole numbers up to the capacity, so the instance is a histogram of at most that many
 cells however large the corpus is.  The histogram is solved on the driver:
 
-* reduction fixes a set of pieces as one sequence when no other choice can be better: a piece alone
-  when nothing fits beside it; a piece and its best partner when the partner fills the rest or when
-  no two pieces fit beside it (or none that beat the partner); a perfect triple when its two partners
-  are all that may follow;
+* reduction fixes a set of one or two pieces as a sequence when no other choice can be better: a piece
+  alone when nothing fits beside it; a piece and its best partner when the partner fills the rest or
+  when no two pieces fit beside it (or none that beat the partner); larger sets are left to best-fit;
 * the remainder is packed best-fit in falling length, equal lengths and equal sequences in bulk.
 
 The solution says which ranks of each length go to which sequences; every piece finds its rank by
@@ -30,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm._common import bounded_batches, gathered
+from marlstone.llm._common import bounded_batches, gathered, give_back
 from marlstone.session import materialize, table
 
 CAPACITY, END = 4096, 1
@@ -162,6 +161,7 @@ def cut_pieces(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "te
                     part = ids[at : at + capacity]
                     rows.append((d, k, at, len(part), zlib.crc32(part.astype("<u4").tobytes())))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 5, types)], names=names)
+        give_back()
 
     bounded_batches(df.sparkSession)
     source = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
