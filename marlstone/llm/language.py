@@ -19,7 +19,7 @@ from marlstone.session import table
 
 PROFILE = 400
 N_MAX = 5
-#: Learning takes about this many documents of each language at most, picked by a hash of the id.
+#: Learning takes about this many documents of each language at most, picked by a hash of id and text.
 TRAIN_PER_LANGUAGE = 3000
 #: A text is unlike every language if its likeness is under this share of the likeness that all but this
 #: quantile of the learned documents of its length class reach; a class is trusted from so many documents on.
@@ -118,7 +118,8 @@ def _picked(train: DataFrame, per_language: int) -> DataFrame | None:
     if not n:
         return None
     share = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, min(1.0, per_language / v))])
-    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    # the text tells rows apart that share an id or have none
+    unit = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     return train.where(unit < share[F.col("lang")]).select("lang", "text")
 
 
