@@ -24,7 +24,8 @@ def hard_split(x: Column, size: int = CHUNK) -> Column:
 def chunks(df: DataFrame, key: str, text: str, delimiter: str = "\n\n", size: int = CHUNK) -> DataFrame:
     """``(key, seq, chunk)``: paragraphs packed greedily up to ``size`` characters, joined by a newline.
 
-    Longer paragraphs are split hard first; blank ones don't count.
+    Longer paragraphs are split hard first; blank ones don't count.  Null, empty and blank texts give
+    no chunk; repeated rows each give theirs; an empty table gives none.
     """
     paras = F.filter(F.transform(F.split(F.col(text), delimiter), lambda p: strip(p)), lambda p: p != "")
     pieces = F.flatten(F.transform(paras, lambda p: hard_split(p, size)))
@@ -47,7 +48,7 @@ def bucket(token: Column) -> Column:
 
 
 def hashed_bow(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, bucket, weight)``: unit vectors of distinct-token counts, as sparse rows."""
+    """``(key, bucket, weight)``: unit vectors of distinct-token counts, as sparse rows; texts without a token have none, keys must be unique."""
     counts = df.select(key, F.explode(F.transform(F.array_distinct(tokens(text)), bucket)).alias("bucket")).groupBy(key, "bucket").agg(F.count("*").alias("n"))
     norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)).cast("double"))
     return counts.select(key, "bucket", (F.col("n") / norm).alias("weight"))
@@ -145,6 +146,6 @@ def _best_of(asked: pa.Table, top: int, schema: str):
 
 
 def budget_prefix(df: DataFrame, group: str, order: list[str], cost: Column, limit: int) -> DataFrame:
-    """Rows of each group up to, and without, the first whose running cost exceeds the limit."""
+    """Rows of each group up to, and without, the first whose running cost exceeds the limit; a null cost counts nothing."""
     w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("running", F.sum(cost).over(w)).where(F.col("running") <= limit)

@@ -12,7 +12,7 @@ RELATED, NEIGHBOURS = 5, 16
 
 
 def link_edges(files: DataFrame, path: str = "rel_path", text: str = "content") -> DataFrame:
-    """``(src, dst)``: distinct internal links of each file's raw text (frontmatter too), resolved to the root."""
+    """``(src, dst)``: distinct internal links of each file's raw text (frontmatter too), resolved to the root; null texts have none."""
     rows = files.select(F.col(path).alias("src"), F.explode(links(F.col(text).cast("string"))).alias("l"))
     rows = rows.where(~is_external("l.target")).select("src", resolve_target("l.target", "src").alias("dst"))
     return rows.where("dst is not null").distinct()
@@ -24,7 +24,7 @@ def anchors(links: DataFrame) -> DataFrame:
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """``(path, outbound, inbound)``, both sorted."""
+    """``(path, outbound, inbound)``, both sorted and whole; for bounded lists of hubs see ``neighbours``."""
     out = edges.groupBy(F.col("src").alias("path")).agg(F.array_sort(F.collect_set("dst")).alias("outbound"))
     into = edges.groupBy(F.col("dst").alias("path")).agg(F.array_sort(F.collect_set("src")).alias("inbound"))
     empty = F.array().cast("array<string>")
@@ -32,11 +32,22 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 
 def neighbours(edges: DataFrame, paths: DataFrame, limit: int = NEIGHBOURS) -> DataFrame:
-    """Bounded neighbour lists of the asked paths with the true totals."""
-    adj = adjacency(edges).join(paths, "path", "right")
+    """``(path, outbound, inbound, total_outbound, total_inbound)`` of the asked ``paths(path)``: the first ``limit`` (1 to 32) by name, and the true totals.
+
+    Only the first ones are gathered: ranks are pruned inside the tasks, totals are counts, so a hub
+    never comes together in one row.  A path without links has empty lists; repeated edges count once.
+    """
     n = max(1, min(limit, 32))
-    return adj.select("path", F.slice("outbound", 1, n).alias("outbound"), F.slice("inbound", 1, n).alias("inbound"),
-                      F.greatest(F.size("outbound"), F.lit(0)).alias("total_outbound"), F.greatest(F.size("inbound"), F.lit(0)).alias("total_inbound"))
+    paths, out = paths.select("path").distinct(), None
+    for name, here, there in (("outbound", "src", "dst"), ("inbound", "dst", "src")):
+        own = edges.select(F.col(here).alias("path"), F.col(there).alias("other")).distinct().join(paths, "path", "left_semi")
+        nth = F.row_number().over(Window.partitionBy("path").orderBy("other"))
+        first = own.withColumn("nth", nth).where(F.col("nth") <= n).groupBy("path").agg(F.array_sort(F.collect_list("other")).alias(name))
+        side = first.join(own.groupBy("path").agg(F.count("*").cast("int").alias(f"total_{name}")), "path")
+        out = side if out is None else out.join(side, "path", "full")
+    empty = F.array().cast("array<string>")
+    out = paths.join(out, "path", "left")
+    return out.select("path", *[F.coalesce(c, empty).alias(c) for c in ("outbound", "inbound")], *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total_outbound", "total_inbound")])
 
 
 def degrees(edges: DataFrame) -> DataFrame:

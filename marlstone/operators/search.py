@@ -36,11 +36,6 @@ def weigh(docs: DataFrame, key: str, fields: dict[str, float], split: Callable[[
     return rows.groupBy(key, "dl", "term").agg(F.sum("w").alias("f"))
 
 
-def postings(docs: DataFrame, key: str, fields: dict[str, float], split: Callable[[Column], Column] = tokens) -> DataFrame:
-    """``(key, dl, term, f)``: weighted frequency of each term, and the length over all fields."""
-    return weigh(docs, key, fields, split).where("term is not null")
-
-
 def corpus_stats(weighed: DataFrame) -> DataFrame:
     """One row: number of documents and mean length, of ``weigh``'s rows."""
     return weighed.where("term is null").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
@@ -91,7 +86,8 @@ def bm25(docs: DataFrame, questions: DataFrame, key: str, qid: str, fields: dict
 def overlap_rank(docs: DataFrame, questions: DataFrame, key: str, qid: str, text: str = "text", top: int = 5) -> DataFrame:
     """``(qid, key, distinct_hits, occurrences)``: most distinct terms first, then occurrences, then key.
 
-    Documents made of nothing but the question's terms are passed over.
+    Documents made of nothing but the question's terms are passed over; null texts have no terms; an
+    empty side gives no rows.
     """
     asked = questions.select(qid, F.explode(question_terms(text)).alias("term"))
     seen = docs.select(key, F.explode(tokens(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))

@@ -53,13 +53,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return _SCRATCH[-1]
 
 
-def drop_scratch(spark: SparkSession) -> int:
-    """Deletes the tables that operators wrote so far; frames that still read them fail afterwards."""
-    jvm, n = spark.sparkContext._jvm, len(_SCRATCH)
-    while _SCRATCH:
-        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+def drop_scratch(spark: SparkSession, start: int = 0, keep_last: int = 0) -> int:
+    """Deletes the tables written since there were ``start`` of them, but the ``keep_last`` newest.
+
+    Frames that still read them fail afterwards.
+    """
+    jvm, end = spark.sparkContext._jvm, len(_SCRATCH) - keep_last
+    old = _SCRATCH[start:end]
+    for name in old:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+    del _SCRATCH[start:end]
+    return len(old)
+
+
+def scratch_count() -> int:
+    """How many tables are there now."""
+    return len(_SCRATCH)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
