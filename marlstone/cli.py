@@ -224,7 +224,8 @@ def run(a: argparse.Namespace) -> Any:
         found = e.lint().cache()
         return {"findings": [r.asDict() for r in found.orderBy("path", "code", "message").collect()]} | verdict(found, a.strict).first().asDict()
     if a.command == "diff":
-        return e.diff(Explorer(spark, a.other))
+        other = Explorer(spark, a.other)
+        return {"files": e.diff(other), "links": e.link_diff(other)}
     if a.command == "pack":
         from marlstone.sources.files import pack, plain_tree
 

@@ -175,6 +175,10 @@ class Explorer:
     def revision(self) -> str:
         return bundle.revision_id(self.files)
 
+    def link_diff(self, other: "Explorer") -> list[dict[str, Any]]:
+        """Links that came or went from this bundle to another."""
+        return [r.asDict() for r in bundle.edge_diff(self.edges, other.edges).orderBy("src", "dst", "change").collect()]
+
     def diff(self, other: "Explorer") -> list[dict[str, Any]]:
         """Changes from this bundle to another."""
         def side(e: "Explorer") -> DataFrame:

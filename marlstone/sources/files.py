@@ -6,6 +6,7 @@ import fnmatch
 import gzip
 import hashlib
 import io
+import os
 import re
 import tarfile
 import zipfile
@@ -56,38 +57,55 @@ def ignored(path: Column, patterns: list[str]) -> Column:
     return out
 
 
-def listed(spark: SparkSession, root: str, max_bytes: int = ITEM_BYTES) -> DataFrame:
-    """``(path, content, length)`` of every file below a root, those with a part that begins with ``_`` too.
-
-    Spark's own listing passes such files over.  They are found through the file system and read on
-    the driver: a few bookkeeping files of a tree (more than ``MAX_ITEMS`` are an error).
-    """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content", "length")
-    jvm = spark.sparkContext._jvm
-    base = jvm.org.apache.hadoop.fs.Path(root)
+def _passed_over(spark: SparkSession, root: str) -> tuple[list[tuple[str, int]], list[str]]:
+    """Files that Spark's listing hides, with their sizes, and links of a local tree (Spark would follow them)."""
+    odd = lambda name: (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    start, todo, hidden = fs.makeQualified(base), [], []
-    todo.append((start, False))
+    start = fs.makeQualified(base)
+    hidden: list[tuple[str, int]] = []
+    if start.toUri().getScheme() == "file":
+        links, top = [], start.toUri().getPath()
+        for folder, folders, names in os.walk(top):
+            links += [f"{folder}/{n}" for n in (*folders, *names) if os.path.islink(f"{folder}/{n}")]
+            folders[:] = [n for n in folders if not n.startswith(".")]
+            below = any(odd(part) for part in os.path.relpath(folder, top).split(os.sep))
+            hidden += [(f"file:{folder}/{n}", os.path.getsize(f"{folder}/{n}")) for n in names if (below or odd(n)) and not n.startswith(".") and not os.path.islink(f"{folder}/{n}")]
+        return hidden, [f"file:{x}" for x in links]
+    todo = [(start, False)]
     while todo:
         folder, below = todo.pop()
         for status in fs.listStatus(folder):
             name = status.getPath().getName()
             if name.startswith("."):
                 continue
-            odd = below or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
             if status.isDirectory():
-                todo.append((status.getPath(), odd))
-            elif odd and not status.isSymlink():
-                hidden.append((status.getPath(), status.getLen()))
+                todo.append((status.getPath(), below or odd(name)))
+            elif below or odd(name):
+                hidden.append((status.getPath().toString(), status.getLen()))
+    return hidden, []
+
+
+def listed(spark: SparkSession, root: str, max_bytes: int = ITEM_BYTES) -> DataFrame:
+    """``(path, content, length)`` of every file below a root, those with a part that begins with ``_`` too; links aren't followed.
+
+    Spark's own listing passes such files over.  They are found through the file system and read on
+    the driver: a few bookkeeping files of a tree (more than ``MAX_ITEMS`` are an error).
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content", "length")
+    hidden, links = _passed_over(spark, root)
+    for link in links:
+        raw = raw.where((F.col("path") != link) & ~F.col("path").startswith(f"{link}/"))
     if not hidden:
         return raw
     if len(hidden) > MAX_ITEMS:
         raise ValueError(f"{len(hidden)} files begin with _, more than {MAX_ITEMS}")
-    rows = []
-    for path, size in hidden:
-        stream = fs.open(path)
+    jvm, rows = spark.sparkContext._jvm, []
+    for name, size in hidden:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(path)
         try:
-            rows.append((path.toString(), bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)) if size <= max_bytes else None, size))
+            rows.append((name, bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)) if size <= max_bytes else None, size))
         finally:
             stream.close()
     return raw.unionByName(spark.createDataFrame(rows, "path string, content binary, length long"))

@@ -49,6 +49,20 @@ def test_server(spark, root):
     assert got[3]["result"]["isError"] and not got[4]["result"]["isError"] and got[5]["error"]["code"] == -32601 and "invalid" in got[6]["result"]["content"][0]["text"]
 
 
+def test_completions_must_end_well(monkeypatch, tmp_path):
+    assert providers.clean("ok", "x", "p").text == "ok"
+    for bad in ("", "  ", providers.Completion("cut", "length"), providers.Completion("no", "refusal")):
+        with pytest.raises(providers.ProviderError):
+            providers.clean(bad, "x", "p")
+    (tmp_path / "m.toml").write_text('model = "stub:large"\n')
+    machine = providers.machine_settings(str(tmp_path / "m.toml"))
+    assert providers.setting(None, machine.get("model")) == "stub:large" and providers.setting("flag", machine.get("model")) == "flag" and providers.machine_settings(str(tmp_path / "none.toml")) == {}
+    monkeypatch.setenv("MARLSTONE_STUB_URL", "http://env/")
+    assert providers.endpoint("stub", "http://file/") == "http://env/" and providers.endpoint("other", None, "http://file/") == "http://file/"
+    said = providers.StubModel().complete("chat-answer", {"evidence": [{"path": "a.md", "title": " ", "excerpt": " x "}], "history": [1, 2]})
+    assert said == "Based on 1 passage(s) and 2 prior turn(s):\n- a.md: x [a.md]" and providers.StubModel().complete("concept-plan", {}) == '{"concepts": []}'
+
+
 def test_providers(spark):
     df = spark.createDataFrame([('{"title": "X"}', "a b a"), ("{}", None)], "p string, t string")
     got = [r["completion"] for r in providers.completions(df, "reference-description", "p").collect()]

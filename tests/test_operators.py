@@ -224,6 +224,11 @@ def test_files(spark, tmp_path):
     for p, c in {"a.md": "# A\n\ntext", "sub/b.txt": "plain", ".hidden/c.md": "x", "skip/d.md": "x", "e.bin": "x"}.items():
         (root / p).parent.mkdir(parents=True, exist_ok=True)
         (root / p).write_text(c)
+    (root / "sub" / "_kept.md").write_text("# K")
+    (root / "link.md").symlink_to(root / "a.md")
+    (root / "far").symlink_to(root / "skip")
+    assert sorted(r["rel_path"] for r in files.bundle(spark, str(root)).collect()) == ["a.md", "e.bin", "skip/d.md", "sub/_kept.md", "sub/b.txt"]
+    (root / "sub" / "_kept.md").unlink()
     rows = files.scan(spark, str(root), ["skip/"])
     assert sorted(r["rel_path"] for r in rows.collect()) == ["a.md", "sub/b.txt"]
     assert [r["rel_path"] for r in files.scan(spark, str(root), ["skip/"], after="a.md").collect()] == ["sub/b.txt"]
