@@ -8,7 +8,7 @@ merged into one wrapper; every block of a page belongs to a node of its host's w
 What the host's pages show at a node decides.  A slot's weight is the text outside links that varies
 there from page to page, text that stays counting a quarter.  The main part of a page is the element
 that holds the weight and has running text of its own: one goes down from the page, or from its
-heaviest ``article`` or ``main``, while a single container holds at least half.  Elements that are by
+heaviest ``article`` or ``main``, while a single container holds more than half.  Elements that are by
 definition something else (``nav``, ``footer``, ``aside``, ``form`` and such) count nowhere; class
 words that name such parts lower their weight, and inside the main part they go if they hold less
 than half of it.
@@ -76,6 +76,8 @@ HEADING_AREA = frozenset({"header", "masthead", "topbar"})
 MAIN_TAGS = frozenset({"article", "main"})
 #: Elements of running text: a container that has them beside its heaviest child is not left for that child.
 FLOW = frozenset("p h2 h3 h4 h5 h6 pre blockquote table ul ol dl figure".split())
+#: Headings of an article's parts.
+HEADINGS = frozenset("h2 h3 h4 h5 h6".split())
 #: Elements that may be lists of links.
 LISTS = frozenset("ul ol dl table div section details".split())
 
@@ -381,12 +383,17 @@ def main_nodes(labels: list[str], parents: list[int], weight: list[float], chars
     semantic = [i for i in range(1, n) if named[i][0] in MAIN_TAGS and total[i] > 0 and total[i] * 10 >= total[0]]
     top = max(semantic, key=lambda i: (total[i], -i), default=0)
     length, link = sums(chars), sums(linked)
+    headed = [False] * n
+    for i in range(n - 1, 0, -1):
+        headed[i] = headed[i] or (named[i][0] in HEADINGS and weight[i] > 0)
+        headed[parents[i]] = headed[parents[i]] or headed[i]
     while named[top][0] != "article" and not weight[top]:
         heavy = [k for k in kids[top] if total[k] > 0]
         best = max(heavy, key=lambda k: (total[k], -k), default=None)
-        if best is None or not kids[best] or 2 * total[best] < total[top]:
+        if best is None or not kids[best] or 2 * total[best] <= total[top]:
             break
-        if any(named[k][0] in FLOW and 2 * link[k] < length[k] for k in heavy if k != best):
+        # running text beside it, or another part of its kind that is headed as it is, belongs together with it
+        if any((named[k][0] in FLOW or (labels[k] == labels[best] and headed[k] and headed[best])) and 2 * link[k] < length[k] for k in heavy if k != best):
             break
         top = best
     total = sums(weight)

@@ -219,6 +219,14 @@ def test_deep_parts_keep_their_role(spark):
     assert texts_of(spark, [("d.example", html)]) == [f"Top\n{prose(1)}\n{prose(2)}"]
 
 
+def test_parts_of_an_article_stay_together(spark):
+    halves = f"<body><div><h1>T</h1></div><div><div><p>{prose(5)}</p></div><div><p>{prose(6)}</p></div></div></body>"
+    headed = "<body><div><ul><li><a href=/>Home</a></ul></div><div><h1>T</h1>" + "".join(f"<div><h2>Part {k}</h2><p>{prose(k, 20 * k)}</p></div>" for k in (1, 2, 6)) + "</div></body>"
+    got = texts_of(spark, [("q.example", halves), ("r.example", headed)])
+    assert set(prose(5).splitlines() + prose(6).splitlines()) <= set(got[0].splitlines())
+    assert got[1] == "\n".join(["T", *(f"Part {k}\n{prose(k, 20 * k)}" for k in (1, 2, 6))])
+
+
 def test_very_long_blocks(spark):
     long = "word " * 40_000
     assert texts_of(spark, [("v.example", f"<article><p>{long}</p><p>b</p></article>")]) == [f"{long.strip()}\nb"]
