@@ -32,6 +32,9 @@ from marlstone.session import materialize, table
 #: Text is template if it stands at its node on this share of the pages that have the node, on so many pages
 #: at least (two may quote one passage), and if this share of those pages' other main text differs.
 CONSTANT, LEAST_PAGES, DIFFERENT = 0.5, 3, 0.3
+#: What stands beside the heaviest part is of the article if it is on this share of the pages that have that
+#: part, or weighs this share of it.
+COMMON, PART = 0.9, 0.25
 #: Weight of text that stays, and of parts named like something else; short blocks, under about so many
 #: characters, weigh little.
 STAYING, NAMED, SHORT = 0.25, 0.25, 30
@@ -74,8 +77,6 @@ OUTSIDE_TAGS = frozenset("nav footer aside form dialog menu search".split())
 #: These count only outside an article.
 HEADING_AREA = frozenset({"header", "masthead", "topbar"})
 MAIN_TAGS = frozenset({"article", "main"})
-#: Elements of running text: a container that has them beside its heaviest child is not left for that child.
-FLOW = frozenset("p h2 h3 h4 h5 h6 pre blockquote table ul ol dl figure".split())
 #: Headings of an article's parts.
 HEADINGS = frozenset("h2 h3 h4 h5 h6".split())
 #: Elements that may be lists of links.
@@ -351,11 +352,15 @@ def flatten(tree: tuple[str, list]) -> tuple[list[str], list[int]]:
     return labels, parents
 
 
-def main_nodes(labels: list[str], parents: list[int], weight: list[float], chars: list[float], linked: list[float]) -> list[bool]:
+def main_nodes(labels: list[str], parents: list[int], weight: list[float], chars: list[float], linked: list[float], varying: list[float], pages: list[float]) -> list[bool]:
     """Which nodes of a page's tree, in preorder, hold its main text, by what its host shows at them.
 
-    ``weight``, ``chars`` and ``linked`` are a node's own text: its weight, its characters and those
-    inside links, on average over the host's pages.
+    ``weight``, ``chars``, ``linked`` and ``varying`` are a node's own text: its weight, its characters, those
+    inside links and those outside that don't stay, on average over the ``pages`` of the host that have it.
+
+    From the top a container is left for its heaviest child only if all that stands beside the child is
+    boilerplate: barred or named as something else, mostly links, mostly text that stays, or small and
+    missing on other pages, as readers' comments are.
     """
     n = len(labels)
     kids: list[list[int]] = [[] for _ in range(n)]
@@ -368,10 +373,11 @@ def main_nodes(labels: list[str], parents: list[int], weight: list[float], chars
         barred[i] = barred[i] or barred[parents[i]]
         inside[i] = inside[parents[i]] or named[i][0] in MAIN_TAGS
 
-    lowered = [False] * n
+    lowered, low = [False] * n, [False] * n  # low: by its own name
     for i in range(1, n):
         tag, words = named[i]
-        lowered[i] = lowered[parents[i]] or bool(words & OUTSIDE) or (not inside[i] and (tag == "header" or bool(words & HEADING_AREA)))
+        low[i] = bool(words & OUTSIDE) or (not inside[i] and (tag == "header" or bool(words & HEADING_AREA)))
+        lowered[i] = lowered[parents[i]] or low[i]
 
     def sums(own: list[float]) -> list[float]:
         out = [0.0 if barred[i] else own[i] for i in range(n)]
@@ -379,27 +385,34 @@ def main_nodes(labels: list[str], parents: list[int], weight: list[float], chars
             out[parents[i]] += out[i]
         return out
 
-    total = sums([w * NAMED if low else w for w, low in zip(weight, lowered)])
+    total = sums([w * NAMED if named_so else w for w, named_so in zip(weight, lowered)])
     semantic = [i for i in range(1, n) if named[i][0] in MAIN_TAGS and total[i] > 0 and total[i] * 10 >= total[0]]
     top = max(semantic, key=lambda i: (total[i], -i), default=0)
     length, link = sums(chars), sums(linked)
-    headed = [False] * n
+    varies, present = sums(varying), list(pages)
     for i in range(n - 1, 0, -1):
-        headed[i] = headed[i] or (named[i][0] in HEADINGS and weight[i] > 0)
-        headed[parents[i]] = headed[parents[i]] or headed[i]
+        present[parents[i]] = max(present[parents[i]], present[i])
+
+    def part(k: int, best: int) -> bool:
+        """Whether what stands at k, beside the heaviest, is main text as well."""
+        if barred[k] or low[k] or 2 * link[k] >= length[k] or 2 * varies[k] <= length[k]:
+            return False
+        return present[k] >= COMMON * present[best] or total[k] >= PART * total[best]
+
+    aside: list[int] = []
     while named[top][0] != "article" and not weight[top]:
         heavy = [k for k in kids[top] if total[k] > 0]
         best = max(heavy, key=lambda k: (total[k], -k), default=None)
-        if best is None or not kids[best] or 2 * total[best] <= total[top]:
+        if best is None or not kids[best]:
             break
-        # running text beside it, or another part of its kind that is headed as it is, belongs together with it
-        if any((named[k][0] in FLOW or (labels[k] == labels[best] and headed[k] and headed[best])) and 2 * link[k] < length[k] for k in heavy if k != best):
+        if any(part(k, best) for k in heavy if k != best):
+            aside = [k for k in kids[top] if k != best and kids[k] and not part(k, best)]
             break
         top = best
     total = sums(weight)
     for i in range(top + 1, n):
         named_out = lowered[i] and not lowered[parents[i]] and 2 * total[i] < total[top]
-        barred[i] = barred[i] or barred[parents[i]] or named_out
+        barred[i] = barred[i] or barred[parents[i]] or named_out or i in aside
     tops = {top} | ({k for k in kids[parents[top]] if labels[k] == labels[top]} if named[top][0] == "article" else set())
     keep, titled = [False] * n, False
     for i in range(n):
@@ -468,18 +481,22 @@ def align(trees: DataFrame, wrappers: DataFrame) -> DataFrame:
     return map_batches(trees.join(wrappers, "host").select("host", "tree", "wrapper"), run, "host string, tree string, nodes array<int>")
 
 
+#: What a host's pages show at a wrapper node.
+SHOWN = ("weight", "chars", "linked", "varying", "pages")
+
+
 def main_parts(aligned: DataFrame, shown: DataFrame) -> DataFrame:
     """``(host, tree, nodes, main)``: which nodes of each distinct tree are main text.
 
-    ``shown(host, node, weight, chars, linked)`` says what a host's pages show at a wrapper node.
+    ``shown(host, node, *SHOWN)`` says what a host's pages show at a wrapper node.
     """
-    slots = shown.groupBy("host").agg(F.collect_list(F.struct("node", "weight", "chars", "linked")).alias("slots"))  # a row for each wrapper node
+    slots = shown.groupBy("host").agg(F.collect_list(F.struct("node", *SHOWN)).alias("slots"))  # a row for each wrapper node
 
     def run(cols: dict[str, list]) -> dict[str, object]:
         out = []
         for tree, nodes, slots in zip(cols["tree"], cols["nodes"], cols["slots"]):
             by = {s["node"]: s for s in slots or ()}
-            own = [[by[k][c] if k >= 0 and k in by else 0.0 for k in nodes] for c in ("weight", "chars", "linked")]
+            own = [[by[k][c] if k >= 0 and k in by else 0.0 for k in nodes] for c in SHOWN]
             out.append(main_nodes(*flatten(read_tree(tree)), *own))
         return {k: cols[k] for k in ("host", "tree", "nodes")} | {"main": out}
 
@@ -514,8 +531,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     slim = slim.join(stays, "host", "left").select("host", "shape", flagged.alias("blocks"))
     free = (F.col("b.chars") - F.col("b.linked")).cast("double")
     weight = free * free / (free + SHORT) * F.when(F.col("b.stays"), STAYING).otherwise(1.0)
-    sums = slim.select("host", F.explode("blocks").alias("b")).groupBy("host", "b.node").agg(F.sum(weight).alias("weight"), F.sum("b.chars").alias("chars"), F.sum("b.linked").alias("linked"))
-    shown = sums.join(by_node, ["host", "node"]).select("host", "node", *[(F.col(c) / F.col("pages")).alias(c) for c in ("weight", "chars", "linked")])
+    sums = slim.select("host", F.explode("blocks").alias("b")).groupBy("host", "b.node").agg(F.sum(weight).alias("weight"), F.sum("b.chars").alias("chars"), F.sum("b.linked").alias("linked"), F.sum(F.when(F.col("b.stays"), 0.0).otherwise(free)).alias("varying"))
+    shown = sums.join(by_node, ["host", "node"]).select("host", "node", *[(F.col(c) / F.col("pages")).alias(c) for c in SHOWN[:-1]], F.col("pages").cast("double").alias("pages"))
     parts = materialize(main_parts(aligned, shown).withColumn("shape", F.xxhash64("tree")), "main")
     main = slim.join(parts.select("host", "shape", "main"), ["host", "shape"]).select("host", F.filter("blocks", lambda b: F.get("main", b["own"])).alias("blocks"))
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, b: n + b["chars"])

@@ -132,7 +132,7 @@ def test_merge_and_place():
         assert len(at) == len(set(at)) == write(t).count(",") + write(t).count("(") + 1 and -1 not in at
     assert read(write(w)) == w
     labels, parents = html_extract.flatten(w)
-    keep = html_extract.main_nodes(labels, parents, *[[float(x in ("p", "h1", "h2", "li", "div.ad", "aside", "footer")) * k for x in labels] for k in (50, 60, 0)])
+    keep = html_extract.main_nodes(labels, parents, *[[float(x in ("p", "h1", "h2", "li", "div.ad", "aside", "footer")) * k for x in labels] for k in (50, 60, 0, 60, 1)])
     kept = {x for x, k in zip(labels, keep) if k}
     assert {"article", "p", "h1", "h2"} == kept
 
@@ -227,6 +227,28 @@ def test_parts_of_an_article_stay_together(spark):
     assert got[1] == "\n".join(["T", *(f"Part {k}\n{prose(k, 20 * k)}" for k in (1, 2, 6))])
 
 
+def test_no_part_of_an_article_is_left_out(spark):
+    """However the article is dealt into plain containers, alone on a host or ten to a host, nested once or twice."""
+    q = lambda k, n=60: prose(k, n)
+    p = lambda k, n=60: f"<p>{q(k, n)}</p>"
+    layouts = {
+        "even": lambda i: (f"<div><div>{p(i)}</div><div>{p(i + 50)}</div></div>", [q(i), q(i + 50)]),
+        "uneven": lambda i: (f"<div><div>{p(i, 50)}</div><div>{p(i + 50, 80)}</div></div>", [q(i, 50), q(i + 50, 80)]),
+        "main": lambda i: (f"<main><div class=a>{p(i, 90)}</div><div class=b>{p(i + 50)}</div></main>", [q(i, 90), q(i + 50)]),
+        "nested": lambda i: (f"<div><div><div>{p(i, 30)}</div><div>{p(i + 20)}</div></div><div><div>{p(i + 50)}{p(i + 70)}</div></div></div>", [q(i, 30), *map(q, (i + 20, i + 50, i + 70))]),
+        "three": lambda i: (f"<div><div>{p(i, 20)}</div><div>{p(i + 50, 150)}</div><div>{p(i + 70, 40)}</div></div>", [q(i, 20), q(i + 50, 150), q(i + 70, 40)]),
+        "headed": lambda i: (f"<div><h1>H{i}</h1><div><h2>A{i}</h2>{p(i, 30)}</div><div><h2>B{i}</h2>{p(i + 50, 90)}</div></div>", [f"H{i}", f"A{i}", q(i, 30), f"B{i}", q(i + 50, 90)]),
+    }
+    menu = "<div><ul><li><a href=/a>Home</a><li><a href=/b>About us</a></ul></div>"
+    pages, want = [], []
+    for name, make in layouts.items():
+        for i in range(10):
+            body, parts = make(1000 * len(pages) + i)
+            for host in (f"{name}.example", f"{name}{i}.example"):
+                pages.append((host, f"<body>{menu}{body}</body>")), want.append("\n".join(parts))
+    assert texts_of(spark, pages) == want
+
+
 def test_very_long_blocks(spark):
     long = "word " * 40_000
     assert texts_of(spark, [("v.example", f"<article><p>{long}</p><p>b</p></article>")]) == [f"{long.strip()}\nb"]
