@@ -323,7 +323,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     marked = materialize(_marked(docs, words), "marked")
     first = marked.where("size > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("size", "mins", "cells")])
     classes = materialize(first.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    leaves = materialize(grow(classes.select("cid", "mins"), trees_for(least, recall), small), "leaves")
+    leaves = grow(classes.select("cid", "mins"), trees_for(least, recall), small)
     packed = classes.select("cid", "size", F.substring("mins", 1, 4 * SKETCH).alias("mins"), "cells")
     sketch = map_batches(packed.join(leaves.select("cid").distinct(), "cid", "left_semi"), _sketched, "cid long, size int, sketch binary, cells binary")
     sketch = materialize(sketch, "sketches")
