@@ -11,6 +11,7 @@ import xxhash
 
 from marlstone.llm import registry
 from tests.llm.test_page_and_quality_operators import brute_counts
+from tests.llm.test_search_and_join import brute_join, brute_search
 from tests.llm.test_text_operators import TEXTS, brute_components
 
 P = pytest.importorskip("public_tokenizers")
@@ -24,12 +25,15 @@ LABELS = [(i, i % 2, int(i % 4 == 1), 7) for i in range(len(LONG))] + [(None, 1,
 PAGE = "<html><body><nav><a href=/x>menu</a></nav><article><h1>T{0}</h1><p>Words of page {0} &amp; more.</p></article></body></html>"
 PAGES = [(i, f"https://h.example/{i}", PAGE.format(i), "t", "h") for i in range(5)] + [(7, "https://h.example/7", PAGE.format(1), "t", "h"), (7, "https://h.example/7", PAGE.format(1), "t", "h"), (8, None, None, None, None), (9, "nonsense", "", "t", "h"), (None, "https://k.example/", PAGE.format(9), "t", "h")]
 
+ITEMS = [(0, COPY, "x"), (1, "der Haus haus", "x"), (1, LONG[3], "x"), (2, None, None), (3, "", "x"), (None, "stone", "x")]
+
 
 def write(spark, folder, empty=False):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string, lang string, source string, n_chars long, fp long, bucket string")
     labels = spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int, fold int")
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string, tree string, host string")
-    for name, df in (("documents", docs), ("labels", labels), ("pages", pages)):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string, doc_id string")
+    for name, df in (("documents", docs), ("labels", labels), ("pages", pages), ("benchmark", items)):
         (df.limit(0) if empty else df).write.parquet(f"{folder}/{name}.parquet")
     return folder
 
@@ -197,3 +201,14 @@ def test_op10(spark, small):
     got = rows(spark, "op10_quality_rules", small)
     assert sorted(str((d[0], *brute_counts(d[1]))) for d in DOCS) == sorted(str((r["doc_id"], *[r[n] for n in names])) for r in got)
     assert not any(r["kept"] for r in got if r["base_failed"]) and all(r["kept"] is not None for r in got)
+
+
+def test_op11(spark, small):
+    got = rows(spark, "op11_threshold_search", small)
+    want = brute_search([d[:2] for d in DOCS], [i[:2] for i in ITEMS])
+    assert want == sorted(str((r["item_id"], r["rank"], r["doc_id"], r["score"])) for r in got)
+
+
+def test_op12(spark, small):
+    got = rows(spark, "op12_chosen_path_dedup", small)
+    assert sorted(str((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"])) for r in got) == brute_join([d[:2] for d in DOCS])
