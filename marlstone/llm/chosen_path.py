@@ -38,7 +38,7 @@ from marlstone.session import materialize, table
 
 WORDS, LEAST, RECALL = 3, 0.85, 0.999999
 #: Minwise functions; of the first so many the lowest byte makes the sketch.
-FUNCTIONS, SKETCH, CELLS = 128, 64, 64
+FUNCTIONS, SKETCH, CELLS = 128, 64, 256
 #: Children of a node that branches, documents compared exhaustively, share of the parent that makes a child dense.
 BRANCH, SMALL, DENSE = 2, 1024, 0.5
 #: Documents of one block of a star that is verified on full sets.
@@ -88,6 +88,11 @@ def cell_counts(shingles: np.ndarray) -> bytes:
     return np.minimum(np.bincount(shingles & (CELLS - 1), minlength=CELLS), 255).astype(np.uint8).tobytes()
 
 
+def set_key(shingles: np.ndarray) -> str:
+    """Names a set."""
+    return xxhash.xxh128_hexdigest(shingles.tobytes())
+
+
 def _marked(docs: DataFrame, words: int) -> DataFrame:
     """``(doc_id, key, size, mins, cells)`` of ``docs(doc_id, text)``; key names the set."""
 
@@ -96,7 +101,7 @@ def _marked(docs: DataFrame, words: int) -> DataFrame:
         mins = iter(minwise([s for s in sets if len(s)]))
         return {
             "doc_id": cols["doc_id"],
-            "key": [xxhash.xxh128_hexdigest(s.tobytes()) for s in sets],
+            "key": list(map(set_key, sets)),
             "size": [len(s) for s in sets],
             "mins": [next(mins).tobytes() if len(s) else b"" for s in sets],
             "cells": [cell_counts(s) for s in sets],
@@ -173,15 +178,16 @@ def _dealt(leaves: DataFrame, small: int, across: bool) -> DataFrame:
 
 
 def _in_blocks(rows: DataFrame, find: Callable[[list[np.ndarray], np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Distinct pairs ``(u, v)``, u < v, that ``find`` proposes inside each block of ``rows(block, cid, sketch, ...)``; it gets the block's other columns and the sketches."""
-    others = [c for c in rows.columns if c not in ("block", "sketch", "cells")]
+    """Distinct pairs ``(u, v)``, u < v, that ``find`` proposes inside each block of ``rows(block, cid, sketch, ...)``; it gets the block's other columns, sketches and cells (if there are any)."""
+    others, counted = [c for c in rows.columns if c not in ("block", "sketch", "cells")], "cells" in rows.columns
     rows = rows.repartition("block").sortWithinPartitions("block", "cid")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def settled(t: pa.Table) -> Iterator[pa.RecordBatch]:
             block, cols = t["block"].to_numpy(), [t[c].to_numpy() for c in others]
-            sketch, cells = _matrix(t["sketch"], np.uint8, SKETCH), _matrix(t["cells"], np.uint8, CELLS)
+            sketch = _matrix(t["sketch"], np.uint8, SKETCH)
+            cells = _matrix(t["cells"], np.uint8, CELLS) if counted else sketch
             edge = np.append(np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))), len(block))
             us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             cid = cols[others.index("cid")]
@@ -260,21 +266,23 @@ def _apart(least: float):
     return find
 
 
-def _class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``(cid, shingles)`` of the wanted classes, from the texts of their first documents."""
-    named = classes.join(wanted, "cid", "left_semi").select("cid", "key", "first_id")
+def _class_sets(docs: DataFrame, named: DataFrame, words: int) -> DataFrame:
+    """``(cid, shingles)`` of the classes ``named(cid, key, first_id)``, from the texts of their first documents."""
     texts = docs.join(named.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
     def sets(cols: dict[str, list]) -> dict[str, object]:
         found = [shingle_set(t, words) for t in cols["text"]]
-        return {"key": [xxhash.xxh128_hexdigest(s.tobytes()) for s in found], "shingles": found}
+        return {"key": list(map(set_key, found)), "shingles": found}
 
     made = map_batches(texts, sets, "key string, shingles array<long>").dropDuplicates(["key"])
     return made.join(named, "key").select("cid", "shingles")
 
 
-def _star_links(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
-    """Links ``(u, v)`` among ``pairs(u, v)``, confirmed on full sets; a star's ends meet in blocks that have its centre, where they are held against each other too."""
+def _star_links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, least: float, words: int) -> DataFrame:
+    """Links ``(u, v)`` among ``pairs(u, v)``, confirmed on full sets; a star's ends meet in blocks that have its centre, where they are held against each other too.
+
+    Texts are moved, not sets, which are larger and don't compress; a block makes them from the texts.
+    """
     hubs = pairs.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("p")).select("p.*")
     degree = hubs.groupBy("u").agg(F.count("*").alias("n"))
     both = pairs.join(degree.select("u", F.col("n").alias("nu")), "u").join(degree.select(F.col("u").alias("v"), F.col("n").alias("nv")), "v")
@@ -283,27 +291,29 @@ def _star_links(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], least:
     parts = rays.groupBy("centre").agg(F.ceil(F.count("*") / STAR).cast("long").alias("parts"))
     dealt = rays.join(parts, "centre").select("centre", F.pmod(F.xxhash64("cid"), F.col("parts")).alias("block"), "cid")
     centres = parts.select("centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("block"), F.col("centre").alias("cid"))
-    blocks = dealt.unionAll(centres)
-    rows = blocks.join(sets(blocks.select("cid").distinct()), "cid").select("centre", "block", (F.col("cid") == F.col("centre")).alias("first"), "cid", "shingles")
+    blocks = dealt.unionAll(centres).join(classes.select("cid", "key", F.col("first_id").alias("doc_id")), "cid")
+    blocks = materialize(blocks.select("doc_id", "centre", "block", (F.col("cid") == F.col("centre")).alias("first"), "cid", "key"), "blocks")
+    rows = blocks.join(docs, "doc_id").select("centre", "block", "first", "cid", "key", "text")
     rows = rows.repartition("centre", "block").sortWithinPartitions("centre", "block", F.desc("first"), "cid")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, held = None, [], []
+        at, ids, held = None, [], []
 
         def close() -> pa.RecordBatch:
             got = [(ids[r], ids[i]) for i, r in enumerate(joined_sets(held, least)) if r != i]
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.int64()) for k in (0, 1)], schema=schema)
 
         for b in batches:
-            shingles = b.column(4)
-            for i, at in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-                if at != key:
+            for centre, block, _, cid, key, text in zip(*(c.to_pylist() for c in b.columns)):
+                if (centre, block) != at:
                     if len(ids) > 1:
                         yield close()
-                    key, ids, held = at, [], []
-                ids.append(b.column(3)[i].as_py())
-                held.append(shingles[i].values.to_numpy())
+                    at, ids, held = (centre, block), [], []
+                shingles = shingle_set(text, words)
+                # another text under the same doc_id, or a repeated row
+                if set_key(shingles) == key and (not ids or ids[-1] != cid):
+                    ids.append(cid), held.append(shingles)
         if len(ids) > 1:
             yield close()
 
@@ -328,11 +338,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     sketch = map_batches(packed.join(leaves.select("cid").distinct(), "cid", "left_semi"), _sketched, "cid long, size int, sketch binary, cells binary")
     sketch = materialize(sketch, "sketches")
 
-    def sets(wanted: DataFrame) -> DataFrame:
-        return _class_sets(docs, classes, wanted, words)
-
-    proposed = materialize(_in_blocks(_dealt(leaves, small, False).join(sketch, "cid"), _central(least)), "proposed")
-    linked = connected_components(_star_links(proposed, sets, least)).select(F.col("node").alias("cid"), F.col("component").alias("label"))
+    proposed = materialize(_in_blocks(_dealt(leaves, small, False).select("block", "cid").join(sketch.select("cid", "sketch"), "cid"), _central(least)), "proposed")
+    linked = connected_components(_star_links(proposed, docs, classes, least, words)).select(F.col("node").alias("cid"), F.col("component").alias("label"))
     labels = materialize(classes.select("cid", "first_id").join(linked, "cid", "left").select("cid", "first_id", F.coalesce("label", "cid").alias("label")), "labels")
     blocks = materialize(_dealt(leaves, small, True).join(labels.select("cid", "label"), "cid"), "blocks")
     mixed = blocks.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("block")
@@ -344,7 +351,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
         return shared >= least * (len(a) + len(b) - shared) - 1e-9
 
     wanted = near.select(F.explode(F.array("u", "v")).alias("cid")).distinct()
-    further = _kept_pairs(near, materialize(sets(wanted).withColumnRenamed("cid", "doc_id"), "sets"), alike)
+    named = materialize(classes.join(wanted, "cid", "left_semi").select("cid", "key", "first_id"), "wanted")  # written, so Spark knows whether it is small
+    further = _kept_pairs(near, materialize(_class_sets(docs, named, words).withColumnRenamed("cid", "doc_id"), "sets"), alike)
     for end in ("u", "v"):
         further = further.join(labels.select(F.col("cid").alias(end), F.col("label").alias(f"{end}_label")), end)
     joined = connected_components(further.select(F.col("u_label").alias("u"), F.col("v_label").alias("v")))
