@@ -129,14 +129,66 @@ def resolve_target(target: Column | str, from_path: Column | str) -> Column:
     return F.when((target != "") & ~normal.startswith("..") & ~(folder.startswith("/") & ~target.startswith("/")), normal)
 
 
-def canonical_url(url: Column | str) -> Column:
-    """Lower-case scheme and host, no fragment, no default port, ``/`` for an empty path."""
-    url = F.regexp_replace(col(url), r"#.*$", "")
-    part = lambda k: F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?]*)([^?]*)(\?.*)?$", k)
-    scheme, host = F.lower(part(1)), F.lower(part(2))
-    host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
-    path = F.when(part(3) == "", F.lit("/")).otherwise(part(3))
-    return F.when(scheme == "", url).otherwise(F.concat(scheme, F.lit("://"), host, path, part(4)))
+#: Parts of a URI reference: scheme, authority, path, query; the fragment is left out.
+_REFERENCE = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
+
+
+def _uri(x: Column, k: int) -> Column:
+    return F.regexp_extract(x, _REFERENCE, k)
+
+
+def _dotless(segments: Column) -> Column:
+    """The path of segments: ``.`` goes, ``..`` takes one segment back."""
+    back = lambda out: F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))
+    step = lambda out, x: F.when(x == "..", back(out)).when(x == ".", out).otherwise(F.concat(out, F.array(x)))
+    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+    path = F.array_join(F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+    return F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
+
+
+def resolve_url(url: Column | str, base: Column | str) -> Column:
+    """A URI reference against the absolute http or https URL it stands in, without its fragment.
+
+    Blanks around it, tabs and line ends don't count; another scheme's reference stays as it is; an
+    empty one is the base; null on either side gives null.
+    """
+    url = F.regexp_replace(strip(F.regexp_replace(col(url), r"[\t\r\n]", "")), r"#.*$", "")
+    base = col(base)
+    scheme, root = F.lower(_uri(base, 1)), F.concat(F.lower(_uri(base, 1)), F.lit("://"))
+    own = F.lower(_uri(url, 1))
+    rest = F.when(own == "", url).otherwise(F.regexp_replace(url, r"^[^:]*:", ""))
+    path, query = [F.regexp_extract(rest, r"^([^?#]*)(?:\?([^#]*))?", k) for k in (1, 2)]
+    asked = lambda q: F.when(q == "", F.lit("")).otherwise(F.concat(F.lit("?"), q))
+    parts = F.split(_uri(base, 3), "/")
+    folder = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    joined = F.concat(folder, F.split(path, "/"))
+    joined = F.filter(joined, lambda x, i: (x != "") | (i == 0) | (i == F.size(joined) - 1))  # a merged path has no empty segment inside
+    merged = F.when(path.startswith("/"), _dotless(F.split(path, "/"))).otherwise(_dotless(joined))
+    here = F.concat(root, _uri(base, 2))
+    return (
+        F.when((own != "") & (own != scheme), url)
+        .when(rest.startswith("//"), F.concat(scheme, F.lit(":"), rest))
+        .when(path == "", F.concat(here, _uri(base, 3), asked(F.when(query == "", _uri(base, 4)).otherwise(query))))
+        .otherwise(F.concat(here, merged, asked(query)))
+    )
+
+
+def canonical_url(url: Column | str, base: Column | str | None = None) -> Column:
+    """Lower-case scheme and host, no fragment, no default port, ``/`` for an empty path; resolved against ``base``, if given.
+
+    User information stays as it is, an IPv6 literal keeps its brackets.  What has no authority stays
+    but for its fragment.
+    """
+    url = strip(col(url)) if base is None else resolve_url(url, base)
+    url = F.regexp_replace(url, r"#.*$", "")
+    scheme, authority = F.lower(_uri(url, 1)), _uri(url, 2)
+    at = lambda k: F.regexp_extract(authority, r"^(.*@)?(\[[^\]]*\]|[^:]*)(?::0*([0-9]*))?$", k)
+    port = F.when((at(3) == "") | ((scheme == "http") & (at(3) == "80")) | ((scheme == "https") & (at(3) == "443")), F.lit("")).otherwise(F.concat(F.lit(":"), at(3)))
+    host = F.when(at(2) == "", authority).otherwise(F.concat(at(1), F.lower(at(2)), port))
+    path = F.when(_uri(url, 3) == "", F.lit("/")).otherwise(_uri(url, 3))
+    query = F.when(_uri(url, 4) == "", F.lit("")).otherwise(F.concat(F.lit("?"), _uri(url, 4)))
+    bare = F.when(scheme == "", url).otherwise(F.concat(scheme, F.regexp_replace(url, r"^[^:]*", "")))
+    return F.when((scheme == "") | (authority == ""), bare).otherwise(F.concat(scheme, F.lit("://"), host, path, query))
 
 
 def visible_prose(x: Column | str) -> Column:

@@ -1,6 +1,8 @@
 """Text scalars against plain Python on small frames."""
 
 import posixpath
+import random
+from urllib.parse import urljoin, urlsplit, urlunsplit
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,3 +73,44 @@ def test_small_scalars(spark):
     assert (r["revision"], r["summary"]) == ("rev-0123456789ab", "built")
     assert one(spark, "u", X.doc_id("t")).startswith("doc-") and one(spark, None, X.question_terms("t")) is None
     assert one(spark, "x", X.title_matches(F.lit(3), F.lit(2))) and not one(spark, "x", X.title_matches(F.lit(2), F.lit(1)))
+
+
+SEGMENTS = ["a", "b", "..", ".", "", "c d", "x;p=1", "%20", "..."]
+
+
+def test_resolved_urls_equal_the_standard_library(spark):
+    """References of every form against bases with user information, ports, IPv6 literals, queries."""
+    r = random.Random(1)
+
+    def path():
+        return "/".join(r.choice(SEGMENTS) for _ in range(r.randint(1, 5)))
+
+    def reference():
+        p = r.choice(["", "/"]) + (path() if r.random() < 0.9 else "")
+        k = r.random()
+        if k < 0.6:
+            u = p.lstrip("/") if p.startswith("//") else p
+        elif k < 0.7:
+            u = "//" + r.choice(["h", "U:p@Host:80", "[::1]:8080"]) + ("/" + p if p else "")
+        elif k < 0.85:
+            u = r.choice(["http:", "mailto:", "HTTP://", "https://Us:Pw@"]) + r.choice(["x", "Host.Example:443/", "[FE80::1]:080/"]) + p
+        else:
+            u = ""
+        return u + r.choice(["", "", "?q=1", "?a/../b"]) + r.choice(["", "", "#f", "#f/x"])
+
+    def canonical(url):
+        p = urlsplit(url)
+        host = f"[{p.hostname}]" if ":" in (p.hostname or "") else p.hostname or ""
+        user = "".join(p.netloc.rpartition("@")[:2])
+        port = "" if p.port in (None, {"http": 80, "https": 443}.get(p.scheme)) else f":{p.port}"
+        return urlunsplit((p.scheme, user + host + port, p.path or "/", p.query, ""))
+
+    bases = [f"{s}://{h}{p}{q}" for s in ("http", "https") for h in ("Host", "u@h.example:8080", "[::1]") for p in ("", "/", "/a/b", "/a/./b/../c/") for q in ("", "?z=1")]
+    rows = [(reference(), r.choice(bases)) for _ in range(10_000)]
+    for x in spark.createDataFrame(rows, "u string, b string").select("u", "b", X.canonical_url("u", "b").alias("c")).collect():
+        assert x["c"] == canonical(urljoin(x["b"], x["u"])), (x["u"], x["b"])
+
+
+@pytest.mark.parametrize("value,want", [(" https://U:P@EX.org:443 ", "https://U:P@ex.org/"), ("HTTP://[::A]:81/x#y", "http://[::a]:81/x"), ("plain/path#z", "plain/path"), ("Mailto:A@B", "mailto:A@B"), ("http://h:99/?", "http://h:99/")])
+def test_canonical_url_parts(spark, value, want):
+    assert one(spark, value, X.canonical_url("t")) == want
