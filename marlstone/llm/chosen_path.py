@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm._common import bounded_batches, map_batches
 from marlstone.llm.components import connected_components
-from marlstone.llm.similar import _kept_pairs, joined_sets, shingle_set
+from marlstone.llm.similar import _kept_pairs, alike_sets, joined_sets, shingle_set
 from marlstone.llm.simhash import _mix
 from marlstone.session import materialize, table
 
@@ -345,14 +345,9 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     mixed = blocks.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("block")
     near = materialize(_in_blocks(blocks.join(mixed, "block", "left_semi").join(sketch, "cid"), _apart(least)), "near")
 
-    def alike(cols: dict[str, list], i: int) -> bool:
-        a, b = (cols[c][i].values.to_numpy() for c in ("u_shingles", "v_shingles"))
-        shared = len(np.intersect1d(a, b, assume_unique=True))
-        return shared >= least * (len(a) + len(b) - shared) - 1e-9
-
     wanted = near.select(F.explode(F.array("u", "v")).alias("cid")).distinct()
     named = materialize(classes.join(wanted, "cid", "left_semi").select("cid", "key", "first_id"), "wanted")  # written, so Spark knows whether it is small
-    further = _kept_pairs(near, materialize(_class_sets(docs, named, words).withColumnRenamed("cid", "doc_id"), "sets"), alike)
+    further = _kept_pairs(near, materialize(_class_sets(docs, named, words).withColumnRenamed("cid", "doc_id"), "sets"), alike_sets(least))
     for end in ("u", "v"):
         further = further.join(labels.select(F.col("cid").alias(end), F.col("label").alias(f"{end}_label")), end)
     joined = connected_components(further.select(F.col("u_label").alias("u"), F.col("v_label").alias("v")))

@@ -9,7 +9,8 @@ Two passes find the links.
 * A prefix filter, for all the rest: shingles have one order, those common in a sample last.  Two sets
   of likeness t share a shingle among the first n - ceil(t n) + 1 of each, so documents of different
   labels meet on these, whatever their fingerprints and however large their group.  Meetings that
-  sizes, places in the order and hashed shingle counts can't rule out are verified on whole sets.
+  sizes, places in the order and hashed shingle counts can't rule out are verified on whole sets.  A
+  shingle of very many texts is dealt in blocks, each against each.
 
 So every pair of the likeness ends in one component.  Only the cost depends on the sample and on the
 first pass, never the result.
@@ -40,6 +41,8 @@ SHARE, SAMPLE, COMMON, MOST_COMMON = 0.25, 60_000, 3, 200_000
 CELLS = 128
 #: Meetings in one batch.
 MEETINGS = 1 << 18
+#: Documents of one shingle that one group holds; more are dealt in blocks, each against each.
+CROWD = 2048
 
 
 def word_list(text: str | None) -> list[bytes]:
@@ -200,10 +203,11 @@ def _links(blocks: DataFrame, texts: DataFrame, words: int, least: float) -> Dat
     return rows.mapInArrow(run, "u long, v long")
 
 
-def meetings(token: np.ndarray, label: np.ndarray, size: np.ndarray, place: np.ndarray, least: float = LEAST) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def meetings(token: np.ndarray, label: np.ndarray, size: np.ndarray, place: np.ndarray, least: float = LEAST, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows, sorted by token and label, of one token and different labels that may be of likeness ``least``.
 
     At the first shingle that two sets share, they can share no more than what follows it in either.
+    With ``side``, rows of one side meet only if their side isn't negative.
     """
     rows = np.arange(len(token))
     new = np.concatenate(([True], token[1:] != token[:-1]))
@@ -217,6 +221,8 @@ def meetings(token: np.ndarray, label: np.ndarray, size: np.ndarray, place: np.n
         for k in range(0, len(at), MEETINGS):
             i, j = at[k : k + MEETINGS], other[k : k + MEETINGS]
             may = np.minimum(left[i], left[j]) * (1 + least) >= least * (size[i] + size[j]) - 1e-6
+            if side is not None:
+                may &= (side[i] != side[j]) | (side[i] >= 0)
             if may.any():
                 yield i[may], j[may]
         other = other + 1
@@ -224,16 +230,34 @@ def meetings(token: np.ndarray, label: np.ndarray, size: np.ndarray, place: np.n
         at, other = at[more], other[more]
 
 
-def _meetings(rows: DataFrame, least: float) -> DataFrame:
-    """``(u, v)``, u < v: documents of different labels that meet on a shingle of ``rows(token, doc_id, label, place)``."""
-    rows = rows.repartition("token").sortWithinPartitions("token", "label")
+def _dealt(rows: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """``rows(token, doc_id, label, place)`` with crowded tokens cut, so that each two documents of a token share one of the result's.
+
+    A crowded token becomes a token for each two of its parts.  In one of two different parts ``side``
+    is -1 and -2, and only documents of different sides are to meet; else it is 0.
+    """
+    sizes = rows.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > crowd)
+    parts = F.ceil(F.col("n") / crowd).cast("long")
+    own = F.pmod(F.xxhash64("doc_id", "label"), parts)
+    side = lambda k: F.when(k == own, 0).when(own < k, -1).otherwise(-2)
+    each = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda k: F.struct(F.xxhash64("token", F.least(own, k), F.greatest(own, k)).alias("token"), side(k).alias("side")))
+    keys = F.when(F.col("n").isNull(), F.array(F.struct("token", F.lit(0).alias("side")))).otherwise(each)
+    return rows.join(sizes, "token", "left").select(F.explode(keys).alias("k"), "doc_id", "label", "place").select("k.token", "doc_id", "label", "place", "k.side")
+
+
+def _meetings(rows: DataFrame, least: float, crowd: int = CROWD) -> DataFrame:
+    """``(u, v)``, u < v: documents of different labels that meet on a shingle of ``rows(token, doc_id, label, place)``.
+
+    No task holds more than two parts of a crowded shingle; a shingle of n documents makes n * n / crowd rows.
+    """
+    rows = _dealt(rows, crowd).repartition("token").sortWithinPartitions("token", "label")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-            token, doc_id, label, place = map(np.concatenate, zip(*held))
+            token, doc_id, label, place, side = map(np.concatenate, zip(*held))
             us, vs, n = [], [], 0
-            for i, j in meetings(token, label, place >> 32, place & 0xFFFFFFFF, least):
+            for i, j in meetings(token, label, place >> 32, place & 0xFFFFFFFF, least, side):
                 us.append(np.minimum(doc_id[i], doc_id[j]))
                 vs.append(np.maximum(doc_id[i], doc_id[j]))
                 n += len(i)
@@ -266,21 +290,35 @@ def _meetings(rows: DataFrame, least: float) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
-def _kept_pairs(pairs: DataFrame, sides: DataFrame, keep: Callable[[dict[str, list], int], bool]) -> DataFrame:
-    """The distinct ``pairs(u, v)`` that ``keep`` accepts, seeing columns of ``sides(doc_id, ...)`` with ``u_`` and ``v_`` before their names."""
+def _kept_pairs(pairs: DataFrame, sides: DataFrame, keep: Callable[[dict[str, pa.Array]], np.ndarray]) -> DataFrame:
+    """The distinct ``pairs(u, v)`` that ``keep`` accepts, a batch at a time, seeing columns of ``sides(doc_id, ...)`` with ``u_`` and ``v_`` before their names."""
     for end in ("u", "v"):
         pairs = pairs.join(sides.select(F.col("doc_id").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in sides.columns if c != "doc_id"]), end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = dict(zip(b.schema.names, b.columns))
-            held = np.array([keep(cols, i) for i in range(len(b))], bool)
+            held = keep(cols) if len(b) else np.zeros(0, bool)
             yield pa.RecordBatch.from_arrays([pa.array(cols[c].to_numpy()[held], pa.int64()) for c in "uv"], names=["u", "v"])
 
     bounded_batches(pairs.sparkSession)
     return pairs.mapInArrow(run, "u long, v long").distinct()
 
 
+def alike_sets(least: float) -> Callable[[dict[str, pa.Array]], np.ndarray]:
+    """Whether the whole sets of each pair are of likeness ``least``."""
+
+    def keep(cols: dict[str, pa.Array]) -> np.ndarray:
+        out = []
+        for a, b in zip(cols["u_shingles"], cols["v_shingles"]):
+            a, b = a.values.to_numpy(), b.values.to_numpy()
+            shared = len(np.intersect1d(a, b, assume_unique=True))
+            out.append(shared >= least * (len(a) + len(b) - shared) - 1e-9)
+        return np.array(out, bool)
+
+    return keep
+
+
 def _further_links(marked: DataFrame, labels: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
     """All links ``(u, v)`` of likeness ``least`` between documents of different ``labels(node, doc_id, label)``."""
     firsts = marked.join(labels, ["node", "doc_id"])
@@ -288,19 +326,14 @@ def _further_links(marked: DataFrame, labels: DataFrame, texts: DataFrame, words
     rows = firsts.select("doc_id", "label", "size", F.posexplode("tokens").alias("pos", "token")).select("token", "doc_id", "label", place.alias("place"))
     met = materialize(_meetings(rows, least).distinct(), "meetings")
 
-    def may(cols: dict[str, list], i: int) -> bool:
-        a, b = (np.frombuffer(cols[c][i].as_py(), np.uint8).astype(np.int64) for c in ("u_cells", "v_cells"))
-        return np.abs(a - b).sum() * (1 + least) <= (1 - least) * (cols["u_size"][i].as_py() + cols["v_size"][i].as_py()) + 1e-6
-
-    def alike(cols: dict[str, list], i: int) -> bool:
-        a, b = (cols[c][i].values.to_numpy() for c in ("u_shingles", "v_shingles"))
-        shared = len(np.intersect1d(a, b, assume_unique=True))
-        return shared >= least * (len(a) + len(b) - shared) - 1e-9
+    def may(cols: dict[str, pa.Array]) -> np.ndarray:
+        a, b = (np.frombuffer(b"".join(cols[c].to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for c in ("u_cells", "v_cells"))
+        return np.abs(a - b).sum(1) * (1 + least) <= (1 - least) * (cols["u_size"].to_numpy() + cols["v_size"].to_numpy()) + 1e-6
 
     near = materialize(_kept_pairs(met, firsts.select("doc_id", "size", "cells").distinct(), may), "near")
     wanted = near.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
     sets = materialize(_sets(texts, wanted, words).dropDuplicates(["doc_id", "shingles"]), "sets")
-    return _kept_pairs(near, sets, alike)
+    return _kept_pairs(near, sets, alike_sets(least))
 
 
 def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, words: int = WORDS, least: float = LEAST) -> DataFrame:

@@ -459,3 +459,22 @@ def test_large_groups_lose_no_pair(spark):
     assert sum(want[i] != i for i in want) == 600
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in similar_groups(rows).collect()} == want
+
+
+def test_a_crowded_shingle_is_dealt(spark):
+    """Pairs that meet don't depend on how many documents a shingle may hold, and no block holds more than two parts."""
+    from pyspark.sql import functions as F
+
+    from marlstone.llm import similar
+
+    rng = random.Random(3)
+    rows = [(t, d, rng.randrange(40), (30 << 32) + rng.randrange(3)) for t, n in ((1, 300), (2, 5), (3, 64), (4, 1)) for d in rng.sample(range(1000), n)]
+    df = spark.createDataFrame(rows, "token long, doc_id long, label long, place long").repartition(3)
+    want = {(min(a[1], b[1]), max(a[1], b[1])) for a in rows for b in rows if a[0] == b[0] and a[2] != b[2]}
+    for crowd in (2048, 64, 10):
+        got = [(r["u"], r["v"]) for r in similar._meetings(df, 0.8, crowd).collect()]
+        assert set(got) == want
+        # a pair may meet on each of its shared shingles, but once on each
+        assert len(got) == sum(1 for i, a in enumerate(rows) for b in rows[:i] if a[0] == b[0] and a[2] != b[2])
+    biggest = similar._dealt(df, 10).groupBy("token").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    assert biggest < 60  # two parts of about ten
