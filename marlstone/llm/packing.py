@@ -29,12 +29,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm._common import bounded_batches, gathered, give_back
+from marlstone.llm._common import BATCH_BYTES, bounded_batches, gathered, give_back
 from marlstone.session import materialize, table
 
 CAPACITY, END = 4096, 1
 #: Longer texts are encoded alone, in parts of about so many code points.
 LONG_TEXT = 4 << 20
+#: Bytes of text whose words are looked up together: half of what other operators take, for a word's ids
+#: weigh much more than its letters.
+BATCH = BATCH_BYTES // 2
 #: Rows of one length that share a rank bucket, about.
 BUCKET_ROWS = 2000
 
@@ -154,7 +157,7 @@ def cut_pieces(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "te
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in gathered(batches):
+        for b in gathered(batches, BATCH):
             rows: list[tuple] = []
             for d, ids in zip(b.column(0).to_pylist(), load(path).ids(b.column(1))):
                 for k, at in enumerate(range(0, len(ids), capacity)):
