@@ -5,16 +5,26 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from inspect import signature
 from pathlib import Path
 from typing import Any, TextIO
 
 from marlstone import __version__
 from marlstone.explorer import Explorer, Refused
+from marlstone.operators.ask import BUDGET
 from marlstone.session import get_session
 
 TOOLS = ("overview", "list", "search", "peek", "read", "links", "history")
 
 
+def schema(tool: str) -> dict[str, Any]:
+    """JSON schema of a tool's arguments, from the view's own signature."""
+    kinds = {"str": "string", "int": "integer", "bool": "boolean"}
+    fields = {k: p for k, p in signature(getattr(Explorer, tool)).parameters.items() if k != "self"}
+    types = {k: {"type": kinds[str(p.annotation).removesuffix(" | None")]} | ({} if p.default in (p.empty, None) else {"default": p.default}) for k, p in fields.items()}
+    return {"type": "object", "properties": types, "required": [k for k, p in fields.items() if p.default is p.empty], "additionalProperties": False}
+
+
 def call(explorer: Explorer, name: str, arguments: dict[str, Any]) -> dict[str, Any]:
     """One read-only tool call; only refusals tell what was wrong."""
     if name not in TOOLS:
@@ -40,7 +50,7 @@ def serve(explorer: Explorer, source: TextIO, sink: TextIO) -> None:
         if method == "initialize":
             result: Any = {"protocolVersion": params.get("protocolVersion", "2024-11-05"), "capabilities": {"tools": {}}, "serverInfo": {"name": "marlstone", "version": __version__}}
         elif method == "tools/list":
-            result = {"tools": [{"name": t, "description": (getattr(Explorer, t).__doc__ or t), "inputSchema": {"type": "object"}} for t in TOOLS]}
+            result = {"tools": [{"name": t, "description": (getattr(Explorer, t).__doc__ or t), "inputSchema": schema(t)} for t in TOOLS]}
         elif method == "tools/call":
             got = call(explorer, params.get("name", ""), params.get("arguments") or {})
             result = {"content": [{"type": "text", "text": json.dumps(got, default=str, ensure_ascii=False)}], "isError": "error" in got}
@@ -128,17 +138,27 @@ def evaluate_spec(spark, path: str, today: str | None, out: str | None = None) -
     return {"benchmark": name, "summary": [r.asDict() for r in evaluate.summary(every).orderBy("condition").collect()]}
 
 
-def chat(explorer: Explorer, log: str, source: TextIO, sink: TextIO) -> int:
-    """Answers a line at a time and keeps the conversation as a log; returns the number of turns."""
-    from marlstone.sources.records import append_turn
+def chat(explorer: Explorer, log: str, source: TextIO, sink: TextIO, mode: str = "pd") -> int:
+    """Answers a line at a time and keeps the conversation as a log; returns the number of turns.
+
+    Each question begins with what the last answer cites; a log that is there already is gone on with.
+    """
+    from marlstone.operators.conversation import TURNS
+    from marlstone.sources.records import append_turn, conversations
 
+    carried: list[str] = []
+    before = 0
+    if Path(log).exists():
+        said = conversations(explorer.spark, log).where("role = 'assistant'").orderBy("turn").collect()
+        before, carried = len(said), list(said[-1]["citations"] or []) if said else []
     n = 0
     for line in source:
         if not (question := line.strip()):
             continue
-        got = explorer.ask(question)
+        got = explorer.ask(question, mode=mode, carried=carried if mode == "pd" else (), turns=min(before + n, TURNS))
+        carried = list(got["citations"] or [])
         append_turn(log, Path(log).stem, "user", question)
-        append_turn(log, Path(log).stem, "assistant", got["answer"], got["citations"] or [])
+        append_turn(log, Path(log).stem, "assistant", got["answer"], carried)
         print(got["answer"], file=sink, flush=True)
         n += 1
     return n
@@ -161,7 +181,7 @@ COMMANDS = (
     ("init", "name"), ("add", "uri"), ("build",), ("import", "source"), ("check",), ("eval", "spec"), ("config",), ("plugin",), ("serve",), ("doctor",), ("login",), ("keys",),
 )
 #: Options of single commands.
-OPTIONS = {"lint": ("--strict",), "list": ("--directory", "--type", "--tag", "--status"), "add": ("--connector",), "ask": ("--trace",), "eval": ("--out",), "pack": ("--profile",)}
+OPTIONS = {"lint": ("--strict",), "list": ("--directory", "--type", "--tag", "--status"), "add": ("--connector",), "ask": ("--trace", "--mode", "--budget"), "chat": ("--mode",), "eval": ("--out",), "pack": ("--profile",)}
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -211,13 +231,13 @@ def run(a: argparse.Namespace) -> Any:
     if a.command == "serve":
         return serve(e, sys.stdin, sys.stdout)
     if a.command == "chat":
-        chat(e, a.log, sys.stdin, sys.stdout)
+        chat(e, a.log, sys.stdin, sys.stdout, a.mode or "pd")
         return None
     if a.command in TOOLS:
         given = {k: v for k, v in vars(a).items() if k in ("query", "path", "directory", "type", "tag", "status") and v}
         return call(e, a.command, given)
     if a.command == "ask":
-        return e.ask(a.question, trace=a.trace)
+        return e.ask(a.question, trace=a.trace, mode=a.mode or "pd", budget=int(a.budget or BUDGET))
     if a.command == "lint":
         from marlstone.operators.lint import verdict
 

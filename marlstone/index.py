@@ -18,10 +18,14 @@ PARTS = ("postings", "vectors", "chunks", "links")
 
 
 def documents(files: DataFrame) -> DataFrame:
-    """``(path, title, description, tags, body)`` of the readable Markdown files, the log left out; tags are one text."""
-    rows = parse_files(files, references=True).where("error is null and rel_path <> 'log.md'")
+    """``(path, title, description, tags, body)`` of the Markdown files, the log left out; tags are one text.
+
+    The title of a file without one is its path.  A file with broken frontmatter is its whole text; one
+    that isn't UTF-8 is left out.
+    """
+    rows = parse_files(files, references=True).where("coalesce(error, '') <> 'encoding' and rel_path <> 'log.md'")
     tags = F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " ")
-    return rows.select(F.col("rel_path").alias("path"), "title", "description", tags.alias("tags"), "body")
+    return rows.select(F.col("rel_path").alias("path"), F.coalesce("title", "rel_path").alias("title"), "description", tags.alias("tags"), "body")
 
 
 def tables(files: DataFrame) -> dict[str, DataFrame]:

@@ -6,15 +6,17 @@ policy's, applied by window ranks that Spark prunes inside tasks.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import clip_words, distinct_hits, estimate_tokens, question_terms, strip, term_occurrences, title_shaped, tokens, visible_prose
+from marlstone.operators import navigate
 from marlstone.operators.bundle import is_concept, kind, trust_warnings
 from marlstone.operators.chunks import TOP
-from marlstone.operators.graph import hops
+from marlstone.operators.conversation import TURNS
 from marlstone.operators.search import FIELD_WEIGHTS, bm25
 from marlstone.session import materialize
 
@@ -37,6 +39,11 @@ def policy_for(budget: int = BUDGET) -> Policy:
     return Policy("2", min(8, max(4, budget // 4000)), min(8, max(4, budget // 6000)), min(12, max(4, budget // 3000)), min(2000, max(500, budget // 25)))
 
 
+def lead(body: Column, question: Column) -> Column:
+    """A hit's snippet where no better one is asked for: how its body begins."""
+    return F.substring(body, 1, 200)
+
+
 def candidate_paragraphs(docs: DataFrame, key: str, body: str) -> DataFrame:
     """``(key, pos, para, section)``: prose paragraphs with the heading above them.
 
@@ -80,62 +87,80 @@ def excerpts(read: DataFrame, docs: DataFrame, chars: int) -> DataFrame:
     return out.select("qid", "path", "tier", "place", "excerpt", score.alias("score"))
 
 
-def answer(questions: DataFrame, docs: DataFrame, edges: DataFrame, policy: Policy = Policy(), today: str | None = None) -> DataFrame:
-    """``(qid, abstained, answer, evidence, citations, warnings, tool_calls)`` for ``questions(qid, text)``.
+def search_hits(questions: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(qid, path, score, rank)`` of ``questions(qid, text)`` over documents read anew; a written index has ``Index.search``."""
+    fields = {k: FIELD_WEIGHTS[k] for k in ("title", "description", "tags", "body")}
+    flat = docs.withColumn("tags", F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " "))
+    return bm25(flat.where(F.col("path") != "log.md"), questions, "path", "qid", fields, top=SEARCH)
+
+
+def answer(
+    questions: DataFrame, docs: DataFrame, edges: DataFrame, policy: Policy = Policy(), today: str | None = None, budget: int | None = None, overview: int = 0,
+    found: DataFrame | None = None, carried: DataFrame | None = None, snippet: Callable[[Column, Column], Column] = lead,
+) -> DataFrame:
+    """``(qid, abstained, answer, evidence, citations, warnings, tool_calls, calls, spent_chars, exhausted, carried)`` for ``questions(qid, text)``.
 
     ``docs(path, title, description, tags, body, status, stale_after, verified, resources)`` is the
     bundle; ``edges(src, dst, anchor)`` are its links, one row for two files (``graph.anchors``).  Ties keep navigation order: search rank,
     then hop, then place in the document.
+
+    With a ``budget`` (tokens) calls are priced and end when it is spent (``navigate.call_log``), ``overview``
+    being the price of the overview.  ``found(qid, path, score, rank)`` are hits of a written index.  In a
+    conversation ``carried(qid, path, nth)`` are the last answer's citations and ``questions`` have
+    ``turns``, the number of turns before.
     """
-    fields = {k: FIELD_WEIGHTS[k] for k in ("title", "description", "tags", "body")}
-    flat = docs.withColumn("tags", F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " "))
-    found = bm25(flat.where(F.col("path") != "log.md"), questions, "path", "qid", fields, top=SEARCH).withColumn("kind", kind(F.col("path")))
-    found = materialize(found, "found")  # each of the three written frames is read several times below
-    concepts = found.where("kind = 'concept'")
-    some = concepts.select("qid").distinct()
-    chosen = concepts.unionByName(found.where("kind = 'reference'").join(some, "qid", "left_anti"))
-    order = Window.partitionBy("qid").orderBy("rank")
-    seeds = chosen.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= policy.reads).select("qid", "path", "pos")
+    found = (search_hits(questions, docs) if found is None else found).withColumn("kind", kind(F.col("path")))
+    found = materialize(found, "found")  # each of the written frames is read several times below
+    wanted = materialize(navigate.candidates(found, policy.reads, carried), "candidates")
+    seeds = wanted.join(docs.select("path"), "path", "left_semi")
+    searched = None if budget is None else navigate.search_prices(questions, found, docs, snippet)
+    calls = navigate.call_log(questions.select("qid"), seeds, searched, docs, edges, policy.fanout, budget, overview, today)
+    calls = materialize(calls, "calls")
+    reads = calls.where("tool = 'read'")
     asked = questions.select("qid", question_terms("text").alias("own_terms"))
-    inner = edges.where(is_concept(F.col("dst")))
-    hopped = hops(seeds.where(is_concept(F.col("path"))), inner.select("src", "dst"), policy.fanout)
-    anchors = inner.select(F.col("src").alias("via"), F.col("dst").alias("path"), "anchor")
-    hopped = hopped.join(anchors, ["via", "path"], "left").select("qid", "path", (F.col("hop") + 1000).alias("nav"), question_terms(F.coalesce("anchor", F.lit(""))).alias("more"))
-    read = seeds.select("qid", "path", F.col("pos").alias("nav"), F.array().cast("array<string>").alias("more")).unionByName(hopped).join(asked, "qid")
+    anchors = edges.where(is_concept(F.col("dst"))).select(F.col("src").alias("via"), F.col("dst").alias("path"), "anchor")
+    hopped = reads.where("via is not null").join(anchors, ["via", "path"], "left").select("qid", "path", (F.col("hop") + 1000).alias("nav"), question_terms(F.coalesce("anchor", F.lit(""))).alias("more"))
+    read = reads.where("via is null").select("qid", "path", F.col("pos").alias("nav"), F.array().cast("array<string>").alias("more")).unionByName(hopped).join(asked, "qid")
     read = read.select("qid", "path", "nav", "own_terms", F.array_union("own_terms", "more").alias("terms"))
     read = materialize(read, "read")
-    entries = excerpts(read.select("qid", "path", "terms", "own_terms"), docs, policy.excerpt).join(read.select("qid", "path", "nav"), ["qid", "path"])
+    used_docs = docs.join(read.select("path").distinct(), "path", "left_semi")
+    entries = excerpts(read.select("qid", "path", "terms", "own_terms"), used_docs, policy.excerpt).join(read.select("qid", "path", "nav"), ["qid", "path"])
     entries = materialize(entries, "entries")
-    cited = entries.select("qid", "path").distinct().join(docs.select("path", F.explode("resources").alias("resource")), "path").select("qid", F.col("resource").alias("path")).distinct()
+    cited = entries.select("qid", "path").distinct().join(used_docs.select("path", F.explode("resources").alias("resource")), "path").select("qid", F.col("resource").alias("path")).distinct()
     entries = entries.join(cited, ["qid", "path"], "left_anti")
     best = Window.partitionBy("qid").orderBy("tier", F.when(F.col("tier") < 2, -F.col("score")).otherwise(0), "nav", "place")
     entries = entries.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= policy.evidence)
-    meta = docs.select("path", F.coalesce("title", "path").alias("title"), trust_warnings(F.col("path"), F.col("status"), F.col("stale_after"), F.coalesce(F.size("verified") > 0, F.lit(False)), today).alias("warned"))
+    meta = used_docs.select("path", F.coalesce("title", "path").alias("title"), trust_warnings(F.col("path"), F.col("status"), F.col("stale_after"), F.coalesce(F.size("verified") > 0, F.lit(False)), today).alias("warned"))
     entries = entries.join(meta, "path")
     item = F.struct("nth", "path", "title", "excerpt", "warned")
     grouped = entries.groupBy("qid").agg(F.array_sort(F.collect_list(item)).alias("e"))  # at most policy.evidence a question
-    first = seeds.where("pos = 1").select("qid", F.col("path").alias("closest"))
-    # one search, a read for each document, a look at the links of each concept that was found
-    used = read.groupBy("qid").agg((F.count("*") + F.count_if((F.col("nav") < 1000) & is_concept(F.col("path")))).alias("used"))
-    out = questions.select("qid", "text").join(grouped, "qid", "left").join(first, "qid", "left").join(asked, "qid").join(used, "qid", "left")
+    first = wanted.where("pos = 1").select("qid", F.col("path").alias("closest"))
+    used = calls.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("nth", "tool", "path", "chars"))).alias("calls"), F.max("spent").alias("spent_chars"), F.max("exhausted").alias("exhausted"))
+    kept = wanted.where("carried").join(reads.where("via is null").select("qid", "path"), ["qid", "path"], "left_semi")
+    kept = kept.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", "path"))).alias("kept"))  # at most navigate.CARRIED
+    turns = F.col("turns") if "turns" in questions.columns else F.lit(0)
+    out = questions.select("qid", "text", turns.alias("turns")).join(grouped, "qid", "left").join(first, "qid", "left").join(asked, "qid").join(used, "qid", "left").join(kept, "qid", "left")
     wanted = F.coalesce(F.nullif(F.array_join(F.array_sort("own_terms"), ", "), F.lit("")), F.lit("the question topic"))
     gap = F.when(F.col("closest").isNotNull(), F.concat(F.lit("Insufficient evidence in this bundle to answer. The closest match is "), "closest", F.lit(", but it does not address: "), wanted, F.lit(". A concept covering "), wanted, F.lit(" would resolve the gap.")))
     gap = gap.otherwise(F.concat(F.lit("Insufficient evidence in this bundle to answer. No concept mentions: "), wanted, F.lit(". Adding a source about "), wanted, F.lit(" would resolve the gap.")))
     abstained = F.col("e").isNull()
     paths = F.array_distinct(F.transform("e", lambda x: x["path"]))
     return out.select(
-        "qid", abstained.alias("abstained"), F.when(abstained, gap).otherwise(stub_answer(F.col("e"))).alias("answer"),
+        "qid", abstained.alias("abstained"), F.when(abstained, gap).otherwise(stub_answer(F.col("e"), F.col("turns"))).alias("answer"),
         F.transform("e", lambda x: F.struct(x["path"].alias("path"), x["title"].alias("title"), x["excerpt"].alias("excerpt"))).alias("evidence"),
         paths.alias("citations"), F.array_distinct(F.flatten(F.transform("e", lambda x: F.when(is_concept(x["path"]), x["warned"]).otherwise(F.array().cast("array<string>"))))).alias("warnings"),
-        (F.coalesce("used", F.lit(0)) + 1).alias("tool_calls"),
+        F.size("calls").cast("long").alias("tool_calls"), "calls", F.col("spent_chars").cast("long").alias("spent_chars"), F.coalesce("exhausted", F.lit(False)).alias("exhausted"),
+        F.coalesce(F.transform("kept", lambda x: x["path"]), F.array().cast("array<string>")).alias("carried"),
     )
 
 
-def stub_answer(items: Column) -> Column:
-    """The deterministic provider's answer: its evidence, quoted."""
+def stub_answer(items: Column, turns: Column) -> Column:
+    """The deterministic provider's answer: its evidence, quoted; after turns of a conversation it says how many."""
     name = lambda x: F.coalesce(F.nullif(strip(x["title"]), F.lit("")), x["path"])
     lines = F.transform(items, lambda x: F.concat(F.lit("- "), name(x), F.lit(": "), strip(x["excerpt"]), F.lit(" ["), x["path"], F.lit("]")))
-    return F.concat(F.lit("Based on "), F.size(items).cast("string"), F.lit(" passage(s) retrieved from the bundle:\n"), F.array_join(lines, "\n"))
+    prior = F.least(turns, F.lit(TURNS))
+    said = F.when(prior > 0, F.concat(F.lit(" passage(s) and "), prior.cast("string"), F.lit(" prior turn(s):\n"))).otherwise(F.lit(" passage(s) retrieved from the bundle:\n"))
+    return F.concat(F.lit("Based on "), F.size(items).cast("string"), said, F.array_join(lines, "\n"))
 
 
 def answer_rag(hits: DataFrame, budget: int = BUDGET, top: int = TOP) -> DataFrame:
@@ -150,3 +175,12 @@ def answer_rag(hits: DataFrame, budget: int = BUDGET, top: int = TOP) -> DataFra
 def hit(description: Column | str) -> Column:
     """A search hit's description, clipped."""
     return clip_words(description, HIT_CHARS)
+
+
+def rag_answer(hits: DataFrame, questions: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """``(qid, abstained, answer, evidence, citations)`` of every question from its best chunks, see ``answer_rag``."""
+    rows = questions.select("qid", question_terms("text").alias("own_terms")).join(answer_rag(hits, budget), "qid", "left")
+    item = F.transform("evidence", lambda e: F.struct(e["path"].alias("path"), e["path"].alias("title"), e["chunk"].alias("excerpt")))
+    wanted = F.coalesce(F.nullif(F.array_join(F.array_sort("own_terms"), ", "), F.lit("")), F.lit("the question topic"))
+    gap = F.concat(F.lit("Insufficient evidence in this bundle to answer. No chunk matches: "), wanted, F.lit("."))
+    return rows.select("qid", F.col("evidence").isNull().alias("abstained"), F.when(F.col("evidence").isNull(), gap).otherwise(stub_answer(item, F.lit(0))).alias("answer"), item.alias("evidence"), F.array_distinct(F.transform("evidence", lambda e: e["path"])).alias("citations"))

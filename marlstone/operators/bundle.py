@@ -8,6 +8,7 @@ from __future__ import annotations
 import hashlib
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -178,15 +179,28 @@ def diff_revisions(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def bounded(fields: dict, most: int = MATTER_CHARS) -> dict:
-    """Fields in order while their JSON stays within ``most`` characters; ``_truncated`` says that some are missing."""
+    """Fields in order while their JSON fits ``most`` characters; the one that doesn't is clipped to what is left, further ones are left out and ``_truncated`` says so."""
     out: dict = {}
     for key, value in fields.items():
-        if len(json.dumps(out | {str(key): value}, ensure_ascii=False, default=str)) > most:
-            return out | {"_truncated": True}
+        said = json.dumps(value, ensure_ascii=False, default=str)
+        if len(said) > most:
+            clipped = {str(key): said[:most] + "…[truncated]"} if most > 0 else {}
+            return out | clipped | {"_truncated": True}
         out[str(key)] = value
+        most -= len(said)
     return out
 
 
+def bounded_json(frontmatter: Column | str, most: int = MATTER_CHARS) -> Column:
+    """``bounded`` of frontmatter given as JSON, as JSON; null is an empty object.  Texts that fit aren't read."""
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if len(t) <= most else json.dumps(bounded(json.loads(t), most), ensure_ascii=False))
+
+    return cut(F.coalesce(F.col(frontmatter) if isinstance(frontmatter, str) else frontmatter, F.lit("{}")))
+
+
 def first_per_key(df: DataFrame, key: str, *order: str) -> DataFrame:
     """The first row of each key in the given order (not just any one)."""
     rows = df.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(*order)))

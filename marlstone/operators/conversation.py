@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.session import materialize
+
 TURNS, ANSWER_CHARS = 4, 600
 
 
@@ -28,3 +32,36 @@ def recent(pairs: DataFrame, turns: int = TURNS, chars: int = ANSWER_CHARS) -> D
 
 def user_turns(turns: DataFrame) -> DataFrame:
     return turns.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("user_turns"))
+
+
+def questions_of(turns: DataFrame) -> DataFrame:
+    """``(qid, conv_id, nth, turn, text)``: the user turns of each conversation, numbered from 1; null and blank ones ask nothing."""
+    asked = turns.where((F.col("role") == "user") & (F.trim("text") != ""))
+    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    return asked.select("conv_id", nth.alias("nth"), "turn", "text").withColumn("qid", F.concat_ws("#", "conv_id", "nth"))
+
+
+def answers(questions: DataFrame, docs: DataFrame, edges: DataFrame, found: DataFrame | None = None, **how: object) -> DataFrame:
+    """``ask.answer``'s columns and ``(conv_id, nth, turn)`` for ``questions_of`` all conversations, each turn knowing the one before.
+
+    A turn's candidates begin with what the last answer of its conversation cites.  All questions are
+    searched at once; then a round answers the first turns of all conversations, the next one the second
+    turns, and so on: as many rounds as the longest conversation has turns, each over its own questions.
+    What a round carries over is a written table.
+    """
+    from marlstone.operators import ask
+
+    questions = materialize(questions, "questions")
+    found = materialize(ask.search_hits(questions, docs) if found is None else found, "found")
+    carried, rounds = None, []
+    for k in range(1, (questions.agg(F.max("nth")).first()[0] or 0) + 1):
+        now = questions.where(F.col("nth") == k).withColumn("turns", F.lit(min(k - 1, TURNS)))
+        out = ask.answer(now, docs, edges, found=found.join(now.select("qid"), "qid", "left_semi"), carried=carried, **how)
+        out = materialize(out.join(now.select("qid", "conv_id", "nth", "turn"), "qid"), "answers")
+        rounds.append(out)
+        cites = out.select(F.concat_ws("#", "conv_id", F.col("nth") + 1).alias("qid"), F.posexplode("citations").alias("nth", "path"))
+        carried = cites.select("qid", "path", "nth")
+    if not rounds:
+        now = questions.withColumn("turns", F.lit(0))
+        return ask.answer(now, docs, edges, found=found, **how).join(now.select("qid", "conv_id", "nth", "turn"), "qid")
+    return reduce(DataFrame.unionByName, rounds)

@@ -49,27 +49,23 @@ def run(explorer, questions: DataFrame, policy=None) -> DataFrame:
     among what was cited or, for ``retrieval_hit``, among the evidence itself.  All questions go at
     once, so none has a latency of its own; no provider that reports usage is asked, so answers have no cost.
     """
-    from marlstone.operators import ask, chunks
+    from marlstone.operators import ask
 
     q = questions.select(F.col("id").alias("qid"), F.col("question").alias("text"))
     resources = explorer.docs.select("path", F.explode("resources").alias("resource"))
-    pd_ = ask.answer(q, explorer.docs, explorer.edges, policy or ask.Policy(), explorer.today)
+    pd_ = explorer.answers(q, policy or ask.Policy())
     cited = pd_.select("qid", F.explode("citations").alias("path"))
     named = cited.unionByName(cited.join(resources, "path").select("qid", F.col("resource").alias("path"))).groupBy("qid").agg(F.collect_set("path").alias("cited"))
-    chars = F.aggregate(F.coalesce("evidence", F.array().cast(pd_.schema["evidence"].dataType)), F.lit(0), lambda n, e: n + F.length(e["excerpt"]))
-    navigated = pd_.join(named, "qid", "left").select("qid", F.lit("pd").alias("condition"), "abstained", "cited", F.col("citations").alias("found"), F.size("warnings").alias("warnings"), chars.alias("chars"), "tool_calls")
-    parts = chunks.chunks(explorer.docs.where(F.col("path").startswith("references/")), "path", "body")
-    index = chunks.hashed_bow(parts.withColumn("cid", F.concat_ws("#", "path", F.format_string("%06d", "seq"))), "cid", "chunk")
-    best = chunks.sparse_topk(chunks.hashed_bow(q, "qid", "text"), index, "qid", "cid")
-    best = best.withColumn("path", F.substring_index("cid", "#", 1)).withColumn("seq", F.substring_index("cid", "#", -1).cast("int")).join(parts, ["path", "seq"])
+    navigated = pd_.join(named, "qid", "left").select("qid", F.lit("pd").alias("condition"), "abstained", "cited", F.col("citations").alias("found"), F.size("warnings").alias("warnings"), F.col("spent_chars").alias("chars"), "tool_calls", "exhausted")
+    best = explorer.chunk_hits(q)
     rag = q.select("qid").join(ask.answer_rag(best.select("qid", "path", "seq", "chunk", "score")), "qid", "left")
     paths = F.transform("evidence", lambda e: e["path"])
     chars = F.aggregate("evidence", F.lit(0), lambda n, e: n + F.length(e["chunk"]))
-    retrieved = rag.select("qid", F.lit("rag").alias("condition"), F.col("evidence").isNull().alias("abstained"), paths.alias("cited"), paths.alias("found"), F.lit(0).alias("warnings"), F.coalesce(chars, F.lit(0)).alias("chars"), F.lit(1).cast("long").alias("tool_calls"))
+    retrieved = rag.select("qid", F.lit("rag").alias("condition"), F.col("evidence").isNull().alias("abstained"), paths.alias("cited"), paths.alias("found"), F.lit(0).alias("warnings"), F.coalesce(chars, F.lit(0)).cast("long").alias("chars"), F.lit(1).cast("long").alias("tool_calls"), (estimate_tokens(F.coalesce(chars, F.lit(0))) >= ask.BUDGET).alias("exhausted"))
     rows = navigated.unionByName(retrieved).join(questions.select(F.col("id").alias("qid"), "class", "gold"), "qid")
     return rows.select(
         "qid", "class", "condition", "abstained", appropriate(F.col("class"), F.col("abstained")).alias("appropriate"),
         gold_hit(F.col("gold"), F.col("cited")).alias("gold_hit"), gold_hit(F.col("gold"), F.col("found")).alias("retrieval_hit"), "warnings",
         "tool_calls", estimate_tokens("chars").cast("int").alias("spent_tokens"), F.lit(None).cast("int").alias("latency_ms"),
-        F.when(F.col("abstained"), F.lit(0.0)).alias("cost_usd"), (estimate_tokens("chars") >= ask.BUDGET).alias("exhausted"),
+        F.when(F.col("abstained"), F.lit(0.0)).alias("cost_usd"), "exhausted",
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as X
-from marlstone.operators import ask, bundle, chunks, compile, evaluate
+from marlstone.operators import ask, bundle, chunks, compile, conversation, evaluate, navigate
 from marlstone.plans.bundles import BODY, PATH, TITLE, FLAW, STATUS, STALE, TYPE, files
 from marlstone.session import materialize, table
 from marlstone.sources import files as F_
@@ -340,54 +340,165 @@ def conversation_log(spark: SparkSession, sf: str) -> DataFrame:
 _TITLE = "split_part(text, chr(10), 1)"
 
 
-@query(f"""
-    WITH d AS (SELECT doc_id AS i, 'docs/' || doc_id || '.md' AS path, {_TITLE} AS title, lang, text, (SELECT count(*) FROM documents) AS n FROM documents),
+#: The bundle that is asked: a file for each document, with one link each; its postings and paragraphs.
+_ASKED = f"""
+    d AS (SELECT doc_id AS i, 'docs/' || doc_id || '.md' AS path, {_TITLE} AS title, lang, text, (SELECT count(*) FROM documents) AS n FROM documents),
     w AS (SELECT path, unnest(flatten([list_transform({_TOK.format('title')}, lambda t: {{'t': t, 'w': 5.0::DOUBLE}}), list_transform({_TOK.format('lang')}, lambda t: {{'t': t, 'w': 2.0::DOUBLE}}), list_transform({_TOK.format('text')}, lambda t: {{'t': t, 'w': 1.0::DOUBLE}})])) AS x,
                  len({_TOK.format('title')}) + len({_TOK.format('lang')}) + len({_TOK.format('text')}) AS dl FROM d),
     p AS (SELECT path, dl, x.t AS term, sum(x.w) AS f FROM w GROUP BY ALL),
     st AS (SELECT count(*) AS n, avg(len({_TOK.format('title')}) + len({_TOK.format('lang')}) + len({_TOK.format('text')})) AS avgdl FROM d),
-    q AS (SELECT item_id AS qid, {_terms('text')} AS own FROM benchmark),
-    qt AS (SELECT qid, unnest(own) AS term FROM q),
     df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-    sc AS (SELECT qid, path, round(sum(-(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
-           FROM qt JOIN p USING (term) JOIN df USING (term), st GROUP BY qid, path),
-    seeds AS (SELECT qid, path, row_number() OVER (PARTITION BY qid ORDER BY score, path) AS pos FROM sc QUALIFY pos <= 4),
     e AS (SELECT path AS src, 'docs/' || ((i * 3 + 1) % n) || '.md' AS dst, title AS anchor FROM d),
-    ht AS (SELECT qid, dst AS path, anchor, pos, row_number() OVER (PARTITION BY qid, dst ORDER BY pos) AS nth FROM seeds JOIN e ON seeds.path = src WHERE (qid, dst) NOT IN (SELECT (qid, path) FROM seeds)),
-    hop AS (SELECT qid, path, anchor, row_number() OVER (PARTITION BY qid ORDER BY pos, path) AS hop FROM ht WHERE nth = 1 QUALIFY hop <= 4),
-    rd AS (SELECT qid, path, pos AS nav, own, own AS terms FROM seeds JOIN q USING (qid)
-           UNION ALL SELECT qid, path, hop + 1000, own, list_concat(own, list_filter({_terms('anchor')}, lambda t: NOT list_contains(own, t))) FROM hop JOIN q USING (qid)),
     pa AS (SELECT path, title, unnest(range(len(string_split(text, chr(10))))) AS pos, trim(unnest(string_split(text, chr(10)))) AS prose FROM d),
-    pt AS (SELECT *, {_TOK.format('prose')} AS toks FROM pa WHERE prose <> ''),
-    h AS (SELECT qid, path, nav, own, terms, title, pos, prose, toks, len(list_intersect(list_distinct(toks), terms)) AS hits, len(list_filter(toks, lambda x: list_contains(terms, x))) AS occ,
-                 len(list_filter(toks, lambda x: NOT list_contains(terms, x))) = 0 AS echo FROM rd JOIN pt USING (path)),
-    f AS (SELECT *, row_number() OVER (PARTITION BY qid, path ORDER BY hits DESC, occ DESC, pos) AS place FROM h WHERE hits > 0 AND NOT echo),
-    shaped AS (SELECT qid, path FROM f WHERE place = 1 AND len(own) > 0 AND len(list_filter(own, lambda x: NOT list_contains({_TOK.format('title')}, x))) = 0),
-    o AS (SELECT qid, path, nav, own, title, CASE WHEN place = 1 THEN 0 ELSE 1 END AS tier, place, trim(substr(prose, 1, 500)) AS excerpt FROM f
-          UNION ALL SELECT h.qid, h.path, nav, own, title, 2, h.pos + 1000000, trim(substr(prose, 1, 500)) FROM h JOIN shaped USING (qid, path) WHERE hits = 0 AND len(toks) > 0),
-    r AS (SELECT *, CASE WHEN tier = 2 THEN 0 ELSE len(list_intersect(list_distinct({_TOK.format('excerpt')}), own)) END AS score FROM o),
-    k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY tier, CASE WHEN tier < 2 THEN -score ELSE 0 END, nav, place) AS nth FROM r QUALIFY nth <= 4),
-    a AS (SELECT qid, count(*) AS n, string_agg('- ' || coalesce(nullif(trim(title), ''), path) || ': ' || excerpt || ' [' || path || ']', chr(10) ORDER BY nth) AS said, list(path ORDER BY nth) AS paths FROM k GROUP BY qid),
-    g AS (SELECT qid, coalesce(nullif(array_to_string(list_sort(own), ', '), ''), 'the question topic') AS wanted FROM q),
-    c AS (SELECT qid, path AS closest FROM seeds WHERE pos = 1)
-    SELECT qid, a.n IS NULL AS abstained, CASE WHEN paths IS NOT NULL THEN array_to_string(list_filter(paths, lambda x, i: list_position(paths, x) = i), ' ') END AS citations,
-           sha256(CASE WHEN a.n IS NOT NULL THEN 'Based on ' || a.n || ' passage(s) retrieved from the bundle:' || chr(10) || said
-                       WHEN closest IS NOT NULL THEN 'Insufficient evidence in this bundle to answer. The closest match is ' || closest || ', but it does not address: ' || wanted || '. A concept covering ' || wanted || ' would resolve the gap.'
-                       ELSE 'Insufficient evidence in this bundle to answer. No concept mentions: ' || wanted || '. Adding a source about ' || wanted || ' would resolve the gap.' END) AS answer,
-           CAST(1 + coalesce((SELECT count(*) FROM rd WHERE rd.qid = q.qid), 0) + coalesce((SELECT count(*) FROM seeds WHERE seeds.qid = q.qid), 0) AS BIGINT) AS tool_calls
-    FROM q LEFT JOIN a USING (qid) LEFT JOIN g USING (qid) LEFT JOIN c USING (qid)""")
-def ask_answers(spark: SparkSession, sf: str) -> DataFrame:
+    pt AS MATERIALIZED (SELECT *, {_TOK.format('prose')} AS toks FROM pa WHERE prose <> '')"""
+#: Search hits of ``q(qid, own)``.
+_HITS = """
+    qt AS (SELECT qid, unnest(own) AS term FROM q),
+    sc AS (SELECT qid, path, round(sum(-(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+           FROM qt JOIN p USING (term) JOIN df USING (term), st GROUP BY qid, path),
+    hits AS MATERIALIZED (SELECT qid, path, score, row_number() OVER (PARTITION BY qid ORDER BY score, path) AS rank FROM sc QUALIFY rank <= 10)"""
+#: What is followed from ``seeds(qid, path, pos)``; {0} tells rounds of a conversation apart.
+_FOLLOWED = """
+    ht{0} AS (SELECT qid, dst AS path, src AS via, anchor, pos, row_number() OVER (PARTITION BY qid, dst ORDER BY pos) AS nth FROM seeds{0} JOIN e ON seeds{0}.path = src WHERE (qid, dst) NOT IN (SELECT (qid, path) FROM seeds{0})),
+    hop{0} AS (SELECT qid, path, via, anchor, pos, row_number() OVER (PARTITION BY qid ORDER BY pos, path) AS hop FROM ht{0} WHERE nth = 1 QUALIFY hop <= 4)"""
+#: The best excerpts of what was read, and what is cited.
+_EVIDENCE = f"""
+    rd{{0}} AS (SELECT qid, path, pos AS nav, own, own AS terms FROM seeds{{0}} JOIN q USING (qid)
+           UNION ALL SELECT qid, path, hop + 1000, own, list_concat(own, list_filter({_terms('anchor')}, lambda t: NOT list_contains(own, t))) FROM hop{{0}} JOIN q USING (qid)),
+    h{{0}} AS (SELECT qid, path, nav, own, terms, title, pos, prose, toks, len(list_intersect(list_distinct(toks), terms)) AS hits, len(list_filter(toks, lambda x: list_contains(terms, x))) AS occ,
+                 len(list_filter(toks, lambda x: NOT list_contains(terms, x))) = 0 AS echo FROM rd{{0}} JOIN pt USING (path)),
+    f{{0}} AS (SELECT *, row_number() OVER (PARTITION BY qid, path ORDER BY hits DESC, occ DESC, pos) AS place FROM h{{0}} WHERE hits > 0 AND NOT echo),
+    shaped{{0}} AS (SELECT qid, path FROM f{{0}} WHERE place = 1 AND len(own) > 0 AND len(list_filter(own, lambda x: NOT list_contains({_TOK.format('title')}, x))) = 0),
+    o{{0}} AS (SELECT qid, path, nav, own, title, CASE WHEN place = 1 THEN 0 ELSE 1 END AS tier, place, trim(substr(prose, 1, 500)) AS excerpt FROM f{{0}}
+          UNION ALL SELECT h{{0}}.qid, h{{0}}.path, nav, own, title, 2, h{{0}}.pos + 1000000, trim(substr(prose, 1, 500)) FROM h{{0}} JOIN shaped{{0}} USING (qid, path) WHERE hits = 0 AND len(toks) > 0),
+    r{{0}} AS (SELECT *, CASE WHEN tier = 2 THEN 0 ELSE len(list_intersect(list_distinct({_TOK.format('excerpt')}), own)) END AS score FROM o{{0}}),
+    k{{0}} AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY tier, CASE WHEN tier < 2 THEN -score ELSE 0 END, nav, place) AS nth FROM r{{0}} QUALIFY nth <= 4),
+    a{{0}} AS MATERIALIZED (SELECT qid, count(*) AS n, string_agg('- ' || coalesce(nullif(trim(title), ''), path) || ': ' || excerpt || ' [' || path || ']', chr(10) ORDER BY nth) AS said, list(path ORDER BY nth) AS paths FROM k{{0}} GROUP BY qid)"""
+
+
+def _round(sql: str, k: int | str = "") -> str:
+    return sql.replace("{0}", str(k))
+
+
+_WANTED = "coalesce(nullif(array_to_string(list_sort(own), ', '), ''), 'the question topic')"
+_GAP = f"""CASE WHEN closest IS NOT NULL THEN 'Insufficient evidence in this bundle to answer. The closest match is ' || closest || ', but it does not address: ' || {_WANTED} || '. A concept covering ' || {_WANTED} || ' would resolve the gap.'
+                       ELSE 'Insufficient evidence in this bundle to answer. No concept mentions: ' || {_WANTED} || '. Adding a source about ' || {_WANTED} || ' would resolve the gap.' END"""
+_CITED = "CASE WHEN paths IS NOT NULL THEN array_to_string(list_filter(paths, lambda x, i: list_position(paths, x) = i), ' ') END"
+
+
+def _asked_bundle(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Documents and links of the bundle that is asked."""
     rows = table(spark, sf, "documents")
     n = rows.count()
     path = lambda x: F.concat(F.lit("docs/"), x.cast("string"), F.lit(".md"))
     text, none, title = F.lit(None).cast("string"), F.array().cast("array<string>"), F.substring_index("text", "\n", 1)
     docs = rows.select(path(F.col("doc_id")).alias("path"), title.alias("title"), text.alias("description"), F.array("lang").alias("tags"), F.regexp_replace("text", "\n", "\n\n").alias("body"), F.lit("draft").alias("status"),
                        text.alias("stale_after"), F.array().cast("array<struct<by:string,at:string>>").alias("verified"), none.alias("resources"))
-    edges = rows.select(path(F.col("doc_id")).alias("src"), path((F.col("doc_id") * 3 + 1) % n).alias("dst"), title.alias("anchor"))
-    out = ask.answer(table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text"), docs, edges)
+    return docs, rows.select(path(F.col("doc_id")).alias("src"), path((F.col("doc_id") * 3 + 1) % n).alias("dst"), title.alias("anchor"))
+
+
+def _items(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
+
+
+@query(f"""
+    WITH {_ASKED}, q AS (SELECT item_id AS qid, {_terms('text')} AS own FROM benchmark), {_HITS},
+    seeds AS (SELECT qid, path, rank AS pos FROM hits WHERE rank <= 4), {_round(_FOLLOWED)}, {_round(_EVIDENCE)},
+    c AS (SELECT qid, path AS closest FROM seeds WHERE pos = 1)
+    SELECT qid, a.n IS NULL AS abstained, {_CITED} AS citations,
+           sha256(CASE WHEN a.n IS NOT NULL THEN 'Based on ' || a.n || ' passage(s) retrieved from the bundle:' || chr(10) || said ELSE {_GAP} END) AS answer,
+           CAST(2 + coalesce((SELECT count(*) FROM rd WHERE rd.qid = q.qid), 0) + 2 * coalesce((SELECT count(*) FROM seeds WHERE seeds.qid = q.qid), 0) AS BIGINT) AS tool_calls
+    FROM q LEFT JOIN a USING (qid) LEFT JOIN c USING (qid)""")
+def ask_answers(spark: SparkSession, sf: str) -> DataFrame:
+    docs, edges = _asked_bundle(spark, sf)
+    out = ask.answer(_items(spark, sf), docs, edges)
     return out.select("qid", "abstained", F.array_join("citations", " ").alias("citations"), F.sha2("answer", 256).alias("answer"), F.col("tool_calls").cast("long").alias("tool_calls"))
 
 
+#: Tokens that a question may spend, the overview's and search's included.
+TRACED = 12_000
+_J = "length(CAST(to_json({0}) AS VARCHAR))"
+_HIST = "(SELECT coalesce(sum(length(CAST(to_json(v) AS VARCHAR)) + 2 + length(CAST(c AS VARCHAR))) + 2 * (count(*) - 1), 0) + 2 FROM (SELECT {0} AS v, count(*) AS c FROM d GROUP BY 1))"
+_BODY = "replace(text, chr(10), chr(10) || chr(10))"
+_MATTER_CHARS = f"(length('{{\"title\": , \"tags\": [], \"status\": \"draft\"}}') + {_J.format('title')} + {_J.format('lang')})"
+
+
+@query(f"""
+    WITH {_ASKED}, b AS (SELECT path, title, {_BODY} AS body, {_MATTER_CHARS} AS matter FROM d), q AS (SELECT item_id AS qid, text, {_terms('text')} AS own FROM benchmark), {_HITS},
+    seeds AS (SELECT qid, path, rank AS pos FROM hits WHERE rank <= 4), {_round(_FOLLOWED)},
+    ins AS (SELECT dst AS path, src AS other, row_number() OVER (PARTITION BY dst ORDER BY src) AS nth, count(*) OVER (PARTITION BY dst) AS total FROM e),
+    pr AS (SELECT path, length('{{"path": , "frontmatter": , "body_start": , "body_lines_total": , "truncated": }}') + {_J.format('path')} + matter
+                  + {_J.format("substr(array_to_string(string_split(body, chr(10))[1:20], chr(10)), 1, 8000)")} + length(CAST(len(string_split(body, chr(10))) AS VARCHAR))
+                  + CASE WHEN len(string_split(body, chr(10))) > 20 OR length(substr(array_to_string(string_split(body, chr(10))[1:20], chr(10)), 1, 8000)) < length(body) THEN 4 ELSE 5 END AS peek,
+                  length('{{"path": , "frontmatter": , "body": , "chars": , "start_char": 0, "body_total_chars": , "next_start": , "truncated": , "links": [], "stale_after": null, "stale": false}}')
+                  + {_J.format('path')} + matter + {_J.format('substr(body, 1, 40000)')} + length(CAST(least(length(body), 40000) AS VARCHAR)) + length(CAST(length(body) AS VARCHAR))
+                  + CASE WHEN length(body) > 40000 THEN 5 + 4 ELSE 4 + 5 END AS read,
+                  length('{{"path": , "outbound": [], "inbound": [], "outbound_total": 1, "inbound_total": }}') + {_J.format('path')} + (SELECT sum({_J.format('dst')}) FROM e WHERE src = b.path)
+                  + coalesce((SELECT sum({_J.format('other')} + 2) - 2 FROM ins WHERE ins.path = b.path AND nth <= 16), 0) + length(CAST(coalesce((SELECT max(total) FROM ins WHERE ins.path = b.path), 0) AS VARCHAR)) AS edges FROM b),
+    ov AS (SELECT length('{{"title": "Documents", "description": null, "revision_id": null, "revision_pinned": false, "counts": {{"concepts": , "references": 0}}, "contents": , "contents_total": , "types": {{}}, "tags": , "trust": {{"statuses": , "verified": 0, "unverified": }}, "freshness": {{"stale": 0}}}}')
+                  + 3 * length(CAST((SELECT count(*) FROM d) AS VARCHAR)) + {_HIST.format('lang')} + {_HIST.format("'draft'")}
+                  + (SELECT sum(length('{{"path": , "title": , "type": null, "description": null}}') + {_J.format('path')} + {_J.format('title')}) + 2 * (count(*) - 1) + 2 FROM (SELECT * FROM d ORDER BY path LIMIT 25)) AS chars),
+    sp AS (SELECT q.qid, length('{{"query": , "results": []}}') + {_J.format('any_value(q.text)')}
+                  + coalesce(sum(length('{{"path": , "kind": "concept", "title": , "description": "", "snippet": , "score": }}') + {_J.format('b.path')} + {_J.format('b.title')} + {_J.format('substr(b.body, 1, 200)')} + length(CAST(score AS VARCHAR)) + 2) - 2, 0) AS chars
+           FROM q LEFT JOIN hits USING (qid) LEFT JOIN b USING (path) GROUP BY q.qid),
+    lg AS (SELECT qid, [0, 0, 0] AS o, 'overview' AS tool, NULL AS path, chars FROM q, ov UNION ALL SELECT qid, [1, 0, 0], 'search', NULL, chars FROM sp
+           UNION ALL SELECT qid, [2, pos, 0], 'peek', path, peek FROM seeds JOIN pr USING (path) UNION ALL SELECT qid, [3, pos, 0], 'read', path, read FROM seeds JOIN pr USING (path)
+           UNION ALL SELECT qid, [4, pos, 0], 'links', path, edges FROM seeds JOIN pr USING (path)
+           UNION ALL SELECT qid, [4, hop.pos, 1], 'read', path, read FROM hop JOIN pr USING (path)
+           UNION ALL SELECT s.qid, [4, s.pos, 1], '', e.dst, 0 FROM seeds s JOIN e ON s.path = e.src WHERE (s.qid, s.path) NOT IN (SELECT (qid, via) FROM hop)),
+    rn AS (SELECT *, coalesce(sum(chars) OVER (PARTITION BY qid ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM lg),
+    md AS (SELECT *, o[1] < 2 OR (CASE WHEN before = 0 THEN 0 ELSE greatest(1, before // 4) END) < {TRACED} AS made FROM rn),
+    ex AS (SELECT *, max(made) FILTER (tool = 'links') OVER (PARTITION BY qid, o[1], o[2]) AS reached FROM md),
+    fl AS (SELECT *, coalesce(max(NOT made AND tool <> 'links' AND (o[1] < 4 OR reached)) OVER (PARTITION BY qid), false) AS exhausted FROM ex)
+    SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY o) AS nth, tool, path, CAST(chars AS BIGINT) AS chars, CAST(before + chars AS BIGINT) AS spent, exhausted FROM fl WHERE made AND tool <> ''""")
+def ask_trace(spark: SparkSession, sf: str) -> DataFrame:
+    """The calls of every benchmark question under a budget that some exceed, each with its price."""
+    docs, edges = _asked_bundle(spark, sf)
+    items, docs = _items(spark, sf), navigate.matter_of(docs)
+    found = materialize(ask.search_hits(items, docs).withColumn("kind", bundle.kind(F.col("path"))), "found")
+    seeds = materialize(navigate.candidates(found, ask.Policy().reads), "candidates")
+    searched = navigate.search_prices(items, found, docs, ask.lead)
+    calls = navigate.call_log(items.select("qid"), seeds, searched, docs, edges, ask.Policy().fanout, TRACED, navigate.overview_price(docs, "Documents"))
+    return calls.select("qid", F.col("nth").cast("long").alias("nth"), "tool", "path", "chars", "spent", "exhausted")
+
+
+#: The most user turns of a conversation that the oracle follows; the query follows all there are.
+ROUNDS = 4
+
+
+def _rounds() -> str:
+    """One round for each turn: carried citations and hits make its seeds, its evidence what is carried on."""
+    out = []
+    for k in range(1, ROUNDS + 1):
+        before = f"SELECT conv_id || '#{k}' AS qid, unnest(list_filter(paths, lambda x, i: list_position(paths, x) = i)[1:2]) AS path, unnest(range(1, 3)) AS rk FROM a{k - 1} JOIN q USING (qid)" if k > 1 else "SELECT qid, path, 0 AS rk FROM hits WHERE false"
+        out.append(f"""
+    ca{k} AS (SELECT qid, path, rk FROM ({before}) WHERE path IS NOT NULL),
+    cd{k} AS (SELECT qid, path, min(rk) AS rk FROM (SELECT * FROM ca{k} WHERE qid IN (SELECT qid FROM q) UNION ALL SELECT qid, path, 1000 + rank FROM hits JOIN q USING (qid) WHERE nth = {k}) GROUP BY ALL),
+    seeds{k} AS MATERIALIZED (SELECT qid, path, row_number() OVER (PARTITION BY qid ORDER BY rk) AS pos, rk < 1000 AS carried FROM cd{k} QUALIFY pos <= 4),{_round(_FOLLOWED, k)},{_round(_EVIDENCE, k)}""")
+    return ",".join(out)
+
+
+_EVERY = " UNION ALL ".join(
+    f"""SELECT q.*, a{k}.n, said, paths, (SELECT path FROM seeds{k} s WHERE s.qid = q.qid AND pos = 1) AS closest, (SELECT string_agg(path, ' ' ORDER BY pos) FROM seeds{k} s WHERE s.qid = q.qid AND carried) AS kept,
+        2 + coalesce((SELECT count(*) FROM rd{k} x WHERE x.qid = q.qid), 0) + 2 * coalesce((SELECT count(*) FROM seeds{k} s WHERE s.qid = q.qid), 0) AS calls FROM q LEFT JOIN a{k} USING (qid) WHERE nth = {k}"""
+    for k in range(1, ROUNDS + 1)
+)
+
+
+@query(f"""
+    WITH {_ASKED}, q AS (SELECT conv_id || '#' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS qid, conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth, {_terms('text')} AS own
+                         FROM conversations WHERE role = 'user' AND trim(text) <> ''), {_HITS},{_rounds()}
+    SELECT conv_id, turn, n IS NULL AS abstained, {_CITED} AS citations, coalesce(kept, '') AS carried, CAST(calls AS BIGINT) AS tool_calls,
+           sha256(CASE WHEN n IS NULL THEN {_GAP} WHEN nth = 1 THEN 'Based on ' || n || ' passage(s) retrieved from the bundle:' || chr(10) || said
+                       ELSE 'Based on ' || n || ' passage(s) and ' || least(nth - 1, 4) || ' prior turn(s):' || chr(10) || said END) AS answer
+    FROM ({_EVERY})""")
+def conversation_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Every user turn of every conversation answered, each beginning with what the answer before it cites."""
+    docs, edges = _asked_bundle(spark, sf)
+    out = conversation.answers(conversation.questions_of(table(spark, sf, "conversations")), docs, edges)
+    return out.select("conv_id", "turn", "abstained", F.array_join("citations", " ").alias("citations"), F.array_join("carried", " ").alias("carried"), F.col("tool_calls").cast("long").alias("tool_calls"), F.sha2("answer", 256).alias("answer"))
+
+
 @query("""
     WITH x AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '') AS ls FROM documents)
     SELECT doc_id FROM x WHERE 3 + list_sum(list_transform(ls, lambda l: length(rtrim(l)))) + list_sum(list_transform(range(1, len(ls) + 1), lambda i: CASE WHEN i % 2 = 0 THEN length('Sub ' || i) ELSE 0 END)) > 6000 AND len(ls) // 2 >= 3 AND doc_id % 4 <> 0""")

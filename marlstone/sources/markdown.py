@@ -210,7 +210,8 @@ def parse_row(path: str, content: bytes) -> dict:
     except UnicodeDecodeError:
         return row | {"error": "encoding", "message": "file is not valid UTF-8"}
     data, body, error, message = split_frontmatter(text)
-    row |= {"body": body, "error": error, "message": message, "has_frontmatter": data is not None, "bad_sources": [], "sources": []}
+    # a file whose frontmatter can't be read is read and found as it stands
+    row |= {"body": text if error else body, "error": error, "message": message, "has_frontmatter": data is not None, "bad_sources": [], "sources": []}
     if data is None:
         return row
 

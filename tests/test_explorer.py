@@ -27,7 +27,8 @@ def test_views(spark, root):
     assert [x["rel_path"] for x in e.list("concepts/")["entries"]] == ["concepts/guide.md", "concepts/wire-protocol.md"]
     hits = e.search("frames")["results"]
     assert {h["path"]: h["kind"] for h in hits} == {"concepts/wire-protocol.md": "concept", "references/wire-protocol.md": "reference"} and all("[" in h["snippet"] for h in hits)
-    assert e.peek("concepts/guide.md", 3)["title"] == "Guide" and e.peek("concepts/guide.md", 3)["text"].count("\n") == 2
+    peeked = e.peek("concepts/guide.md", 3)
+    assert peeked["frontmatter"]["title"] == "Guide" and peeked["body_start"].count("\n") == 2 and peeked["truncated"]
     r = e.read("concepts/guide.md", 10)
     assert len(r["body"]) == 10 and r["next_start"] == 10 and any(x["target"] == "/concepts/wire-protocol.md" for x in r["links"])
     assert "concepts/wire-protocol.md" in e.links("concepts/guide.md")["outbound"]
