@@ -55,9 +55,18 @@ def hashed_bow(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def dense(rows: DataFrame, key: str) -> DataFrame:
-    """``(key, vector)`` of sparse ``rows(key, bucket, weight)``; at most ``DIM`` rows come together."""
-    cells = rows.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("cells"))
-    return cells.select(key, F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda i: F.coalesce(F.try_element_at("cells", i), F.lit(0.0))).alias("vector"))
+    """``(key, vector)`` of sparse ``rows(key, bucket, weight)``; at most ``DIM`` rows come together, which are put into their places a batch at a time."""
+    cells = rows.groupBy(key).agg(F.collect_list("bucket").alias("buckets"), F.collect_list("weight").alias("weights"))
+    kind = rows.select(key).schema[0].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, size = b.column(1).flatten().to_numpy(), np.diff(b.column(1).offsets.to_numpy())
+            flat = np.zeros(len(b) * DIM)
+            flat[np.repeat(np.arange(len(b)), size) * DIM + at] = b.column(2).flatten().to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(np.arange(len(b) + 1, dtype=np.int32) * DIM, flat)], names=[key, "vector"])
+
+    return cells.mapInArrow(run, f"`{key}` {kind}, vector array<double>")
 
 
 def sparse_topk(queries: DataFrame, index: DataFrame, qid: str, key: str, top: int = TOP) -> DataFrame:
@@ -86,61 +95,124 @@ def centroids(vectors: DataFrame, group: str, vector: str) -> DataFrame:
     return means.select(group, normalize(F.transform("x", lambda x: x["v"])).alias("centroid"))
 
 
-#: Query vectors multiplied at once.
+#: Query vectors of one block.
 QUERY_BLOCK = 1024
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, qid: str, key: str, vector: str, top: int = TOP) -> DataFrame:
     """``(qid, key, score, rank)``: exact cosine search of a stated query set (vectors are unit length).
 
-    Queries go out in blocks of about ``QUERY_BLOCK``, so what a task holds is bounded however many
-    there are; each block passes over the index once, by matrix products, and a task gives back only
-    its best ``top`` for each query.  Null vectors match nothing; an empty side gives no rows.
+    Queries go out in blocks of about ``QUERY_BLOCK``: a block is one row of packed vectors, and every block
+    meets every part of the index, which are dealt to tasks by a shuffle of parts and blocks.  So one plan
+    does for any number of queries, no task holds more than a block and a batch, and a task gives back
+    only its best ``top`` for each query of its block.  Null vectors match nothing; an empty side gives no rows.
     """
     kinds = dict(queries.dtypes) | {f"_{key}": dict(vectors.dtypes)[key]}
-    queries = queries.where(F.col(vector).isNotNull()).select(F.col(qid).alias("qid"), F.col(vector).cast("array<double>").alias("v"))
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(qid).alias("qid"), F.col(vector).cast("array<double>").alias("v"))
     index = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
     schema = f"qid {kinds[qid]}, key {kinds[f'_{key}']}, score double"
-    found = []
-    for k in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k).toArrow()  # one block
-        if rows.num_rows:
-            found.append(index.mapInArrow(_best_of(rows, top, schema), schema))
-    if not found:
-        found.append(index.sparkSession.createDataFrame([], schema))
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionAll(f)
+    if blocks == 1:
+        found = index.mapInArrow(_best_of(asked.select("qid", "v").toArrow(), top, schema), schema)  # one block
+    else:
+        # a row of either side for each block and part; those of the index follow the block's queries
+        parts = index.sparkSession.sparkContext.defaultParallelism
+        dealt = index.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        spread = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+        rows = spread.select("block", "part", F.lit(0).alias("side"), "qid", none("key", kinds[f"_{key}"]), "v").unionAll(dealt.select("block", "part", F.lit(1).alias("side"), none("qid", kinds[qid]), "key", "v"))
+        rows = rows.repartition(blocks * parts, "block", "part").sortWithinPartitions("block", "part", "side")
+        found = rows.mapInArrow(_best_of_blocks(top, schema), schema)
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "key")
-    ranked = every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return ranked.select(F.col("qid").alias(qid), F.col("key").alias(key), "score", "rank")
 
 
-def _best_of(asked: pa.Table, top: int, schema: str):
-    """A task's best rows of ``(key, v)`` batches for each of the ``asked(qid, v)`` vectors."""
+def _vectors(column: pa.Array) -> np.ndarray:
+    """Rows of equally long lists."""
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
+class _Best:
+    """The best ``top`` keys of each of a block's query vectors so far."""
+
+    def __init__(self, ids: list, vectors: np.ndarray, top: int):
+        self.ids, self.vectors, self.top = ids, vectors, top
+        self.best: list[list[tuple]] = [[] for _ in ids]
+        self.bar = np.zeros(len(ids))
+
+    def add(self, keys: list, vectors: np.ndarray) -> None:
+        scores = np.round(vectors @ self.vectors.T, 6)
+        # what a query holds already bars anything lower; equal scores stay in the race by key
+        at, col = np.nonzero((scores >= self.bar) & (scores > 0))
+        order = np.argsort(col, kind="stable")
+        at, col = at[order], col[order]
+        for a, z in zip(first := np.flatnonzero(np.diff(col, prepend=-1)), np.append(first[1:], len(col))):
+            c, rows = col[a], at[a:z]
+            values = scores[rows, c]
+            if len(rows) > self.top:  # only those that reach the top-th value
+                rows = rows[values >= np.partition(values, -self.top)[-self.top]]
+            held = heapq.nsmallest(self.top, [*self.best[c], *((-scores[i, c], keys[i]) for i in rows)])
+            self.best[c] = held
+            if len(held) == self.top:
+                self.bar[c] = -held[-1][0]
+
+    def batch(self, arrow: pa.Schema) -> pa.RecordBatch:
+        out = [(i, key, -s) for i, held in zip(self.ids, self.best) for s, key in held]
+        cols = zip(*out) if out else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, arrow)], schema=arrow)
+
+
+def _arrow(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    ids, q = asked["qid"].to_pylist(), np.array(asked["v"].to_pylist(), np.float64)
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    return to_arrow_schema(StructType.fromDDL(schema))
+
+
+def _best_of(asked: pa.Table, top: int, schema: str):
+    """A task's best rows of ``(key, v)`` batches for each of the ``asked(qid, v)`` vectors."""
+    ids, q = asked["qid"].to_pylist(), _vectors(asked["v"].combine_chunks()) if len(asked) else None
+    arrow = _arrow(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Best(ids, q, top)
+        for b in batches:
+            if len(b) and ids:
+                held.add(b.column(0).to_pylist(), _vectors(b.column(1)))
+        yield held.batch(arrow)
+
+    return run
+
+
+def _best_of_blocks(top: int, schema: str):
+    """The same for rows ``(block, part, side, qid, key, v)`` sorted by the first three: a block's queries, then a part of the index."""
+    arrow = _arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[list[tuple]] = [[] for _ in ids]
+        at, asked, held = None, [], None
         for b in batches:
             if not len(b):
                 continue
-            keys = b.column(0).to_pylist()
-            scores = np.round(np.array(b.column(1).to_pylist(), np.float64) @ q.T, 6)
-            # what a query holds already bars anything lower; equal scores stay in the race by key
-            bar = np.array([h[-1][0] * -1 if len(h) == top else 0.0 for h in best])
-            at, col = np.nonzero((scores >= bar) & (scores > 0))
-            for c in np.unique(col):
-                rows = at[col == c]
-                best[c] = heapq.nsmallest(top, [*best[c], *((-scores[i, c], keys[i]) for i in rows)])
-        out = [(i, key, -s) for i, held in zip(ids, best) for s, key in held]
-        cols = zip(*out) if out else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, arrow)], schema=arrow)
+            place = np.stack([b.column(k).to_numpy() for k in range(3)], axis=1)
+            cuts = np.append(np.flatnonzero(np.any(np.diff(place, axis=0, prepend=place[:1] - 1), axis=1)), len(b))
+            for a, z in zip(cuts[:-1], cuts[1:]):
+                block, part, side = place[a]
+                if (block, part) != at:
+                    if held is not None:
+                        yield held.batch(arrow)
+                    at, asked, held = (block, part), [], None
+                piece = b.slice(a, z - a)
+                if side == 0:
+                    asked.append(piece)
+                elif asked:
+                    if held is None:
+                        ids = [i for p in asked for i in p.column(3).to_pylist()]
+                        held = _Best(ids, np.concatenate([_vectors(p.column(5)) for p in asked]), top)
+                    held.add(piece.column(4).to_pylist(), _vectors(piece.column(5)))
+        if held is not None:
+            yield held.batch(arrow)
 
     return run
 

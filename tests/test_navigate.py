@@ -183,7 +183,7 @@ def test_trace_and_budget(explorer, tmp_path):
 def test_search_and_ask_rank_alike(explorer):
     """Stems find what plain words don't: the index that answers is the one that searches."""
     assert "concepts/release-process.md" in [h["path"] for h in explorer.search("signing releases")["results"]]
-    assert "concepts/release-process.md" in explorer.ask("signing releases")["citations"]
+    assert ("read", "concepts/release-process.md") in [(c["tool"], c["path"]) for c in explorer.ask("signing releases")["calls"]]
 
 
 def test_broken_frontmatter_is_found(spark, tmp_path):
