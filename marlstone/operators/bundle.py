@@ -130,23 +130,68 @@ def manifest(files: DataFrame) -> DataFrame:
     return files.where(F.col("rel_path") != "manifest.json").select("rel_path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("bytes"))
 
 
+#: Children of a node of the hash tree, as hexadecimal digits; files of a leaf node, about.
+DIGITS, LEAF = 1, 16
+
+
+def tree_depth(n: int) -> int:
+    """Levels below the root of a hash tree over ``n`` files."""
+    depth = 0
+    while n > LEAF * 16 ** (DIGITS * depth):
+        depth += 1
+    return depth
+
+
+def hash_tree(leaves: DataFrame, depth: int) -> list[DataFrame]:
+    """``(prefix, digest)`` of each level of the hash tree over ``leaves(rel_path, sha256)``, the root first.
+
+    A file belongs to the nodes whose prefix the hash of its path begins with, so a node has 16 children
+    or about 16 files, however many files a folder has: no group grows with the tree.  A node's digest
+    is SHA-256 over its children's prefixes and digests (a leaf node's: its files' paths and hashes) in order.
+    """
+    entry = F.concat_ws("\0", F.sha2("rel_path", 256), F.sha2(F.concat_ws("\0", "rel_path", "sha256"), 256))
+    nodes = leaves.select(F.substring(F.sha2("rel_path", 256), 1, DIGITS * depth).alias("prefix"), entry.alias("entry"))
+    levels = []
+    for d in range(depth, -1, -1):
+        level = nodes.groupBy("prefix").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("entry")), "\n"), 256).alias("digest"))
+        levels.append(level)
+        nodes = level.select(F.substring("prefix", 1, DIGITS * max(d - 1, 0)).alias("prefix"), F.concat_ws("\0", "prefix", "digest").alias("entry"))
+    return levels[::-1]
+
+
 def revision_id(files: DataFrame) -> str:
-    """Content-derived id of a small tree: SHA-256 over path and bytes in path order, without log and manifest.
+    """Content-derived id of a tree: the root of its hash tree, without log, manifest and hidden files.
 
-    The fold is not associative, so it runs over an ordered iterator on the driver, a file at a time.
+    Files are hashed where they are; only their number and the root come to the driver.
     """
-    digest = hashlib.sha256()
-    rows = files.where(~F.col("rel_path").isin("log.md", "manifest.json") & ~is_hidden(F.col("rel_path"))).orderBy(path_order(F.col("rel_path")))
-    for r in rows.select("rel_path", "content").toLocalIterator():
-        digest.update(r["rel_path"].encode() + b"\0" + bytes(r["content"]) + b"\0")
-    return f"rev-{digest.hexdigest()[:12]}"
+    kept = files.where(~F.col("rel_path").isin("log.md", "manifest.json") & ~is_hidden(F.col("rel_path")))
+    leaves = materialize(kept.select("rel_path", F.sha2("content", 256).alias("sha256")), "leaves")
+    n = leaves.count()
+    root = hash_tree(leaves, tree_depth(n))[0].first()
+    return f"rev-{hashlib.sha256(f'{n} {root.digest if root else str()}'.encode()).hexdigest()[:12]}"
+
 
+def diff_trees(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``tree_diff`` of two trees ``(rel_path, sha256)`` that goes down only where digests differ.
 
-def tree_digest(files: DataFrame) -> DataFrame:
-    """A scalable tree identity: per-file hashes summed as 64-bit parts, so no order and no gathering is needed."""
-    h = F.sha2(F.concat_ws("\0", "rel_path", F.sha2("content", 256)), 256)
-    parts = [F.sum(F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")) for i in range(8)]
-    return files.agg(F.sha2(F.concat_ws(",", F.count("*").cast("string"), *[F.coalesce(p, F.lit(0)).cast("string") for p in parts]), 256).alias("digest"))
+    Equal trees are told by their roots; of others only the files of differing leaf nodes are held
+    against each other, so a small change to a large tree compares few files.
+    """
+    a, b = [materialize(x.select("rel_path", "sha256"), "leaves") for x in (a, b)]
+    depth = tree_depth(max(a.count(), b.count()))
+    differing = None
+    for d, (x, y) in enumerate(zip(*[[materialize(level, "level") for level in hash_tree(t, depth)] for t in (a, b)])):
+        parent = F.substring("prefix", 1, DIGITS * max(d - 1, 0)).alias("parent")
+        x, y = x.select("prefix", "digest", parent), y.select("prefix", "digest", parent)
+        if differing is not None:
+            up = differing.select(F.col("prefix").alias("parent"))
+            x, y = x.join(up, "parent", "left_semi"), y.join(up, "parent", "left_semi")
+        both = x.select("prefix", F.col("digest").alias("x")).join(y.select("prefix", F.col("digest").alias("y")), "prefix", "full")
+        differing = materialize(both.where(~F.col("x").eqNullSafe(F.col("y"))).select("prefix"), "differing")
+        if differing.isEmpty():
+            break
+    own = lambda t: t.withColumn("prefix", F.substring(F.sha2("rel_path", 256), 1, DIGITS * depth)).join(differing, "prefix", "left_semi").drop("prefix")
+    return tree_diff(own(a), own(b)) if not differing.isEmpty() else tree_diff(a.limit(0), b.limit(0))
 
 
 def tree_diff(a: DataFrame, b: DataFrame, key: str = "rel_path", value: str = "sha256") -> DataFrame:
@@ -208,9 +253,24 @@ def first_per_key(df: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def unique_slugs(df: DataFrame, slug: str, *order: str) -> DataFrame:
-    """Numbers repeats of a slug -2, -3, ... in the given order."""
-    n = F.row_number().over(Window.partitionBy(slug).orderBy(*order))
-    return df.withColumn("unique_slug", F.when(n == 1, F.col(slug)).otherwise(F.concat(slug, F.lit("-"), n.cast("string"))))
+    """Adds ``unique_slug``: in the given order each row takes the first of its slug, ``slug-2``, ``slug-3``, .. that none before it has.
+
+    A made name may be another row's own slug (``x``, ``x``, ``x-2``).  Rows first take the name of their
+    number among equal slugs; of rows with one name the first keeps it, the others and those behind them
+    of the same slug move on, until no name repeats.  That ends with the names that taking them one after
+    another gives.  Repeats are rare, so rounds are few; each is written.
+    """
+    key = F.struct(*order)
+    same = Window.partitionBy("_slug").orderBy("_order")
+    rows = df.withColumns({"_slug": F.col(slug), "_order": key}).withColumn("_n", F.row_number().over(same)).withColumn("_k", F.col("_n"))
+    named = lambda x: x.withColumn("unique_slug", F.when(F.col("_k") == 1, F.col("_slug")).otherwise(F.concat("_slug", F.lit("-"), F.col("_k").cast("string"))))
+    while True:
+        rows = materialize(named(rows), "names")
+        late = rows.withColumn("_late", (F.row_number().over(Window.partitionBy("unique_slug").orderBy("_order")) > 1).cast("int"))
+        if late.where("_late = 1").isEmpty():
+            return rows.drop("_slug", "_order", "_n", "_k")
+        ahead = F.max(F.col("_k") + F.col("_late") - F.col("_n")).over(same.rowsBetween(Window.unboundedPreceding, 0))
+        rows = late.withColumn("_k", F.col("_n") + ahead).drop("_late", "unique_slug")
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:

@@ -24,11 +24,9 @@ def anchors(links: DataFrame) -> DataFrame:
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """``(path, outbound, inbound)``, both sorted and whole; for bounded lists of hubs see ``neighbours``."""
-    out = edges.groupBy(F.col("src").alias("path")).agg(F.array_sort(F.collect_set("dst")).alias("outbound"))
-    into = edges.groupBy(F.col("dst").alias("path")).agg(F.array_sort(F.collect_set("src")).alias("inbound"))
-    empty = F.array().cast("array<string>")
-    return out.join(into, "path", "full").select("path", F.coalesce("outbound", empty).alias("outbound"), F.coalesce("inbound", empty).alias("inbound"))
+    """``(path, direction, other)``: every link of every file, once as ``outbound`` and once as ``inbound``; a hub's stay rows, see ``neighbours`` for bounded lists."""
+    ends = F.array(F.struct(F.col("src").alias("path"), F.lit("outbound").alias("direction"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("path"), F.lit("inbound").alias("direction"), F.col("src").alias("other")))
+    return edges.select("src", "dst").distinct().select(F.explode(ends).alias("e")).select("e.*")
 
 
 def neighbours(edges: DataFrame, paths: DataFrame, limit: int = NEIGHBOURS) -> DataFrame:

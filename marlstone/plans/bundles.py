@@ -111,12 +111,9 @@ def link_targets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("WITH" + _BASE + ", " + _WHOLE + "," + _LINKS.format("w") + """, e AS (SELECT DISTINCT src, dst FROM l WHERE dst IS NOT NULL),
-    a AS (SELECT src AS path, string_agg(dst, ' ' ORDER BY dst) AS outbound FROM e GROUP BY src), b AS (SELECT dst AS path, count(*) AS n, string_agg(src, ' ' ORDER BY src) AS inbound FROM e GROUP BY dst HAVING count(*) < 50)
-    SELECT path, coalesce(outbound, '') AS outbound, inbound FROM a FULL JOIN b USING (path) WHERE inbound IS NOT NULL""")
+    SELECT src AS path, 'outbound' AS direction, dst AS other FROM e UNION ALL SELECT dst, 'inbound', src FROM e""")
 def link_adjacency(spark: SparkSession, sf: str) -> DataFrame:
-    rows = graph.adjacency(graph.link_edges(_readable(spark, sf)))
-    rows = rows.where((F.size("inbound") > 0) & (F.size("inbound") < 50))
-    return rows.select("path", F.array_join("outbound", " ").alias("outbound"), F.array_join("inbound", " ").alias("inbound"))
+    return graph.adjacency(graph.link_edges(_readable(spark, sf)))
 
 
 @query("WITH" + _BASE + ", " + _WHOLE + "," + _LINKS.format("w") + """, e AS (SELECT DISTINCT src, dst FROM l WHERE dst IS NOT NULL),

@@ -336,6 +336,24 @@ def tree_diff(spark: SparkSession, sf: str) -> DataFrame:
     return bundle.tree_diff(a, bundle.manifest(files.where("doc_id % 7 <> 0").withColumn("content", changed)))
 
 
+@query("""
+    WITH a AS (SELECT 'docs/' || doc_id || '.md' AS p, sha256(text) AS h FROM documents),
+    b AS (SELECT 'docs/' || doc_id || '.md' AS p, sha256(CASE WHEN doc_id % 50 = 1 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 70 <> 0)
+    SELECT p AS rel_path, CASE WHEN b.p IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a LEFT JOIN b USING (p) WHERE a.h IS DISTINCT FROM b.h""")
+def hash_tree_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """Few changes between two trees of all documents, found by going down their hash trees."""
+    files = _files(spark, sf)
+    changed = F.when(F.col("doc_id") % 50 == 1, F.concat(F.col("content").cast("string"), F.lit("!")).cast("binary")).otherwise(F.col("content"))
+    return bundle.diff_trees(bundle.manifest(files), bundle.manifest(files.where("doc_id % 70 <> 0").withColumn("content", changed)))
+
+
+@query("SELECT doc_id, 'n' || (doc_id // 3) || CASE doc_id % 3 WHEN 1 THEN '-2' WHEN 2 THEN '-2-2' ELSE '' END AS unique_slug FROM documents")
+def unique_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Three documents a name: two ask for it, a third for the name that the second gets."""
+    name = F.concat(F.lit("n"), F.floor(F.col("doc_id") / 3).cast("string"), F.when(F.col("doc_id") % 3 == 2, "-2").otherwise(""))
+    return bundle.unique_slugs(table(spark, sf, "documents").select("doc_id", name.alias("slug")), "slug", "doc_id").select("doc_id", "unique_slug")
+
+
 @query(f"""
     WITH e AS ({_EDGES}), a AS (SELECT * FROM e WHERE length(src) % 3 <> 0), b AS (SELECT * FROM e WHERE length(dst) % 3 <> 0)
     SELECT *, 'added' AS change FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""")
@@ -433,6 +451,21 @@ def events_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
+@query("""
+    WITH d AS (SELECT event_type, ts, value FROM events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1)
+    SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n, round(sum(value), 2) AS total FROM d
+    WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM d) - INTERVAL 10 MINUTE GROUP BY ALL""")
+def events_feed(spark: SparkSession, sf: str) -> DataFrame:
+    """The hours of the event stream that are complete, by a stateful stream that runs twice over what is there."""
+    from marlstone.session import scratch_path
+    from marlstone.streaming.incremental import run_rollup
+
+    base, out = scratch_path(spark, "events-feed"), None
+    for _ in range(2):
+        out = run_rollup(spark, f"{sf}/events.parquet", f"{base}/out", f"{base}/checkpoint", "event_id long, ts timestamp, event_type string, value double", time="ts", key="event_id", groups=["event_type"], value="value")
+    return out
+
+
 @query()
 def compiled_bundle(spark: SparkSession, sf: str) -> DataFrame:
     from marlstone.operators.compile import compile_bundle

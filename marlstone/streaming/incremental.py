@@ -53,3 +53,39 @@ def publish(files: DataFrame, folder: str, revision: str) -> bool:
 def new_items(items: DataFrame, after: str | None, uri: str = "uri") -> DataFrame:
     """Items behind the last one taken, in order of their URI."""
     return items if after is None else items.where(F.col(uri) > after)
+
+
+#: Keeps keyed state on disk, so that it may outgrow an executor's memory.
+STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def rollup(events: DataFrame, time: str, key: str, groups: list[str], value: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """``(groups.., start, n, total)`` of each time window of a stream, once it is complete.
+
+    A key that came before is left out while its first row isn't older than ``late``; a window is complete
+    when something came that is ``late`` past its end, and rows that come for it afterwards are left out.
+    Seen keys and open windows are state, kept in the checkpoint and dropped by the watermark.
+    """
+    rows = events.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+    sums = rows.groupBy(F.window(time, window).alias("w"), *groups).agg(F.count("*").alias("n"), F.round(F.sum(value), 2).alias("total"))
+    return sums.select(*groups, F.col("w.start").alias("start"), "n", "total")
+
+
+def run_rollup(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str, files_per_batch: int = 100, partitions: int = 16, **how: object) -> DataFrame:
+    """Takes the Parquet files that are new at ``source`` through ``rollup`` and returns all that ``target`` has.
+
+    A run goes on where the last one ended, a killed one is finished by the next; files are written once.
+    """
+    folder, _, name = source.rstrip("/").rpartition("/")
+    names = {"spark.sql.streaming.stateStore.providerClass": STATE, "spark.sql.shuffle.partitions": str(partitions)}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/{{{name}}}")  # a pattern may name one file
+        out = rollup(stream, **how)
+        out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target).awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.schema(out.schema).parquet(target)

@@ -130,7 +130,7 @@ def test_command_line(spark, source, tmp_path, monkeypatch, capsys):
     code, out = said("check")
     assert code == 1 and ["concepts/guide.md", "changed"] in out["drift"]
     trace = tmp_path / "trace.json"
-    assert not said("ask", "What is the wire protocol?", "--trace", str(trace))[1]["abstained"] and json.loads(trace.read_text())["spent_tokens"] > 0
+    assert not said("ask", "What is the wire protocol?", "--trace", str(trace))[1]["abstained"] and json.loads(trace.read_text())["budget"]["spent_tokens"] > 0
     assert said("viz", str(tmp_path / "g.html"))[0] == 0 and "concepts/guide.md" in (tmp_path / "g.html").read_text()
     assert said("pack", str(tmp_path / "k.tar.gz"), "--profile", "plain")[0] == 0
     assert Explorer(spark, kb).frontmatter("concepts/guide.md", 40)["_truncated"]

@@ -1,6 +1,7 @@
 """Corpus operators on hand-made frames; lexical ranking against SQLite's full-text search."""
 
 import hashlib
+import random
 import json
 import sqlite3
 
@@ -116,21 +117,70 @@ def test_vector_ties(spark):
     assert [r["id"] for r in chunks.vector_topk(q, v, "qid", "id", "v").orderBy("rank").collect()] == ["a#0", "a#1", "b#0"]
 
 
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def plain_root(leaves, depth):
+    """The root digest of a hash tree over ``{path: sha256}``, level by level."""
+    nodes = {}
+    for p, h in leaves.items():
+        nodes.setdefault(sha(p)[:depth], []).append(f"{sha(p)}\0{sha(p + chr(0) + h)}")
+    for d in range(depth, -1, -1):
+        digests = {k: sha("\n".join(sorted(v))) for k, v in nodes.items()}
+        nodes = {}
+        for k, v in digests.items():
+            nodes.setdefault(k[: max(d - 1, 0)], []).append(f"{k}\0{v}")
+    return digests[""]
+
+
+def test_hash_trees(spark):
+    """The root by plain Python; a difference by going down is the difference of all files; equal and empty trees."""
+    rnd = random.Random(4)
+    a = {f"d{i % 3}/f{i}.md": sha(str(i)) for i in range(700)}
+    assert [bundle.tree_depth(n) for n in (0, 16, 17, 256, 257, 4096, 4097)] == [0, 0, 1, 1, 2, 2, 3]
+    frame = lambda t: spark.createDataFrame(list(t.items()), "rel_path string, sha256 string").repartition(3)
+    for depth in (0, 1, 2):
+        assert bundle.hash_tree(frame(a), depth)[0].first()["digest"] == plain_root(a, depth)
+    b = dict(a)
+    for p in rnd.sample(sorted(a), 5):
+        b[p] = sha("new")
+    for p in rnd.sample(sorted(a), 3):
+        b.pop(p, None)
+    b["new/x.md"] = sha("x")
+    for x, y in ((a, b), (b, a), (a, a), ({}, b), (a, {}), ({}, {})):
+        want = {(p, "added" if p not in x else "removed" if p not in y else "changed") for p in x.keys() | y.keys() if x.get(p) != y.get(p)}
+        assert {(r["rel_path"], r["change"]) for r in bundle.diff_trees(frame(x), frame(y)).collect()} == want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_names_are_taken_one_after_another(spark, seed):
+    rnd = random.Random(seed)
+    slugs = [rnd.choice(["x", "x", "x-2", "x-2-2", "x-3", "y", "y-2", "x-10"]) for _ in range(60)]
+    taken, want = set(), []
+    for s in slugs:
+        k, name = 1, s
+        while name in taken:
+            k += 1
+            name = f"{s}-{k}"
+        taken.add(name), want.append(name)
+    df = spark.createDataFrame(list(enumerate(slugs)), "nth int, slug string").repartition(3)
+    assert [r["unique_slug"] for r in bundle.unique_slugs(df, "slug", "nth").orderBy("nth").collect()] == want
+
+
 def test_bundle_views(spark):
     f = tree(spark, GOOD)
     roles = {r["rel_path"]: r["x"] for r in f.select("rel_path", bundle.role(F.col("rel_path")).alias("x")).collect()}
     assert roles == {"index.md": "index", "log.md": "log", "concepts/a.md": "concept", "concepts/b.md": "concept", "references/r.md": "reference"}
-    digest = hashlib.sha256()
-    for p in sorted((p for p in GOOD if p != "log.md"), key=lambda p: p.split("/")):
-        digest.update(p.encode() + b"\0" + GOOD[p].encode() + b"\0")
-    assert bundle.revision_id(f) == f"rev-{digest.hexdigest()[:12]}"
+    kept = {p: sha(t) for p, t in GOOD.items() if p != "log.md"}
+    assert bundle.revision_id(f) == "rev-" + sha(f"{len(kept)} {plain_root(kept, 0)}")[:12]
     assert [r["summary"] for r in bundle.history(f.where("rel_path = 'log.md'")).collect()] == ["two", "one"]
     asked = spark.createDataFrame([(p,) for p in ("concepts/a.md", "/concepts/a.md", "../a.md", "Concepts/a.md", ".x.md", "")], "rel_path string")
     assert [r["rel_path"] for r in bundle.safe_path(asked, f).collect()] == ["concepts/a.md"]
     g = tree(spark, {**GOOD, "concepts/a.md": "other", "new.md": "n"} | {}).where("rel_path <> 'concepts/b.md'")
     diff = {(r["rel_path"], r["change"]) for r in bundle.tree_diff(bundle.manifest(f), bundle.manifest(g)).collect()}
     assert diff == {("concepts/a.md", "changed"), ("concepts/b.md", "removed"), ("new.md", "added")}
-    assert bundle.tree_digest(f).first() == bundle.tree_digest(f.repartition(3)).first() != bundle.tree_digest(g).first()
+    assert bundle.revision_id(f) == bundle.revision_id(f.repartition(3)) != bundle.revision_id(g)
 
 
 def test_graph(spark):
@@ -238,7 +288,7 @@ def test_files(spark, tmp_path):
     t = tree(spark, GOOD)
     a, b = str(tmp_path / "a.tar.gz"), str(tmp_path / "b.tar.gz")
     assert files.pack(t, a) == files.pack(t.repartition(3), b)
-    assert bundle.tree_digest(files.unpack(spark, a)).first() == bundle.tree_digest(t).first()
+    assert bundle.revision_id(files.unpack(spark, a)) == bundle.revision_id(t)
     with open(a, "ab") as f:
         f.write(b"x")
     with pytest.raises(ValueError):
