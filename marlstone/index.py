@@ -1,4 +1,4 @@
-"""The persisted index of a revision: weighted stems, chunk vectors and links, written once and read by every search."""
+"""The persisted index of a revision: blocks of weighted stems, chunk vectors and links, written once and read by every search."""
 
 from __future__ import annotations
 
@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from marlstone.functions.stem import stems
 from marlstone.functions.text import is_external, links, resolve_target
 from marlstone.operators import chunks, graph, search
+from marlstone.session import materialize
 from marlstone.sources.markdown import parse_files
 from marlstone.store import Store
 
 #: The tables of an index.
-PARTS = ("postings", "vectors", "chunks", "links")
+PARTS = ("blocks", "vectors", "chunks", "links")
 
 
 def documents(files: DataFrame) -> DataFrame:
@@ -36,7 +37,7 @@ def tables(files: DataFrame) -> dict[str, DataFrame]:
     found = files.where(F.col("rel_path").endswith(".md")).select(F.col("rel_path").alias("src"), F.posexplode(links(F.decode("content", "utf-8"))).alias("pos", "l"))
     found = found.where(~is_external("l.target")).select("src", resolve_target("l.target", "src").alias("dst"), "pos", F.col("l.text").alias("anchor")).where("dst is not null")
     return {
-        "postings": search.weigh(docs, "path", search.FIELD_WEIGHTS, stems).repartitionByRange("term").sortWithinPartitions("term"),
+        "blocks": search.postings_blocks(materialize(search.weigh(docs, "path", search.FIELD_WEIGHTS, stems), "postings"), "path"),
         "vectors": chunks.hashed_bow(parts, "cid", "chunk"),
         "chunks": parts,
         "links": graph.anchors(found),
@@ -63,8 +64,8 @@ class Index:
         return self.store.spark.read.parquet(f"{self.folder}/{name}")
 
     def search(self, questions: DataFrame, qid: str = "qid", text: str = "text", top: int = 10) -> DataFrame:
-        """``(qid, path, score, rank)`` of the best documents for every question, from the written postings."""
-        return search.rank(self.table("postings"), search.asked_terms(questions, qid, text, stems), "path", qid, top)
+        """``(qid, path, score, rank)`` of the best documents for every question, from the written blocks of postings."""
+        return search.block_rank(self.table("blocks"), search.asked_terms(questions, qid, text, stems), "path", qid, top)
 
     def retrieve(self, questions: DataFrame, qid: str = "qid", text: str = "text", top: int = chunks.TOP) -> DataFrame:
         """``(qid, path, seq, chunk, score, rank)`` of the best chunks for every question, from the written vectors."""

@@ -71,6 +71,65 @@ def rank(weighed: DataFrame, asked: DataFrame, key: str, qid: str, top: int = 10
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(qid, key, "score", "rank")
 
 
+#: Documents of a group, about; groups that are scored first for a bar.
+GROUP, FIRST_GROUPS = 32, 4
+
+
+def postings_blocks(weighed: DataFrame, key: str, group: int = GROUP) -> DataFrame:
+    """``(term, grp, best, entries)`` of written rows of ``weigh``: postings in blocks that a search can pass over.
+
+    Documents are dealt into groups of about ``group`` by a hash, the same for every term; a block is a
+    term's postings in one group with what each adds to a score, and the most that any does.
+    """
+    stats = corpus_stats(weighed).first()  # two numbers
+    n, avgdl = stats["n_docs"], float(stats["avgdl"] or 1.0) or 1.0
+    rows = weighed.where("term is not null")
+    df = rows.groupBy("term").agg(F.count("*").alias("df"))
+    part = -bm25_score(F.col("f"), F.col("dl"), F.lit(avgdl), F.col("df"), F.lit(float(n)))
+    grp = F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // group))))
+    rows = rows.join(df, "term").select("term", grp.alias("grp"), F.col(key).alias("key"), part.alias("part"))
+    entries = F.array_sort(F.collect_list(F.struct("key", "part")))  # the documents of a group
+    return rows.groupBy("term", "grp").agg(F.max("part").alias("best"), entries.alias("entries")).repartitionByRange("term", "grp").sortWithinPartitions("term", "grp")
+
+
+def group_bounds(blocks: DataFrame, asked: DataFrame, qid: str) -> DataFrame:
+    """``(qid, grp, bound, nth)``: the most that a document of a group can score for a question, the greatest first."""
+    bounds = asked.join(blocks.select("term", "grp", "best"), "term").groupBy(qid, "grp").agg(F.sum("best").alias("bound"))
+    return bounds.withColumn("nth", F.row_number().over(Window.partitionBy(qid).orderBy(F.desc("bound"), "grp")))
+
+
+def block_rank(blocks: DataFrame, asked: DataFrame, key: str, qid: str, top: int = 10) -> DataFrame:
+    """``rank`` from written ``postings_blocks``: the same rows, but groups that can't reach the best ``top`` aren't read.
+
+    The summary of blocks gives each question and group a bound.  The groups of the greatest bounds are
+    scored first; the ``top``-th score among their documents is the question's bar, and of the other
+    groups only those whose bound reaches it are scored.  A question with fewer documents has no bar.
+    """
+    bounds = materialize(group_bounds(blocks, asked, qid), "bounds")
+
+    def scored(groups: DataFrame) -> DataFrame:
+        wanted = asked.join(groups.select(qid, "grp"), qid)
+        rows = wanted.join(blocks, ["term", "grp"]).select(qid, F.explode("entries").alias("e"))
+        return rows.groupBy(qid, F.col("e.key").alias(key)).agg(F.sum("e.part").alias("raw"))
+
+    first = materialize(scored(bounds.where(F.col("nth") <= FIRST_GROUPS)), "first")
+    place = F.row_number().over(Window.partitionBy(qid).orderBy(F.desc("raw")))
+    bar = first.withColumn("place", place).where(F.col("place") == top).select(qid, F.col("raw").alias("bar"))
+    # scores are rounded to six places, so a group within rounding of the bar is read as well
+    rest = bounds.where(F.col("nth") > FIRST_GROUPS).join(bar, qid, "left").where(F.col("bar").isNull() | (F.col("bound") >= F.col("bar") - 2e-6))
+    every = first.unionByName(scored(rest)).withColumn("score", F.round(-F.col("raw"), 6))
+    order = Window.partitionBy(qid).orderBy("score", key)
+    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(qid, key, "score", "rank")
+
+
+def blocks_read(blocks: DataFrame, asked: DataFrame, key: str, qid: str, top: int = 10) -> tuple[int, int]:
+    """How many groups ``block_rank`` scores for all questions, and how many hold a term of theirs."""
+    bounds = materialize(group_bounds(blocks, asked, qid), "bounds")
+    bar = block_rank(blocks, asked, key, qid, top).where(F.col("rank") == top).select(qid, (-F.col("score")).alias("bar"))
+    read = bounds.join(bar, qid, "left").where((F.col("nth") <= FIRST_GROUPS) | F.col("bar").isNull() | (F.col("bound") >= F.col("bar")))
+    return read.count(), bounds.count()
+
+
 def bm25(docs: DataFrame, questions: DataFrame, key: str, qid: str, fields: dict[str, float] | None = None, text: str = "text", top: int = 10, split: Callable[[Column], Column] = tokens) -> DataFrame:
     """``(qid, key, score, rank)``: the best documents of every question; lower is better, ties by key.
 

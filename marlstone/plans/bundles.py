@@ -135,19 +135,16 @@ def graph_projection(spark: SparkSession, sf: str) -> DataFrame:
     return graph.projection(nodes, graph.link_edges(_readable(spark, sf))).select("src", "dst")
 
 
-@query("WITH" + _BASE + """, q AS (SELECT i AS qid, path FROM p WHERE i % 100 = 0), l AS (
-        SELECT src, dst FROM (SELECT 'a' || (doc_id % 40) AS src, 'a' || (doc_id % 53) AS dst FROM documents UNION ALL SELECT 'a' || (doc_id % 31), 'a' || (doc_id % 47) FROM documents) GROUP BY src, dst),
-    seeds AS (SELECT doc_id AS qid, 'a' || (doc_id % 40) AS path, 1 AS pos FROM documents WHERE doc_id % 100 = 0 UNION ALL SELECT doc_id, 'a' || (doc_id % 31 + 3), 2 FROM documents WHERE doc_id % 100 = 0 AND doc_id % 40 <> doc_id % 31 + 3),
-    found AS (SELECT qid, dst AS path, src AS via, pos FROM seeds JOIN l ON path = src WHERE (qid, dst) NOT IN (SELECT (qid, path) FROM seeds)),
+@query("WITH" + _BASE + ", " + _WHOLE + "," + _LINKS.format("w") + """, e AS (SELECT DISTINCT src, dst FROM l WHERE dst IS NOT NULL),
+    seeds AS (SELECT i AS qid, path, 1 AS pos FROM p WHERE i % 100 = 0 UNION ALL SELECT i - 1, path, 2 FROM p WHERE i % 100 = 1),
+    found AS (SELECT qid, dst AS path, src AS via, pos FROM seeds JOIN e ON path = src WHERE (qid, dst) NOT IN (SELECT (qid, path) FROM seeds)),
     firsts AS (SELECT *, row_number() OVER (PARTITION BY qid, path ORDER BY pos) AS nth FROM found)
     SELECT qid, path, via, row_number() OVER (PARTITION BY qid ORDER BY pos, path) AS hop FROM firsts WHERE nth = 1 QUALIFY hop <= 4""")
 def link_hops(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    node = lambda e: F.concat(F.lit("a"), F.expr(e).cast("string"))
-    edges = docs.select(node("doc_id % 40").alias("src"), node("doc_id % 53").alias("dst")).unionAll(docs.select(node("doc_id % 31"), node("doc_id % 47"))).distinct()
-    asked = docs.where("doc_id % 100 = 0")
-    seeds = asked.select(F.col("doc_id").alias("qid"), node("doc_id % 40").alias("path"), F.lit(1).alias("pos"))
-    seeds = seeds.unionAll(asked.where("doc_id % 40 <> doc_id % 31 + 3").select("doc_id", node("doc_id % 31 + 3"), F.lit(2)))
+    """One link on from the file of every hundredth document and that of the next one, over the links of all files."""
+    asked = table(spark, sf, "documents").withColumn("path", F.expr(PATH))
+    seeds = asked.where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), "path", F.lit(1).alias("pos")).unionAll(asked.where("doc_id % 100 = 1").select(F.col("doc_id") - 1, "path", F.lit(2)))
+    edges = graph.link_edges(_readable(spark, sf))
     return graph.hops(seeds, edges, 4).withColumn("hop", F.col("hop").cast("long"))
 
 

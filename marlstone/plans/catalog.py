@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as X
 from marlstone.operators import bundle, chunks, conversation, evaluate, graph, search
-from marlstone.session import table
+from marlstone.session import materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -86,6 +86,14 @@ def bm25_unstemmed(spark: SparkSession, sf: str) -> DataFrame:
     return search.bm25(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "item_id").withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(_bm25_sql(f"[{{'t': {_tok('text')}, 'w': 1.0::DOUBLE}}]"))
+def bm25_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The same ranking from written blocks of postings, which a search passes over where they can't matter."""
+    docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    blocks = materialize(search.postings_blocks(materialize(search.weigh(docs, "doc_id", {"text": 1.0}), "postings"), "doc_id"), "blocks")
+    return search.block_rank(blocks, search.asked_terms(items, "item_id"), "doc_id", "item_id").withColumn("rank", F.col("rank").cast("long"))
+
+
 @query(_bm25_sql("[{'t': " + _tok("split_part(text, chr(10), 1)") + ", 'w': 5.0::DOUBLE}, {'t': " + _tok("lang || ' ' || source") + ", 'w': 2.0}, {'t': " + _tok("text") + ", 'w': 1.0}]"))
 def bm25_fielded(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"), F.concat_ws(" ", "lang", "source").alias("tags"), F.col("text").alias("body"))

@@ -310,3 +310,23 @@ def test_incremental(spark, tmp_path):
     assert spark.read.parquet(target).count() == 2
     folder = f"file://{tmp_path}/rev"
     assert incremental.publish(tree(spark, GOOD), folder, "rev-1") and not incremental.publish(tree(spark, GOOD), folder, "rev-1")
+
+
+def test_blocks_rank_as_all_postings_do(spark):
+    """Passing over groups changes nothing, ties at the bar and questions with few hits included; rare terms keep most groups unread."""
+    rnd = random.Random(9)
+    common = [f"c{i}" for i in range(20)]
+    docs = [(i, " ".join(rnd.choices(common, k=rnd.randrange(1, 40)) + ([f"rare{i % 25}"] * rnd.randrange(1, 4) if i % 4 == 0 else []))) for i in range(1500)] + [(2000, None), (2001, "")]
+    docs += [(3000 + i, "tie tie c1") for i in range(30)]
+    asked = [(1, "rare3 c1 c2"), (2, "c1 c2 c3 c4"), (3, "rare7 rare8"), (4, "tie"), (5, "unknown words"), (6, "rare1 tie c5")]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "qid int, text string")
+    weighed = search.weigh(d, "doc_id", {"text": 1.0}).cache()
+    terms = search.asked_terms(q, "qid")
+    rows = lambda x: sorted(map(tuple, x.collect()))
+    for group in (1, 8, 32, 4000):
+        blocks = search.postings_blocks(weighed, "doc_id", group).cache()
+        for top in (1, 10, 50):
+            assert rows(search.block_rank(blocks, terms, "doc_id", "qid", top)) == rows(search.rank(weighed, terms, "doc_id", "qid", top)), (group, top)
+    rare = search.asked_terms(q.where("qid in (1, 3, 6)"), "qid")
+    read, all_ = search.blocks_read(search.postings_blocks(weighed, "doc_id", 8), rare, "doc_id", "qid", 5)
+    assert read < all_ / 2
