@@ -36,8 +36,8 @@ CAPACITY, END = 4096, 1
 #: Longer texts are encoded alone, in parts of about so many code points.
 LONG_TEXT = 4 << 20
 #: Bytes of text whose words are looked up together: half of what other operators take, for a word's ids
-#: weigh much more than its letters.
-BATCH = BATCH_BYTES // 2
+#: weigh much more than its letters.  Words that the library encodes at once.
+BATCH, WORDS = BATCH_BYTES // 2, 1 << 15
 #: Rows of one length that share a rank bucket, about.
 BUCKET_ROWS = 2000
 
@@ -95,15 +95,14 @@ class WordIds:
         sign = pc.utf8_slice_codeunits(closed, -1)
         signed = pc.is_in(sign, pa.array([".", ","], sign.type)).to_numpy(zero_copy_only=False)
         core = pc.if_else(pa.array(signed), pc.utf8_slice_codeunits(closed, 0, -1), closed).dictionary_encode()
-        own = np.zeros(0, np.uint32)
-        if len(core.dictionary):
-            joined = pc.binary_join(pa.ListArray.from_arrays([0, len(core.dictionary)], core.dictionary), " ")[0].as_py()
-            own = np.array(self.plain.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+        # some at a time: an encoding weighs a hundred times its text
+        own = np.concatenate([np.zeros(0, np.uint32), *(self._joined(core.dictionary.slice(k, WORDS)) for k in range(0, len(core.dictionary), WORDS))])
         end = np.flatnonzero(self.closes[own]) + 1
         if len(end) != len(core.dictionary):
             raise ValueError("a word has not exactly one closing token")
         start = np.append(0, end)[:-1]
-        rest = [x.ids for x in self.tokenizer.encode_batch_fast(words.filter(pa.array(~simple)).to_pylist(), add_special_tokens=False)]
+        odd = words.filter(pa.array(~simple))
+        rest = [x.ids for k in range(0, len(odd), WORDS) for x in self.tokenizer.encode_batch_fast(odd.slice(k, WORDS).to_pylist(), add_special_tokens=False)]
         signs = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ".,"}
         if any(len(x) != 1 for x in signs.values()):
             raise ValueError("a closing sign is not one token")
@@ -119,6 +118,11 @@ class WordIds:
         tokens[_ragged(first[~simple], n[~simple])] = [i for x in rest for i in x]
         return first, n, tokens
 
+    def _joined(self, words: pa.Array) -> np.ndarray:
+        """Ids of plain words, one after another."""
+        text = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), " ")[0].as_py()
+        return np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
 
 #: Letters of the first 256 code points whose normal form and lower case are letters of them too, and
 #: perhaps a full stop or comma after them, which is always a split of its own.
