@@ -236,7 +236,8 @@ def _dealt(rows: DataFrame, crowd: int = CROWD) -> DataFrame:
     A crowded token becomes a token for each two of its parts.  In one of two different parts ``side``
     is -1 and -2, and only documents of different sides are to meet; else it is 0.
     """
-    sizes = rows.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > crowd)
+    # written, so that Spark knows their size: few enough are broadcast, and the rows aren't moved for them
+    sizes = materialize(rows.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > crowd), "crowded")
     parts = F.ceil(F.col("n") / crowd).cast("long")
     own = F.pmod(F.xxhash64("doc_id", "label"), parts)
     side = lambda k: F.when(k == own, 0).when(own < k, -1).otherwise(-2)
