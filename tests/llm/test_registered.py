@@ -19,7 +19,9 @@ Q = registry.QUERIES
 rnd = random.Random(11)
 WORDS = "the of and river stone market winter letter garden engine der und haus le la maison".split()
 COPY = " ".join(rnd.choice(WORDS) for _ in range(80)) + "."
-LONG = [*TEXTS, COPY, COPY, COPY + " end", "\n".join(["same line here"] * 40), " ".join(f"Wort{i} und das Haus." for i in range(70)), "!!! ***"]
+#: Over 200,000 characters, as long as three chunks of any operator's.
+VERY = "\n".join(" ".join(rnd.choice(WORDS) + rnd.choice(("", "", ",", "ü")) for _ in range(40)) for _ in range(1100))
+LONG = [*TEXTS, COPY, COPY, COPY + " end", VERY, "\n".join(["same line here"] * 40), " ".join(f"Wort{i} und das Haus." for i in range(70)), "!!! ***"]
 DOCS = [(i, t, ["en", "de", None][i % 3], "s", 1, 2, "x") for i, t in enumerate(LONG)] + [(3, LONG[3], "en", "s", 1, 2, "x"), (100, COPY, "de", "s", 1, 2, "x"), (100, "Another text under one id.", "de", "s", 1, 2, "x"), (None, "no id", "en", None, None, None, None)]
 LABELS = [(i, i % 2, int(i % 4 == 1), 7) for i in range(len(LONG))] + [(None, 1, 1, 7), (3, None, None, 7)]
 PAGE = "<html><body><nav><a href=/x>menu</a></nav><article><h1>T{0}</h1><p>Words of page {0} &amp; more.</p></article></body></html>"
@@ -212,3 +214,41 @@ def test_op11(spark, small):
 def test_op12(spark, small):
     got = rows(spark, "op12_chosen_path_dedup", small)
     assert sorted(str((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"])) for r in got) == brute_join([d[:2] for d in DOCS])
+
+
+def test_very_long_page(spark, tmp_path):
+    html = f"<html><body><nav>menu</nav><article><h1>T</h1>{''.join(f'<p>{line}</p>' for line in VERY.splitlines())}</article></body></html>"
+    spark.createDataFrame([(1, "https://h.example/1", html), (2, "https://h.example/2", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    want = [(1, len(html.encode()), sha(html), "response", None), (2, len(html.encode()), sha(html), "revisit", 1)]
+    assert sorted((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in rows(spark, "op4_warc_packages", str(tmp_path))) == want
+    assert [r["text"] for r in rows(spark, "op8_html_extraction", str(tmp_path))] == ["T\n" + VERY] * 2
+
+
+def test_pipeline(spark, small, empty):
+    """Nulls, repeated ids, ties, clashing names and a very long text go through all stages; an empty table gives nothing."""
+    import corpus_pipeline
+
+    assert len(VERY) > 200_000
+    got = corpus_pipeline.run(spark, small).collect()
+    t = library("word_bpe_49k.json")
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    texts = {}
+    for d in DOCS:
+        texts.setdefault(d[0], set()).add(len(t.encode(d[1] or "", add_special_tokens=False).ids) + 1)
+    lengths = {}
+    for r in got:
+        lengths[r["doc_id"]] = lengths.get(r["doc_id"], 0) + r["length"]
+    # what is kept is packed whole, repeated rows each
+    single = [d[0] for d in DOCS if d[0] is not None and sum(x[0] == d[0] for x in DOCS) == 1]
+    assert all(lengths[i] in texts[i] for i in lengths if i in single)
+    copies = [i for i, x in enumerate(LONG) if x in (COPY, COPY + " end")]
+    assert len([i for i in copies if i in lengths]) <= 1
+    assert corpus_pipeline.run(spark, empty).collect() == []

@@ -478,3 +478,25 @@ def test_a_crowded_shingle_is_dealt(spark):
         assert len(got) == sum(1 for i, a in enumerate(rows) for b in rows[:i] if a[0] == b[0] and a[2] != b[2])
     biggest = similar._dealt(df, 10).groupBy("token").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     assert biggest < 60  # two parts of about ten
+
+
+def test_words_of_texts_over_four_mebibytes():
+    """Cut at blanks and encoded in parts, and words in portions: as the library does with the whole."""
+    import numpy as np
+    import pytest
+
+    from marlstone.llm import packing
+
+    p = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(p)
+    t.no_truncation(), t.no_padding()
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgß") for _ in range(rng.randrange(1, 9))) + rng.choice(["", "", ".", ",", "!", "7"]) for _ in range(60_000)]
+    long = " ".join(rng.choice(words) for _ in range(900_000))
+    assert len(long) > packing.LONG_TEXT
+    got = list(packing.WordIds(p).ids([long, None, "a  b\n\nc", long[:5000]]))
+    for text, ids in zip([long, "", "a  b\n\nc", long[:5000]], got):
+        want = np.array([*t.encode(text, add_special_tokens=False).ids, packing.END], np.uint32)
+        assert np.array_equal(want, ids)
