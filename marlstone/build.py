@@ -21,8 +21,10 @@ from marlstone.index import Index
 from marlstone.operators import bundle, compile, lint
 from marlstone.providers import completions
 from marlstone.session import materialize
+from marlstone.sources.connectors import connect
+from marlstone.sources.fetch import Fetcher
 from marlstone.sources.files import bundle as read_tree
-from marlstone.sources.files import capped, documents, scan
+from marlstone.sources.files import capped, documents, scan, unpack
 from marlstone.sources.markdown import parse_files
 from marlstone.sources.records import manifest as manifest_entries
 from marlstone.store import Store
@@ -52,12 +54,24 @@ def now() -> str:
     return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def acquire(spark: SparkSession, sources: list[str], store: Store, clock: Callable[[], str]) -> DataFrame:
+#: A folder, or a connector's name and what it is to acquire.
+Source = str | tuple[str, str]
+
+
+def acquire(spark: SparkSession, sources: list[Source], store: Store, clock: Callable[[], str], fetcher: Callable[[], Fetcher] | None = None) -> DataFrame:
     """``(uri, source_hash, retrieved_at, title, blocks)`` of all sources; the first of a URI wins.
 
-    A source keeps the time at which its content was first seen.
+    A source keeps the time at which its content was first seen.  Connectors that fetch do so by
+    ``fetcher()``; what they acquire is written before it is read.
     """
-    frames = [documents(capped(scan(spark, s))).withColumn("source", F.lit(k)) for k, s in enumerate(sources)]
+    def documents_of(source: Source) -> DataFrame:
+        if isinstance(source, str):
+            return documents(capped(scan(spark, source)))
+        made = connect(source[0], fetcher)
+        return made.normalize(materialize(made.acquire(spark, source[1]), "items"))
+
+    columns = ("uri", "source_hash", "title", "blocks", "error")
+    frames = [documents_of(s).select(*columns, F.lit(k).alias("source")) for k, s in enumerate(sources)]
     if not frames:
         raise BuildError("no sources")
     rows = frames[0]
@@ -135,10 +149,10 @@ def finish(store: Store, files: DataFrame, summary: str, publish: bool, report:
     return Outcome(revision, changed, published, verdict["passes"], tree, findings, report)
 
 
-def build(spark: SparkSession, sources: list[str], folder: str, name: str, provider: str = "stub", clock: Callable[[], str] = now, version: str = "1", publish: bool = True) -> Outcome:
-    """Compiles folders of documents into a bundle and publishes it if its content changed and lint finds no error."""
+def build(spark: SparkSession, sources: list[Source], folder: str, name: str, provider: str = "stub", clock: Callable[[], str] = now, version: str = "1", publish: bool = True, fetcher: Callable[[], Fetcher] | None = None) -> Outcome:
+    """Compiles folders, websites and repositories into a bundle and publishes it if its content changed and lint finds no error."""
     store = Store(spark, folder)
-    docs = materialize(acquire(spark, sources, store, clock), "docs")
+    docs = materialize(acquire(spark, sources, store, clock, fetcher), "docs")
     concepts = materialize(plan(docs, store, provider, version), "concepts")
     described = generated(concepts.withColumn("payload", F.to_json(F.struct("title", content_hash("blocks").alias("content")))), store, "concept-description", "payload", provider, version)
     concepts = materialize(described.select("uri", "nth", "title", "blocks", F.col("value").alias("description")), "described")
@@ -152,18 +166,21 @@ def build(spark: SparkSession, sources: list[str], folder: str, name: str, provi
 
 
 def import_bundle(spark: SparkSession, source: str, folder: str, summary: str = "imported") -> Outcome:
-    """Publishes a foreign tree as it is, with its own log and a new manifest, if lint finds no error."""
+    """Publishes a foreign tree, a folder or an archive, as it is, with its own log and a new manifest, if lint finds no error."""
     store = Store(spark, folder)
-    if lint.not_a_bundle(spark, source) is not None:
+    if source.endswith((".tar.gz", ".tgz")):
+        files = unpack(spark, source)
+    elif lint.not_a_bundle(spark, source) is not None:
         raise BuildError(f"{source} is not a directory")
-    files = read_tree(spark, source)
+    else:
+        files = read_tree(spark, source)
     if not files.limit(1).count():
         raise BuildError(f"no files under {source}")
     log = files.where("rel_path = 'log.md'").select(F.decode("content", "utf-8").alias("t")).first()
     return finish(store, files, summary, True, {"imported": source}, log["t"] if log else LOG_HEAD)
 
 
-def drift(spark: SparkSession, sources: list[str], folder: str, name: str, **options: Any) -> list[tuple[str, str]]:
+def drift(spark: SparkSession, sources: list[Source], folder: str, name: str, **options: Any) -> list[tuple[str, str]]:
     """What a rebuild would change against the current revision, as sorted ``(path, change)``; publishes nothing."""
     store = Store(spark, folder)
     current = store.current()

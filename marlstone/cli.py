@@ -103,12 +103,13 @@ def add(folder: str, uri: str, connector: str = "files") -> dict[str, Any]:
     return {"added": uri, "sources": len(project(str(path))["sources"])}
 
 
-def project_folders(folder: str) -> tuple[str, list[str]]:
-    """Name and source folders of a project, those relative to it resolved."""
+def project_sources(folder: str) -> tuple[str, list[Any]]:
+    """Name and sources of a project for ``build``: folders, those relative to it resolved, and connectors with their addresses."""
     from marlstone.sources.records import project
 
     p = project(str(Path(folder) / PROJECT))
-    return p["name"], [s["uri"] if "://" in s["uri"] else str((Path(folder) / s["uri"]).resolve()) for s in p["sources"] if s.get("connector", "files") == "files"]
+    path = lambda u: u if "://" in u else str((Path(folder) / u).resolve())
+    return p["name"], [path(s["uri"]) if s.get("connector", "files") == "files" else (s["connector"], s["uri"]) for s in p["sources"]]
 
 
 def built(out: Any) -> dict[str, Any]:
@@ -181,7 +182,7 @@ COMMANDS = (
     ("init", "name"), ("add", "uri"), ("build",), ("import", "source"), ("check",), ("eval", "spec"), ("config",), ("plugin",), ("serve",), ("doctor",), ("login",), ("keys",),
 )
 #: Options of single commands.
-OPTIONS = {"lint": ("--strict",), "list": ("--directory", "--type", "--tag", "--status"), "add": ("--connector",), "ask": ("--trace", "--mode", "--budget"), "chat": ("--mode",), "eval": ("--out",), "pack": ("--profile",)}
+OPTIONS = {"init": ("--from",), "lint": ("--strict",), "list": ("--directory", "--type", "--tag", "--status"), "add": ("--connector",), "ask": ("--trace", "--mode", "--budget"), "chat": ("--mode",), "eval": ("--out",), "pack": ("--profile",)}
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -195,7 +196,7 @@ def main(argv: list[str] | None = None) -> int:
         for a in args:
             q.add_argument(a)
         for o in OPTIONS.get(name, ()):
-            q.add_argument(o, **({"action": "store_true"} if o == "--strict" else {}))
+            q.add_argument(o, **({"action": "store_true"} if o == "--strict" else {"dest": "source"} if o == "--from" else {}))
     a = p.parse_args(argv)
     out = run(a)
     if out is None:
@@ -212,7 +213,12 @@ def run(a: argparse.Namespace) -> Any:
     if a.command in ("login", "keys"):
         return {"error": f"{a.command} is not implemented"}
     if a.command == "init":
-        return init(a.bundle, a.name)
+        made = init(a.bundle, a.name)
+        if a.source is None or made.get("error"):
+            return made
+        from marlstone.build import import_bundle
+
+        return made | built(import_bundle(get_session(), a.source, a.bundle))
     if a.command == "add":
         return add(a.bundle, a.uri, a.connector or "files")
     if a.command == "plugin":
@@ -263,7 +269,7 @@ def run(a: argparse.Namespace) -> Any:
         from marlstone.build import build as make
         from marlstone.build import drift
 
-        name, sources = project_folders(a.bundle)
+        name, sources = project_sources(a.bundle)
         if a.command == "build":
             return built(make(spark, sources, a.bundle, name, setting(a.model)))
         return {"drift": drift(spark, sources, a.bundle, name, provider=setting(a.model))}

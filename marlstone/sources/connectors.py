@@ -280,3 +280,14 @@ def register(kind: type) -> type:
 
 for _kind in (Files, Web, Repository):
     register(_kind)
+
+
+def connect(kind: str, fetcher: Callable[[], Fetcher] | None = None) -> Connector:
+    """A connector by its name; one that fetches needs something that makes a fetcher, on executors too."""
+    if kind not in REGISTRY:
+        raise ConnectorError(f"unknown connector {kind!r}; known: {', '.join(sorted(REGISTRY))}")
+    if kind == Files.id:
+        return Files()
+    if fetcher is None:
+        raise ConnectorError(f"connector {kind!r} needs a transport; none is configured")
+    return REGISTRY[kind](fetcher()) if REGISTRY[kind] is Web else REGISTRY[kind](fetcher)

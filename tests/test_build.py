@@ -147,3 +147,47 @@ def test_chat_keeps_its_log(spark, source, tmp_path):
     assert cli.chat(Explorer(spark, str(tmp_path / "kb")), str(tmp_path / "c1.jsonl"), io.StringIO("What do frames carry?\n\n"), sink) == 1 and "passage" in sink.getvalue()
     rows = records.conversations(spark, str(tmp_path / "c1.jsonl")).orderBy("turn").collect()
     assert [r["role"] for r in rows] == ["user", "assistant"] and rows[1]["citations"]
+
+
+def test_build_of_a_folder_and_a_site(spark, source, tmp_path):
+    from marlstone import cli
+    from marlstone.build import build
+    from marlstone.sources.connectors import ConnectorError
+    from tests.test_connectors import fetcher
+
+    sources = [str(source), ("web", "https://s.example")]
+    out = build(spark, sources, f"{tmp_path}/kb", "Kb", fetcher=fetcher)
+    paths = {r["rel_path"] for r in out.files.collect()}
+    assert out.passed and {"concepts/home.md", "concepts/b.md", "concepts/wire-protocol.md"} <= paths and len([p for p in paths if p.startswith("concepts/")]) == out.report["counts"]["concepts"]
+    assert build(spark, sources, f"{tmp_path}/kb", "Kb", fetcher=fetcher).revision == out.revision
+    with pytest.raises(ConnectorError, match="needs a transport"):
+        build(spark, [("web", "https://s.example")], f"{tmp_path}/no", "No")
+    with pytest.raises(ConnectorError, match="unknown connector"):
+        build(spark, [("smoke", "x")], f"{tmp_path}/no", "No", fetcher=fetcher)
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / cli.PROJECT).write_text('[project]\nname = "P"\n[[sources]]\nuri = "docs"\n[[sources]]\nconnector = "web"\nuri = "https://s.example"\n')
+    assert cli.project_sources(f"{tmp_path}/p") == ("P", [f"{tmp_path}/p/docs", ("web", "https://s.example")])
+
+
+def test_init_from_a_folder_or_an_archive(spark, source, tmp_path, monkeypatch, capsys):
+    from marlstone import cli
+    from marlstone.sources import files
+
+    monkeypatch.setattr(cli, "get_session", lambda: spark)
+    first = cli.build(spark, str(source), f"{tmp_path}/kb", "Kb")
+    from marlstone.explorer import Explorer
+
+    tree = Explorer(spark, f"{tmp_path}/kb").files
+    files.pack(tree, f"{tmp_path}/kb.tar.gz")
+    assert cli.main(["--bundle", f"{tmp_path}/copy", "init", "Copy", "--from", f"{tmp_path}/kb.tar.gz"]) == 0
+    said = json.loads(capsys.readouterr().out)
+    assert said["passes"] and said["published"] and said["revision_id"] == first
+    assert cli.main(["--bundle", f"{tmp_path}/copy", "init", "Copy", "--from", f"{tmp_path}/kb.tar.gz"]) == 1  # there already
+
+
+def test_exports():
+    import marlstone
+
+    assert all(getattr(marlstone, n) is not None for n in marlstone.__all__) and marlstone.Explorer.__name__ == "Explorer"
+    with pytest.raises(AttributeError):
+        marlstone.nothing
