@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import strip, tokens
+from marlstone.session import materialize
 
 CHUNK, DIM, TOP = 500, 256, 4
 
@@ -218,6 +219,16 @@ def _best_of_blocks(top: int, schema: str):
 
 
 def budget_prefix(df: DataFrame, group: str, order: list[str], cost: Column, limit: int) -> DataFrame:
-    """Rows of each group up to, and without, the first whose running cost exceeds the limit; a null cost counts nothing."""
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("running", F.sum(cost).over(w)).where(F.col("running") <= limit)
+    """Rows of each group up to, and without, the first whose running cost exceeds the limit, with ``running``; a null cost counts nothing, none is negative.
+
+    Rows are dealt by ranges and written.  The sums of a group's ranges say which of them the limit lets
+    in, and only those are summed row by row, each range apart: a group of any size has no task to itself.
+    """
+    dealt = materialize(df.withColumn("_cost", F.coalesce(cost.cast("long"), F.lit(0))).repartitionByRange(group, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy(F.col(group).alias("_group"), F.col("_range").alias("_of")).agg(F.sum("_cost").alias("_sum"))
+    earlier = Window.partitionBy("_group").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).where(F.col("_before") <= limit)
+    rows = dealt.join(sums, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_of")))
+    own = Window.partitionBy(group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("running", F.col("_before") + F.sum("_cost").over(own)).where(F.col("running") <= limit)
+    return rows.drop("_cost", "_range", "_group", "_of", "_sum", "_before")

@@ -343,10 +343,11 @@ _TITLE = "split_part(text, chr(10), 1)"
 #: The bundle that is asked: a file for each document, with one link each; its postings and paragraphs.
 _ASKED = f"""
     d AS (SELECT doc_id AS i, 'docs/' || doc_id || '.md' AS path, {_TITLE} AS title, lang, text, (SELECT count(*) FROM documents) AS n FROM documents),
-    w AS (SELECT path, unnest(flatten([list_transform({_TOK.format('title')}, lambda t: {{'t': t, 'w': 5.0::DOUBLE}}), list_transform({_TOK.format('lang')}, lambda t: {{'t': t, 'w': 2.0::DOUBLE}}), list_transform({_TOK.format('text')}, lambda t: {{'t': t, 'w': 1.0::DOUBLE}})])) AS x,
-                 len({_TOK.format('title')}) + len({_TOK.format('lang')}) + len({_TOK.format('text')}) AS dl FROM d),
+    tk AS MATERIALIZED (SELECT path, {_TOK.format('title')} AS tt, {_TOK.format('lang')} AS tl, {_TOK.format('text')} AS tx FROM d),
+    w AS (SELECT path, unnest(list_concat(list_transform(tt, lambda t: {{'t': t, 'w': 5.0::DOUBLE}}), list_transform(tl, lambda t: {{'t': t, 'w': 2.0::DOUBLE}}), list_transform(tx, lambda t: {{'t': t, 'w': 1.0::DOUBLE}}))) AS x,
+                 len(tt) + len(tl) + len(tx) AS dl FROM tk),
     p AS (SELECT path, dl, x.t AS term, sum(x.w) AS f FROM w GROUP BY ALL),
-    st AS (SELECT count(*) AS n, avg(len({_TOK.format('title')}) + len({_TOK.format('lang')}) + len({_TOK.format('text')})) AS avgdl FROM d),
+    st AS (SELECT count(*) AS n, avg(len(tt) + len(tl) + len(tx)) AS avgdl FROM tk),
     df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
     e AS (SELECT path AS src, 'docs/' || ((i * 3 + 1) % n) || '.md' AS dst, title AS anchor FROM d),
     pa AS (SELECT path, title, unnest(range(len(string_split(text, chr(10))))) AS pos, trim(unnest(string_split(text, chr(10)))) AS prose FROM d),

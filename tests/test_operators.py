@@ -330,3 +330,20 @@ def test_blocks_rank_as_all_postings_do(spark):
     rare = search.asked_terms(q.where("qid in (1, 3, 6)"), "qid")
     read, all_ = search.blocks_read(search.postings_blocks(weighed, "doc_id", 8), rare, "doc_id", "qid", 5)
     assert read < all_ / 2
+
+
+def test_budgets_of_large_groups(spark):
+    """One group has most rows; nulls are a group and cost nothing; the running sum is that of all rows in order."""
+    rnd = random.Random(6)
+    rows = [(rnd.choice(["a"] * 8 + ["b", None]), i, rnd.choice([0, 1, 5, None, 40])) for i in range(3000)]
+    want = []
+    for g in ("a", "b", None):
+        total = 0
+        for _, i, c in sorted(r for r in rows if r[0] == g) if g else sorted((r for r in rows if r[0] is None), key=lambda r: r[1]):
+            total += c or 0
+            if total > 900:
+                break
+            want.append((str(g), i, total))
+    df = spark.createDataFrame(rows, "g string, i long, c int").repartition(7)
+    got = chunks.budget_prefix(df, "g", ["i"], F.col("c"), 900)
+    assert got.columns == ["g", "i", "c", "running"] and sorted((str(r["g"]), r["i"], r["running"]) for r in got.collect()) == sorted(want)
