@@ -5,9 +5,11 @@ verdict of the rest compares two multinomials over hashed one- and two-word gram
 documents (the target), one of all documents.  A document's score is the mean over its grams of
 log p_target / log p_corpus; every document is held against one fixed threshold, nothing is drawn.
 
-The target is learned from one half of a bounded hash sample of trusted documents; the other half,
-which the multinomial has not seen, sets the threshold: ``SPREAD`` times as far below the median as
-the first percentile is.  Logarithms are rounded to ten-thousandths, so sums don't depend on order.
+The target is learned from one half of all trusted documents, dealt by a hash; the other half, which
+the multinomial has not seen, sets the threshold: ``SPREAD`` times as far below the median as the first
+percentile is.  Logarithms are rounded to ten-thousandths, so sums don't depend on order, and so are the
+scores that percentiles are taken of: they are counted, so the driver and each task hold as many numbers
+as there are different ones, not as there are documents.
 """
 
 from __future__ import annotations
@@ -21,8 +23,6 @@ from marlstone.llm.tokens import words
 from marlstone.session import materialize, table
 
 BUCKETS = 1 << 15
-#: Trusted documents taken at most (about), half of them to learn from and half for the threshold.
-TRUSTED = 20_000
 SPREAD = 2.5
 UNIT = 10_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -89,21 +89,20 @@ def base_counts(df: DataFrame) -> DataFrame:
     return df.withColumn("base_failed", failed)
 
 
-def trusted_sample(labels: DataFrame, size: int = TRUSTED) -> DataFrame:
-    """``(doc_id, learn)`` of about ``size`` documents at most whose every quality label is 1."""
+def trusted_documents(labels: DataFrame) -> DataFrame:
+    """``(doc_id, learn)`` of all documents whose every quality label is 1; the multinomial learns from half of them."""
     good = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1")
-    share = min(1.0, size / max(1, good.count()))
-    unit = F.pmod(F.xxhash64("doc_id", F.lit("trusted")), F.lit(1 << 20))
-    return good.where(unit < int(share * (1 << 20))).select("doc_id", (unit % 2 == 0).alias("learn"))
+    return good.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit("trusted")), F.lit(2)) == 0).alias("learn"))
 
 
 def ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """``(bucket, w)`` for each bucket: ten-thousandths of a nat of log p_target - log p_corpus, each count plus one.
 
-    ``docs(doc_id, h)`` are all documents.  Counts are summed before the shuffle, so it moves
-    ``BUCKETS`` rows a task; the broadcast sample is bounded by ``TRUSTED``.
+    ``docs(doc_id, text)`` are all documents.  Texts meet their ids by a shuffle at any size, for the
+    ids grow with the corpus and so aren't broadcast; counts are summed before the next one, so that
+    moves ``BUCKETS`` rows a task.
     """
-    joined = docs.join(F.broadcast(trusted.where("learn")), "doc_id", "left").select("learn", F.explode(grams()).alias("bucket"))
+    joined = with_grams(docs.join(trusted.where("learn").hint("shuffle_hash"), "doc_id", "left").withColumn("words", words("text"))).select("learn", F.explode(grams()).alias("bucket"))
     counts = joined.groupBy("bucket").agg(F.count("*").alias("n"), F.count("learn").alias("t"))
     counts = materialize(counts, "gram-counts")
     total = counts.agg(F.sum("n").alias("n"), F.sum("t").alias("t")).first()
@@ -121,18 +120,18 @@ def assess(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     only the base rules decide.
     """
     docs = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    docs = with_grams(docs.withColumn("words", words("text")))
-    trusted = materialize(trusted_sample(labels), "trusted")
-    table_ = materialize(ratios(docs.select("doc_id", "h"), trusted), "ratios")
+    trusted = materialize(trusted_documents(labels), "trusted")
+    table_ = materialize(ratios(docs, trusted), "ratios")
     # a constant number of rows: they become one literal array, looked up in place without a join
     listed = ",".join(str(r["w"]) for r in sorted(table_.collect(), key=lambda r: r["bucket"]))
     weights = F.split(F.lit(listed), ",").cast("array<bigint>")
-    scored = base_counts(docs).withColumn("g", grams())
+    scored = base_counts(with_grams(docs.withColumn("words", words("text")))).withColumn("g", grams())
     score = F.aggregate("g", F.lit(0).cast("long"), lambda a, g: a + F.get(weights, g)) / (F.lit(float(UNIT)) * F.greatest(F.size("g"), F.lit(1)))
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     scored = materialize(scored.select(*columns, score.alias("score")), "scored")
-    held = scored.join(F.broadcast(trusted.where(~F.col("learn"))), "doc_id").where(~F.col("base_failed"))
-    low, mid = held.agg(F.percentile("score", F.lit(0.01)), F.percentile("score", F.lit(0.5))).first()
+    held = scored.join(trusted.where(~F.col("learn")), "doc_id").where(~F.col("base_failed"))
+    steps = held.groupBy(F.round(F.col("score") * UNIT).cast("long").alias("step")).agg(F.count("*").alias("n"))
+    low, mid = steps.agg(*[F.percentile("step", F.lit(q), F.col("n")) / F.lit(float(UNIT)) for q in (0.01, 0.5)]).first()
     threshold = -math.inf if mid is None else mid - SPREAD * (mid - low)
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(threshold)))
 

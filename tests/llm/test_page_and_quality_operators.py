@@ -509,3 +509,9 @@ def test_language_stage_rejects_unlearned_languages_and_junk(spark):
     assert not kept & {10**9 + i for i in range(len(junk))}
     assert len(kept & {10**9 + i for i in range(len(junk), len(rows))}) == len(short)
     assert len(kept & {r["doc_id"] for r in docs.collect()}) >= 0.997 * docs.count()
+
+
+def test_every_trusted_document_is_learned_or_held(spark):
+    labels = spark.range(50_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    n, learn = quality.trusted_documents(labels.unionAll(labels.limit(3).selectExpr("doc_id", "0", "0"))).selectExpr("count(*)", "count_if(learn)").first()
+    assert n == 49_997 and abs(learn - n / 2) < 1000
