@@ -19,13 +19,15 @@ from marlstone.session import table
 
 PROFILE = 400
 N_MAX = 5
-#: Learning takes about this many documents of each language at most, picked by a hash of id and text.
-TRAIN_PER_LANGUAGE = 3000
 #: A text is unlike every language if its likeness is under this share of the likeness that all but this
 #: quantile of the learned documents of its length class reach; a class is trusted from so many documents on.
 LIKE_SHARE, LIKE_QUANTILE, LIKE_DOCUMENTS = 0.8, 0.01, 100
 #: Length classes: the binary logarithm of the number of letters.
 CLASSES = 32
+#: N-grams that are held at a time, about.
+KEYS = 1 << 22
+#: Steps that likenesses are counted in.
+STEPS = 10_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -111,68 +113,59 @@ class Profiles:
         return self.langs[best], float(1 - d[best])
 
 
-def _picked(train: DataFrame, per_language: int) -> DataFrame | None:
-    """``(lang, text)`` of the documents to learn from, None if no row has a language."""
-    train = train.where(F.col("lang").isNotNull())
-    n = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
-    if not n:
-        return None
-    share = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, min(1.0, per_language / v))])
-    # the text tells rows apart that share an id or have none
-    unit = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    return train.where(unit < share[F.col("lang")]).select("lang", "text")
-
-
 def length_class(text: str | None) -> int:
     """Binary logarithm of the number of letters, rounded down; 0 without a letter."""
     return min(max(int(np.count_nonzero(letter_stream(text))).bit_length() - 1, 0), CLASSES - 1)
 
 
-def learn_floors(train: DataFrame, profiles: Profiles, per_language: int = TRAIN_PER_LANGUAGE) -> list[float]:
-    """For each length class the least likeness of a text in one of the languages, from the documents learned.
+def learn_floors(train: DataFrame, profiles: Profiles) -> list[float]:
+    """For each length class the least likeness of a text in one of the languages, from all documents of a language.
 
-    Classes of too few learned documents take the lowest floor of the others; if all are such, all take
-    the floor of the documents together.
+    Likenesses are counted in ten-thousandths, so percentiles rest on a bounded number of rows.  Classes
+    of too few documents take the lowest floor of the others; if all are such, all take the floor of the
+    documents together.
     """
-    picked = _picked(train, per_language)
-    if picked is None:
+    if not profiles.langs:
         return [0.0] * CLASSES
 
     def run(cols: dict[str, list]) -> dict[str, object]:
         found = [profiles.predict(t) for t in cols["text"]]
         kept = [(length_class(t), score) for t, (lang, score) in zip(cols["text"], found) if lang != "und"]
-        return {"class": [c for c, _ in kept], "score": [s for _, s in kept]}
+        steps = np.unique(np.array([(c, round(s * STEPS)) for c, s in kept], np.int64).reshape(-1, 2), axis=0, return_counts=True)
+        return {"class": steps[0][:, 0].astype(np.int32), "step": steps[0][:, 1], "n": steps[1].astype(np.int64)}
 
-    scores = map_batches(picked.select("text"), run, "class int, score double")
-    rows = scores.rollup("class").agg(F.count("*").alias("n"), F.percentile("score", F.lit(LIKE_QUANTILE)).alias("low")).collect()
+    steps = map_batches(train.where(F.col("lang").isNotNull()).select("text"), run, "class int, step long, n long").groupBy("class", "step").agg(F.sum("n").alias("n"))
+    rows = steps.rollup("class").agg(F.sum("n").alias("n"), (F.percentile("step", F.lit(LIKE_QUANTILE), F.col("n")) / STEPS).alias("low")).collect()
     floor = {r["class"]: LIKE_SHARE * (r["low"] or 0.0) for r in rows if r["class"] is None or r["n"] >= LIKE_DOCUMENTS}
     together = floor.pop(None, 0.0)
     lowest = min(floor.values(), default=together)
     return [floor.get(c, lowest) for c in range(CLASSES)]
 
 
-def learn_profiles(train: DataFrame, size: int = PROFILE, per_language: int = TRAIN_PER_LANGUAGE) -> Profiles:
-    """Profiles from ``train(doc_id, text, lang)``.
+def learn_profiles(train: DataFrame, size: int = PROFILE) -> Profiles:
+    """Profiles from all of ``train(text, lang)``.
 
-    Rows without a language are left out.  Languages of more than ``per_language`` rows give a
-    hash sample of about that many, so learning stays bounded while the corpus grows.  N-gram
-    counts are summed on the executors; ``size`` n-grams for each language come to the driver.
+    Rows without a language are left out.  N-gram counts are summed on the executors, some megabytes
+    of text at a time before the shuffle; ``size`` n-grams for each language come to the driver.
     """
-    picked = _picked(train, per_language)
-    if picked is None:
-        return Profiles({}, size)
 
     def count(cols: dict[str, list]) -> dict[str, object]:
-        out: tuple[list, list, list] = ([], [], [])
+        out: tuple[list, list, list] = ([], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)])
         for lang in sorted(set(cols["lang"])):
-            keys = np.concatenate([ngram_keys(letter_stream(t)) for t, x in zip(cols["text"], cols["lang"]) if x == lang])
-            keys, counts = np.unique(keys, return_counts=True)
-            out[0].extend([lang] * len(keys))
-            out[1].append(keys.view(np.int64))
-            out[2].append(counts)
+            held, size = [], 0
+            for t in [*(t for t, x in zip(cols["text"], cols["lang"]) if x == lang), None]:
+                if t is not None:
+                    held.append(ngram_keys(letter_stream(t)))
+                    size += len(held[-1])
+                if held and (t is None or size >= KEYS):  # a null text, or the end, closes what is held
+                    keys, counts = np.unique(np.concatenate(held), return_counts=True)
+                    out[0].extend([lang] * len(keys))
+                    out[1].append(keys.view(np.int64))
+                    out[2].append(counts)
+                    held, size = [], 0
         return {"lang": out[0], "key": np.concatenate(out[1]), "n": np.concatenate(out[2]).astype(np.int64)}
 
-    counts = map_batches(picked, count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    counts = map_batches(train.where(F.col("lang").isNotNull()).select("lang", "text"), count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     # the same tie order as top_keys, whose keys are unsigned
     order = Window.partitionBy("lang").orderBy(F.desc("n"), F.col("key") < 0, "key")
     rows = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size).collect()

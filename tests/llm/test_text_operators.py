@@ -500,3 +500,30 @@ def test_words_of_texts_over_four_mebibytes():
     for text, ids in zip([long, "", "a  b\n\nc", long[:5000]], got):
         want = np.array([*t.encode(text, add_special_tokens=False).ids, packing.END], np.uint32)
         assert np.array_equal(want, ids)
+
+
+def test_models_are_learned_from_every_document(spark):
+    """More documents of a language than any bound there was; the profile's counts are those of all."""
+    import collections
+
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 6))) for _ in range(300)]
+    texts = [" ".join(rnd.choice(words) for _ in range(6)) for _ in range(7000)]
+    train = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)] + [(-1, None, "en"), (-2, "zz zz zz", None)], "doc_id long, text string, lang string")
+    counts = collections.Counter(k for t in texts for k in language.ngram_keys(language.letter_stream(t)).tolist())
+    want = sorted(counts, key=lambda k: (-counts[k], k))[: language.PROFILE]
+    profiles = language.learn_profiles(train)
+    assert profiles.langs == ["en"]
+    got = np.full(len(want), -1)
+    at = np.flatnonzero(profiles.ranks[0] >= 0)
+    got[profiles.ranks[0][at]] = at
+    assert profiles.vocab[got].tolist() == want
+    steps = sorted(round(profiles.predict(t)[1] * language.STEPS) for t in texts)
+    floors = language.learn_floors(train, profiles)
+    by_class = collections.defaultdict(list)
+    for t in texts:
+        by_class[language.length_class(t)].append(round(profiles.predict(t)[1] * language.STEPS))
+    for c, found in by_class.items():
+        if len(found) >= language.LIKE_DOCUMENTS:
+            assert abs(floors[c] - language.LIKE_SHARE * np.percentile(found, 100 * language.LIKE_QUANTILE) / language.STEPS) < 1e-9
+    assert steps[0] > 0 and language.learn_floors(train.limit(0), language.learn_profiles(train.limit(0))) == [0.0] * language.CLASSES
