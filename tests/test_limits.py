@@ -39,3 +39,12 @@ def test_lint_counts_the_body_without_the_line_that_parts_it(spark, tmp_path):
     assert 0 < sum("large-concept" in r for r in found) < len(rows)
     same(spark, folder, "lint_report", "documents")
     same(spark, folder, "lint_verdict", "documents")
+
+
+def test_python_stages_hold_a_slice_of_a_batch(spark):
+    """However many rows a batch has, a stage turns at most a slice of it into objects, and loses no row."""
+    from marlstone.sources.slices import ROWS, map_slices
+
+    n = 5 * ROWS + 3
+    sizes = map_slices(spark.range(n).coalesce(1).selectExpr("id", "repeat('x', 10) AS text"), lambda b: {"id": b["id"], "n": [len(b["text"])] * len(b["id"])}, "id long, n long").collect()
+    assert sorted(r["id"] for r in sizes) == list(range(n)) and max(r["n"] for r in sizes) == ROWS
