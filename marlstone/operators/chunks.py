@@ -98,6 +98,8 @@ def centroids(vectors: DataFrame, group: str, vector: str) -> DataFrame:
 
 #: Query vectors of one block.
 QUERY_BLOCK = 1024
+#: Vectors of the index that are held against a block at once; Spark's batches hold up to ten thousand.
+SLICE = 512
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, qid: str, key: str, vector: str, top: int = TOP) -> DataFrame:
@@ -144,6 +146,10 @@ class _Best:
         self.bar = np.zeros(len(ids))
 
     def add(self, keys: list, vectors: np.ndarray) -> None:
+        for at in range(0, len(keys), SLICE):
+            self._add(keys[at : at + SLICE], vectors[at : at + SLICE])
+
+    def _add(self, keys: list, vectors: np.ndarray) -> None:
         scores = np.round(vectors @ self.vectors.T, 6)
         # what a query holds already bars anything lower; equal scores stay in the race by key
         at, col = np.nonzero((scores >= self.bar) & (scores > 0))

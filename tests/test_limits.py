@@ -48,3 +48,26 @@ def test_python_stages_hold_a_slice_of_a_batch(spark):
     n = 5 * ROWS + 3
     sizes = map_slices(spark.range(n).coalesce(1).selectExpr("id", "repeat('x', 10) AS text"), lambda b: {"id": b["id"], "n": [len(b["text"])] * len(b["id"])}, "id long, n long").collect()
     assert sorted(r["id"] for r in sizes) == list(range(n)) and max(r["n"] for r in sizes) == ROWS
+
+
+def test_vectors_meet_a_block_of_queries_a_slice_at_a_time():
+    import numpy as np
+
+    from marlstone.operators import chunks
+
+    class Seen(chunks._Best):
+        most = 0
+
+        def _add(self, keys, vectors):
+            self.most = max(self.most, len(keys))
+            super()._add(keys, vectors)
+
+    rnd = np.random.default_rng(5)
+    q, v = rnd.normal(size=(7, 16)), rnd.normal(size=(3 * chunks.SLICE + 5, 16))
+    held = Seen(list(range(7)), q, 4)
+    held.add(list(range(len(v))), v)
+    scores = np.round(v @ q.T, 6)
+    for c in range(7):
+        want = sorted((-s, k) for k, s in enumerate(scores[:, c].tolist()) if s > 0)[:4]
+        assert [k for _, k in held.best[c]] == [k for _, k in want]
+    assert held.most == chunks.SLICE
