@@ -81,3 +81,32 @@ def test_overlap_shuffles_asked_terms_only(spark, capsys):
     assert sorted(map(tuple, found.collect())) == [(7, 1, 2, 2, 1), (7, 2, 1, 2, 2)]
     found.explain("extended")
     assert "LeftSemi" in capsys.readouterr().out
+
+
+def most_rows(df):
+    """The most rows that a step of the plan of ``df`` makes, once it has run."""
+    df.collect()
+
+    def walk(node):
+        inner = [getattr(node, name)() for kind, name in (("AdaptiveSparkPlanExec", "executedPlan"), ("QueryStageExec", "plan")) if node.getClass().getSimpleName().endswith(kind)]
+        children = node.children()
+        for child in inner or [children.apply(i) for i in range(children.length())]:
+            yield from walk(child)
+        found = node.metrics().get("numOutputRows")
+        if found.isDefined():
+            yield found.get().value()
+
+    return max(walk(df._jdf.queryExecution().executedPlan()))
+
+
+def test_many_questions_make_no_row_for_each_document_they_share_a_term_with(spark):
+    from marlstone.operators import search
+
+    n = 400
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('common other word', id % 7) AS text")
+    asked = spark.range(n).selectExpr("id AS qid", "concat('common word', id % 7) AS text")
+    best = search.bm25(docs, asked, "doc_id", "qid")
+    assert most_rows(best) < n * n / 4
+    for r in best.collect():
+        assert r["doc_id"] == r["qid"] % 7 + 7 * (r["rank"] - 1)  # equal scores by key
+    assert best.count() == n * 10
