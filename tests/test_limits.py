@@ -110,3 +110,18 @@ def test_many_questions_make_no_row_for_each_document_they_share_a_term_with(spa
     for r in best.collect():
         assert r["doc_id"] == r["qid"] % 7 + 7 * (r["rank"] - 1)  # equal scores by key
     assert best.count() == n * 10
+
+
+def test_related_titles_make_no_row_for_each_text_they_share_a_term_with(spark):
+    from marlstone.operators import graph
+
+    n = 400
+    docs = spark.range(n).selectExpr("id AS key", "concat('common own', id) AS title", "concat('common text with own', (id + 1) % 400, ' and common') AS text")
+    docs = docs.unionAll(spark.sql("SELECT 1000L, 'common words here', 'words here own3 own5'"))
+    found = graph.related(docs, "key", "title", "text")
+    assert most_rows(found) < n * n / 4
+    want = {(i, (i + 1) % n, 1) for i in range(n)}  # two terms need both; of three one may lack
+    assert {tuple(r) for r in found.collect()} == want
+
+    many = spark.range(30).selectExpr("id AS key", "'alpha beta gamma' AS title", "if(id = 7, 'nothing', 'gamma or alpha') AS text")
+    assert {tuple(r) for r in graph.related(many, "key", "title", "text").collect()} == {(i, o, k + 1) for i in range(30) if i != 7 for k, o in enumerate([x for x in range(30) if x != i][:5])}
