@@ -246,49 +246,80 @@ def _dealt(rows: DataFrame, crowd: int = CROWD) -> DataFrame:
     return rows.join(sizes, "token", "left").select(F.explode(keys).alias("k"), "doc_id", "label", "place").select("k.token", "doc_id", "label", "place", "k.side")
 
 
+def _live_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(crowd, members)`` of each token with documents of two labels, from rows sorted by token.
+
+    ``members`` are rows of four numbers (label, doc_id, place, side) in a fixed order; ``crowd`` is a hash of all but the positions.
+    """
+
+    def close(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        token, doc_id, label, place, side = map(np.concatenate, zip(*held))
+        order = np.lexsort((side, place >> 32, doc_id, label, token))
+        rows = np.stack([label, doc_id, place, side], 1)[order].astype(np.int64)
+        who = np.stack([label, doc_id, place >> 32, side], 1)[order].astype(np.int64)
+        starts = np.flatnonzero(np.concatenate(([True], np.diff(token[order]) != 0)))
+        ends = np.append(starts[1:], len(token))
+        live = rows[starts, 0] != rows[ends - 1, 0]
+        cuts = list(zip(starts[live].tolist(), ends[live].tolist()))
+        names = pa.array([xxhash.xxh128_digest(who[a:z].tobytes()) for a, z in cuts], pa.binary())
+        return pa.RecordBatch.from_arrays([names, pa.array([rows[a:z].tobytes() for a, z in cuts], pa.binary())], names=["crowd", "members"])
+
+    forget()
+    held, n = [], 0
+    for b in batches:
+        cols = [c.to_numpy() for c in b.columns]
+        if not len(cols[0]):
+            continue
+        # the last token may go on in the next batch
+        cut = int(np.searchsorted(cols[0], cols[0][-1]))
+        n += cut
+        if cut or (held and held[-1][0][-1] != cols[0][0]):
+            if cut:
+                held.append([c[:cut] for c in cols])
+            if n >= MEETINGS or not cut:
+                yield close(held)
+                held, n = [], 0
+        held.append([c[cut:] for c in cols])
+    if held:
+        yield close(held)
+    give_back()
+
+
 def _meetings(rows: DataFrame, least: float, crowd: int = CROWD) -> DataFrame:
     """``(u, v)``, u < v: documents of different labels that meet on a shingle of ``rows(token, doc_id, label, place)``.
 
-    No task holds more than two parts of a crowded shingle; a shingle of n documents makes n * n / crowd rows.
+    Shingles of the same documents are met once, at the least position that each document has among
+    them: a text's copies share most of their shingles, and would meet on each.  No task holds more
+    than two parts of a crowded shingle; a shingle of n documents makes n * n / crowd rows.
     """
     rows = _dealt(rows, crowd).repartition("token").sortWithinPartitions("token", "label")
+    crowds = rows.mapInArrow(_live_tokens, "crowd binary, members binary").repartition("crowd").sortWithinPartitions("crowd")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-            token, doc_id, label, place, side = map(np.concatenate, zip(*held))
-            us, vs, n = [], [], 0
+        def close(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            token = np.repeat(np.arange(len(held)), [len(h) for h in held])
+            label, doc_id, place, side = np.concatenate(held).T
             for i, j in meetings(token, label, place >> 32, place & 0xFFFFFFFF, least, side):
-                us.append(np.minimum(doc_id[i], doc_id[j]))
-                vs.append(np.maximum(doc_id[i], doc_id[j]))
-                n += len(i)
-                if n >= MEETINGS:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], schema=schema)
-                    us, vs, n = [], [], 0
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc_id[i], doc_id[j])), pa.array(np.maximum(doc_id[i], doc_id[j]))], schema=schema)
 
-        forget()
-        held, n = [], 0
+        held, n, last = [], 0, None
         for b in batches:
-            cols = [c.to_numpy() for c in b.columns]
-            if not len(cols[0]):
-                continue
-            # the last token may go on in the next batch
-            cut = int(np.searchsorted(cols[0], cols[0][-1]))
-            n += cut
-            if cut or (held and held[-1][0][-1] != cols[0][0]):
-                if cut:
-                    held.append([c[:cut] for c in cols])
-                if n >= MEETINGS or not cut:
+            for name, members in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found = np.frombuffer(members, np.int64).reshape(-1, 4)
+                if name == last:  # the same documents and sizes, so the lesser place has the lesser position
+                    held[-1] = np.minimum(held[-1], found)
+                    continue
+                if n >= MEETINGS:
                     yield from close(held)
                     held, n = [], 0
-            held.append([c[cut:] for c in cols])
+                held.append(found)
+                n, last = n + len(found), name
         if held:
             yield from close(held)
         give_back()
 
-    return rows.mapInArrow(run, "u long, v long")
+    return crowds.mapInArrow(run, "u long, v long")
 
 
 def _kept_pairs(pairs: DataFrame, sides: DataFrame, keep: Callable[[dict[str, pa.Array]], np.ndarray]) -> DataFrame:

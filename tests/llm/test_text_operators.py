@@ -480,6 +480,21 @@ def test_a_crowded_shingle_is_dealt(spark):
     assert biggest < 60  # two parts of about ten
 
 
+def test_shingles_of_the_same_documents_are_met_once(spark):
+    """Two documents that share forty shingles meet once, where their positions are least; other documents' meetings stay."""
+    from marlstone.llm import similar
+
+    place = lambda n: (100 << 32) + n
+    rows = [(t, d, d, place(t + d)) for t in range(40) for d in (1, 2)] + [(t, d, d, place(t - 40)) for t in (40, 41) for d in (1, 2, 3)]
+    rows += [(50 + t, 7, 7, place(t)) for t in range(5)]  # shared with no other
+    df = spark.createDataFrame(rows, "token long, doc_id long, label long, place long").repartition(3)
+    got = sorted((r["u"], r["v"]) for r in similar._meetings(df, 0.8).collect())
+    assert got == [(1, 2), (1, 2), (1, 3), (2, 3)]
+    late = spark.createDataFrame([(t, d, d, place(t)) for t in (60, 5) for d in (1, 2)], df.schema)
+    assert similar._meetings(late, 0.8).count() == 1  # at 60 alone they could not be alike
+    assert similar._meetings(late.where("token = 60"), 0.8).count() == 0
+
+
 def test_words_of_texts_over_four_mebibytes():
     """Cut at blanks and encoded in parts, and words in portions: as the library does with the whole."""
     import numpy as np
