@@ -114,3 +114,12 @@ def test_resolved_urls_equal_the_standard_library(spark):
 @pytest.mark.parametrize("value,want", [(" https://U:P@EX.org:443 ", "https://U:P@ex.org/"), ("HTTP://[::A]:81/x#y", "http://[::a]:81/x"), ("plain/path#z", "plain/path"), ("Mailto:A@B", "mailto:A@B"), ("http://h:99/?", "http://h:99/")])
 def test_canonical_url_parts(spark, value, want):
     assert one(spark, value, X.canonical_url("t")) == want
+
+
+def test_a_resolved_url_takes_each_part_once(spark):
+    """Inside a lambda Spark computes an expression each time it is named; parts named in parts multiplied to over a hundred patterns a link."""
+    df = spark.createDataFrame([(["../x?y#z", "b"], "HTTP://h:80/p/q/")], "hs array<string>, base string")
+    found = df.select(F.transform("hs", lambda h: X.canonical_url(h, "base")).alias("x"))
+    assert found.first()["x"] == ["http://h/p/x?y", "http://h/p/q/b"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") + plan.count("regexp_replace") < 40
