@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.text import cache_key, content_hash, digest_text, first_sentence, slugify
 from marlstone.operators.bundle import first_per_key, unique_slugs
 from marlstone.operators.graph import related
-from marlstone.session import materialize
+from marlstone.session import drop_scratch, materialize, scratch_count
 from marlstone.sources.markdown import render
 
 HEADING_CHARS, ENTRY_CHARS, BODY_CHARS, LEAD = 200, 500, 10_000, 3
@@ -119,14 +119,21 @@ def compile_bundle(docs: DataFrame, name: str, generator: str = "marlstone", at:
     title, blocks, description, at)`` are the planned concepts; without them every document is one,
     described by the deterministic provider's sentence.
     """
-    docs = first_per_key(docs, "uri", "source_hash")
-    docs = unique_slugs(docs.withColumn("slug", slugify("title")), "slug", "uri").withColumn("slug", F.col("unique_slug")).drop("unique_slug")
-    docs = docs.withColumn("source_id", F.concat(F.lit("source-"), F.substring(F.sha2("uri", 256), 1, 12))).withColumn("ref", F.concat(F.lit("references/"), "slug", F.lit(".md")))
+    start = scratch_count()
+    docs = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
+    # names are made of rows without blocks, which meet their names once
+    named = first_per_key(docs.select("_row", "uri", "source_hash", "title"), "uri", "source_hash", "title", "_row")
+    named = unique_slugs(named.withColumn("slug", slugify("title")), "slug", "uri").select("_row", F.col("unique_slug").alias("slug"))
+    docs = docs.join(named, "_row").drop("_row").withColumn("source_id", F.concat(F.lit("source-"), F.substring(F.sha2("uri", 256), 1, 12))).withColumn("ref", F.concat(F.lit("references/"), "slug", F.lit(".md")))
+    docs = materialize(docs, "named")
+    drop_scratch(docs.sparkSession, start, keep_last=1)
+    path = lambda slug: F.concat(F.lit("concepts/"), slug, F.lit(".md")).alias("path")
     if concepts is None:
         described = F.concat(F.lit("Grounded notes on "), F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.lit("this concept")), F.lit(", generated from the acquired source material."))
-        concepts = docs.select("uri", F.lit(0).alias("nth"), "title", "blocks", described.alias("description"), F.lit(at).alias("at"))
-    made = unique_slugs(concepts.withColumn("slug", slugify("title")), "slug", "uri", "nth").withColumn("path", F.concat(F.lit("concepts/"), "unique_slug", F.lit(".md")))
-    made = materialize(made.select("uri", "nth", "path", "title", "blocks", "description", "at"), "concepts")
+        made = docs.select("uri", F.lit(0).alias("nth"), path("slug"), "title", "blocks", described.alias("description"), F.lit(at).alias("at"))
+    else:
+        made = unique_slugs(concepts.withColumn("slug", slugify("title")), "slug", "uri", "nth")
+        made = materialize(made.select("uri", "nth", path("unique_slug"), "title", "blocks", "description", "at"), "concepts")
     text = F.array_join(F.transform("blocks", lambda b: digest_text(b["text"])), " ")
     links = related(made.select("path", "title", text.alias("text")), "path", "title", "text")
     links = links.join(made.select(F.col("path").alias("other"), F.col("title").alias("other_title")), "other")

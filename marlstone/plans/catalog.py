@@ -480,8 +480,10 @@ def compiled_bundle(spark: SparkSession, sf: str) -> DataFrame:
     from marlstone.sources.web import html_blocks as parse
 
     pages = table(spark, sf, "pages")
-    docs = parse(pages, "page_id", "url", "html").join(pages.select("page_id", X.canonical_url("url").alias("uri"), F.sha2("html", 256).alias("source_hash")), "page_id")
-    out = compile_bundle(docs.select("uri", "source_hash", F.lit("1970-01-01T00:00:00Z").alias("retrieved_at"), "title", "blocks"), "Pages")
+    # what else is known of a page goes with its id, so blocks aren't shuffled for it
+    known = F.struct("page_id", X.canonical_url("url").alias("uri"), F.sha2("html", 256).alias("source_hash"))
+    docs = parse(pages.where("page_id is not null").withColumn("page", known), "page", "url", "html")
+    out = compile_bundle(docs.select("page.uri", "page.source_hash", F.lit("1970-01-01T00:00:00Z").alias("retrieved_at"), "title", "blocks"), "Pages")
     return out.select("rel_path", F.sha2("content", 256).alias("sha256"))
 
 

@@ -125,3 +125,43 @@ def test_related_titles_make_no_row_for_each_text_they_share_a_term_with(spark):
 
     many = spark.range(30).selectExpr("id AS key", "'alpha beta gamma' AS title", "if(id = 7, 'nothing', 'gamma or alpha') AS text")
     assert {tuple(r) for r in graph.related(many, "key", "title", "text").collect()} == {(i, o, k + 1) for i in range(30) if i != 7 for k, o in enumerate([x for x in range(30) if x != i][:5])}
+
+
+def test_titles_of_the_same_terms_are_dealt_a_few_times(spark):
+    """No document can have more than the first few of them, so the others aren't sent to every part."""
+    from marlstone.operators import graph
+
+    n = 3000
+    docs = spark.range(n).selectExpr("id AS key", "if(id % 2 = 0, 'gamma alpha', 'alpha gamma') AS title", "if(id < 20, 'alpha or gamma', 'other words') AS text")
+    docs = docs.unionAll(docs.where("key < 3"))  # repeated rows are titles of their own
+    found = graph.related(docs, "key", "title", "text")
+    assert most_rows(found) < 2 * n
+    got = {}
+    for r in found.where("key >= 6").collect():
+        got.setdefault(r["key"], {})[r["nth"]] = r["other"]
+    assert set(got) == set(range(6, 20)) and all(x == {1: 0, 2: 0, 3: 1, 4: 1, 5: 2} for x in got.values())
+
+
+def test_compiling_moves_blocks_with_their_names_once(spark, monkeypatch):
+    """Only the documents and the named documents are written with their blocks, and names don't carry any."""
+    from marlstone.operators import bundle, compile
+    from marlstone.sources.markdown import BLOCKS
+
+    wide = []
+
+    def seen(write):
+        def run(df, name):
+            wide.extend([name] if "blocks" in df.columns else [])
+            return write(df, name)
+
+        return run
+
+    for module in (bundle, compile):
+        monkeypatch.setattr(module, "materialize", seen(module.materialize))
+    block = {"kind": "paragraph", "text": "Some text.", "level": None, "language": None, "anchor_id": None}
+    rows = [("u/b", "2", "t", "Same", [block]), ("u/a", "2", "t", "Same", [block]), ("u/a", "1", "t", "Same", [block, block]), ("u/c", "1", "t", "Same-2", [])]
+    docs = spark.createDataFrame(rows, f"uri string, source_hash string, retrieved_at string, title string, blocks {BLOCKS}")
+    got = {r["rel_path"]: r["content"] for r in compile.compile_bundle(docs, "Kb").collect()}
+    assert sorted(p for p in got if p.startswith("ref")) == ["references/same-2-2.md", "references/same-2.md", "references/same.md"]
+    assert "source_hash: 1" in got["references/same.md"] and "uri: \"u/a\"" in got["references/same.md"]
+    assert wide == ["documents", "named"]
