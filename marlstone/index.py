@@ -48,7 +48,7 @@ class Index:
     """One revision's index; ``ensure`` writes it if it isn't there."""
 
     def __init__(self, store: Store, revision: str):
-        self.store, self.revision, self.folder = store, revision, f"{store.meta}/index/{revision}"
+        self.store, self.revision, self.folder = store, revision, f"{store.meta}/index-2/{revision}"  # 2: blocks without the weights of terms; an older index is made anew
 
     def ensure(self, files: DataFrame | None = None) -> bool:
         """Writes the index aside and moves it into place; False if it was there, whoever wrote it."""

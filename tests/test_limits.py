@@ -165,3 +165,20 @@ def test_compiling_moves_blocks_with_their_names_once(spark, monkeypatch):
     assert sorted(p for p in got if p.startswith("ref")) == ["references/same-2-2.md", "references/same-2.md", "references/same.md"]
     assert "source_hash: 1" in got["references/same.md"] and "uri: \"u/a\"" in got["references/same.md"]
     assert wide == ["documents", "named"]
+
+
+def test_postings_are_moved_once(spark):
+    """Terms are counted where a document is read, and blocks neither meet the counts of their terms nor are sorted by ranges."""
+    from marlstone.operators import search
+    from marlstone.session import materialize
+
+    docs = spark.createDataFrame([(1, "a b a", "x"), (2, None, None), (3, "", "y y"), (4, "b", "b")], "k long, t string, h string")
+    weighed = search.weigh(docs, "k", {"t": 1.0, "h": 5.0})
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    assert exchanges(weighed) == 0 and exchanges(search.postings_blocks(materialize(weighed, "postings"), "k", 2)) == 1
+    assert sorted(map(str, map(tuple, weighed.collect()))) == sorted(map(str, [
+        (1, 4, None, 0.0), (1, 4, "a", 2.0), (1, 4, "b", 1.0), (1, 4, "x", 5.0), (2, 0, None, 0.0), (3, 2, None, 0.0), (3, 2, "y", 10.0), (4, 2, None, 0.0), (4, 2, "b", 6.0)]))
+    got = search.postings_blocks(weighed, "k", 1000).collect()  # all in one group
+    assert {r["term"]: [e["key"] for e in r["entries"]] for r in got} == {"a": [1], "b": [1, 4], "x": [1], "y": [3]}
+    assert all(r["best"] == max(e["value"] for e in r["entries"]) and r["n"] == 4 for r in got)
+    assert search.postings_blocks(search.weigh(docs.limit(0), "k", {"t": 1.0}), "k").count() == 0
