@@ -182,3 +182,20 @@ def test_postings_are_moved_once(spark):
     assert {r["term"]: [e["key"] for e in r["entries"]] for r in got} == {"a": [1], "b": [1, 4], "x": [1], "y": [3]}
     assert all(r["best"] == max(e["value"] for e in r["entries"]) and r["n"] == 4 for r in got)
     assert search.postings_blocks(search.weigh(docs.limit(0), "k", {"t": 1.0}), "k").count() == 0
+
+
+def test_a_question_leaves_few_rows_however_many_parts_the_documents_have(spark, monkeypatch):
+    """Tokens aren't shuffled, blocks of questions go past the parts one after another, and bars and ties hold over parts."""
+    from marlstone.operators import search
+
+    n = 400
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('common ', repeat(concat('word', id % 7, ' '), 1 + int(id % 3)), 'rare', id % 31, ' x', id) AS text").repartition(40)
+    asked = spark.range(n).selectExpr("id AS qid", "concat('common word', id % 7, ' rare', id % 31, ' x', id) AS text")
+    want = search.bm25(docs.coalesce(1), asked, "doc_id", "qid").collect()
+    monkeypatch.setattr(search, "PART", 8)
+    monkeypatch.setattr(search, "BLOCK", 50, raising=False)
+    best = search.bm25(docs, asked, "doc_id", "qid")
+    assert most_rows(best) <= n * 10
+    assert sorted(map(tuple, best.collect())) == sorted(map(tuple, want))
+    assert sorted(r["qid"] for r in want if r["rank"] == 1 and r["doc_id"] == r["qid"]) == list(range(n))
+    assert "Exchange" not in search.parts_of(docs.coalesce(1).localCheckpoint(), "doc_id", {"text": 1.0})._jdf.queryExecution().executedPlan().toString()
