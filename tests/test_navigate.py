@@ -224,6 +224,35 @@ def test_conversations_of_no_one(spark):
     assert conversation.answers(conversation.questions_of(turns), d, e).collect() == []
 
 
+def test_rounds_leave_only_their_answers_and_read_only_what_they_reach(spark):
+    """Each round equals ``ask.answer`` over all documents, its working tables are gone, and a small round writes a few of the documents aside."""
+    from marlstone import session
+
+    docs, edges = bundle_of(400, random.Random(4))
+    edges = list({e[0]: e for e in edges}.values())  # one link each, so that few documents are reached
+    d, e = spark.createDataFrame(docs, DOC), spark.createDataFrame(edges, "src string, dst string, anchor string").dropDuplicates(["src", "dst"])
+    turns = [(c, t, "user", f"Is alpha {'beta' if t % 2 else 'gamma'} number {c * 7 + t}?") for c in range(2) for t in range(3 + c)]
+    asked = conversation.questions_of(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    before, name, wrote = session.scratch_count(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+    conf = spark.conf.get(name)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(conversation, "materialize", lambda df, name: wrote.append(name) or session.materialize(df, name))
+        out = conversation.answers(asked, d, e)
+    got = {r["qid"]: r for r in out.collect()}
+    left = [x.rsplit("/", 1)[1].split("-")[0] for x in session._SCRATCH[before:]]
+    assert left == ["questions", "found"] + ["answers"] * 4 and spark.conf.get(name) == conf
+    assert "near" in wrote
+    carried = {}
+    for k in range(1, 5):
+        now = asked.where(f"nth = {k}").selectExpr("*", f"{k - 1} AS turns")
+        rows = [(f"{c}#{k}", p, i) for c, cited in carried.items() for i, p in enumerate(cited)]
+        carried = {}
+        for r in ask.answer(now, d, e, carried=spark.createDataFrame(rows, "qid string, path string, nth int") if k > 1 else None).collect():
+            assert r.asDict() == {c: got[r["qid"]][c] for c in r.asDict()}, r["qid"]
+            carried[r["qid"].split("#")[0]] = r["citations"]
+    assert len(got) == len(turns) and any(r["carried"] for r in got.values())
+
+
 def test_tool_schemas():
     assert cli.schema("peek") == {"type": "object", "properties": {"path": {"type": "string"}, "lines": {"type": "integer", "default": 20}}, "required": ["path"], "additionalProperties": False}
     assert cli.schema("overview")["properties"] == {} and cli.schema("list")["properties"]["tag"] == {"type": "string"}
